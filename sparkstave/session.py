@@ -53,3 +53,8 @@ def default_session(app: str = "sparkstave", cores: str = "*", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of one Arrow batch, so that batches of long texts fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
