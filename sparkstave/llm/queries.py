@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkstave.session import scratch, table
+from sparkstave.session import scratch, small_batches, table
 
 
 def op1_wfq_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,3 +61,16 @@ def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_wfq_mixing": op1_wfq_mixing, "op4_virtual_slots": op4_virtual_slots}
 SQL = {"op1_wfq_mixing": OP1_SQL}
+
+
+def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparkstave.llm import bpe
+
+    small_batches(spark)
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer)
+
+
+QUERIES["op5_chunked_bpe"] = op5_chunked_bpe
