@@ -74,3 +74,13 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_chunked_bpe"] = op5_chunked_bpe
+
+
+def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import quality
+
+    small_batches(spark)
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_suffix_repetition"] = op9_suffix_repetition

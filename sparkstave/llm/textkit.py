@@ -107,9 +107,9 @@ def sliding(x: np.ndarray, w: int, pick=np.minimum) -> np.ndarray:
 
 
 def spans_union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of [start, end) spans; ``start`` must be sorted."""
+    """Union of [start, end) spans; ``start`` must be sorted. Spans that only touch stay apart."""
     if not len(start):
         return start, end
     reach = np.maximum.accumulate(end)
-    new = np.concatenate(([True], start[1:] > reach[:-1]))
+    new = np.concatenate(([True], start[1:] >= reach[:-1]))
     return start[new], np.concatenate((reach[np.flatnonzero(new)[1:] - 1], reach[-1:]))
