@@ -84,3 +84,17 @@ def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_suffix_repetition"] = op9_suffix_repetition
+
+
+def op10_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import toxicity
+
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learned(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, lexicon)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % toxicity.HELD_OUT == 0, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op10_folded_lexicon"] = op10_folded_lexicon
