@@ -98,3 +98,23 @@ def op10_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_folded_lexicon"] = op10_folded_lexicon
+
+
+def op7_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import warc
+
+    small_batches(spark)
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+QUERIES["op7_chunked_warc"] = op7_chunked_warc
+SQL["op7_chunked_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
