@@ -118,3 +118,13 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN p.page_id IS DISTINCT FROM f.first THEN f.first END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
 """
+
+
+def op3_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import substrings
+
+    small_batches(spark)
+    return substrings.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op3_countmin_substrings"] = op3_countmin_substrings
