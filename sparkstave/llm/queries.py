@@ -128,3 +128,13 @@ def op3_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_countmin_substrings"] = op3_countmin_substrings
+
+
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import neardup
+
+    small_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES["op8_circulant_minhash"] = op8_circulant_minhash
