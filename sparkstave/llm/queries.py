@@ -138,3 +138,16 @@ def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_circulant_minhash"] = op8_circulant_minhash
+
+
+def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import langid
+
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    network = langid.trained(docs.filter(~held_out))
+    return langid.predicted(docs.select("doc_id", "text"), network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op2_byte_cnn"] = op2_byte_cnn
