@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkstave.llm.textkit import WORD, Words, mix, sliding, spans_union, windows
+from sparkstave.session import stored
 
 WINDOW = 35
 GRAM = 16
@@ -270,8 +271,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     asked = hashed.mapInPandas(candidates, ASKED)
     answers = asked.groupBy("bucket").applyInPandas(settle, "chunk bigint, docs binary, ats binary, names array<string>")
     spans = answers.groupBy("chunk").applyInPandas(lambda g: spans_of_chunk(g, window), "h string, spans array<bigint>")
-    # Equal texts in several chunks have equal spans.
-    return spans.groupBy("h").agg(F.first("spans").alias("spans"))
+    # Equal texts in several chunks have equal spans. Written, so that a join with it can split a text that many rows hold.
+    return stored(spans.groupBy("h").agg(F.first("spans").alias("spans")), "spans")
 
 
 def _kept(n: int, spans) -> np.ndarray:
