@@ -25,7 +25,7 @@ from sparkstave.session import stored
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 UNIT = float(1 << 52)
 
 
