@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from sparkstave.plans import corpus
+
+MODULES = (corpus,)
 
 
 def queries() -> dict:
