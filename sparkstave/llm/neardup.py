@@ -10,7 +10,8 @@ Links are confirmed on full sets, by rounds that never emit all pairs of a group
 1. each class against the one member (of its buckets' least ones) that shares most bands with it;
 2. against its other buckets' least members, where still in another component;
 3. all pairs of a bucket that still lie in different components, have sizes that allow a link
-   and signatures that don't rule it out. Large buckets are compared block by block.
+   and signatures that don't rule it out: sets are sent to buckets, not to pairs, and large buckets are
+   compared block by block.
 
 Pairs inside one component need no check: the answer is connectivity. Components
 are found by large-star and small-star rounds over tables in the shared folder.
@@ -44,7 +45,6 @@ SLACK = 0.15
 #: Members of one hub, and of one block of a bucket, that a task compares at a time.
 HUB_MEMBERS = 2_000
 BLOCK = 1_024
-SMALL = 32
 #: Ids up to this number are broadcast to the scan; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -149,6 +149,67 @@ def components(links: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
+def grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a sorted stream, one after the other; a group may go over several batches."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[by].to_numpy()
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            now = tuple(keys[begin])
+            if held and now != last:
+                yield held[0] if len(held) == 1 else pd.concat(held)
+                held = []
+            held.append(batch.iloc[begin:end])
+            last = now
+    if held:
+        yield held[0] if len(held) == 1 else pd.concat(held)
+
+
+def open_pairs(group: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in question, pairs of indexes into them) of one tile of a bucket."""
+    key, i, j = group["key"].iloc[0], group["i"].iloc[0], group["j"].iloc[0]
+    block, rep, hub, n, of = (group[c].to_numpy() for c in ("block", "rep", "hub", "n", "component"))
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(-1, N_HASHES)
+    bands = np.stack(group["bands"].to_list())
+    band = (bands == key).argmax(axis=1)
+    need, right, out = int(N_HASHES * (percent / 100 - SLACK)), np.flatnonzero(block == j), []
+    for a in np.flatnonzero(block == i):
+        if rep[a] == hub[a]:
+            continue  # compared with all of its bucket already
+        may = right[(of[right] != of[a]) & (np.minimum(n[right], n[a]) * 100 >= np.maximum(n[right], n[a]) * percent) & (rep[right] != hub[a])]
+        if i == j:
+            may = may[may > a]
+        may = may[(sig[may] == sig[a]).sum(axis=1) >= need]
+        may = may[~(bands[may, : band[a]] == bands[a, : band[a]]).any(axis=1)]
+        out.append(np.column_stack((np.full(len(may), a), may)))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    ids, index = np.unique(pairs, return_inverse=True)
+    return ids, index.reshape(-1, 2)
+
+
+def spanning_links(ids: np.ndarray, of: np.ndarray, pairs: np.ndarray, sets: dict, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what the pairs connect; pairs already in one component are passed over."""
+    parent = {int(c): int(c) for c in of}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in pairs:
+        a, b = root(int(of[x])), root(int(of[y]))
+        if a != b and any(linked(p, q, percent) for p in sets.get(int(ids[x]), []) for q in sets.get(int(ids[y]), [])):
+            parent[max(a, b)] = min(a, b)
+            out.append((int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))))
+    return out
+
+
 class Classes:
     """Documents by equal set: ``rep`` is the least id of a class."""
 
@@ -178,7 +239,7 @@ class Classes:
         rest = self.apart(pairs.filter("rank > 1"), found)
         links = stored(links.unionByName(self.confirmed(rest)), "links")
         found = components(links)
-        return stored(links.unionByName(self.confirmed(self.left_over(found))), "links")
+        return stored(links.unionByName(self.left_over(found)), "links")
 
     def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs (a, b) that lie in different components."""
@@ -188,42 +249,61 @@ class Classes:
         return pairs.filter("of_a <> of_b").select("a", "b")
 
     def left_over(self, found: DataFrame) -> DataFrame:
-        """Pairs of one bucket and different components that size and signature allow."""
-        percent = self.percent
+        """Links among the pairs of one bucket that are still apart, where size and signature allow one.
+
+        Nothing is emitted pair by pair. Each bucket (blocks of it, if large) lists its open
+        pairs in one row; then each member's set goes once to each bucket with open pairs of it, and what comes back
+        is a spanning set of links. A pair is open in the first bucket only that both share.
+        """
         own = found.select(F.col("id").alias("rep"), "component")
-        members = self.members.filter("m > 2").select("key", "rep", "hub", "n", "m").join(own, "rep", "left")
+        members = self.members.filter("m > 2").select("key", "rep", "hub", "m").join(own, "rep", "left")
         members = members.withColumn("component", F.coalesce("component", "rep"))
         mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        members = members.join(mixed, "key").join(self.classes.select("rep", "sig"), "rep")
-        # Small buckets by a join, of at most SMALL partners a member.
-        small = members.filter(F.col("m") <= SMALL).select("key", "rep", "hub", "n", "component")
-        one, two = small.alias("x"), small.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b")).alias("y")
-        near = one.join(two, "key").filter((F.col("b") < F.col("rep")) & (F.col("of_b") != F.col("component")) & (F.col("b") != F.col("hub")))
-        near = near.filter(self.joinable("n", "n_b")).select(F.col("rep").alias("a"), "b")
-        members = members.filter(F.col("m") > SMALL)
+        members = members.join(mixed, "key").join(self.classes, "rep")
         # Block i of a large bucket meets every block: each member goes to the pairs of its block.
         blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
         members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        members = members.select("key", "rep", "hub", "n", "component", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-        def compare(group: pd.DataFrame) -> pd.DataFrame:
-            i, j = group["i"].iloc[0], group["j"].iloc[0]
-            left, right = group[group["block"] == i], group[group["block"] == j]
-            sig = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, N_HASHES)
-            rep, n, of = right["rep"].to_numpy(), right["n"].to_numpy(), right["component"].to_numpy()
-            need, out = int(N_HASHES * (percent / 100 - SLACK)), []
-            for a, size, own, mine, hub in zip(left["rep"], left["n"], left["component"], left["sig"], left["hub"], strict=True):
-                may = (of != own) & (np.minimum(n, size) * 100 >= np.maximum(n, size) * percent) & (rep != hub) & (a != hub)
-                if i == j:
-                    may &= rep < a
-                at = np.flatnonzero(may)
-                if len(at):
-                    at = at[(sig[at] == np.frombuffer(mine, np.uint8)).sum(axis=1) >= need]
-                out += [(int(max(a, b)), int(min(a, b))) for b in rep[at]]
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-        return members.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").unionByName(near).distinct()
+        members = members.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "rep", "hub", "n", "component", "bands", "sig", "block")
+        tiles = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+        percent, k = self.percent, self.k
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for group in grouped(batches, ["key", "i", "j"]):
+                ids, pairs = open_pairs(group, percent)
+                if len(pairs):
+                    at = group["rep"].to_numpy()[ids]
+                    yield pd.DataFrame({
+                        "key": [group["key"].iloc[0]], "i": [group["i"].iloc[0]], "j": [group["j"].iloc[0]], "ids": [at],
+                        "data": [np.concatenate((at, group["component"].to_numpy()[ids], pairs.reshape(-1))).astype("<i8").tobytes()],
+                    })
+
+        opened = stored(tiles.mapInPandas(search, "key bigint, i int, j int, ids array<bigint>, data binary"), "open")
+        tile = F.struct("key", "i", "j").alias("tile")
+        texts = self.texts_of(opened.select(F.explode("ids").alias("id"), tile).groupBy("id").agg(F.collect_list("tile").alias("at")))
+
+        def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for own, at, values in zip(batch["id"], batch["at"], shingle_sets(batch["text"], k), strict=True):
+                    out += [(x["key"], x["i"], x["j"], own, values.tobytes()) for x in at]
+                yield pd.DataFrame(out, columns=["key", "i", "j", "id", "data"])
+
+        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for group in grouped(batches, ["key", "i", "j"]):
+                listed = (group["n"] >= 0).to_numpy()
+                n = int(group["n"].to_numpy()[listed][0])
+                plan = np.frombuffer(group["data"].to_numpy()[listed][0], "<i8")
+                sets: dict = {}
+                for own, raw in zip(group["id"].to_numpy()[~listed], group["data"].to_numpy()[~listed], strict=True):
+                    sets.setdefault(int(own), []).append(np.frombuffer(raw, np.uint64))
+                out = spanning_links(plan[:n], plan[n : 2 * n], plan[2 * n :].reshape(-1, 2), sets, percent)
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+        sets = texts.mapInPandas(sent, "key bigint, i int, j int, id bigint, data binary").withColumn("n", F.lit(-1))
+        plans = opened.select("key", "i", "j", F.lit(0).cast("bigint").alias("id"), "data", F.size("ids").alias("n"))
+        both = plans.unionByName(sets).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return both.mapInPandas(settle, "a bigint, b bigint").distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets link. ``b`` is the hub that its partners are sent to.
@@ -237,9 +317,7 @@ class Classes:
         dealt = pairs.join(crowd, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
         hubs = crowd.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
         asked = dealt.select(F.col("a").alias("id"), F.col("b").alias("hub"), "salt").unionByName(hubs)
-        wanted = stored(asked.groupBy("id").agg(F.collect_list(F.struct("hub", "salt")).alias("at")), "wanted")
-        few = wanted.count() <= BROADCAST_IDS
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"))
+        texts = self.texts_of(asked.groupBy("id").agg(F.collect_list(F.struct("hub", "salt")).alias("at")))
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
@@ -265,6 +343,12 @@ class Classes:
         made = made.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "partner")
         return made.mapInPandas(compare, "a bigint, b bigint").distinct()
 
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """The documents whose id is in ``wanted`` (one row an id), with its columns; few ids are broadcast."""
+        wanted = stored(wanted, "wanted")
+        few = wanted.count() <= BROADCAST_IDS
+        return self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"))
+
     def assigned(self) -> DataFrame:
         """Per document doc_id, n_shingles and component_id."""
         found = components(self.links()).select(F.col("id").alias("rep"), "component")
