@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkstave.plans import corpus
+from sparkstave.plans import corpus, scoring
 
-MODULES = (corpus,)
+MODULES = (corpus, scoring)
 
 
 def queries() -> dict:
