@@ -55,6 +55,6 @@ def default_session(app: str = "sparkstave", cores: str = "*", partitions: int =
     )
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Bound the rows of one Arrow batch, so that batches of long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
