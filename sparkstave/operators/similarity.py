@@ -46,10 +46,10 @@ def dtw_similarity(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> fl
 
 def timeline_frames(cells: DataFrame, slots: int) -> DataFrame:
     """(file, side, frames): sounding slots of each frame as bits, in order of frames, silent frames included."""
-    masks = cells.groupBy("file", "side", "frame").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("slot").cast("int"))).alias("mask"))
+    masks = cells.groupBy("file", "side", "frame").agg(F.expr("bit_or(shiftleft(1, cast(slot as int)))").alias("mask"))
     lists = masks.groupBy("file", "side").agg(F.array_sort(F.collect_list(F.struct("frame", "mask"))).alias("x"), F.max("frame").alias("last"))
     found = F.map_from_entries("x")
-    return lists.select("file", "side", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0))).alias("frames"))
+    return lists.select("file", "side", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda i: F.coalesce(F.element_at(found, i), F.lit(0))).alias("frames"))
 
 
 def timeline_dtw(cells: DataFrame, slots: int, band_share: float = BAND) -> DataFrame:

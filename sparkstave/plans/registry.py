@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkstave.plans import corpus, scoring
+from sparkstave.plans import corpus, io, scoring, tokens
 
-MODULES = (corpus, scoring)
+MODULES = (corpus, scoring, tokens, io)
 
 
 def queries() -> dict:
