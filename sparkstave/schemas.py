@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-CATALOG = T.StructType.fromDDL("mxl string, `subset:deduplicated` boolean, `subset:rated` boolean, `subset:rated_deduplicated` boolean")
-MANIFEST = T.StructType.fromDDL(
-    "id string, selected_variant string, selected_source_length int, selected_target_length int, truncated_musicxml_path string, "
-    "truncated_lmx_path string, truncated_midi_path string, xml_conversion_ok boolean, lmx_conversion_ok boolean, midi_conversion_ok boolean, "
-    "xml_conversion_error string, lmx_conversion_error string, midi_conversion_error string"
-)
-ELEMENTS = T.StructType.fromDDL(
-    "file string, part_idx int, measure_order int, measure_number string, child_pos int, tag string, duration string, is_chord boolean, "
-    "is_rest boolean, step string, alter string, octave string, staff string, voice string, beats string, beat_type string, fifths string, "
-    "divisions string, clefs array<struct<number:string,sign:string,line:string>>"
-)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
+
+def _fields(kind: str, *names: str) -> list[T.StructField]:
+    return [T.StructField(n, _TYPES[kind]) for n in names]
+
+
+CATALOG = T.StructType([*_fields("string", "mxl"), *_fields("boolean", "subset:deduplicated", "subset:rated", "subset:rated_deduplicated")])
+MANIFEST = T.StructType([
+    *_fields("string", "id", "selected_variant"),
+    *_fields("int", "selected_source_length", "selected_target_length"),
+    *_fields("string", "truncated_musicxml_path", "truncated_lmx_path", "truncated_midi_path"),
+    *_fields("boolean", "xml_conversion_ok", "lmx_conversion_ok", "midi_conversion_ok"),
+    *_fields("string", "xml_conversion_error", "lmx_conversion_error", "midi_conversion_error"),
+])
+_CLEF = T.StructType(_fields("string", "number", "sign", "line"))
+ELEMENTS = T.StructType([
+    *_fields("string", "file"), *_fields("int", "part_idx", "measure_order"), *_fields("string", "measure_number"), *_fields("int", "child_pos"),
+    *_fields("string", "tag", "duration"), *_fields("boolean", "is_chord", "is_rest"),
+    *_fields("string", "step", "alter", "octave", "staff", "voice", "beats", "beat_type", "fifths", "divisions"),
+    T.StructField("clefs", T.ArrayType(_CLEF)),
+])
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
