@@ -151,3 +151,22 @@ def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_byte_cnn"] = op2_byte_cnn
+
+
+def op6_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 50, among all vectors."""
+    from sparkstave.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 10)
+
+
+QUERIES["op6_multi_index_hashing"] = op6_multi_index_hashing
+SQL["op6_multi_index_hashing"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id,
+             CAST(list_sum(list_transform(list_zip(q.b, e.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+      FROM e q JOIN e ON q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, neighbor_id, rank, distance FROM r WHERE rank <= 10
+"""
