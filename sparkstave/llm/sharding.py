@@ -78,9 +78,9 @@ def slot_map(totals: DataFrame, n_shards: int) -> DataFrame:
 def rebalanced(current: DataFrame, totals: DataFrame, n_shards: int) -> DataFrame:
     """Edit a map for new totals or more shards, moving as few slots as suffice.
 
-    Heavy slots are looked at first. A slot leaves its shard only while that shard
-    lies above the mean and the lightest shard stays a hundredth below the mean with
-    it, so small differences move nothing. Slots that the current map doesn't know start on the lightest shard.
+    Heavy slots are looked at first. A slot leaves its shard only while that shard lies above the mean,
+    stays no more than a hundredth below it without the slot, and the lightest shard stays a
+    hundredth below it with the slot: small differences move nothing. Slots that the current map doesn't know start on the lightest shard.
     """
     now = totals.join(F.broadcast(current.select("virtual_slot", F.col("shard").alias("old"))), "virtual_slot", "left")
     slots = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "virtual_slot", "n_rows", "old")))
@@ -96,7 +96,9 @@ def rebalanced(current: DataFrame, totals: DataFrame, n_shards: int) -> DataFram
         loads, size = state["loads"], -slot["minus"]
         low = (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
         known = slot["old"].isNotNull()
-        leave = ~known | ((_element(loads, F.coalesce(slot["old"], F.lit(0))) > mean) & (F.array_min(loads) + size <= mean * (1 - SLACK)))
+        here = _element(loads, F.coalesce(slot["old"], F.lit(0)))
+        low_mark = mean * (1 - SLACK)
+        leave = ~known | ((here > mean) & (here - size >= low_mark) & (F.array_min(loads) + size <= low_mark))
         to = F.when(leave, low).otherwise(slot["old"])
         lighter = F.transform(loads, lambda x, i: x - F.when(known & (i == slot["old"]), size).otherwise(F.lit(0)))
         return F.struct(
