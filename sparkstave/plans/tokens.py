@@ -11,8 +11,13 @@ from sparkstave.plans import fixtures as fx
 from sparkstave.session import table
 
 QUERIES, SQL = {}, {}
+
+
+def lmx():
+    return F.col("lmx_ids")
+
+
 R = f"WITH {fx.LMX_SQL}"
-X = F.col("lmx_ids")
 
 
 def query(name: str, sql: str | None = None):
@@ -31,27 +36,27 @@ def ids_query(name: str, column, sql: str):
 
 
 BODY = "lmx_ids[(CASE WHEN lmx_ids[1] = 1 THEN 2 ELSE 1 END):(len(lmx_ids) - CASE WHEN lmx_ids[-1] = 2 AND len(lmx_ids) > (CASE WHEN lmx_ids[1] = 1 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END)]"
-ids_query("f14_strip_marks", lambda: arrays.strip_marks(X, 1, 2), BODY)
-ids_query("f22_keep_first", lambda: arrays.first_n(X, 10), "lmx_ids[1:10]")
-ids_query("f23_with_marks", lambda: arrays.with_marks(X, 1, 2, 12), "list_concat([CAST(1 AS INTEGER)], list_concat(lmx_ids[1:10], [CAST(2 AS INTEGER)]))")
+ids_query("f14_strip_marks", lambda: arrays.strip_marks(lmx(), 1, 2), BODY)
+ids_query("f22_keep_first", lambda: arrays.first_n(lmx(), 10), "lmx_ids[1:10]")
+ids_query("f23_with_marks", lambda: arrays.with_marks(lmx(), 1, 2, 12), "list_concat([CAST(1 AS INTEGER)], list_concat(lmx_ids[1:10], [CAST(2 AS INTEGER)]))")
 STARTS = "list_sort(list_distinct(list_concat([CAST(0 AS BIGINT)], list_filter(range(0, len({x})), lambda i: {x}[i + 1] < 5))))"
-ids_query("f16_measure_starts", lambda: F.transform(F.array_sort(arrays.measure_starts(X, lambda t: t < 5)), lambda i: i.cast("bigint")), STARTS.format(x="lmx_ids"))
-ids_query("f21_clamp_cut", lambda: arrays.clamp(F.col("row_id") % 60 - 5, F.size(X)).cast("bigint"), "greatest(0, least(row_id % 60 - 5, len(lmx_ids)))")
-ids_query("l05_labels", lambda: arrays.shifted_labels(X, 7), "list_transform(lmx_ids[2:], lambda t: CASE WHEN t = 7 THEN -100 ELSE t END)")
+ids_query("f16_measure_starts", lambda: F.transform(F.array_sort(arrays.measure_starts(lmx(), lambda t: t < 5)), lambda i: i.cast("bigint")), STARTS.format(x="lmx_ids"))
+ids_query("f21_clamp_cut", lambda: arrays.clamp(F.col("row_id") % 60 - 5, F.size(lmx())).cast("bigint"), "greatest(0, least(row_id % 60 - 5, len(lmx_ids)))")
+ids_query("l05_labels", lambda: arrays.shifted_labels(lmx(), 7), "list_transform(lmx_ids[2:], lambda t: CASE WHEN t = 7 THEN -100 ELSE t END)")
 WINDOW_STARTS = "list_sort(list_distinct(list_concat(range(0, greatest(0, len(lmx_ids) - 12) + 1, 5), [greatest(0, len(lmx_ids) - 12)])))"
-ids_query("l06_window_starts", lambda: F.transform(arrays.window_starts(F.size(X), 12, 5), lambda i: i.cast("bigint")), WINDOW_STARTS)
+ids_query("l06_window_starts", lambda: F.transform(arrays.window_starts(F.size(lmx()), 12, 5), lambda i: i.cast("bigint")), WINDOW_STARTS)
 ids_query(
-    "l08_chunk_starts", lambda: F.transform(arrays.chunk_starts(F.size(X), 10, 3), lambda i: i.cast("bigint")), "range(0, greatest(len(lmx_ids) - 3, 1), 7)"
+    "l08_chunk_starts", lambda: F.transform(arrays.chunk_starts(F.size(lmx()), 10, 3), lambda i: i.cast("bigint")), "range(0, greatest(len(lmx_ids) - 3, 1), 7)"
 )
 ids_query(
-    "f24_cut_generated", lambda: arrays.cut_generated(X, 1, 2, 0),
+    "f24_cut_generated", lambda: arrays.cut_generated(lmx(), 1, 2, 0),
     "(lmx_ids[(CASE WHEN lmx_ids[1] = 1 THEN 2 ELSE 1 END):])[1:coalesce(list_min(list_filter([list_position(lmx_ids[(CASE WHEN lmx_ids[1] = 1 THEN 2 ELSE 1 END):], CAST(2 AS INTEGER)), list_position(lmx_ids[(CASE WHEN lmx_ids[1] = 1 THEN 2 ELSE 1 END):], CAST(0 AS INTEGER))], lambda p: p > 0)) - 1, len(lmx_ids))]",
 )
 ids_query(
-    "f20_zero_tuple", lambda: arrays.or_zero_tuple(F.transform(F.filter(X, lambda t: t > 45), lambda t: F.array(t, t)), 2),
+    "f20_zero_tuple", lambda: arrays.or_zero_tuple(F.transform(F.filter(lmx(), lambda t: t > 45), lambda t: F.array(t, t)), 2),
     "CASE WHEN len(list_filter(lmx_ids, lambda t: t > 45)) = 0 THEN [[CAST(0 AS INTEGER), CAST(0 AS INTEGER)]] ELSE list_transform(list_filter(lmx_ids, lambda t: t > 45), lambda t: [t, t]) END",
 )
-ids_query("o07_top_k", lambda: F.slice(F.reverse(F.array_sort(X)), 1, 5), "list_reverse_sort(lmx_ids)[1:5]")
+ids_query("o07_top_k", lambda: F.slice(F.reverse(F.array_sort(lmx())), 1, 5), "list_reverse_sort(lmx_ids)[1:5]")
 
 CUT = f"""{R}, st AS (SELECT *, {STARTS.format(x='lmx_ids')} AS ts, {STARTS.format(x='src_ids')} AS ss FROM rows),
 ks AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(ts), len(ss)) + 1), lambda k: CASE WHEN k >= len(ts) THEN len(lmx_ids) ELSE ts[k + 1] END <= 20 AND CASE WHEN k >= len(ss) THEN len(src_ids) ELSE ss[k + 1] END <= 16)), 0) AS k FROM st),
@@ -61,8 +66,8 @@ CAST(CASE WHEN k = 0 THEN least(len(src_ids), 16) WHEN k >= len(ss) THEN len(src
 
 def _cuts(spark, d):
     start = lambda t: t < 5
-    rows = fx.id_rows(spark, d).withColumn("ts", F.array_sort(arrays.measure_starts(X, start))).withColumn("ss", F.array_sort(arrays.measure_starts(F.col("src_ids"), start)))
-    return rows.select("row_id", F.size(X).alias("n"), arrays.aligned_cut(X, F.col("ts"), F.col("src_ids"), F.col("ss"), 20, 16).alias("c")).select("row_id", "n", "c.*")
+    rows = fx.id_rows(spark, d).withColumn("ts", F.array_sort(arrays.measure_starts(lmx(), start))).withColumn("ss", F.array_sort(arrays.measure_starts(F.col("src_ids"), start)))
+    return rows.select("row_id", F.size(lmx()).alias("n"), arrays.aligned_cut(lmx(), F.col("ts"), F.col("src_ids"), F.col("ss"), 20, 16).alias("c")).select("row_id", "n", "c.*")
 
 
 @query("f18_aligned_truncation", f"{CUT} SELECT row_id, measures, target_end, source_end, aligned FROM cut")
@@ -82,30 +87,30 @@ def a21(spark, d):
 
 @query("f19_longest_variant_cut", f"{R} SELECT row_id, greatest(least(len(lmx_ids), 10 + row_id % 7), least(len(lmx_ids), 10 + row_id % 5), least(len(lmx_ids), 10 + row_id % 3)) AS keep FROM rows")
 def f19(spark, d):
-    cut = lambda k: F.least(F.size(X).cast("bigint"), F.col("row_id") % k + 10)
+    cut = lambda k: F.least(F.size(lmx()).cast("bigint"), F.col("row_id") % k + 10)
     return fx.id_rows(spark, d).select("row_id", F.greatest(cut(7), cut(5), cut(3)).alias("keep"))
 
 
 @query("f28_chosen_source", f"{R} SELECT row_id, CASE row_id % 3 WHEN 0 THEN len(lmx_ids) WHEN 1 THEN len(src_ids) ELSE 0 END AS out FROM rows")
 def f28(spark, d):
     variant = F.element_at(F.array(F.lit("clean"), F.lit("light"), F.lit("heavy")), (F.col("row_id") % 3 + 1).cast("int"))
-    sizes = {"clean": F.size(X), "light": F.size("src_ids"), "heavy": F.lit(0)}
+    sizes = {"clean": F.size(lmx()), "light": F.size("src_ids"), "heavy": F.lit(0)}
     return fx.id_rows(spark, d).select("row_id", scalars.chosen(variant, sizes).cast("bigint").alias("out"))
 
 
 @query("a28_length_profile", f"{R} SELECT CAST(min(len(lmx_ids)) AS INTEGER) AS low, CAST(max(len(lmx_ids)) AS INTEGER) AS high, avg(len(lmx_ids)) AS mean FROM rows")
 def a28(spark, d):
-    return fx.id_rows(spark, d).agg(F.min(F.size(X)).alias("low"), F.max(F.size(X)).alias("high"), F.avg(F.size(X)).alias("mean"))
+    return fx.id_rows(spark, d).agg(F.min(F.size(lmx())).alias("low"), F.max(F.size(lmx())).alias("high"), F.avg(F.size(lmx())).alias("mean"))
 
 
 @query("l08_stitched_chunks", f"{R} SELECT row_id, lmx_ids AS out FROM rows")
 def l08(spark, d):
-    return batches.stitched(batches.chunked(fx.id_rows(spark, d).select("row_id", X.alias("ids")), 10, 3), 3).select("row_id", F.col("ids").alias("out"))
+    return batches.stitched(batches.chunked(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), 10, 3), 3).select("row_id", F.col("ids").alias("out"))
 
 
 @query("l06_windows", f"{R}, w AS (SELECT row_id, lmx_ids, unnest({WINDOW_STARTS}) AS p FROM rows) SELECT p AS at, row_id, lmx_ids[p + 1:p + 12] AS ids FROM w")
 def l06(spark, d):
-    return batches.sliding_windows(fx.id_rows(spark, d).select("row_id", X.alias("ids")), 12, 5).select("row_id", F.col("at").cast("bigint").alias("at"), "ids")
+    return batches.sliding_windows(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), 12, 5).select("row_id", F.col("at").cast("bigint").alias("at"), "ids")
 
 
 BATCHED = f"{R}, r AS (SELECT row_id, lmx_ids, len(lmx_ids) AS n, row_number() OVER (ORDER BY len(lmx_ids) DESC, row_id) - 1 AS rank FROM rows), b AS (SELECT *, CAST(floor(rank / 16e0) AS BIGINT) AS batch_id FROM r)"
@@ -113,18 +118,18 @@ BATCHED = f"{R}, r AS (SELECT row_id, lmx_ids, len(lmx_ids) AS n, row_number() O
 
 @query("w07_inference_batches", f"{BATCHED} SELECT row_id, n, batch_id FROM b")
 def w07(spark, d):
-    return batches.inference_batches(fx.id_rows(spark, d).select("row_id", F.size(X).cast("bigint").alias("n")), 16)
+    return batches.inference_batches(fx.id_rows(spark, d).select("row_id", F.size(lmx()).cast("bigint").alias("n")), 16)
 
 
 @query("l04_padded_batches", f"{BATCHED}, m AS (SELECT *, max(n) OVER (PARTITION BY batch_id) AS most FROM b) SELECT row_id, batch_id, list_concat(lmx_ids, list_transform(range(0, most - n), lambda i: CAST(0 AS INTEGER))) AS ids, list_transform(range(0, most), lambda i: i < n) AS mask FROM m")
 def l04(spark, d):
-    rows = fx.id_rows(spark, d).select("row_id", X.alias("ids"), F.size(X).cast("bigint").alias("n"))
+    rows = fx.id_rows(spark, d).select("row_id", lmx().alias("ids"), F.size(lmx()).cast("bigint").alias("n"))
     return batches.padded_batches(rows.join(batches.inference_batches(rows.select("row_id", "n"), 16).drop("n"), "row_id"), 0)
 
 
 @query("w06_bucketed_batches")
 def w06(spark, d):
-    return batches.bucketed_batches(fx.id_rows(spark, d).select("row_id", F.size(X).cast("bigint").alias("n")), batch=8, multiplier=10, seed=42, epoch=3)
+    return batches.bucketed_batches(fx.id_rows(spark, d).select("row_id", F.size(lmx()).cast("bigint").alias("n")), batch=8, multiplier=10, seed=42, epoch=3)
 
 
 @query("w10_stage_in_force", "SELECT o_orderkey, CASE WHEN e >= 10 THEN 2 WHEN e >= 4 THEN 1 ELSE 0 END AS stage FROM (SELECT o_orderkey, o_orderkey % 16 AS e FROM orders)")
@@ -134,7 +139,7 @@ def w10(spark, d):
 
 @query("l01_expected_length", f"{R} SELECT row_id, 0.5e0 * (least(len(lmx_ids), 20) + 2) + 0.5e0 * (least(len(src_ids), 20) + 2) AS expected FROM rows")
 def l01(spark, d):
-    return fx.id_rows(spark, d).select("row_id", batches.expected_length({"clean": (0.5, F.size(X)), "light": (0.5, F.size("src_ids"))}, 20).alias("expected"))
+    return fx.id_rows(spark, d).select("row_id", batches.expected_length({"clean": (0.5, F.size(lmx())), "light": (0.5, F.size("src_ids"))}, 20).alias("expected"))
 
 
 @query("l02_l03_curriculum_example")
@@ -144,7 +149,7 @@ def l03(spark, d):
 
 @query("l07_random_crop")
 def l07(spark, d):
-    return batches.random_crop(fx.id_rows(spark, d).select("row_id", X.alias("ids")), 12, seed=5)
+    return batches.random_crop(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), 12, seed=5)
 
 
 @query("f10_word_count", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents")
