@@ -34,9 +34,13 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there."""
+    """Write a table to the shared folder and read it back: lineage ends there.
+
+    Written with zstd, whose streams need no direct buffers: those of snappy pile up outside the heap
+    of an executor that writes many small files between two collections.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
