@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from sparkstave.session import stored
+from sparkstave.session import drop_stored, stored
 
 SPECIALS = ("<pad>", "<s>", "</s>")
 PAD, BOS, EOS = 0, 1, 2
 FIRST_CHARACTER = 33
+#: Segments that merges are guessed from, tokens that a task folds at a time, segments whose ids a task remembers.
+COMMON, CHUNK, REMEMBERED = 100_000, 1_000_000, 200_000
 
 
 def dictionary(symbols: DataFrame) -> DataFrame:
@@ -45,35 +50,194 @@ def segments(text: DataFrame, mark: str = "!") -> DataFrame:
     return text.select("doc_id", F.posexplode(parts).alias("pos", "segment")).filter("segment <> ''")
 
 
-def learned_merges(text: DataFrame, n_merges: int) -> DataFrame:
+def learned_merges(text: DataFrame, n_merges: int | None = None, vocabulary: int | None = None) -> DataFrame:
     """The vocabulary (id, token, left, right): specials, characters by code point, then merges in order.
 
-    Segments are counted once. Each round counts adjacent pairs over distinct segments, takes the most
-    frequent pair (then least ids), and rewrites; only that one row comes to the driver.
+    Ends after ``n_merges``, at ``vocabulary`` rows, or where no pair is left. Segments are counted once. The driver holds
+    the exact count of every pair (at most the square of the vocabulary). Each round it guesses the next merges from those
+    counts and the commonest segments; tasks apply them to all distinct segments and return how the counts change with each.
+    A merge is kept while it is the most frequent pair (then least ids) by exact counts, so wrong guesses cost time only.
     """
     spark = text.sparkSession
-    counted = segments(text).groupBy("segment").agg(F.count("*").alias("n"))
-    letters = counted.select(F.explode(F.split("segment", "")).alias("token")).filter("token <> ''").distinct()
-    alphabet = [r["token"] for r in letters.orderBy("token").collect()]  # one row per character of the script
+    counted = stored(segments(text).groupBy("segment").agg(F.count("*").alias("n")), "segments")
+    letters = counted.select("segment").mapInPandas(distinct_letters, "token string").distinct()
+    alphabet = sorted(r["token"] for r in letters.collect())  # one row per character of the script
     rows = [(i, s, None, None) for i, s in enumerate(SPECIALS)] + [(i, c, None, None) for i, c in enumerate(alphabet, len(SPECIALS))]
+    schema = "id int, token string, left int, right int"
     number = {c: i for i, c in enumerate(alphabet, len(SPECIALS))}
     names = {i: c for c, i in number.items()}
-    ids = F.create_map(*[F.lit(x) for pair in number.items() for x in pair]) if number else None
-    if ids is None:
-        return spark.createDataFrame(rows, "id int, token string, left int, right int")
-    state = stored(counted.select(F.transform(F.filter(F.split("segment", ""), lambda c: c != ""), lambda c: F.element_at(ids, c)).alias("ids"), "n"), "bpe")
-    pending: list[tuple[int, int, int]] = []
-    for _ in range(n_merges):
-        # Merges since the last stored state are folded into the task's rewrite.
-        pairs = state.mapInPandas(lambda b, p=tuple(pending): count_pairs(b, p), "left int, right int, n bigint")
-        best = pairs.groupBy("left", "right").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "left", "right").first()
-        if best is None:
+    goal = min(float("inf") if n_merges is None else len(rows) + n_merges, float("inf") if vocabulary is None else vocabulary)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"ids": [[number[c] for c in s] for s in batch["segment"]], "n": batch["n"]})
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    state = stored(counted.repartition(parts).mapInPandas(numbered, "ids array<int>, n bigint"), "bpe")
+    common = state.orderBy(F.desc("n"), "ids").limit(COMMON).toArrow()
+    common = next(flat_chunks(iter(common.combine_chunks().to_batches())), None)
+    counts = {(a, b): n for _, a, b, n in pair_changes(state, (), ())}
+    kept: list[tuple[int, int, int]] = []  # not yet in the stored state
+    width = 8
+    while len(rows) < goal and any(n > 0 for n in counts.values()):
+        floor = max(counts.values()) // 2
+        near = {p: n for p, n in counts.items() if n > floor}
+        tried, ahead = guessed(common, counts, near, floor, len(rows), int(min(width, goal - len(rows))))
+        changes: dict[int, list] = {}
+        for step, a, b, n in pair_changes(state, tuple(kept), tuple(tried)):
+            changes.setdefault(step, []).append(((a, b), n))
+        right, heap = 0, heaped(near)
+        for step, (a, b, new) in enumerate(tried):
+            if foremost(heap, near) != (a, b) or near[a, b] <= floor:
+                break
+            for pair, n in changes[step]:
+                counts[pair] = near[pair] = counts.get(pair, 0) + n
+                heappush(heap, (-counts[pair], pair))
+                if counts[pair] == 0:
+                    del counts[pair], near[pair]
+            names[new] = names[a] + names[b]
+            rows.append((new, names[new], a, b))
+            kept.append((a, b, new))
+            right += 1
+        if right == len(tried):
+            common = ahead
+        else:
+            for m in tried[:right]:
+                *common, _ = fold(*common, *m)
+        width = min(512, max(8, 2 * right))
+        if len(kept) >= 128:
+            old, state = state, stored(state.mapInArrow(lambda b, m=tuple(kept): folded(b, m), state.schema), "bpe")
+            kept = []
+            drop_stored(old)
+    return spark.createDataFrame(rows, schema)
+
+
+def heaped(counts: dict[tuple[int, int], float]) -> list[tuple[float, tuple[int, int]]]:
+    heap = [(-n, p) for p, n in counts.items()]
+    heapify(heap)
+    return heap
+
+
+def foremost(heap: list[tuple[float, tuple[int, int]]], counts: dict[tuple[int, int], float]) -> tuple[int, int] | None:
+    """The most frequent pair, then the one of least ids; entries of the heap that counts have left behind go."""
+    while heap and counts.get(heap[0][1]) != -heap[0][0]:
+        heappop(heap)
+    return heap[0][1] if heap else None
+
+
+def guessed(common: tuple, counts: dict, near: dict, floor: int, first: int, most: int) -> tuple[list[tuple[int, int, int]], tuple]:
+    """The next merges as the commonest segments have it, and those segments after them.
+
+    Exact for the first merge, an estimate for pairs that one of the merges touches.
+    """
+    t, w = (x.copy() for x in common)
+    near, heap, out = dict(near), heaped(near), []
+    for new in range(first, first + most):
+        best = foremost(heap, near)
+        if best is None or near[best] <= floor:
             break
-        new = len(rows)
-        names[new] = names[best["left"]] + names[best["right"]]
-        rows.append((new, names[new], best["left"], best["right"]))
-        pending.append((best["left"], best["right"], new))
-    return spark.createDataFrame(rows, "id int, token string, left int, right int")
+        out.append((*best, new))
+        total = near.pop(best)
+        t, w, change = fold(t, w, *best, new)
+        change = {(c >> 32, c & 0xFFFFFFFF): n for c, n in zip(*(x.tolist() for x in change), strict=True)} if change else {}
+        scale = total / -change.pop(best) if best in change else 1
+        for pair, n in change.items():
+            near[pair] = near.get(pair, counts.get(pair, 0)) + n * scale
+            heappush(heap, (-near[pair], pair))
+    return out, (t, w)
+
+
+def distinct_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"token": sorted(set().union(*batch["segment"]))}, dtype=object)
+
+
+def flat_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Segments one after the other, -1 before, between and behind them, and the count of its segment at each place."""
+
+    def joined(held: list) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.concatenate([b.column("ids").value_lengths().to_numpy() for b in held]).astype(np.int64)
+        n = np.concatenate([b.column("n").to_numpy() for b in held])
+        values = np.concatenate([b.column("ids").flatten().to_numpy() for b in held])
+        t = np.full(len(values) + len(sizes) + 1, -1, np.int32)
+        t[1 + np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
+        return t, np.concatenate([[0], np.repeat(n, sizes + 1)])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += len(batch.column("ids").flatten())
+        if size >= CHUNK:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def summed(t: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as one number) that start at the places, and their counts."""
+    at = at[(t[at] >= 0) & (t[at + 1] >= 0)]
+    return t[at].astype(np.int64) << 32 | t[at + 1], w[at]
+
+
+def tallied(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once with its sum."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, int)
+    return codes[starts], np.add.reduceat(n, starts) if len(codes) else n
+
+
+def fold(t: np.ndarray, w: np.ndarray, left: int, right: int, new: int) -> tuple:
+    """Every pair from left to right replaced; with it how the counts of pairs change, None if nothing did."""
+    hit = np.flatnonzero((t[:-1] == left) & (t[1:] == right))
+    if not len(hit):
+        return t, w, None
+    if left == right:  # of a run, every other
+        i = np.arange(len(hit))
+        hit = hit[(i - np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], i, 0))) % 2 == 0]
+    before = summed(t, w, np.unique(np.concatenate([hit - 1, hit, hit + 1])))
+    stays = np.ones(len(t), bool)
+    stays[hit + 1] = False
+    t[hit] = new
+    t, w = t[stays], w[stays]
+    at = hit - np.arange(len(hit))
+    after = summed(t, w, np.unique(np.concatenate([at - 1, at])))
+    codes, n = tallied(np.concatenate([before[0], after[0]]), np.concatenate([-before[1], after[1]]))
+    return t, w, (codes[n != 0], n[n != 0])
+
+
+def pair_changes(state: DataFrame, kept: tuple, tried: tuple) -> list[tuple[int, int, int, int]]:
+    """(step, left, right, n): how each tried merge changes the counts of pairs; without any, the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, w in flat_chunks(batches):
+            for m in kept:
+                t, w, _ = fold(t, w, *m)
+            found = [] if tried else [(0, *tallied(*summed(t, w, np.arange(len(t) - 1))))]
+            for step, m in enumerate(tried):
+                t, w, change = fold(t, w, *m)
+                if change:
+                    found.append((step, *change))
+            if found:
+                codes, n = np.concatenate([c for _, c, _ in found]), np.concatenate([n for _, _, n in found])
+                steps = np.repeat([s for s, _, _ in found], [len(c) for _, c, _ in found])
+                yield pa.RecordBatch.from_pydict({"step": steps.astype(np.int32), "pair": codes, "n": n.astype(np.int64)})
+
+    sums = state.mapInArrow(run, "step int, pair bigint, n bigint").groupBy("step", "pair").agg(F.sum("n").alias("n")).filter("n <> 0").toArrow()
+    steps, codes, n = (sums.column(c).to_numpy() for c in ("step", "pair", "n"))
+    return list(zip(steps.tolist(), (codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), n.tolist(), strict=True))
+
+
+def folded(batches: Iterator[pa.RecordBatch], merges: tuple) -> Iterator[pa.RecordBatch]:
+    """The state after the merges."""
+    for t, w in flat_chunks(batches):
+        for m in merges:
+            t, w, _ = fold(t, w, *m)
+        ends = np.flatnonzero(t < 0)
+        offsets = (ends - np.arange(len(ends))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, t[t >= 0]), pa.array(w[ends[1:]], pa.int64())], ["ids", "n"])
 
 
 def merge(ids: list[int], left: int, right: int, new: int) -> list[int]:
@@ -89,57 +253,74 @@ def merge(ids: list[int], left: int, right: int, new: int) -> list[int]:
     return out
 
 
-def count_pairs(batches: Iterator[pd.DataFrame], merges: tuple) -> Iterator[pd.DataFrame]:
-    """Adjacent pairs of a task's segments after the given merges, summed up in the task."""
-    counts: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        for ids, n in zip(batch["ids"], batch["n"], strict=True):
-            ids = list(ids)
-            for left, right, new in merges:
-                if left in ids:
-                    ids = merge(ids, left, right, new)
-            for pair in zip(ids, ids[1:], strict=False):
-                counts[pair] = counts.get(pair, 0) + n
-    yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["left", "right", "n"])
+def merged(ids: list[int], ranks: dict[tuple[int, int], int], dropped: Callable[[], bool] | None = None) -> list[int]:
+    """Merges in the order they were learned, which is that of their ids; each is drawn once for dropout."""
+    out: set[int] = set()
+    while len(ids) > 1:
+        new, left, right = min(((ranks[p], *p) for p in zip(ids, ids[1:], strict=False) if p in ranks and ranks[p] not in out), default=(None, 0, 0))
+        if new is None:
+            break
+        if dropped and dropped():
+            out.add(new)
+        else:
+            ids = merge(ids, left, right, new)
+    return ids
 
 
 def encoded(text: DataFrame, vocabulary: DataFrame, dropout: float = 0.0, seed: int = 0) -> DataFrame:
-    """(doc_id, ids) with BOS and EOS. Without dropout each distinct segment is encoded once and joined back.
+    """(doc_id, ids) with BOS and EOS, unknown characters dropped; an empty text has the two alone.
 
-    The vocabulary is bounded by its chosen size and travels as a broadcast variable.
+    Texts are encoded where they are, without a shuffle. Without dropout a task keeps the ids of up to ``REMEMBERED``
+    segments. The vocabulary is bounded by its chosen size and travels as a broadcast variable.
     """
     spark = text.sparkSession
     table = [tuple(r) for r in vocabulary.orderBy("id").collect()]
     sent = spark.sparkContext.broadcast((
         {token: i for i, token, left, _ in table if left is None and token not in SPECIALS},
-        [(left, right, i) for i, _, left, right in table if left is not None],
+        {(left, right): i for i, _, left, right in table if left is not None},
     ))
-    pieces = segments(text)
-    key = F.col("segment") if dropout == 0 else F.concat_ws(":", "doc_id", "pos", "segment")
-    pieces = pieces.withColumn("key", key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        letters, merges = sent.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, ranks = sent.value
+        known: dict[str, list[int]] = {}
+
+        def part(doc: object, pos: int, segment: str) -> list[int]:
+            if dropout:
+                rng = np.random.default_rng([seed, *f"{doc}:{pos}:{segment}".encode()])
+                return merged([letters[c] for c in segment if c in letters], ranks, lambda: rng.random() < dropout)
+            if segment not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[segment] = merged([letters[c] for c in segment if c in letters], ranks)
+            return known[segment]
+
         for batch in batches:
-            out = []
-            for key, segment in zip(batch["key"], batch["segment"], strict=True):
-                ids = [letters[c] for c in segment if c in letters]
-                rng = np.random.default_rng([seed, *key.encode()]) if dropout else None
-                for left, right, new in merges:
-                    if left in ids and right in ids and (rng is None or rng.random() >= dropout):
-                        ids = merge(ids, left, right, new)
-                out.append((key, ids))
-            yield pd.DataFrame(out, columns=["key", "part"])
-
-    done = pieces.select("key", "segment").distinct().mapInPandas(run, "key string, part array<int>")
-    joined = pieces.join(done, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
-    flat = F.flatten(F.transform("x", lambda x: x["part"]))
-    return joined.select("doc_id", F.concat(F.array(F.lit(BOS)), flat, F.array(F.lit(EOS))).alias("ids"))
+            for at in range(0, batch.num_rows, 100):
+                few = batch.slice(at, 100)
+                ids = [np.array([BOS, *(i for pos, s in enumerate(cut(x)) for i in part(doc, pos, s)), EOS], np.int32) for doc, x in zip(*(few.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)]
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    rows = text.filter("text is not null").select("doc_id", "text")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))]))
+
+
+def cut(text: str, mark: str = "!") -> list[str]:
+    """The segments of one text."""
+    first, *rest = text.split(mark)
+    return ([first] if first else []) + [mark + x for x in rest]
 
 
 def decoded(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Tokens joined again, specials left out."""
-    cells = rows.select("doc_id", F.posexplode("ids").alias("pos", "id")).filter(F.col("id") >= len(SPECIALS))
-    tokens = cells.join(vocabulary.select("id", "token"), "id")
-    listed = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return tokens.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["token"]), "").alias("decoded"))
+    """Tokens joined again, specials left out. The vocabulary travels as a broadcast variable."""
+    sent = rows.sparkSession.sparkContext.broadcast({r["id"]: r["token"] for r in vocabulary.filter(F.col("id") >= len(SPECIALS)).collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                few = batch.slice(at, 100)
+                texts = ["".join(tokens.get(i, "") for i in few.column("ids")[k].values.to_numpy().tolist()) for k in range(few.num_rows)]
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+
+    rows = rows.select("doc_id", "ids")
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("decoded", StringType())]))
