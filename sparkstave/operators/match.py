@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkstave.session import stored
+from sparkstave.session import drop_stored, scratch, stored
 
 FRAME = 0.25
 BAG_KEYS = {
@@ -182,30 +182,58 @@ def candidate_pairs(notes: DataFrame, mode: str, onset_tol: float, duration_tol:
     )
 
 
-def greedy_match(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def equal_notes(notes: DataFrame, mode: str) -> DataFrame:
+    """(file, i, j) of pairs at cost 0, as the greedy order takes them before all others: the k-th of equal notes with the k-th."""
+    same = ["file", "part_idx", *MATCH_KEYS[mode][0], "onset_beat", *(("duration_beat",) if MATCH_KEYS[mode][1] else ())]
+    filled = notes.filter("part_idx is not null and onset_beat is not null and duration_beat is not null")
+    ranked = filled.withColumn("k", F.row_number().over(Window.partitionBy("side", *same).orderBy("idx")))
+    pred, truth = ranked.filter("side = 'pred'").alias("p"), ranked.filter("side = 'gt'").alias("g")
+    where = F.col("p.k") == F.col("g.k")
+    for c in same:
+        where &= F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}"))
+    return pred.join(truth, where).select("p.file", F.col("p.idx").alias("i"), F.col("g.idx").alias("j"))
+
+
+def greedy_match(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs, the same as taking pairs by (cost, i, j) one after the other.
 
     In each round a pair that is the best of both its notes is taken: nothing before it in order could
-    have used either. Rounds write to the shared folder.
+    have used either. Rounds write to the shared folder and go on until no pair is left.
     """
-    left = stored(pairs, "pairs")
-    taken = None
-    for _ in range(most_rounds):
+    spark = pairs.sparkSession
+    left, path = stored(pairs, "pairs"), scratch(spark, "chosen")
+    n = 0
+    while n == 0 or not left.isEmpty():
         best = F.struct("cost", "i", "j")
         by_i = left.groupBy("file", "i").agg(F.min(best).alias("b")).select("file", "i", F.col("b.j").alias("j"))
         by_j = left.groupBy("file", "j").agg(F.min(best).alias("b")).select("file", "j", F.col("b.i").alias("i"))
-        chosen = stored(by_i.join(by_j, ["file", "i", "j"]).join(left, ["file", "i", "j"]), "chosen")
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        left = left.join(chosen.select("file", "i"), ["file", "i"], "left_anti").join(chosen.select("file", "j"), ["file", "j"], "left_anti")
+        taken = by_i.join(by_j, ["file", "i", "j"]).join(left, ["file", "i", "j"]).select("file", "i", "j", "cost")
+        taken.write.parquet(f"{path}/round={n}")
+        chosen = spark.read.schema(taken.schema).parquet(f"{path}/round={n}")
+        old, left = left, left.join(chosen.select("file", "i"), ["file", "i"], "left_anti").join(chosen.select("file", "j"), ["file", "j"], "left_anti")
         left = stored(left, "pairs")
-        if left.isEmpty():
-            return taken.select("file", "i", "j", "cost")
-    raise RuntimeError(f"pairs are left after {most_rounds} rounds")
+        drop_stored(old)
+        n += 1
+    drop_stored(left)
+    return spark.read.schema(taken.schema).parquet(*(f"{path}/round={k}" for k in range(n)))
 
 
 def tolerant_scores(notes: DataFrame, mode: str, onset_tol: float = 0.25, duration_tol: float = 0.25) -> DataFrame:
-    """tp, fp, fn and ratios per file under one-to-one tolerant matching."""
-    indexed = dense_note_index(notes)
-    matched = greedy_match(candidate_pairs(indexed, mode, onset_tol, duration_tol)).groupBy("file").agg(F.count("*").alias("tp"))
-    sizes = side_counts(notes, "file").join(matched, "file", "left").na.fill({"tp": 0})
+    """tp, fp, fn and ratios per file under one-to-one tolerant matching.
+
+    Where only the key counts (pitch, pitch_class) every pair of a key may be matched, so the lesser count of a key is
+    its number of matches. Elsewhere equal notes are paired first, and pairs are made of the others only.
+    """
+    sides = side_counts(notes, "file")
+    if mode in ("pitch", "pitch_class"):
+        counts = side_counts(notes.filter("part_idx is not null"), "file", "part_idx", *MATCH_KEYS[mode][0])
+        matched = counts.groupBy("file").agg(F.sum(F.least("np", "ng")).alias("tp"))
+    else:
+        indexed = stored(dense_note_index(notes), "notes")
+        equal = stored(equal_notes(indexed, mode), "equal")
+        used = equal.select("file", F.lit("pred").alias("side"), F.col("i").alias("idx")).unionByName(equal.select("file", F.lit("gt").alias("side"), F.col("j").alias("idx")))
+        others = indexed.join(used, ["file", "side", "idx"], "left_anti")
+        found = greedy_match(candidate_pairs(others, mode, onset_tol, duration_tol))
+        matched = equal.select("file").unionAll(found.select("file")).groupBy("file").agg(F.count("*").alias("tp"))
+    sizes = sides.join(matched, "file", "left").na.fill({"tp": 0})
     return with_scores(sizes.select("file", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")))

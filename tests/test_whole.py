@@ -1,10 +1,11 @@
 """Queries and operators do the whole job: every text to its end, every symbol, every note."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sparkstave.operators import bpe
+from sparkstave.operators import bpe, match
 from sparkstave.plans import registry
 from sparkstave.session import table
 
@@ -51,3 +52,27 @@ def test_dropout_keeps_the_text(spark):
     plain, dropped = (bpe.encoded(df, vocabulary, dropout=p, seed=1) for p in (0.0, 0.9))
     assert sorted(r["decoded"] for r in bpe.decoded(dropped, vocabulary).collect()) == ["", "!abab!abc!abab"]
     assert plain.agg(F.sum(F.size("ids"))).first()[0] < dropped.agg(F.sum(F.size("ids"))).first()[0]
+
+
+NOTE = "file string, side string, note_id bigint, part_idx int, measure_idx int, onset_beat double, duration_beat double, pitch int, pitch_class int, staff int, voice string"
+
+
+def test_many_equal_notes_match(spark):
+    rows = [("f", side, k, 0, 0, 1.0, 1.0, 60, 0, 1, None) for side, n in (("gt", 260), ("pred", 240)) for k in range(n)]
+    df = spark.createDataFrame(rows, NOTE)
+    for mode in match.MATCH_KEYS:
+        got = match.tolerant_scores(df, mode).first()
+        assert (got["tp"], got["fp"], got["fn"]) == (240, 0, 20)
+
+
+def test_scores_are_those_of_one_pair_after_the_other(spark):
+    r = random.Random(5)
+    rows = [(f"f{k % 2}", r.choice(("gt", "pred")), k, r.randrange(2), 0, r.randrange(6) / 8, r.choice((0.5, 0.625, 1.0)), p := r.choice((60, 62, 72)), p % 12, r.choice((None, 1)), r.choice((None, "a"))) for k in range(60)]
+    df = spark.createDataFrame(rows, NOTE)
+    for mode in ("pitch", "pitch_class", "pitch_onset", "pitch_onset_duration_staff", "rhythm"):
+        used, tp = set(), Counter()
+        for c, f, i, j in sorted((x["cost"], x["file"], x["i"], x["j"]) for x in match.candidate_pairs(match.dense_note_index(df), mode, 0.25, 0.25).collect()):
+            if not {(f, "p", i), (f, "g", j)} & used:
+                used |= {(f, "p", i), (f, "g", j)}
+                tp[f] += 1
+        assert {x["file"]: x["tp"] for x in match.tolerant_scores(df, mode).collect()} == tp
