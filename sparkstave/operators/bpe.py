@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from sparkstave.operators.batches import global_rank
 from sparkstave.session import drop_stored, stored
 
 SPECIALS = ("<pad>", "<s>", "</s>")
@@ -22,9 +23,15 @@ COMMON, CHUNK, REMEMBERED = 100_000, 1_000_000, 200_000
 
 
 def dictionary(symbols: DataFrame) -> DataFrame:
-    """(symbol, character): distinct symbols in order, from character 33 on. A dictionary has as many rows as symbols."""
-    distinct = symbols.select("symbol").distinct()
-    return distinct.select("symbol", F.char((F.row_number().over(Window.orderBy("symbol")) - 1 + FIRST_CHARACTER).cast("int")).alias("character"))
+    """(symbol, character): distinct symbols in order, from character 33 on without surrogates; an error beyond the last character.
+
+    A dictionary has as many rows as symbols, so ranks are made by ranges of the first two letters.
+    """
+    ranked = global_rank(symbols.select("symbol").distinct(), F.col("symbol"), buckets=F.substring("symbol", 1, 2))
+    code = F.col("rank") + FIRST_CHARACTER
+    code = F.when(code < 0xD800, code).otherwise(code + 0x800)
+    code = F.when(code <= 0x10FFFF, code).otherwise(F.raise_error(F.lit("more symbols than characters")).cast("bigint"))
+    return ranked.select("symbol", F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32").alias("character"))  # behind a byte order mark
 
 
 def encode_symbols(rows: DataFrame, vocabulary: DataFrame, key: str, column: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_scores_are_those_of_one_pair_after_the_other(spark):
                 used |= {(f, "p", i), (f, "g", j)}
                 tp[f] += 1
         assert {x["file"]: x["tp"] for x in match.tolerant_scores(df, mode).collect()} == tp
+
+
+def test_dictionary_of_many_symbols_round_trips(spark):
+    n = 70_000  # past the surrogates and the two-byte characters
+    rows = spark.range(n).select((F.col("id") % 70).alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol"))
+    vocabulary = bpe.dictionary(rows)
+    assert vocabulary.select("character").distinct().count() == n
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("symbol")).alias("s"))
+    back = bpe.decode_symbols(bpe.encode_symbols(listed, vocabulary, "doc_id", "s"), vocabulary, "doc_id")
+    assert back.join(listed, "doc_id").filter(F.col("symbols") == F.col("s")).count() == 70
