@@ -1,119 +1,168 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit per dimension, set where the value is above 0. Codes are cut into SEGMENTS equal
-segments, and an index lists each code under each of its segments' values. A search looks up all values within
-radius 0, then 1, then 2, ... of a query's segments. By the pigeonhole principle, all codes at distance below
-SEGMENTS * (radius + 1) have been met after each step, so a query is done once its kth verified distance lies
-below that bound; only the other queries grow on.
+A vector's code has a bit per dimension, set where the value is above 0. Codes are cut into segments of about
+log2(distinct codes) bits, and an index lists each code under each of its segments' values. A search grows the radius of
+one segment after the other: after the steps (radius, segment) so far, where segment t has radius r_t, all
+codes at distance below the sum of r_t + 1 have been met (pigeonhole principle). A query is done once its kth verified
+distance lies below that bound; only the other queries grow on. Steps of few probes are taken in one round.
 
 Equal codes are one entry, with their k least ids (more can't be among k results), and equal
-query codes are searched once: a vector that many rows share costs one entry. A candidate is taken from the
-first segment that meets it, so each pair of codes is verified once.
+query codes are searched once: a vector that many rows share costs one entry. A candidate is taken in the
+first step that meets it, so each pair of codes is verified once: in the join itself, where it
+goes if it lies beyond the kth distance that its query has already.
 
 Defined results: ties go to the lesser id; a query is itself among the rows searched; rows whose id or vector is null
-are neither queries nor results; a null element is a bit of 0; rows that repeat both id and vector count
+are neither queries nor results; a null element is a bit of 0, as are the elements that a shorter vector lacks; vectors
+may have any number of elements (64 a word of the code); rows that repeat both id and vector count
 once; with fewer rows than k all are returned; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
+from operator import add
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkstave.session import stored
 
-BITS = 64
-SEGMENTS = 4
-WIDTH = BITS // SEGMENTS
+WORD = 64
+LEAST_WIDTH, MOST_WIDTH = 8, 32
+#: Steps are taken in one round up to this many probes a query.
+ROUND_PROBES = 600
+#: A key is a segment's value, and the segment's number above these bits.
+KEY_BITS = 32
 
 
-def binary_code(vector: Column) -> Column:
-    """Bit i is set where element i is above 0; at most 64 elements."""
-    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.lit(0).cast("bigint")))
-    value = F.aggregate(F.reverse(bits), F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"vectors have more than {BITS} elements")).cast("bigint")).otherwise(value)
+def binary_words(vector: Column, n_words: int) -> list[Column]:
+    """The code as words of 64 bits: bit i is set where element i is above 0."""
 
+    def word(k: int) -> Column:
+        bits = F.transform(F.slice(vector, k * WORD + 1, WORD), lambda x: F.when(x > 0, F.expr("1L")).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(F.reverse(bits), F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
 
-def _segment(code: Column, t: int) -> Column:
-    return F.shiftrightunsigned(code, t * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int")
+    return [word(k).alias(f"c{k}") for k in range(n_words)]
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+class Segments:
+    """Equal parts of each word, about ``log2(n_codes)`` bits wide."""
 
+    def __init__(self, n_words: int, n_codes: int):
+        width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(max(n_codes, 2)))))
+        cuts = round(WORD / width)
+        edges = [k * WORD // cuts for k in range(cuts + 1)]
+        self.n_words = n_words
+        self.parts = [(w, low, high - low) for w in range(n_words) for low, high in zip(edges[:-1], edges[1:], strict=True)]
+        self.code, self.qcode = ([f"{side}{k}" for k in range(n_words)] for side in "cq")
 
-def coded(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Distinct (id, code)."""
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def value(self, words: list[str], t: int) -> Column:
+        w, low, width = self.parts[t]
+        return F.shiftrightunsigned(F.col(words[w]), low).bitwiseAND(F.lit((1 << width) - 1))
+
+    def key(self, words: list[str], t: int) -> Column:
+        return self.value(words, t) + F.lit(t << KEY_BITS)
+
+    def distance(self) -> Column:
+        return reduce(add, (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(self.code, self.qcode, strict=True)))
+
+    def first_step(self) -> Column:
+        """The number of the step that meets a pair first: radius * segments + segment."""
+        steps = [F.bit_count(self.value(self.code, t).bitwiseXOR(self.value(self.qcode, t))) * len(self) + t for t in range(len(self))]
+        return F.least(*steps)
+
+    def rounds(self) -> list[tuple[list[tuple[int, int]], int]]:
+        """(steps (radius, segment), greatest distance covered after them) of each round."""
+        out, radius, steps, probes = [], [-1] * len(self), [], 0
+        every = [(r, t) for r in range(max(p[2] for p in self.parts) + 1) for t in range(len(self)) if r <= self.parts[t][2]]
+        for r, t in every:
+            n = math.comb(self.parts[t][2], r)
+            if steps and probes + n > ROUND_PROBES:
+                out.append((steps, sum(x + 1 for x in radius) - 1))
+                steps, probes = [], 0
+            steps, probes = [*steps, (r, t)], probes + n
+            radius[t] = r
+            if r == self.parts[t][2]:
+                break  # all values of one segment: whatever there is has been met
+        return [*out, (steps, self.n_words * WORD)]
+
+
+def coded(vectors: DataFrame, n_words: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Distinct (id, words of the code: c0, c1, ...)."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter("id is not null and vector is not null")
-    return rows.select("id", binary_code(F.col("vector")).alias("code")).distinct()
+    return rows.select("id", *binary_words(F.col("vector"), n_words)).distinct()
 
 
-def index(codes: DataFrame, k: int) -> DataFrame:
-    """(key, code, ids): each distinct code under each of its segments, with its k least ids."""
-    rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    least = codes.withColumn("rank", rank).filter(F.col("rank") <= k)  # the limit is taken in each task first
-    classes = least.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    keys = F.array(*[_segment(F.col("code"), t) + F.lit(t << WIDTH) for t in range(SEGMENTS)])
-    return classes.select(F.explode(keys).alias("key"), "code", "ids")
-
-
-def probes(queries: DataFrame, radius: int) -> DataFrame:
-    """(qcode, key): all segment values at exactly ``radius`` from a query's own."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values = np.arange(1 << WIDTH, dtype=np.int64)
-        masks = values[np.bitwise_count(values) == radius]
-        for batch in batches:
-            code = batch["qcode"].to_numpy(np.int64)
-            step = max(1, 200_000 // (len(masks) * SEGMENTS))
-            for begin in range(0, len(code), step):
-                some = code[begin : begin + step]
-                own = np.stack([((some >> (t * WIDTH)) & ((1 << WIDTH) - 1)) for t in range(SEGMENTS)], axis=1)
-                key = (own[:, :, None] ^ masks) + (np.arange(SEGMENTS) << WIDTH)[None, :, None]
-                yield pd.DataFrame({"qcode": np.repeat(some, SEGMENTS * len(masks)), "key": key.reshape(-1).astype(np.int32)})
-
-    return queries.select("qcode").mapInPandas(run, "qcode bigint, key int")
-
-
-def met(queries: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
-    """(qcode, id, distance) of all entries that come within ``radius`` for the first time."""
-    code, qcode = F.col("code"), F.col("qcode")
-    apart = [_distance(_segment(code, t), _segment(qcode, t)) for t in range(SEGMENTS)]
-    nearest = F.least(*apart)
-    first = F.array_position(F.array(*apart), nearest) - 1
+def index(classes: DataFrame, segments: Segments) -> DataFrame:
+    """(key, code, ids): each distinct code under each of its segments."""
+    keys = F.array(*[segments.key(segments.code, t) for t in range(len(segments))])
+    return classes.select(F.explode(keys).alias("key"), *segments.code, "ids")
+
+
+def probes(queries: DataFrame, segments: Segments, steps: list[tuple[int, int]]) -> DataFrame:
+    """``queries`` with (key, step): all values at exactly a step's radius from the query's own segment."""
+
+    def one(radius: int, t: int) -> DataFrame:
+        width = segments.parts[t][2]
+        rows = queries.withColumn("key", segments.key(segments.qcode, t)).withColumn("at", F.lit(-1))
+        for k in range(radius):  # flip one more bit, always above the last
+            rows = rows.withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.lit(width - radius + k))))
+            rows = rows.withColumn("key", F.col("key").bitwiseXOR(F.expr("shiftleft(1L, at)")))
+        return rows.drop("at").withColumn("step", F.lit(radius * len(segments) + t))
+
+    return reduce(DataFrame.unionByName, (one(r, t) for r, t in steps))
+
+
+def met(queries: DataFrame, entries: DataFrame, segments: Segments, steps: list[tuple[int, int]]) -> DataFrame:
+    """(query code, id, distance) of the entries that the steps meet first, no farther than the query's ``bound``."""
+    near = (segments.first_step() == F.col("step")) & (segments.distance() <= F.col("bound"))
     # Merged by order: the planner takes the probes, many times the queries, for a small side.
-    pairs = probes(queries, radius).hint("merge").join(entries, "key").filter((nearest == radius) & (first == F.shiftright("key", WIDTH)))
-    return pairs.select("qcode", F.explode("ids").alias("id"), _distance(code, qcode).alias("distance"))
+    pairs = probes(queries, segments, steps).hint("merge").join(entries.withColumnRenamed("key", "own"), (F.col("key") == F.col("own")) & near)
+    return pairs.select(*segments.qcode, F.explode("ids").alias("id"), segments.distance().alias("distance"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, neighbor_id, rank, distance): the k rows of ``vectors`` of least Hamming distance to each of ``queries``."""
-    codes = stored(coded(vectors, id_col, vector_col), "codes")
-    entries = stored(index(codes, k), "index")
-    asked = stored(coded(queries, id_col, vector_col), "queries")
-    enough = min(k, codes.select("id", "code").limit(k).count())
-    left = stored(asked.select(F.col("code").alias("qcode")).distinct(), "left")
+    spark = vectors.sparkSession
+    sizes = [t.agg(F.max(F.size(vector_col))).first()[0] or 0 for t in (vectors, queries)]
+    n_words = max(1, math.ceil(max(sizes) / WORD))
+    codes = coded(vectors, n_words, id_col, vector_col)
+    words = [f"c{i}" for i in range(n_words)]
+    rank = F.row_number().over(Window.partitionBy(*words).orderBy("id"))
+    least = codes.withColumn("rank", rank).filter(F.col("rank") <= k)  # the limit is taken in each task first
+    classes = stored(least.groupBy(*words).agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
+    total = classes.agg(F.count("*").alias("codes"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
+    segments = Segments(n_words, total["codes"])
+    own = segments.qcode
+    entries = stored(index(classes, segments), "index")
+    asked = coded(queries, n_words, id_col, vector_col)
+    asked = stored(asked.select("id", *[F.col(c).alias(q) for c, q in zip(words, own, strict=True)]), "queries")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = stored(asked.select(*own).distinct().withColumn("bound", F.lit(n_words * WORD)).repartition(tasks, *own), "left")
+    enough = min(k, total["ids"])
     found, results = None, None
-    order = Window.partitionBy("qcode").orderBy("distance", "id")
-    for radius in range(WIDTH + 1):
+    order = Window.partitionBy(*own).orderBy("distance", "id")
+    for steps, covered in segments.rounds():
         if left.isEmpty():
             break
-        new = met(left, entries, radius)
-        best = new if found is None else found.join(left, "qcode", "left_semi").unionByName(new)
+        new = met(left, entries, segments, steps)
+        best = new if found is None else found.join(left, own, "left_semi").unionByName(new)
         found = stored(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
-        covered = SEGMENTS * (radius + 1) - 1 if radius < WIDTH else BITS
-        state = found.groupBy("qcode").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
-        done = stored(state.filter((F.col("n") >= enough) & (F.col("last") <= covered)).select("qcode"), "done")
-        over = found.join(done, "qcode", "left_semi")
+        state = found.groupBy(*own).agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+        state = state.withColumn("full", F.col("n") >= enough).withColumn("done", F.col("full") & (F.col("last") <= covered))
+        state = stored(state, "state")
+        over = found.join(state.filter("done"), own, "left_semi")
         results = over if results is None else results.unionByName(over)
         found = found.drop("rank")
-        left = stored(left.join(done, "qcode", "left_anti"), "left")
+        kept = left.join(state, own, "left").filter("done is null or not done")
+        kept = kept.withColumn("bound", F.when(F.col("full"), F.col("last")).otherwise(F.col("bound")))
+        left = stored(kept.select(*own, "bound").repartition(tasks, *own), "left")
     if results is None:
-        results = codes.sparkSession.createDataFrame([], "qcode bigint, id bigint, distance int, rank int")
-    return asked.join(results.withColumnRenamed("id", "neighbor"), F.col("code") == F.col("qcode")).select(
-        F.col("id").alias("query_id"), F.col("neighbor").alias("neighbor_id"), F.col("rank").cast("int").alias("rank"), F.col("distance").cast("int").alias("distance")
+        results = asked.select(*own, "id", F.lit(0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    return asked.withColumnRenamed("id", "query_id").join(results.withColumnRenamed("id", "neighbor_id"), own).select(
+        "query_id", "neighbor_id", F.col("rank").cast("int").alias("rank"), F.col("distance").cast("int").alias("distance")
     )

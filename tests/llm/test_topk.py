@@ -1,5 +1,9 @@
+import itertools
+import math
 import random
 
+import pytest
+
 from sparkstave.llm import topk
 
 
@@ -12,7 +16,7 @@ def brute(rows, queries, k):
     for q, mine in code.items():
         if q in queries:
             for c in mine:
-                near = sorted((sum(a != b for a, b in zip(c, o, strict=True)), i) for i, others in code.items() for o in others)[:k]
+                near = sorted((sum(a != b for a, b in itertools.zip_longest(c, o, fillvalue=False)), i) for i, others in code.items() for o in others)[:k]
                 out += [(q, i, r, d) for r, (d, i) in enumerate(near, 1)]
     return sorted(out)
 
@@ -41,3 +45,28 @@ def test_fewer_rows_than_k(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 1, 10) == []
+
+
+@pytest.mark.parametrize("dims", [3, 128, 150])
+def test_any_number_of_dimensions(spark, dims):
+    rows = vectors(3, 120, dims)
+    rows += [(300, rows[0][1][:2]), (350, rows[1][1] + [1.0]), (350, rows[2][1])]
+    ids = {i for i, _ in rows if i % 50 == 0}
+    assert run(spark, rows, 50, 7) == brute(rows, ids, 7)
+
+
+@pytest.mark.parametrize("n", [1, 300, 60_000, 1 << 40])
+def test_rounds_cover_what_they_say(n):
+    segments = topk.Segments(1, n)
+    assert sum(p[2] for p in segments.parts) == 64
+    seen, radius = 0, [-1] * len(segments)
+    for steps, covered in segments.rounds():
+        for r, t in steps:
+            assert r == radius[t] + 1
+            radius[t] = r
+        # The least distance that avoids all the steps is a bit more than each radius in every segment.
+        assert covered == 64 or covered == sum(r + 1 for r in radius) - 1
+        assert covered >= seen
+        seen = covered
+        assert sum(math.comb(segments.parts[t][2], r) for r, t in steps) <= topk.ROUND_PROBES or len(steps) == 1
+    assert seen == 64
