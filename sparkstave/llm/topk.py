@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has a bit per dimension, set where the value is above 0. Codes are cut into segments of about
-log2(distinct codes) bits, and an index lists each code under each of its segments' values. A search grows the radius of
+SHARE * log2(distinct codes) bits, so that a looked up value has a few codes, and an index lists each code under each of its segments' values. A search grows the radius of
 one segment after the other: after the steps (radius, segment) so far, where segment t has radius r_t, all
 codes at distance below the sum of r_t + 1 have been met (pigeonhole principle). A query is done once its kth verified
 distance lies below that bound; only the other queries grow on. Steps of few probes are taken in one round.
@@ -30,8 +30,9 @@ from sparkstave.session import stored
 
 WORD = 64
 LEAST_WIDTH, MOST_WIDTH = 8, 32
-#: Steps are taken in one round up to this many probes a query.
-ROUND_PROBES = 600
+#: Steps are taken in one round up to this many probes a query; the first round is small, as it has no kth distance to hold pairs against.
+FIRST_PROBES, ROUND_PROBES = 100, 600
+SHARE = 0.8
 #: A key is a segment's value, and the segment's number above these bits.
 KEY_BITS = 32
 
@@ -47,10 +48,10 @@ def binary_words(vector: Column, n_words: int) -> list[Column]:
 
 
 class Segments:
-    """Equal parts of each word, about ``log2(n_codes)`` bits wide."""
+    """Equal parts of each word, about ``SHARE * log2(n_codes)`` bits wide."""
 
     def __init__(self, n_words: int, n_codes: int):
-        width = min(MOST_WIDTH, max(LEAST_WIDTH, round(math.log2(max(n_codes, 2)))))
+        width = min(MOST_WIDTH, max(LEAST_WIDTH, round(SHARE * math.log2(max(n_codes, 2)))))
         cuts = round(WORD / width)
         edges = [k * WORD // cuts for k in range(cuts + 1)]
         self.n_words = n_words
@@ -81,7 +82,7 @@ class Segments:
         every = [(r, t) for r in range(max(p[2] for p in self.parts) + 1) for t in range(len(self)) if r <= self.parts[t][2]]
         for r, t in every:
             n = math.comb(self.parts[t][2], r)
-            if steps and probes + n > ROUND_PROBES:
+            if steps and probes + n > (ROUND_PROBES if out else FIRST_PROBES):
                 out.append((steps, sum(x + 1 for x in radius) - 1))
                 steps, probes = [], 0
             steps, probes = [*steps, (r, t)], probes + n
