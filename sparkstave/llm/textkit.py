@@ -23,6 +23,19 @@ def mix(x: np.ndarray, lane: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pieces(batches, column: str = "text", most: int = 1 << 21):
+    """Arrow batches cut into runs of rows with about ``most`` characters of a column; a longer text goes alone."""
+    for batch in batches:
+        size = batch[column].str.len().fillna(0).to_numpy(np.int64) if len(batch) else np.zeros(0, np.int64)
+        upto = np.cumsum(size + 64)
+        begin = 0
+        while begin < len(batch):
+            done = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, done + most, "right")))
+            yield batch if begin == 0 and end == len(batch) else batch.iloc[begin:end].reset_index(drop=True)
+            begin = end
+
+
 class Words:
     """Words of a batch of texts.
 

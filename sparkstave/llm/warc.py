@@ -1,9 +1,10 @@
 """WARC archives by way of a table of record chunks.
 
-Writing: each page gives one or more chunk rows (record id, chunk number, at most CHUNK characters
-of payload); one chunk row is one WARC record, and what goes beyond the first chunk follows as
-``continuation`` records (WARC/1.1 record segmentation). Spark's text writer stores the records, so any
-file system that Spark writes to will do, and no task ever builds a whole oversized record.
+Writing: each page gives one or more chunk rows (record id, chunk number, at most CHUNK bytes of payload, digest
+of the payload up to and with the chunk), cut in one pass; one chunk row is one WARC record, and what goes beyond the
+first chunk follows as ``continuation`` records (WARC/1.1 record segmentation). No task builds a whole oversized record.
+A record is a gzip member of its own, so readers can seek to it. Spark's text writer stores the members, so any
+file system that Spark writes to will do.
 
 Reading: archives are split at CRLF by Spark's text reader and parsed as a stream by Content-Length; each
 record gives a chunk row that carries the payload digest up to and with that chunk, so the last
@@ -14,23 +15,29 @@ response, others revisit it.
 
 Defined results: null html is an empty payload; a null page_id sorts after all others (a page without an id
 revisits one with an id; among pages without ids each is a response); repeated rows
-of the least id are responses all; null urls are written as ``urn:x-page:`` addresses; an empty
-table gives an archive without records. Only the named columns are read.
+of the least id are responses all; every record has an id of its own, repeated rows too; null urls are written as
+``urn:x-page:`` addresses; an empty table gives an archive without records. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkstave.llm.textkit import pieces
+from sparkstave.session import stored
+
 CHUNK = 65_536
 LEAST = 100
 CRLF = "\r\n"
 DATE = "2000-01-01T00:00:00Z"
+#: Shared payloads up to this number (32 bytes of digest and two numbers each) are broadcast; more are joined by a shuffle.
+BROADCAST_SHARED = 200_000
 CHUNKS = (
     "page_id bigint, record_id string, chunk_no int, chunk_bytes bigint, payload_bytes bigint, payload_digest string, "
     "record_type string, refers_to bigint, last boolean, intact boolean"
@@ -38,62 +45,98 @@ CHUNKS = (
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest, and refers_to (null for responses)."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.sha2("payload", 256))
+    """page_id, url, payload, payload_bytes, digest, number, and refers_to with its number (null for responses).
+
+    ``number`` tells rows apart that share an id. It is made where a row is scanned, so both uses of the scan agree on it.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), F.monotonically_increasing_id().alias("number"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("bigint")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     # Summed up before the shuffle, so a payload that many pages share is one row per task.
-    shared = rows.filter(F.col("payload_bytes") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = shared.filter("n > 1 and first is not null").select("digest", "first")
-    joined = rows.join(shared, "digest", "left")
-    revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumn("refers_to", F.when(revisits, F.col("first"))).drop("first")
-
-
-def _urn(page_id: Column, digest: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.concat(F.lit("none-"), digest)), F.lit(">"))
-
-
-def chunk_records(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The text of each WARC record, without its last CRLF; a page's records stand together."""
-    body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
-    n = F.greatest(F.lit(1), F.ceil(F.length("body") / F.lit(float(chunk))).cast("int"))
-    rows = rows.withColumn("body", body).withColumn("n", n).drop("payload")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    part = F.when(F.col("n") == 1, F.col("body")).otherwise(F.substring("body", (F.col("k") - 1) * chunk + 1, F.lit(chunk)))
-    rows = rows.withColumn("part", part)
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    only = lambda when, text: F.when(when, text).otherwise(F.lit(""))
-    own, first = _urn(F.col("page_id"), F.col("digest")), F.col("k") == 1
-    revisit, last = F.col("refers_to").isNotNull(), F.col("k") == F.col("n")
-    kind = F.when(~first, F.lit("continuation")).when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(CRLF))
-    rows = rows.withColumn("block", F.concat(only(first, http), F.col("part")))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "number"))
+    shared = rows.filter(F.col("payload_bytes") >= LEAST).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
+    shared = stored(shared.filter("n > 1 and first is not null").select("digest", "first"), "shared")
+    few = shared.count() <= BROADCAST_SHARED
+    # Payloads stay where they were read if the shared digests are few.
+    joined = rows.join(F.broadcast(shared) if few else shared, "digest", "left")
+    first = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
+    return joined.withColumn("refers_to", first["page_id"]).withColumn("refers_number", first["number"]).withColumn("digest", F.lower(F.hex("digest"))).drop("first")
+
+
+def _urn(page_id, number, k: int = 1) -> str:
+    return f"<urn:x-page:{'none' if pd.isna(page_id) else int(page_id)}:{int(number)}{f':{k}' if k > 1 else ''}>"
+
+
+def cut(payload: bytes, chunk: int) -> Iterator[tuple[int, bytes, str, bool]]:
+    """(number, bytes, digest so far, whether it is the last) of each chunk, in one pass."""
+    sha, n, body = hashlib.sha256(), max(1, -(-len(payload) // chunk)), memoryview(payload)
+    for k in range(1, n + 1):
+        part = body[(k - 1) * chunk : k * chunk]
+        sha.update(part)
+        yield k, bytes(part), sha.hexdigest(), k == n
+
+
+def record(page, k: int, part: bytes, said: str, last: bool) -> bytes:
+    """One WARC record of a chunk, with its closing CRLFs."""
+    own, revisit = _urn(page.page_id, page.number), not pd.isna(page.refers_to)
+    http = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {int(page.payload_bytes)}", "", ""]
+    http = CRLF.join(http).encode()
+    block = http + part if k == 1 else part
     # An address must not end its header line.
-    address = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20"), F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))))
-    record = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"),
-        line("WARC-Type", kind),
-        line("WARC-Record-ID", F.when(first, own).otherwise(F.concat(F.regexp_replace(own, ">$", ":"), F.col("k").cast("string"), F.lit(">")))),
-        line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", address),
-        only(first, line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))),
-        only(first & revisit, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        only(first & revisit, line("WARC-Refers-To", _urn(F.col("refers_to"), F.col("digest")))),
-        only(F.col("n") > 1, line("WARC-Segment-Number", F.col("k").cast("string"))),
-        only(~first, line("WARC-Segment-Origin-ID", own)),
-        only(last & ~first, line("WARC-Segment-Total-Length", (F.col("payload_bytes") + F.octet_length(http)).cast("string"))),
-        line("Content-Type", F.when(first, F.lit("application/http; msgtype=response")).otherwise(F.lit("application/octet-stream"))),
-        line("Content-Length", F.octet_length("block").cast("string")),
-        F.lit(CRLF),
-        F.col("block"),
-        F.lit(CRLF),
-    )
-    return rows.select(record.alias("value"))
+    address = _urn(page.page_id, page.number)[1:-1] if page.url is None else "".join("%20" if c <= " " or c == "\x7f" else c for c in page.url)
+    lines = [
+        "WARC/1.1", f"WARC-Type: {'continuation' if k > 1 else 'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page.page_id, page.number, k)}",
+        f"WARC-Date: {DATE}", f"WARC-Target-URI: {address}",
+    ]
+    if k == 1:
+        lines.append(f"WARC-Payload-Digest: sha256:{page.digest}")
+    if k == 1 and revisit:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(page.refers_to, page.refers_number)}"]
+    if k > 1 or not last:
+        lines.append(f"WARC-Segment-Number: {k}")
+    if k > 1:
+        lines.append(f"WARC-Segment-Origin-ID: {own}")
+    if k > 1 and last:
+        if said != page.digest:
+            raise ValueError(f"the chunks of {own} don't add up to its payload")
+        lines.append(f"WARC-Segment-Total-Length: {int(page.payload_bytes) + len(http)}")
+    lines += [f"Content-Type: {'application/http; msgtype=response' if k == 1 else 'application/octet-stream'}", f"Content-Length: {len(block)}", "", ""]
+    return CRLF.join(lines).encode("utf-8", "surrogatepass") + block + (CRLF * 2).encode()
+
+
+#: A gzip member without content: it stands between two records, where a text file has its line end.
+NOTHING = gzip.compress(b"", mtime=0)
+
+
+def members(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The gzip members of all records; a page's records stand together and in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in pieces(batches, "payload"):
+            out, size = [], 0
+            for page in batch.itertuples(index=False):
+                payload = b"" if not pd.isna(page.refers_to) else page.payload.encode("utf-8", "surrogatepass")
+                for piece in cut(payload, chunk):
+                    out.append(gzip.compress(record(page, *piece), 6, mtime=0))
+                    size += len(out[-1])
+                    if size > 4 << 20:
+                        yield pd.DataFrame({"value": out})
+                        out, size = [], 0
+            yield pd.DataFrame({"value": out}, dtype=object)
+
+    return rows.mapInPandas(run, "value binary")
 
 
 def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK) -> None:
-    """Write one gzipped WARC file per task; files don't split, so a page's records are read in order."""
-    chunk_records(verdicts(pages), chunk).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    """Write one ``.warc.gz`` file per task, a gzip member per record; files don't split, so a page's records are read in order."""
+    lines = members(verdicts(pages), chunk).select(F.col("value").cast("string").alias("value"))
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", 0).text(path)
+    # Spark names text files .txt; readers tell archives and their compression by the name.
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "part-*.txt")) or []:
+        old = file.getPath()
+        files.rename(old, spark._jvm.org.apache.hadoop.fs.Path(folder, old.getName().removesuffix(".txt") + ".warc.gz"))
 
 
 def _page_of(urn: str | None) -> int | None:
