@@ -1,10 +1,9 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
 A text of at most CHUNK characters is encoded in one piece. A longer text is cut into
-chunks that overlap. All chunks are pre-tokenised in parallel; two neighbours are
-stitched at the first position of their overlap where both start a pre-token and
-the local characters leave no doubt (from there on both cut alike, since a
-pre-token depends only on the text from its start). The pieces between stitches are encoded
+chunks that overlap, in one pass. All chunks are pre-tokenised in parallel; two neighbours are
+stitched at the start of the first pre-token of their overlap that both have (from there on both cut
+alike, since a pre-token depends only on the text from its start), whatever its script. The pieces between stitches are encoded
 in parallel and folded in order into digests. A text with an overlap that never
 resynchronises (one pre-token of over OVERLAP characters) is encoded whole.
 
@@ -17,17 +16,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkstave.llm.textkit import pieces
+
 CHUNK = 32_768
 OVERLAP = 1_024
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-#: A boundary that holds whatever stands around it: letter, space, letter.
-SURE = r"(?<=[A-Za-z]) (?=[A-Za-z])"
+#: A pre-token that ends this near to the end of a chunk may depend on what follows.
+LOOK_AHEAD = 8
+#: Chunks that travel in one batch.
+BATCH_CHUNKS = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,32 +95,53 @@ def decode(tokens: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids") -> Dat
 
 
 def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(h, i, n, text): chunk i of n of each distinct long text, with the overlap behind it."""
-    n = F.ceil(F.length("text") / F.lit(float(chunk))).cast("int")
-    rows = long.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.select("h", "i", "n", F.substring("text", F.col("i") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+    """(h, i, n, text): chunk i of n of each distinct long text, with the overlap behind it; each text is cut in one pass.
+
+    The last chunk is longer than the overlap, so that it can be stitched.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, text in zip(batch.h, batch.text, strict=True):
+                n = max(1, -(-(len(text) - overlap) // chunk))
+                for begin in range(0, n, BATCH_CHUNKS):
+                    at = range(begin, min(n, begin + BATCH_CHUNKS))
+                    yield pd.DataFrame({"h": h, "i": list(at), "n": n, "text": [text[i * chunk : (i + 1) * chunk + overlap] for i in at]})
+
+    return long.select("h", "text").mapInPandas(cut, "h string, i int, n int, text string")
+
+
+def _settled(char: str) -> bool:
+    """Whether a character has long had the class it has: engines of other Unicode versions read it alike."""
+    return unicodedata.ucd_3_2_0.category(char)[0] == unicodedata.category(char)[0] != "C" or char.isspace()
 
 
 def stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(h, i, begin, end): each chunk's piece, counted from its own start; null where out of step."""
+    """(h, i, n, begin, end): each chunk's piece, counted from its own start; null where out of step."""
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        cut, sure = regex.compile(pattern), regex.compile(SURE)
+        cut = regex.compile(pattern)
         for batch in batches:
             rows = []
             for h, i, n, text in zip(batch.h, batch.i, batch.n, batch.text, strict=True):
-                certain = {m.start() for m in sure.finditer(text)}
-                starts = [m.start() for m in cut.finditer(text) if m.start() in certain]
-                head = [p for p in starts if p < overlap]
-                tail = [p - chunk for p in starts if chunk <= p < len(text) - 3]
+                head, tail, last = [], [], len(text) - (LOOK_AHEAD if i < n - 1 else 0)
+                for m in cut.finditer(text):
+                    begin, end = m.span()
+                    if end > last or not begin or chunk > begin >= overlap or not (_settled(text[begin - 1]) and _settled(text[begin])):
+                        continue
+                    # Start and length in one number, by start.
+                    if begin < overlap:
+                        head.append(begin * (chunk + overlap) + end - begin)
+                    if begin >= chunk:
+                        tail.append((begin - chunk) * (chunk + overlap) + end - begin)
                 rows.append((h, i, n, head, tail))
             yield pd.DataFrame(rows, columns=["h", "i", "n", "head", "tail"])
 
-    found = chunks.mapInPandas(points, "h string, i int, n int, head array<int>, tail array<int>")
+    found = chunks.mapInPandas(points, "h string, i int, n int, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("h").orderBy("i")
-    agreed = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
+    agreed = F.floor(F.array_min(F.array_intersect("head", F.lag("tail").over(order))) / (chunk + overlap)).cast("int")
     found = found.withColumn("begin", F.when(F.col("i") == 0, F.lit(0)).otherwise(agreed))
     end = F.lead("begin").over(order) + F.lit(chunk)
     return found.select("h", "i", "n", "begin", F.when(F.col("i") == F.col("n") - 1, F.lit(chunk + overlap)).otherwise(end).alias("end"))
@@ -126,18 +151,17 @@ def long_digests(long: DataFrame, tokenizer: Tokenizer, chunk: int = CHUNK, over
     """(h, digests) of distinct long texts (h, text)."""
     ranks, pattern = tokenizer.ranks, tokenizer.pattern
     chunks = _chunks(long, chunk, overlap)
-    pieces = stitches(chunks, pattern, chunk, overlap)
-    broken = pieces.groupBy("h").agg(F.max((F.col("begin").isNull() | F.col("end").isNull()).cast("int")).alias("broken"))
-    pieces = chunks.select("h", "i", "text").join(pieces, ["h", "i"]).join(broken, "h")
+    spans = stitches(chunks, pattern, chunk, overlap)
+    broken = spans.groupBy("h").agg(F.max((F.col("begin").isNull() | F.col("end").isNull()).cast("int")).alias("broken"))
+    spans = chunks.select("h", "i", "text").join(spans, ["h", "i"]).join(broken, "h")
     # Out of step somewhere: the text goes on as its bare chunks and is encoded whole.
-    piece = F.when(F.col("broken") == 1, F.substring("text", 1, chunk)).otherwise(
-        F.substring("text", F.col("begin") + 1, F.col("end") - F.col("begin"))
-    )
-    pieces = pieces.select("h", "i", "n", "broken", piece.alias("text"))
+    bare = F.when(F.col("i") < F.col("n") - 1, F.substring("text", 1, chunk)).otherwise(F.col("text"))
+    piece = F.when(F.col("broken") == 1, bare).otherwise(F.substring("text", F.col("begin") + 1, F.col("end") - F.col("begin")))
+    spans = spans.select("h", "i", "n", "broken", piece.alias("text"))
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, names = encoder(ranks.value, pattern), _id_names(ranks.value)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for h, i, n, broken, text in zip(batch.h, batch.i, batch.n, batch.broken, batch.text, strict=True):
                 if broken:
@@ -172,7 +196,7 @@ def long_digests(long: DataFrame, tokenizer: Tokenizer, chunk: int = CHUNK, over
                     state = None
             yield pd.DataFrame(done, columns=["h", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    done = pieces.mapInPandas(encoded, "h string, i int, n int, n_ids bigint, ids binary, raw binary")
+    done = spans.mapInPandas(encoded, "h string, i int, n int, n_ids bigint, ids binary, raw binary")
     return done.repartition(F.col("h")).sortWithinPartitions("h", "i").mapInPandas(folded, f"h string, {DIGEST}")
 
 
@@ -186,7 +210,7 @@ def encoded_digests(docs: DataFrame, tokenizer: Tokenizer, chunk: int = CHUNK, o
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, names = encoder(ranks.value, pattern), _id_names(ranks.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), digests(batch.text, enc, names)], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
