@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkstave.llm.textkit import SHINGLE, Words, mix, windows
+from sparkstave.llm.textkit import SHINGLE, Words, mix, pieces, windows
 from sparkstave.session import stored
 
 N_HASHES = 128
@@ -105,7 +105,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slices = np.lib.stride_tricks.sliding_window_view(second_permutation(), N_HASHES)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = shingle_sets(batch.text, k)
             sig = signatures(sets, slices)
             digest = [[int(mix(s, lane).sum(dtype=np.uint64).astype(np.int64)) for s in sets] for lane in range(2)]
@@ -283,7 +283,7 @@ class Classes:
         texts = self.texts_of(opened.select(F.explode("ids").alias("id"), tile).groupBy("id").agg(F.collect_list("tile").alias("at")))
 
         def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in pieces(batches):
                 out = []
                 for own, at, values in zip(batch["id"], batch["at"], shingle_sets(batch["text"], k), strict=True):
                     out += [(x["key"], x["i"], x["j"], own, values.tobytes()) for x in at]
@@ -319,7 +319,7 @@ class Classes:
         asked = dealt.select(F.col("a").alias("id"), F.col("b").alias("hub"), "salt").unionByName(hubs)
         texts = self.texts_of(asked.groupBy("id").agg(F.collect_list(F.struct("hub", "salt")).alias("at")))
         def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in pieces(batches):
                 out = []
                 for own, at, values in zip(batch["id"], batch["at"], shingle_sets(batch["text"], k), strict=True):
                     raw = values.tobytes()

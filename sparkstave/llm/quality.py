@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sparkstave.llm.textkit import Words, mix, spans_union, windows
+from sparkstave.llm.textkit import Words, mix, pieces, spans_union, windows
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 8
@@ -188,7 +188,7 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: float = MO
     """Per document its doc_id, counts, repetition and verdict."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = measures(batch.text, min_words, most_covered, most_repeated)
             out.insert(0, "doc_id", batch.doc_id.to_numpy())
             yield out

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkstave.llm.textkit import WORD, Words, mix, sliding, spans_union, windows
+from sparkstave.llm.textkit import WORD, Words, mix, pieces, sliding, spans_union, windows
 from sparkstave.session import stored
 
 WINDOW = 35
@@ -108,7 +108,7 @@ def repeated_cells(docs: DataFrame, n_cells: int, window: int, gram: int) -> np.
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: list[np.ndarray] = []
-        for batch in batches:
+        for batch in pieces(batches):
             words = Words(batch.text)
             seen.append(anchors(words, words.hashes()[0], window, gram)[2])
         every = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
@@ -253,7 +253,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 24
         chunk = Chunk(first, n_buckets)
-        for batch in batches:
+        for batch in pieces(batches):
             words = Words(batch.text)
             h = words.hashes(2)
             start, anchor, _ = anchors(words, h[0], window, gram)
@@ -288,7 +288,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = rows.join(repeated_spans(docs, window), "h", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text, spans in zip(batch.text, batch.spans, strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()

@@ -1,6 +1,7 @@
 """Mixing, sharding, BPE, WARC, quality, toxicity and language on small fixtures and odd input."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -115,6 +116,41 @@ def test_chunks_encode_like_the_library(spark, make):
     assert bpe.encoded_digests(make([]), tokenizer).count() == 0
 
 
+def long_text(script, seed, size):
+    rng = random.Random(seed)
+    letters = {"russian": "абвгдежзиклмнопрстуфхцчшыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "chinese": "".join(map(chr, range(0x4E00, 0x4F00))), "arabic": "ابتثجحخدذرزسشصض"}
+    out = []
+    while sum(map(len, out)) < size:
+        name = rng.choice(list(letters)) if script == "mixed" else script
+        word = "".join(rng.choices(letters[name], k=rng.randint(1, 9)))
+        out.append(word + rng.choice(["。", "，", "\n"] if name == "chinese" else [" ", " ", " ", ", ", ".\n", " 12 "]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("script", ["russian", "greek", "chinese", "arabic", "mixed"])
+def test_every_script_is_stitched(spark, make, script):
+    """Results alone don't show it: a text that is out of step is encoded whole."""
+    texts = [long_text(script, seed, size) for seed, size in ((1, 3000), (2, 1999), (3, 2063), (4, 2064))]
+    rows = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)], "h string, text string")
+    chunks = bpe._chunks(rows, 200, 64)
+    found = bpe.stitches(chunks, public_tokenizers.PATTERN, 200, 64).collect()
+    assert len(found) > 30 and not [r for r in found if r["begin"] is None or r["end"] is None]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = bpe.encoder(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    tokenizer = bpe.Tokenizer(spark, path, public_tokenizers.PATTERN)
+    got = sorted(tuple(r) for r in bpe.encoded_digests(make(list(enumerate(texts))), tokenizer, 200, 64).collect())
+    assert got == [(i, *expected_ids(enc, t)) for i, t in enumerate(texts)]
+
+
+def test_chunks_lose_nothing(spark):
+    texts = ["x" * n for n in (1, 63, 64, 199, 200, 263, 264, 265, 5000)]
+    rows = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)], "h string, text string")
+    for r in bpe._chunks(rows, 200, 64).collect():
+        whole = texts[int(r["h"][1:])]
+        assert r["text"] == (whole[r["i"] * 200 :] if r["i"] == r["n"] - 1 else whole[r["i"] * 200 : (r["i"] + 1) * 200 + 64])
+        assert r["i"] < r["n"] - 1 or r["n"] == 1 or len(r["text"]) > 64
+
+
 def test_round_trip(spark, make):
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for r in bpe.decode(bpe.encode(make(ODD), tokenizer), tokenizer).collect():
@@ -145,6 +181,39 @@ def test_archives_round_trip(spark, tmp_path):
     assert len(chunks) > 5 and upto == len(raw)
 
 
+def test_archives_are_seekable_records(spark, tmp_path):
+    """Any gzip reader finds one record a member, and every record has an id of its own."""
+    rows = [(1, "u", "same " * 50), (1, "u", "same " * 50), (2, "v", "same " * 50), (None, None, "a"), (None, None, "a"), (3, "é", "z" * 5000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), 1000)
+    files = list((tmp_path / "w").glob("*.warc.gz"))
+    assert files and not list((tmp_path / "w").glob("*.txt"))
+    records = []
+    for file in files:
+        rest, before = file.read_bytes(), len(records)
+        whole = gzip.decompress(rest)
+        while rest:
+            one = zlib.decompressobj(31)
+            data = one.decompress(rest)
+            rest = one.unused_data
+            records += [data] if data else []
+        assert b"".join(records[before:]) == whole
+    assert all(r.startswith(b"WARC/1.1\r\n") and r.count(b"WARC-Record-ID") == 1 for r in records)
+    ids = [re.search(rb"WARC-Record-ID: (\S+)", r).group(1) for r in records]
+    assert len(ids) == len(set(ids)) == 5 + 5
+    refers = {m.group(1) for r in records for m in re.finditer(rb"WARC-Refers-To: (\S+)", r)}
+    assert len(refers) == 1 and refers <= set(ids)
+    got = sorted((tuple(r) for r in warc.read_pages(spark, str(tmp_path / "w")).select("page_id", "record_type", "refers_to").collect()), key=str)
+    assert got == sorted([(1, "response", None)] * 2 + [(2, "revisit", 1), (None, "response", None), (None, "response", None), (3, "response", None)], key=str)
+
+
+def test_a_payload_is_cut_in_one_pass():
+    whole = bytes(range(256)) * 50
+    parts = list(warc.cut(whole, 1000))
+    assert b"".join(p[1] for p in parts) == whole and [p[0] for p in parts] == list(range(1, 14)) and [p[3] for p in parts] == [False] * 12 + [True]
+    assert all(p[2] == hashlib.sha256(whole[: p[0] * 1000]).hexdigest() for p in parts)
+    assert list(warc.cut(b"", 1000)) == [(1, b"", hashlib.sha256(b"").hexdigest(), True)]
+
+
 def test_archive_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
