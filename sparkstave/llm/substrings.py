@@ -1,15 +1,16 @@
 """Substring dedup: words under a window that also starts elsewhere are removed.
 
-First pass: each task keeps a count-min sketch. A window is counted by its anchor, the least hash among its
+First pass: a count-min sketch. A window is counted by its anchor, the least hash among its
 GRAM-word grams: equal windows have equal anchors at different places, so an
 anchor's count is never below its window's, and there are about a tenth as many
-anchors as windows. Task sketches are merged cell range by cell range;
-what is broadcast is one bit per cell, *counted twice or more*, of at most 2 * MOST_CELLS bits.
-The sketch grows with the text up to that bound; beyond it more windows pass, and
-none is lost.
-
-Second pass: only windows whose anchor has been counted twice in both sketch rows are grouped exactly, by a
-128-bit hash of their words. A task first groups its own windows: what repeats
+anchors as windows. Each task counts the cells of its anchors and sends each cell once; the sketch lies
+in buckets, cell range by cell range, where the tasks' counts are summed and each task's
+cells are answered. So the sketch has as many cells as the text asks for: nothing of it is broadcast or collected.
+What comes back is, for each text that has any, the anchors that were counted twice or more in both rows.
+
+Second pass: only windows with such an anchor are grouped exactly, by a
+128-bit hash of their words. It runs over the distinct texts that have one, with
+their number of copies. A task first groups its own windows: what repeats
 inside it is settled there, and each distinct window is sent once, however many
 copies a task holds. Buckets of the hash range settle the rest and answer each task's
 chunk with the places that repeat.
@@ -38,12 +39,16 @@ from sparkstave.session import stored
 WINDOW = 35
 GRAM = 16
 CELLS_PER_ANCHOR = 4
-MOST_CELLS = 1 << 28
-BLOCK = 1 << 20
+LEAST_CELLS = 1 << 20
+#: About so many bytes of text have one anchor.
+ANCHOR_BYTES = 60
+BUCKET_ANCHORS = 2_000_000
 BUCKET_WORDS = 2_000_000
+CHUNK_ANCHORS = 1_000_000
 CHUNK_WINDOWS = 4_000_000
 ROWS = 2
-NOWHERE = np.uint32(0xFFFFFFFF)
+#: A side of a join of at most this many bytes is broadcast; a larger one is joined by order.
+BROADCAST_BYTES = 8 << 20
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -76,11 +81,11 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges, [*edges[1:], len(values)], strict=False))
 
 
-def anchors(words: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window starts, each window's anchor hash, hashes at distinct anchor places)."""
+def anchors(words: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window starts, each window's anchor hash, distinct anchor places, hashes of all grams)."""
     none = np.zeros(0, np.uint64)
     if len(h) < window:
-        return np.zeros(0, np.int64), none, none
+        return np.zeros(0, np.int64), none, np.zeros(0, np.int64), none
     stop = words.first[1:][words.doc]
     grams = windows(h, gram)
     least = sliding(grams, window - gram + 1)
@@ -89,8 +94,7 @@ def anchors(words: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.nda
     held = np.where(whole, least, np.uint64(0))
     span = window - gram
     near = sliding(np.concatenate((np.zeros(span, np.uint64), held, np.zeros(span, np.uint64))), span + 1, np.maximum)
-    places = grams[near == grams]
-    return at[whole], least[whole], places
+    return at[whole], least[whole], np.flatnonzero(near == grams), grams
 
 
 def cells(anchor: np.ndarray, row: int, n_cells: int) -> np.ndarray:
@@ -98,122 +102,96 @@ def cells(anchor: np.ndarray, row: int, n_cells: int) -> np.ndarray:
 
 
 def sketch_size(n_bytes: int) -> int:
-    """Cells per row: a power of two, for about one anchor in 60 bytes of text."""
-    need = max(BLOCK, n_bytes // 60 * CELLS_PER_ANCHOR)
-    return min(MOST_CELLS, 1 << (need - 1).bit_length())
-
-
-def repeated_cells(docs: DataFrame, n_cells: int, window: int, gram: int) -> np.ndarray:
-    """Merged sketch as bits: shape (ROWS, n_cells / 8), set where two or more anchors were counted."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: list[np.ndarray] = []
-        for batch in pieces(batches):
-            words = Words(batch.text)
-            seen.append(anchors(words, words.hashes()[0], window, gram)[2])
-        every = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
-        for row in range(ROWS):
-            cell, n = np.unique(cells(every, row, n_cells), return_counts=True)
-            block = (cell // BLOCK).astype(np.int64)
-            for begin, end in _runs(block):
-                offset, many = (cell[begin:end] % BLOCK).astype(np.int64), n[begin:end] > 1
-                packed = [_pack(np.diff(x, prepend=0)) for x in (offset[~many], offset[many])]
-                yield pd.DataFrame({"row": [row], "block": [int(block[begin])], "once": packed[:1], "often": packed[1:]})
-
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.uint8)
-        for once, often in zip(group.once, group.often, strict=True):
-            at = np.cumsum(_unpack(once).astype(np.int64))
-            total[at] = np.minimum(total[at] + 1, 2)
-            total[np.cumsum(_unpack(often).astype(np.int64))] = 2
-        return pd.DataFrame({"row": [key[0]], "block": [key[1]], "bits": [np.packbits(total == 2, bitorder="little").tobytes()]})
-
-    parts = docs.select("text").mapInPandas(count, "row int, block int, once binary, often binary")
-    merged = parts.groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary")
-    bits = np.zeros((ROWS, n_cells // 8), np.uint8)
-    for found in merged.toLocalIterator():
-        begin = found["block"] * (BLOCK // 8)
-        bits[found["row"], begin : begin + BLOCK // 8] = np.frombuffer(found["bits"], np.uint8)
-    return bits
-
-
-def estimated_repeated(anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether the sketch counts an anchor twice or more. Neighbours share anchors, so each is looked up once."""
-    if not len(anchor):
-        return np.zeros(0, bool)
-    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
-    some, ok = anchor[new], True
-    for row in range(len(bits)):
-        cell = cells(some, row, bits.shape[1] * 8)
-        ok = ok & ((bits[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-    return ok[np.cumsum(new) - 1]
+    """Cells per row: a power of two, CELLS_PER_ANCHOR for each anchor, whatever the size of the text."""
+    need = max(LEAST_CELLS, n_bytes // ANCHOR_BYTES * CELLS_PER_ANCHOR)
+    return 1 << (need - 1).bit_length()
 
 
 ASKED = "bucket int, chunk bigint, keys binary, docs binary, ats binary, names array<string>"
+ANSWERS = "chunk bigint, docs binary, ats binary, names array<string>"
 
 
 class Chunk:
-    """Candidate windows of some texts of one task."""
+    """Keys of places in some texts of one task: cells of anchors, or hashes of candidate windows."""
 
-    def __init__(self, number: int, n_buckets: int):
-        self.number, self.n_buckets = number, n_buckets
-        self.keys, self.docs, self.ats, self.names = [], [], [], []
+    def __init__(self, number: int, n_buckets: int, first_bucket: int = 0):
+        self.number, self.n_buckets, self.first_bucket = number, n_buckets, first_bucket
+        self.keys, self.docs, self.ats, self.twice, self.names = [], [], [], [], []
         self.size = 0
 
-    def add(self, keys: np.ndarray, doc: np.ndarray, at: np.ndarray, names: list[str]) -> None:
+    def add(self, keys: np.ndarray, doc: np.ndarray, at: np.ndarray, names: list[str], twice: np.ndarray | None = None) -> None:
+        """``keys`` has a row per lane; ``twice`` marks places that other copies of their text have too."""
         used, place = np.unique(doc, return_inverse=True)
         self.keys.append(keys)
         self.docs.append(place.reshape(-1) + len(self.names))
         self.ats.append(at)
+        self.twice.append(np.zeros(len(at), bool) if twice is None else twice)
         self.names += [names[i] for i in used]
         self.size += len(at)
 
-    def rows(self) -> Iterator[pd.DataFrame]:
+    def rows(self, top_bits: int = 64) -> Iterator[pd.DataFrame]:
+        """One row for each bucket that is asked, and one for what is settled here. Keys have ``top_bits`` bits."""
         if not self.size:
             return
-        keys, doc, at = np.concatenate(self.keys, axis=1), np.concatenate(self.docs), np.concatenate(self.ats)
-        order = np.lexsort((keys[1], keys[0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(keys[0][order]) != 0) | (np.diff(keys[1][order]) != 0)
-        first = np.flatnonzero(new)
-        many = np.diff(np.append(first, len(order)))[np.cumsum(new) - 1] > 1
+        keys, doc, at, twice = np.concatenate(self.keys, axis=1), np.concatenate(self.docs), np.concatenate(self.ats), np.concatenate(self.twice)
+        order, first, number = runs_of(keys)
+        often = (np.diff(np.append(first, len(order))) > 1) | np.logical_or.reduceat(twice[order], first)
         sure = np.zeros(len(order), bool)
-        sure[order[many]] = True
+        sure[order[often[number]]] = True
         told = np.zeros(len(order), bool)
-        told[order[first[many[first]]]] = True
-        bucket = ((keys[0] >> np.uint64(32)) * np.uint64(self.n_buckets) >> np.uint64(32)).astype(np.int64)
-        send = np.flatnonzero(~sure | told)
-        send = send[np.argsort(bucket[send], kind="stable")]
+        told[order[first[often]]] = True
+        shift = np.uint64(max(0, top_bits - 32))
+        bucket = ((keys[0] >> shift) * np.uint64(self.n_buckets) >> np.uint64(min(32, top_bits))).astype(np.int64)
+        send = order[(~sure | told)[order]]
         for begin, end in _runs(bucket[send]):
             some = send[begin:end]
-            # Windows that are settled here go last, without a place.
+            # Places that are settled here go last, without a place.
             some = np.concatenate((some[~told[some]], some[told[some]]))
             asks = int((~told[some]).sum())
             docs, ats = _pack_places(doc[some[:asks]], at[some[:asks]])
-            yield self._row(int(bucket[some[0]]), keys[:, some].astype("<u8").tobytes(), docs, ats, [])
+            yield self._row(self.first_bucket + int(bucket[some[0]]), _pack_keys(keys[:, some]), docs, ats, [])
         where = np.flatnonzero(sure)
-        yield self._row(self.number % self.n_buckets, b"", *_pack_places(doc[where], at[where]), self.names)
+        yield self._row(self.first_bucket + self.number % self.n_buckets, b"", *_pack_places(doc[where], at[where]), self.names)
 
     def _row(self, bucket, keys, docs, ats, names) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [bucket], "chunk": [self.number], "keys": [keys], "docs": [docs], "ats": [ats], "names": [names]})
 
 
-def settle(group: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: answer each chunk with those of its places whose window is in the bucket twice or more."""
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Keys of one lane are cells in rising order (twice over), whose steps are small; wider ones are hashes."""
+    if len(keys) > 1:
+        return keys.astype("<u8").tobytes()
+    steps = np.diff(keys[0].view(np.int64), prepend=0)
+    return _pack(np.concatenate((steps & 0xFFFFFFFF, steps >> 32)))
+
+
+def _unpack_keys(raw: bytes, lanes: int) -> np.ndarray:
+    if lanes > 1:
+        return np.frombuffer(raw, "<u8").reshape(lanes, -1)
+    low, high = _unpack(raw).reshape(2, -1)
+    return np.cumsum(low.astype(np.int64) + (high.view(np.int32).astype(np.int64) << 32)).view(np.uint64).reshape(1, -1)
+
+
+def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted order, first place of each distinct key in it, number of the key at each place)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def settle(group: pd.DataFrame, lanes: int) -> pd.DataFrame:
+    """One bucket: answer each chunk with those of its places whose key is in the bucket twice or more."""
     asked = group[group["keys"].str.len() > 0]
     passed = group[group["keys"].str.len() == 0][["chunk", "docs", "ats", "names"]]
     if not len(asked):
         return passed
-    keys = [np.frombuffer(k, "<u8").reshape(2, -1) for k in asked["keys"]]
+    keys = [_unpack_keys(k, lanes) for k in asked["keys"]]
     sizes = [k.shape[1] for k in keys]
     places = [_unpack_places(d, a) for d, a in zip(asked.docs, asked.ats, strict=True)]
-    every = np.concatenate(keys, axis=1)
-    # Told windows repeat inside their chunk already: they count twice.
+    # Told keys repeat inside their chunk already: they count twice.
     weight = np.concatenate([np.where(np.arange(n) < len(p[0]), 1, 2) for n, p in zip(sizes, places, strict=True)])
-    order = np.lexsort((every[1], every[0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(every[0][order]) != 0) | (np.diff(every[1][order]) != 0)
-    number = np.cumsum(new) - 1
+    order, _, number = runs_of(np.concatenate(keys, axis=1))
     repeated = np.zeros(len(order), bool)
     repeated[order] = np.bincount(number, weight[order])[number] > 1
     out, begin = [], 0
@@ -225,54 +203,107 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([passed, pd.DataFrame(out, columns=["chunk", "docs", "ats", "names"])])
 
 
+def _places(group: pd.DataFrame) -> np.ndarray:
+    """All places of one chunk as doc * FAR + at, in order."""
+    places = [_unpack_places(d, a) for d, a in zip(group.docs, group.ats, strict=True)]
+    return np.sort(np.concatenate([d * FAR + a for d, a in places])) if places else np.zeros(0, np.int64)
+
+
+FAR = np.int64(1 << 33)
+
+
+def anchors_of_chunk(group: pd.DataFrame) -> pd.DataFrame:
+    """The answers to one chunk of anchors: places of each text that both rows of the sketch count twice or more."""
+    names = next(list(x) for x in group.names if len(x))
+    row = group.chunk.to_numpy() % ROWS
+    places = _places(group[row == 0])
+    for k in range(1, ROWS):
+        places = np.intersect1d(places, _places(group[row == k]), assume_unique=True)
+    rows = [(names[places[i] // FAR], (places[i:j] % FAR).astype(np.int32)) for i, j in _runs(places // FAR)]
+    return pd.DataFrame(rows, columns=["h", "ats"])
+
+
 def spans_of_chunk(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    """The answers to one chunk: removed spans of each text, as word numbers [start, end, start, end, ...]."""
+    """The answers to one chunk of windows: removed spans of each text, as word numbers [start, end, start, end, ...]."""
     names = next(list(x) for x in group.names if len(x))
-    places = [_unpack_places(d, a) for d, a in zip(group.docs, group.ats, strict=True)]
-    doc, at = np.concatenate([p[0] for p in places]), np.concatenate([p[1] for p in places])
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    far = np.int64(1 << 33)
-    begin, end = spans_union(doc * far + at, doc * far + at + window)
-    of = begin // far
-    rows = []
-    for i, j in _runs(of):
-        rows.append((names[of[i]], np.column_stack((begin[i:j] % far, end[i:j] % far)).reshape(-1)))
+    places = _places(group)
+    begin, end = spans_union(places, places + window)
+    of = begin // FAR
+    rows = [(names[of[i]], np.column_stack((begin[i:j] % FAR, end[i:j] % FAR)).reshape(-1)) for i, j in _runs(of)]
     return pd.DataFrame(rows, columns=["h", "spans"])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, spans): for each text with a repeated window, by its SHA-256, the words to remove."""
-    spark = docs.sparkSession
+def estimated_repeated(hashed: DataFrame, n_bytes: int, window: int, gram: int) -> DataFrame:
+    """(h, ats): for each text with anchors that the sketch counts twice or more, their places."""
+    n_cells = sketch_size(n_bytes)
+    bits = n_cells.bit_length() - 1
+    n_buckets = max(8, n_bytes // ANCHOR_BYTES // BUCKET_ANCHORS)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 24
+        new = lambda: [Chunk(number * ROWS + row, n_buckets, row * n_buckets) for row in range(ROWS)]
+        chunks = new()
+        for batch in pieces(batches):
+            words = Words(batch.text)
+            _, _, at, grams = anchors(words, words.hashes()[0], window, gram)
+            doc, names = words.doc[at], batch.h.tolist()
+            for row, chunk in enumerate(chunks):
+                chunk.add(cells(grams[at], row, n_cells).reshape(1, -1), doc, at - words.first[doc], names)
+            if chunks[0].size >= CHUNK_ANCHORS:
+                for chunk in chunks:
+                    yield from chunk.rows(bits)
+                number += 1
+                chunks = new()
+        for chunk in chunks:
+            yield from chunk.rows(bits)
+
+    answers = hashed.mapInPandas(count, ASKED).groupBy("bucket").applyInPandas(lambda g: settle(g, 1), ANSWERS)
+    found = answers.groupBy(F.floor(F.col("chunk") / ROWS)).applyInPandas(anchors_of_chunk, "h string, ats array<int>")
+    # Equal texts in several chunks have equal anchors.
+    return stored(found.groupBy("h").agg(F.first("ats").alias("ats")), "anchors")
+
+
+def small_side(side: DataFrame, size) -> DataFrame:
+    """``side`` of a join, marked for broadcast if all its rows' ``size`` in bytes is small."""
+    n_bytes = side.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(side) if n_bytes <= BROADCAST_BYTES else side.hint("merge")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (h, text, ...) that may hold a repeated window, and (h, spans) of those that do: the words to remove.
+
+    A text is named by its SHA-256.
+    """
     gram = min(GRAM, (window + 1) // 2)
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_cells = sketch_size(n_bytes)
     n_buckets = max(8, n_bytes // 6 // BUCKET_WORDS)
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, n_cells, window, gram))
+    hashed = docs.select(F.sha2("text", 256).alias("h"), "text").filter("text is not null")
+    flagged = estimated_repeated(hashed, n_bytes, window, gram)
+    some = hashed.join(small_side(flagged, F.size("ats") * 4 + 80), "h")
+    # Copies are summed up in the tasks that read them.
+    texts = stored(some.groupBy("h").agg(F.first("text").alias("text"), F.first("ats").alias("ats"), F.count("*").alias("copies")), "texts")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = TaskContext.get().partitionId() << 24
-        chunk = Chunk(first, n_buckets)
+        chunk = Chunk(TaskContext.get().partitionId() << 24, n_buckets)
         for batch in pieces(batches):
             words = Words(batch.text)
             h = words.hashes(2)
-            start, anchor, _ = anchors(words, h[0], window, gram)
-            start = start[estimated_repeated(anchor, bits.value)]
+            start, anchor, _, grams = anchors(words, h[0], window, gram)
+            first = np.repeat(words.first[:-1], batch.ats.str.len())
+            start = start[np.isin(anchor, grams[first + np.concatenate(batch.ats.to_list())])] if len(start) else start
             if len(start):
                 keys = np.stack([windows(h[k], window, k)[start] for k in range(2)])
                 doc = words.doc[start]
-                chunk.add(keys, doc, start - words.first[doc], batch.h.tolist())
+                chunk.add(keys, doc, start - words.first[doc], batch.h.tolist(), (batch.copies.to_numpy() > 1)[doc])
             if chunk.size >= CHUNK_WINDOWS:
                 yield from chunk.rows()
                 chunk = Chunk(chunk.number + 1, n_buckets)
         yield from chunk.rows()
 
-    hashed = docs.select(F.sha2("text", 256).alias("h"), "text").filter("text is not null")
-    asked = hashed.mapInPandas(candidates, ASKED)
-    answers = asked.groupBy("bucket").applyInPandas(settle, "chunk bigint, docs binary, ats binary, names array<string>")
+    answers = texts.mapInPandas(candidates, ASKED).groupBy("bucket").applyInPandas(lambda g: settle(g, 2), ANSWERS)
     spans = answers.groupBy("chunk").applyInPandas(lambda g: spans_of_chunk(g, window), "h string, spans array<bigint>")
-    # Equal texts in several chunks have equal spans. Written, so that a join with it can split a text that many rows hold.
-    return stored(spans.groupBy("h").agg(F.first("spans").alias("spans")), "spans")
+    # Written, so that a join with it can split a text that many rows hold.
+    return texts, stored(spans, "spans")
 
 
 def _kept(n: int, spans) -> np.ndarray:
@@ -283,25 +314,31 @@ def _kept(n: int, spans) -> np.ndarray:
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row doc_id, words, words removed, and SHA-256 of the words kept, joined by single spaces."""
-    rows = docs.select("doc_id", "text", F.sha2("text", 256).alias("h"))
-    joined = rows.join(repeated_spans(docs, window), "h", "left").select("doc_id", "text", "spans")
+    """Per row doc_id, words, words removed, and SHA-256 of the words kept, joined by single spaces.
+
+    Texts are digested where they are read, and those that lose words once more, each distinct one once; digests are joined.
+    """
+    texts, spans = repeated_spans(docs, window)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
             out = []
-            for text, spans in zip(batch.text, batch.spans, strict=True):
+            for text, own in zip(batch.text, batch.spans, strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 n = len(words)
-                if spans is not None:
-                    words = [w for w, keep in zip(words, _kept(n, spans).tolist(), strict=True) if keep]
+                if own is not None:
+                    words = [w for w, keep in zip(words, _kept(n, own).tolist(), strict=True) if keep]
                 out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             done = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
-            done.insert(0, "doc_id", batch.doc_id.to_numpy())
-            yield done
+            yield pd.concat([batch[[c for c in batch if c not in ("text", "spans")]], done], axis=1)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInPandas(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    kind, counts = docs.schema["doc_id"].dataType.simpleString(), "n_words bigint, n_removed bigint, kept_sha256 string"
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("h"), "text", F.lit(None).cast("array<bigint>").alias("spans"))
+    plain = rows.mapInPandas(digest, f"doc_id {kind}, h string, {counts}")
+    changed = stored(texts.select("h", "text").join(spans, "h").mapInPandas(digest, f"h string, {counts}"), "changed")
+    changed = changed.select("h", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("left"))
+    out = plain.join(small_side(changed, F.lit(160)), "h", "left")
+    return out.select("doc_id", "n_words", F.coalesce("gone", "n_removed").alias("n_removed"), F.coalesce("left", "kept_sha256").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -324,5 +361,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     names = docs.columns
     keyed = docs.withColumn("_h", F.sha2("text", 256))
-    spans = repeated_spans(docs.select("text"), window).select(F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    return keyed.join(spans, "_h", "left").withColumn("text", cut("text", "_spans")).select(*names)
+    spans = repeated_spans(docs.select("text"), window)[1].select(F.col("h").alias("_h"), F.col("spans").alias("_spans"))
+    return keyed.join(small_side(spans, F.size("_spans") * 8 + 80), "_h", "left").withColumn("text", cut("text", "_spans")).select(*names)

@@ -40,10 +40,44 @@ def test_equals_brute_force(make, size):
 def test_small_chunks_and_sketch_lose_nothing(make, monkeypatch):
     rows = random_rows(99)
     monkeypatch.setattr(substrings, "CHUNK_WINDOWS", 50)
-    monkeypatch.setattr(substrings, "MOST_CELLS", 1 << 20)
+    monkeypatch.setattr(substrings, "CHUNK_ANCHORS", 20)
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
     assert sorted((tuple(r) for r in substrings.removal_digests(make(rows, 5), 6).collect()), key=str) == brute(rows, 6)
 
 
+def test_a_crowded_sketch_loses_nothing(make, monkeypatch):
+    """Where cells are few, next to all windows pass to the exact pass, and the result is the same."""
+    rows = random_rows(98)
+    monkeypatch.setattr(substrings, "LEAST_CELLS", 16)
+    monkeypatch.setattr(substrings, "CELLS_PER_ANCHOR", 0)
+    assert sorted((tuple(r) for r in substrings.removal_digests(make(rows, 5), 6).collect()), key=str) == brute(rows, 6)
+
+
+@pytest.mark.parametrize("load,least,most", [(4, 0.0, 0.06), (1, 0.1, 0.75)])
+def test_share_of_unrepeated_text_that_passes(make, monkeypatch, load, least, most):
+    """Cells follow the text, so the share that passes is the same at any size."""
+    monkeypatch.setattr(substrings, "LEAST_CELLS", 64)
+    monkeypatch.setattr(substrings, "CELLS_PER_ANCHOR", load)
+    rng = random.Random(5)
+    for n in (60, 240):
+        docs = make([(i, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1000))) for i in range(n)])
+        hashed = docs.selectExpr("sha2(text, 256) AS h", "text")
+        n_bytes = 1999 * n
+        found = sum(len(r["ats"]) for r in substrings.estimated_repeated(hashed, n_bytes * 3, 35, 16).collect())
+        words = [textkit.Words([r["text"]]) for r in docs.collect()]
+        anchors = sum(len(substrings.anchors(w, w.hashes()[0], 35, 16)[2]) for w in words)
+        assert least <= found / anchors <= most
+
+
+def test_very_long_text(make):
+    """Far more words than a batch takes at a time, with a passage that a short text has too."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=400_000))
+    rows = [(1, f"{long} {passage} end"), (2, passage), (3, "x " * 20)]
+    assert sorted((tuple(r) for r in substrings.removal_digests(make(rows)).collect()), key=str) == brute(rows, 35)
+
+
 def test_whole_table_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
