@@ -5,10 +5,11 @@ over. A copy's virtual finish time is its source's words so far divided by the
 source's target, so at time 1 every source has served its target. Copies are put in
 order of finish time over all sources and cut off at the total budget.
 
-Both orders are made in two steps, so that no task holds a source: sums of hash
-(or time) ranges first, then ranks within one range.
+Both orders are made in steps, so that no task holds a source: sums of hash
+(or time) ranges first, and of runs of ranges, then ranks within one range. Of the copies on offer, those in
+time ranges before the cut are taken as they are; only the range that holds the cut is put in order.
 
-Defined results: a null or empty text has no words and is never taken; a null source
+Defined results: a null or empty text has no words, so taking it changes nothing; a null source
 is a source of its own, last in order; documents with a null or repeated id are
 separate documents (equal rows share one fate up to order); an empty table gives
 an empty mix. Only the named columns are read, so other columns can't clash.
@@ -26,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
 RANGE_ROWS = 1_000
+#: Ranges in a run of ranges.
+RUN = 1_000
 UNIT = float(1 << 52)
 
 
@@ -69,6 +72,17 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Data
     return per.select("_source", "s", "n", "source_size", "total", target.alias("target"))
 
 
+def before(sums: DataFrame, key: str, value: str, *by: str) -> DataFrame:
+    """``sums`` with the sum of ``value`` over all lesser keys (whole numbers) of the group: runs of keys first, then keys within a run."""
+    run = F.floor(F.col(key) / RUN)
+    rows = sums.withColumn("run", run)
+    earlier = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*by, "run").agg(F.sum(value).alias("all")).withColumn("sofar", F.coalesce(F.sum("all").over(earlier), F.lit(0))).drop("all")
+    inside = Window.partitionBy(*by, "run").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(runs, [*by, "run"])
+    return rows.withColumn("before", F.col("sofar") + F.col("inside")).drop("run", "sofar", "inside")
+
+
 def offered_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
     """Every copy on offer with its virtual finish time; copies of targetless sources go.
 
@@ -79,36 +93,31 @@ def offered_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
     joined = narrow.join(per, F.col("_of").eqNullSafe(F.col("_source"))).drop("_of", "_source")
     ranges = F.ceil(F.col("n") / F.lit(float(RANGE_ROWS)))
     keyed = joined.withColumn("b", F.floor(F.col("_u") / F.lit(UNIT) * ranges))
-    sums = keyed.groupBy("s", "b").agg(F.sum("_size").alias("words"))
-    earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("s", "b", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    sums = before(keyed.groupBy("s", "b").agg(F.sum("_size").alias("words")), "b", "words", "s").drop("words")
     inside = Window.partitionBy("s", "b").orderBy("_u", F.col("doc_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, 0)
     served = keyed.join(sums, ["s", "b"]).withColumn("served", F.col("before") + F.sum("_size").over(inside))
     offered = served.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     finish = (F.col("served") + F.col("e") * F.col("source_size")).cast("double") / F.nullif(F.col("target"), F.lit(0.0))
     offered = offered.withColumn("finish", finish).filter(F.col("finish").isNotNull())
-    return offered
+    return offered.select("_row", "s", "doc_id", "_size", "_u", "e", "finish", "total")
 
 
 def taken_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
     """Cut the offered copies at the total budget: one row per copy taken (_row, e, finish)."""
     offered = offered_copies(rows, most)
-    # Ranges of the finish time: about RANGE_ROWS copies each up to time 4, one range beyond.
-    grain = F.greatest(F.lit(1.0), F.ceil(F.col("all_rows") / F.lit(float(RANGE_ROWS))))
-    size = rows.agg(F.count("*").alias("all_rows"))
-    offered = offered.crossJoin(F.broadcast(size))  # one row
+    # Ranges of the finish time: about RANGE_ROWS copies each up to time 4, one range beyond, which is never reached.
+    grain = float(max(1, -(-rows.count() // RANGE_ROWS)))
     offered = offered.withColumn("r", F.floor(F.least(F.col("finish"), F.lit(4.0)) * grain))
-    offered = offered.select("_row", "s", "doc_id", "_size", "_u", "e", "finish", "r", "total")
-    sums = offered.groupBy("r").agg(F.sum("_size").alias("words"), F.first("total").alias("budget"))
-    upto = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("words").over(upto))
-    sums = sums.select("r", (F.col("upto") <= F.col("budget")).alias("whole"), (F.col("upto") - F.col("words")).alias("before"), "budget")
-    ranged = offered.drop("total").join(sums, "r")
-    whole = ranged.filter("whole").select("_row", "e", "finish", "_size")
+    sums = before(offered.groupBy("r").agg(F.sum("_size").alias("words"), F.first("total").alias("budget")), "r", "words")
+    over = sums.filter(F.col("before") + F.col("words") > F.col("budget"))
+    cut = over.agg(F.min(F.struct("r", "before", "budget")).alias("x")).first()["x"]
+    columns = ["_row", "e", "finish", "_size"]
+    if cut is None:
+        return offered.select(*columns)
     order = Window.partitionBy("r").orderBy("finish", "s", "_u", F.col("doc_id").asc_nulls_last(), "e")
-    cut = ranged.filter((~F.col("whole")) & (F.col("before") <= F.col("budget")))
-    cut = cut.withColumn("upto", F.col("before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return whole.unionByName(cut.filter(F.col("upto") <= F.col("budget")).select("_row", "e", "finish", "_size"))
+    edge = offered.filter(F.col("r") == cut["r"]).withColumn("upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.filter(F.col("upto") + cut["before"] <= cut["budget"])
+    return offered.filter(F.col("r") < cut["r"]).select(*columns).unionByName(edge.select(*columns))
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
