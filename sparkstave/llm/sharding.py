@@ -5,6 +5,9 @@ a small versioned table maps slots to shards. Only that table changes when shard
 are added or drift apart: records never hash anew, and only the records of edited
 slots move.
 
+A record's slot comes from an MD5 of its id, CRC, size and its number among records that are equal in all of
+these, so that any number of equal records spreads over the slots.
+
 Defined results: a null text counts no bytes beside the fixed 8 per row and has
 the CRC of the empty text; rows with a null or repeated id are records like any
 other; an empty table gives no rows and an empty map; columns other than the
@@ -16,20 +19,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkstave.session import stored
+
 N_SLOTS = 4096
 ROW_BYTES = 8
 SLACK = 0.01
 
 
 def slotted(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """One narrow row per record: doc_id, size, text_crc32 and its virtual slot."""
+    """One narrow row per record: doc_id, size, text_crc32, ``again`` (its number among equal records) and its virtual slot."""
     rows = records.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(
         "doc_id",
         (F.octet_length("text").cast("bigint") + F.lit(ROW_BYTES)).alias("size"),
         F.crc32("text").alias("text_crc32"),
+        F.spark_partition_id().alias("part"),
     )
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int"))
+    rows = numbered(stored(rows, "records"))
+    label = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size", "again")
+    return rows.withColumn("virtual_slot", (F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint") % n_slots).cast("int"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``again``: 0, 1, ... among rows of equal doc_id, text_crc32 and size, whichever is which.
+
+    Only repeated rows are ranked: in the part of the table they stand in, behind those of earlier parts, so a task never holds a group.
+    """
+    own = ["doc_id", "text_crc32", "size"]
+    parts = rows.groupBy(*own, "part").agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*own)
+    earlier = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    many = parts.withColumn("all", F.sum("n").over(group)).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    many = stored(many.filter("all > 1").select(*[F.col(c).alias(f"_{c}") for c in (*own, "part")], "before"), "repeats")
+    equal = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part"))
+    single = rows.join(many, equal, "left_anti").select(*own, F.lit(0).cast("bigint").alias("again"))
+    inside = F.row_number().over(Window.partitionBy(*own, "part").orderBy("before"))
+    repeated = rows.join(many, equal).select(*own, (F.col("before") + inside - 1).alias("again"))
+    return single.unionByName(repeated)
 
 
 def slot_totals(rows: DataFrame) -> DataFrame:
@@ -124,22 +150,22 @@ def write_map(mapping: DataFrame, root: str, version: int) -> None:
 def read_map(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """A stored version of a map, the latest by default."""
     schema = "virtual_slot int, n_rows bigint, bytes bigint, shard int, version int"
-    stored = spark.read.schema(schema).parquet(root)
+    maps = spark.read.schema(schema).parquet(root)
     if version is not None:
-        return stored.filter(F.col("version") == version)
-    latest = stored.agg(F.max("version").alias("version"))
-    return stored.join(F.broadcast(latest), "version", "left_semi")
+        return maps.filter(F.col("version") == version)
+    latest = maps.agg(F.max("version").alias("version"))
+    return maps.join(F.broadcast(latest), "version", "left_semi")
 
 
 def placed(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Add each record's shard and its place in the shard, counted from 0 without gaps.
 
     A place is the number of rows in earlier slots of the shard plus the rank in the
-    slot (by id, CRC, size; nulls last), so no task holds more than one slot.
+    slot (by id, CRC, size; nulls last; equal rows by number), so no task holds more than one slot.
     The map has at most ``n_slots`` rows and is broadcast.
     """
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = mapping.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "again")
     ranked = rows.withColumn("rank", F.row_number().over(within).cast("bigint"))
     return ranked.join(F.broadcast(offsets), "virtual_slot").withColumn("slot", F.col("offset") + F.col("rank") - 1)

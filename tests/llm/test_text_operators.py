@@ -13,6 +13,7 @@ import pytest
 from oracle import connect, same
 
 from sparkstave.llm import bpe, langid, mixing, quality, queries, sharding, toxicity, warc
+from sparkstave.session import stored
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "word"), (4, "word"), (None, "no id here"), (None, None), (5, "x" * 5000), (6, "long text " * 3000), (7, "###!!! 123"), (8, "é中文字 ok")]
 
@@ -75,6 +76,17 @@ def test_shards(spark, make, tmp_path):
     assert sorted(load.values())[-2] - min(load.values()) < 0.1 * np.mean(list(load.values()))
 
 
+def test_equal_records_spread_over_shards(spark, make, tmp_path):
+    rows = [(7, "same text")] * 5000 + [(None, "none")] * 2000 + [(i, "z" * (i % 50)) for i in range(2000)]
+    slotted = stored(sharding.slotted(make(rows, 7)), "slotted")
+    assert sorted(r["again"] for r in slotted.filter("doc_id = 7 and size = 17").collect()) == list(range(5000))
+    sharding.write_map(sharding.slot_map(sharding.slot_totals(slotted), 24), str(tmp_path / "map"), 1)
+    load = collections.Counter()
+    for r in sharding.placed(slotted, sharding.read_map(spark, str(tmp_path / "map"))).collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 24 and max(load.values()) < 1.02 * min(load.values())
+
+
 def test_growth_moves_slots_to_the_new_shard(spark, make, tmp_path):
     rng = random.Random(6)
     slotted = sharding.slotted(make([(i, "z" * rng.randint(0, 300)) for i in range(4000)]))
