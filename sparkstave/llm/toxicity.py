@@ -1,14 +1,15 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps homoglyphs to Latin letters and, within words that also hold
-letters, digits and signs to the letters they stand for. The lexicon is learned from labelled rows:
+Folding lower-cases and maps homoglyphs to Latin letters in words that also hold Latin letters (in texts that are mostly
+Latin, in words of nothing but homoglyphs too), so that words of other scripts stay what they are. Within words that also hold
+letters, digits and signs become the letters they stand for. The lexicon is learned from labelled rows:
 words, and stems of words, that toxic documents use in many contexts and clean ones hardly
 ever, weighted by the log-odds of toxic documents. (Copies of one document share their
 contexts, so their words don't pass.) A match counts where it is a whole word, or a
 word's start for a stem, and no exception phrase (a word pair around the term that clean documents
 use) covers it. The sum of weights is divided by the log of the text's length.
 
-Fitting takes at most SAMPLE documents of each label, the ones of least hash, so its
+Fitting takes at most SAMPLE documents of each label, the ones of least hash and one text of each id, so its
 size is bounded whatever the table's; scoring covers every whole text.
 
 Defined results: a null or empty text scores 0; labels that are null or whose row is held out
@@ -52,9 +53,12 @@ HELD_OUT = 5
 _LETTERS = str.maketrans(HOMOGLYPHS)
 _SIGNS = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"(?<!\S)[^\s0134578@$!|9]*[0134578@$!|9]\S*")
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 _REST = re.compile(r"[^\W\d_]*")
-_INVISIBLE = re.compile("[­​-‍⁠﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+_LOOKALIKE = re.compile(f"[^\\W\\d_]*[{''.join(HOMOGLYPHS)}][^\\W\\d_]*")
+_LATIN = re.compile("[a-z]")
 
 
 def _unsign(found: re.Match) -> str:
@@ -66,13 +70,23 @@ def _unsign(found: re.Match) -> str:
     return core.translate(_SIGNS) + word[len(core) :]
 
 
+def _latin(word: str, mostly: bool) -> str:
+    """A word with homoglyphs in Latin letters, if it has Latin letters besides or, in a Latin text, no others than homoglyphs."""
+    if _LATIN.search(word) or mostly and all(c in HOMOGLYPHS for c in word):
+        return word.translate(_LETTERS)
+    return word
+
+
 def fold(text: str | None) -> str:
     """Lower case, compatibility forms, homoglyphs and substitutions folded."""
     text = text or ""
     if not text.isascii():
         if _INVISIBLE.search(text):
             text = _INVISIBLE.sub("", text)
-        text = unicodedata.normalize("NFKC", text).lower().translate(_LETTERS)
+        text = unicodedata.normalize("NFKC", text).lower()
+        if _LOOKALIKE.search(text):
+            mostly = 2 * len(_LATIN.findall(text)) >= len(_LETTER.findall(text))
+            text = _LOOKALIKE.sub(lambda found: _latin(found.group(), mostly), text)
     else:
         text = text.lower()
     return _MIXED.sub(_unsign, text)
@@ -137,14 +151,16 @@ class Lexicon:
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled documents of each label, held-out ones left out.
 
-    Ids are drawn by least hash; the drawn ids are bounded by 2 * ``sample`` and broadcast.
+    Ids are drawn by least hash; the drawn ids are bounded by 2 * ``sample`` and broadcast. Of several texts of one id the
+    least counts, so there are no more rows than ids, however often an id stands in the table.
     """
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     marked = marked.filter(F.crc32(F.col("_id").cast("string")) % HELD_OUT != 0)
     marked = marked.groupBy("_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     drawn = [marked.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1])
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
