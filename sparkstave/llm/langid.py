@@ -1,12 +1,12 @@
 """Language identification by a byte convolutional network, trained here in numpy.
 
-Bytes fold into a small alphabet and are embedded; filters of several widths slide over a
+Bytes fold into a small alphabet (ASCII letters without case, digits, space, other ASCII, and every byte from 128 on by itself) and are embedded; filters of several widths slide over a
 fixed-length window, the greatest response of each filter over the window is kept, and a softmax layer
 names the language. A text is cut into such windows, all of it, and its score is
 the mean of its windows' probabilities, weighted by their letters.
 
-Training takes about PER_LANG texts (twice that at most) of each of at most MOST_LANGS languages, drawn
-by hash, and PIECES pieces spread over each, so its cost doesn't grow with the table. At prediction time embedding and filters
+Training takes about PER_LANG texts (twice that at most) of each language, fewer where there are so many languages that these would be over MOST_ROWS,
+drawn by hash, and PIECES pieces spread over each, so its cost doesn't grow with the table. At prediction time embedding and filters
 fold into tables over byte pairs, so a window costs a few table reads per byte.
 
 Defined results: a null text or one without any letter is ``und`` with score 0; with no usable label every
@@ -27,7 +27,8 @@ from sparkstave.llm.textkit import pieces
 
 PER_LANG = 600
 PIECES = 8
-MOST_LANGS = 200
+#: Bound on training texts over all languages (about 2 KB of pieces each), one text a language at least.
+MOST_ROWS = 12_000
 WINDOW = 256
 EMBEDDING = 8
 WIDTHS = (2, 3, 4)
@@ -37,7 +38,7 @@ BATCH = 64
 RATE = 0.01
 SEED = 7
 UNKNOWN = "und"
-SYMBOLS = 96
+SYMBOLS = 158
 
 
 def _alphabet() -> np.ndarray:
@@ -48,7 +49,7 @@ def _alphabet() -> np.ndarray:
     for i in range(26):
         table[65 + i] = table[97 + i] = 4 + i
     high = np.arange(128, 256)
-    table[high] = 30 + (high - 128) % (SYMBOLS - 30)
+    table[high] = 30 + high - 128
     table[0] = 0
     return table
 
@@ -116,11 +117,14 @@ class Network:
         return loss, [d_embedding, *d_filters, *d_bias, d_out, d_out_bias]
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
-        """Adam over random batches, the same ones every time."""
+        """Adam over random batches, the same ones every time; each label is drawn as often as any other."""
+        order, first = np.argsort(y, kind="stable"), np.searchsorted(np.sort(y), np.unique(y))
+        counts = np.diff(np.append(first, len(y)))
         rng = np.random.default_rng(seed)
         means = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(x), BATCH)
+            label = rng.integers(0, len(first), BATCH)
+            pick = order[first[label] + rng.integers(0, counts[label])]
             _, found = self.gradients(x[pick], y[pick])
             rate = RATE * (1 - step / (steps + 1))
             for p, g, (m, v) in zip(self.parameters(), found, means, strict=True):
@@ -160,12 +164,13 @@ class Network:
 def training_rows(labelled: DataFrame, per_lang: int = PER_LANG) -> list:
     """(text, lang) of about ``per_lang`` rows of each language, drawn by least hash, in a fixed order.
 
-    ``labelled`` has doc_id, text and lang and holds no held-out row. At most MOST_LANGS languages count.
+    ``labelled`` has doc_id, text and lang and holds no held-out row. There are as many counts on the driver as languages.
     """
     rows = labelled.filter("lang is not null and text is not null")
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    langs = rows.groupBy("lang").count().collect()
     if not langs:
         return []
+    per_lang = max(1, min(per_lang, MOST_ROWS // (2 * len(langs))))
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     some = rows.withColumn("u", u).filter(F.col("u") < F.element_at(share, F.col("lang")))
@@ -189,11 +194,7 @@ def trained(labelled: DataFrame, per_lang: int = PER_LANG) -> Network | None:
     full = ((x >= 4).sum(axis=1) >= 8)
     network = Network(labels)
     if full.any():
-        # Each language as often as any other.
-        x, y = x[full], y[full]
-        most = np.bincount(y).max()
-        even = np.concatenate([np.resize(np.flatnonzero(y == k), most) for k in np.unique(y)])
-        network.fit(x[even], y[even])
+        network.fit(x[full], y[full])
     return network
 
 
