@@ -21,7 +21,7 @@ all of it; a null text or one without words has an empty set and links with noth
 equal rows are copies of each other, so they share a component; rows that share an id but
 not a text each follow their own text; a document with a null id joins its
 component and is never a representative (without any id the component is null); an
-empty table gives no rows; only the named columns are read.
+empty table gives no rows; only the named columns are read. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ SLACK = 0.15
 #: Members of one hub, and of one block of a bucket, that a task compares at a time.
 HUB_MEMBERS = 2_000
 BLOCK = 1_024
-#: Ids up to this number are broadcast to the scan; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Wanted ids of at most so many bytes, lists included, are broadcast to the scan; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def second_permutation() -> np.ndarray:
@@ -344,9 +344,9 @@ class Classes:
         return made.mapInPandas(compare, "a bigint, b bigint").distinct()
 
     def texts_of(self, wanted: DataFrame) -> DataFrame:
-        """The documents whose id is in ``wanted`` (one row an id), with its columns; few ids are broadcast."""
+        """The documents whose id is in ``wanted`` (one row an id, a list ``at`` each), with its columns; few bytes are broadcast."""
         wanted = stored(wanted, "wanted")
-        few = wanted.count() <= BROADCAST_IDS
+        few = (wanted.agg(F.sum(32 + 32 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
         return self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"))
 
     def assigned(self) -> DataFrame:
