@@ -131,8 +131,8 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in mixing order."""
-    names = docs.columns
-    rows = stored(sized(docs), "mix")
+    # The columns travel as one, so that none of theirs can clash.
+    rows = stored(sized(docs.select("doc_id", "source", "text", F.struct("*").alias("row"))).drop("text"), "mix")
     chosen = taken_copies(rows).select("_row", "finish")
-    out = rows.join(chosen, "_row")
-    return out.repartitionByRange(F.col("finish")).sortWithinPartitions("finish").select(*names)
+    out = rows.select("_row", "row").join(chosen, "_row")
+    return out.repartitionByRange(F.col("finish")).sortWithinPartitions("finish").select("row.*")

@@ -341,8 +341,11 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.select("doc_id", "n_words", F.coalesce("gone", "n_removed").alias("n_removed"), F.coalesce("left", "kept_sha256").alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated passages cut from ``text``; what stays between them is unchanged."""
+def without_repeats(docs: DataFrame, window: int = WINDOW, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``; what stays between them is unchanged.
+
+    Without ``keep_emptied``, rows that had words and lose them all go.
+    """
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -351,15 +354,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for text, some in zip(texts, spans, strict=True):
             if some is not None:
                 at = [m.start() for m in word.finditer(text)] + [len(text)]
-                pieces, done = [], 0
-                for begin, end in np.asarray(some, np.int64).reshape(-1, 2):
-                    pieces.append(text[done : at[begin]])
+                spans_at = np.asarray(some, np.int64).reshape(-1, 2)
+                gone = int((spans_at[:, 1] - spans_at[:, 0]).sum()) == len(at) - 1
+                kept, done = [], 0
+                for begin, end in spans_at:
+                    kept.append(text[done : at[begin]])
                     done = at[end]
-                text = "".join([*pieces, text[done:]])
+                text = None if gone and not keep_emptied else "".join([*kept, text[done:]])
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    names = docs.columns
-    keyed = docs.withColumn("_h", F.sha2("text", 256))
-    spans = repeated_spans(docs.select("text"), window)[1].select(F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    return keyed.join(small_side(spans, F.size("_spans") * 8 + 80), "_h", "left").withColumn("text", cut("text", "_spans")).select(*names)
+    # The columns travel as one, so that none of theirs can clash.
+    keyed = docs.select(F.struct("*").alias("row"), F.sha2("text", 256).alias("h"))
+    joined = keyed.join(small_side(repeated_spans(docs.select("text"), window)[1], F.size("spans") * 8 + 80), "h", "left")
+    out = joined.select("row", F.col("spans").isNotNull().alias("changed"), cut("row.text", "spans").alias("left"))
+    out = out.filter(~F.col("changed") | F.col("left").isNotNull())
+    return out.select(F.col("row").withField("text", F.col("left")).alias("row")).select("row.*")

@@ -65,7 +65,7 @@ def test_equals_brute_force(make, k, percent):
 def test_blocks_and_salts(make, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "HUB_MEMBERS", 8)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
     rows = list(enumerate(near_copies(5, 120, 120, [1, 2, 4, 6, 9])))
     assert sorted(tuple(r) for r in neardup.near_duplicates(make(rows), 3, 85).collect()) == brute(rows, 3, 85)
 
@@ -77,6 +77,15 @@ def test_null_and_repeated_ids(make):
     assert sum("kept=True" in g for g in got) == 3
 
 
+def test_very_long_texts(make):
+    """Sets far above what a batch takes at a time, a near copy among them."""
+    rng = random.Random(11)
+    words = rng.choices([f"w{i}" for i in range(3000)], k=60_000)
+    near = [w if rng.random() > 0.02 else "other" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, " ".join(words))]
+    assert sorted(tuple(r) for r in neardup.near_duplicates(make(rows), 3, 85).collect()) == brute(rows, 3, 85)
+
+
 def test_empty_table(make):
     assert neardup.near_duplicates(make([])).count() == 0
 
