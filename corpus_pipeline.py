@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkstave.session import scratch, small_batches, table
+from sparkstave.session import scratch, stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned lexicon rejects go (labels of held-out rows stay unused)."""
+    """Documents that the learned lexicon rejects go (labels of held-out rows stay unused).
+
+    Rows without text score 0 and stay; equal rows share one fate; without labels all stay.
+    """
     from sparkstave.llm import toxicity as op
 
-    small_batches(spark)
     lexicon = op.learned(docs, table(spark, sf_dir, "labels"))
     return op.without_toxic(docs, lexicon)
 
@@ -24,44 +26,49 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five words a shingle, similarity 0.8 or more).
 
-    Documents without an id can't be named as a copy and stay; of equal rows one stays.
+    Rows are told apart by a number of their own, so ids may be null or repeated: the row of least id stays (null last). Rows without
+    words are near to nothing; of those that are equal in all columns one stays.
     """
     from sparkstave.llm import neardup as op
 
-    small_batches(spark)
-    found = op.near_duplicates(docs, k=5, percent=80).filter("doc_id is not null")
-    copies = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    kept = docs.join(copies.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    if copies.filter("kept and n > 1").limit(1).count():
-        kept = kept.dropDuplicates()
-    return kept
+    # Numbers hold once they are written. The columns travel as one, so that none of theirs can clash.
+    rows = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    found = op.near_duplicates(rows.select(F.col("number").alias("doc_id"), "row.text"), k=5, percent=80)
+    found = stored(found.select(F.col("doc_id").alias("number"), "component_id", "n_shingles"), "groups")
+    worded = found.filter("n_shingles > 0").join(rows.select("number", "row.doc_id"), "number")
+    first = worded.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("number")))["number"].alias("number"))
+    wordless = rows.join(found.filter("n_shingles = 0").select("number"), "number", "left_semi")
+    kept = first.select("number").unionByName(wordless.groupBy("row").agg(F.min("number").alias("number")).select("number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that start anywhere else are cut; a document that is nothing else goes."""
+    """Passages of 35 words or more that start anywhere else are cut; a document that is nothing else goes.
+
+    Rows without words lose none and stay; of equal rows that fill a window none stays, as each repeats the other.
+    """
     from sparkstave.llm import substrings as op
 
-    small_batches(spark)
-    cut = op.without_repeats(docs.withColumn("_had", F.col("text").rlike(r"[^\x20\x09-\x0D]")))
-    emptied = F.col("_had") & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    cut = cut.filter(~F.coalesce(emptied, F.lit(False)))
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else cut.select(*docs.columns)
+    cut = op.without_repeats(docs, keep_emptied=False)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: none, or up to three times."""
+    """Documents as often as the mix of sources takes them: none, or up to three times.
+
+    Rows without words weigh nothing; a null source is a source of its own; ids may be null or repeated.
+    """
     from sparkstave.llm import mixing as op
 
     return op.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document row: doc_id, number of ids, digests of the ids and of the bytes they decode to."""
+    """Per document row: doc_id, number of ids, digests of the ids and of the bytes they decode to; a null text has no ids."""
     import public_tokenizers
 
     from sparkstave.llm import bpe as op
 
-    small_batches(spark)
     tokenizer = op.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return op.encoded_digests(docs, tokenizer)
 
