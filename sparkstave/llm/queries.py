@@ -178,6 +178,21 @@ def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_circulant_minhash"] = op8_circulant_minhash
+SQL["op8_circulant_minhash"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT r, doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT r AS x, r AS y FROM n UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+least AS (SELECT reach.x AS r, min(n.doc_id) AS component FROM reach JOIN n ON n.r = reach.y GROUP BY reach.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least.component, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(least.component, d.doc_id), false) AS kept
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN least ON d.r = least.r
+"""
 
 
 def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
