@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkstave.llm.textkit import SHINGLE, Words, mix, pieces, windows
-from sparkstave.session import stored
+from sparkstave.session import drop_stored, stored
 
 N_HASHES = 128
 BANDS = 32
@@ -125,11 +125,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, made: list[DataFrame]) -> DataFrame:
     """(id, component) of all linked ids, by large-star and small-star until nothing changes.
 
-    Each round writes its edges to the shared folder, so no lineage grows and no task
-    holds the neighbours of a node.
+    Each round writes its edges to the shared folder and drops those before, so no lineage grows and no task
+    holds the neighbours of a node. The last table is added to ``made``.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = stored(edges, "edges")
@@ -139,12 +139,15 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.filter("a <> b").distinct(), "edges")
+        drop_stored(edges)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a")
         edges = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = stored(edges.filter("a <> b").distinct(), "edges")
+        drop_stored(large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
+            made.append(edges)
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = tuple(now)
 
@@ -214,15 +217,25 @@ class Classes:
     """Documents by equal set: ``rep`` is the least id of a class."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.made: list[DataFrame] = []
         self.docs, self.k, self.percent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), k, percent
-        self.all = stored(sketched(self.docs, k), "sketches")
+        self.all = self.kept(sketched(self.docs, k), "sketches")
         keyed = self.all.filter("n > 0")
         # What equal sets share is summed up before the shuffle: copies cost one row per task.
         classes = keyed.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        self.classes = stored(classes.filter("rep is not null"), "classes")
+        self.classes = self.kept(classes.filter("rep is not null"), "classes")
         members = self.classes.select("rep", "n", F.explode("bands").alias("key"))
         shared = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-        self.members = stored(members.join(shared, "key"), "members")
+        self.members = self.kept(members.join(shared, "key"), "members")
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        """A stored table that ``drop`` deletes."""
+        self.made.append(stored(df, label))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        for df in self.made:
+            drop_stored(df)
 
     def joinable(self, n1: str, n2: str):
         return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * self.percent
@@ -233,13 +246,13 @@ class Classes:
         pairs = self.members.filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
         pairs = pairs.join(sizes, "hub").filter(self.joinable("n", "hub_n"))
         rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("votes"), "hub"))  # at most BANDS hubs each
-        pairs = stored(pairs.withColumn("rank", rank).select(F.col("rep").alias("a"), F.col("hub").alias("b"), "rank"), "pairs")
-        links = stored(self.confirmed(pairs.filter("rank = 1")), "links")
-        found = components(links)
+        pairs = self.kept(pairs.withColumn("rank", rank).select(F.col("rep").alias("a"), F.col("hub").alias("b"), "rank"), "pairs")
+        links = self.kept(self.confirmed(pairs.filter("rank = 1")), "links")
+        found = components(links, self.made)
         rest = self.apart(pairs.filter("rank > 1"), found)
-        links = stored(links.unionByName(self.confirmed(rest)), "links")
-        found = components(links)
-        return stored(links.unionByName(self.left_over(found)), "links")
+        links = self.kept(links.unionByName(self.confirmed(rest)), "links")
+        found = components(links, self.made)
+        return self.kept(links.unionByName(self.left_over(found)), "links")
 
     def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs (a, b) that lie in different components."""
@@ -278,7 +291,7 @@ class Classes:
                         "data": [np.concatenate((at, group["component"].to_numpy()[ids], pairs.reshape(-1))).astype("<i8").tobytes()],
                     })
 
-        opened = stored(tiles.mapInPandas(search, "key bigint, i int, j int, ids array<bigint>, data binary"), "open")
+        opened = self.kept(tiles.mapInPandas(search, "key bigint, i int, j int, ids array<bigint>, data binary"), "open")
         tile = F.struct("key", "i", "j").alias("tile")
         texts = self.texts_of(opened.select(F.explode("ids").alias("id"), tile).groupBy("id").agg(F.collect_list("tile").alias("at")))
 
@@ -312,7 +325,7 @@ class Classes:
         sent to several tasks, so a task streams at most HUB_MEMBERS sets past one hub's set.
         """
         k, percent = self.k, self.percent
-        pairs = stored(pairs.select("a", "b"), "pairs")
+        pairs = self.kept(pairs.select("a", "b"), "pairs")
         crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(float(HUB_MEMBERS))).cast("int").alias("s"))
         dealt = pairs.join(crowd, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
         hubs = crowd.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
@@ -345,13 +358,13 @@ class Classes:
 
     def texts_of(self, wanted: DataFrame) -> DataFrame:
         """The documents whose id is in ``wanted`` (one row an id, a list ``at`` each), with its columns; few bytes are broadcast."""
-        wanted = stored(wanted, "wanted")
+        wanted = self.kept(wanted, "wanted")
         few = (wanted.agg(F.sum(32 + 32 * F.size("at"))).first()[0] or 0) <= BROADCAST_BYTES
         return self.docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("id"))
 
     def assigned(self) -> DataFrame:
         """Per document doc_id, n_shingles and component_id."""
-        found = components(self.links()).select(F.col("id").alias("rep"), "component")
+        found = components(self.links(), self.made).select(F.col("id").alias("rep"), "component")
         digests = self.all.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
         classes = digests.join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
         out = self.all.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
@@ -359,6 +372,8 @@ class Classes:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per document doc_id, n_shingles, component_id (least id that links reach) and kept."""
-    out = Classes(docs, k, percent).assigned()
+    """Per document doc_id, n_shingles, component_id (least id that links reach) and kept. The result is written, and all else dropped."""
+    classes = Classes(docs, k, percent)
+    out = stored(classes.assigned(), "duplicates")
+    classes.drop()
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkstave.llm.textkit import WORD, Words, mix, pieces, sliding, spans_union, windows
-from sparkstave.session import stored
+from sparkstave.session import drop_stored, stored
 
 WINDOW = 35
 GRAM = 16
@@ -282,6 +282,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     some = hashed.join(small_side(flagged, F.size("ats") * 4 + 80), "h")
     # Copies are summed up in the tasks that read them.
     texts = stored(some.groupBy("h").agg(F.first("text").alias("text"), F.first("ats").alias("ats"), F.count("*").alias("copies")), "texts")
+    drop_stored(flagged)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk = Chunk(TaskContext.get().partitionId() << 24, n_buckets)
@@ -336,6 +337,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select("doc_id", F.sha2("text", 256).alias("h"), "text", F.lit(None).cast("array<bigint>").alias("spans"))
     plain = rows.mapInPandas(digest, f"doc_id {kind}, h string, {counts}")
     changed = stored(texts.select("h", "text").join(spans, "h").mapInPandas(digest, f"h string, {counts}"), "changed")
+    drop_stored(texts)
     changed = changed.select("h", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("left"))
     out = plain.join(small_side(changed, F.lit(160)), "h", "left")
     return out.select("doc_id", "n_words", F.coalesce("gone", "n_removed").alias("n_removed"), F.coalesce("left", "kept_sha256").alias("kept_sha256"))
@@ -366,7 +368,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_emptied: bool =
 
     # The columns travel as one, so that none of theirs can clash.
     keyed = docs.select(F.struct("*").alias("row"), F.sha2("text", 256).alias("h"))
-    joined = keyed.join(small_side(repeated_spans(docs.select("text"), window)[1], F.size("spans") * 8 + 80), "h", "left")
+    texts, spans = repeated_spans(docs.select("text"), window)
+    drop_stored(texts)
+    joined = keyed.join(small_side(spans, F.size("spans") * 8 + 80), "h", "left")
     out = joined.select("row", F.col("spans").isNotNull().alias("changed"), cut("row.text", "spans").alias("left"))
     out = out.filter(~F.col("changed") | F.col("left").isNotNull())
     return out.select(F.col("row").withField("text", F.col("left")).alias("row")).select("row.*")

@@ -23,7 +23,7 @@ def mix(x: np.ndarray, lane: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pieces(batches, column: str = "text", most: int = 1 << 21):
+def pieces(batches, column: str = "text", most: int = 1 << 19):
     """Arrow batches cut into runs of rows with about ``most`` characters of a column; a longer text goes alone."""
     for batch in batches:
         size = batch[column].str.len().fillna(0).to_numpy(np.int64) if len(batch) else np.zeros(0, np.int64)
