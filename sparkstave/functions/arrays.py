@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTS = "array<int>"
@@ -30,6 +30,14 @@ def strip_marks(x: Column, bos: int, eos: int) -> Column:
     return F.when(F.size(x) == 0, x).otherwise(F.slice(x, head + 1, F.size(x) - head - tail))
 
 
+def strip_mark_tuples(x: Column, bos: list[int], eos: list[int]) -> Column:
+    """Lists of tuples without one leading BOS tuple and one trailing EOS tuple."""
+    row = lambda values: F.array(*[F.lit(v) for v in values])
+    head = F.coalesce((F.get(x, F.lit(0)) == row(bos)).cast("int"), F.lit(0))
+    tail = F.when(F.size(x) - head > 0, F.coalesce((F.element_at(x, -1) == row(eos)).cast("int"), F.lit(0))).otherwise(F.lit(0))
+    return F.when(F.size(x) == 0, x).otherwise(F.slice(x, head + 1, F.size(x) - head - tail))
+
+
 def with_marks(x: Column, bos: int, eos: int, most: int) -> Column:
     """BOS, at most ``most`` - 2 ids, EOS."""
     return F.concat(F.array(F.lit(bos)).cast(INTS), F.slice(x, 1, most - 2), F.array(F.lit(eos)).cast(INTS))
@@ -54,18 +62,55 @@ def prefix_end(starts: Column, k: Column, length: Column) -> Column:
     return F.when(k >= F.size(starts), length).otherwise(F.get(starts, k))
 
 
-def aligned_cut(target: Column, t_starts: Column, source: Column, s_starts: Column, t_most: int, s_most: int) -> Column:
-    """Truncation of a pair to the most shared measures that fit both limits; hard cut if not even one fits.
+def aligned_cut(target: Column, t_starts: Column, source: Column, s_starts: Column, t_most: int, s_most: int, lookahead: int = 0) -> Column:
+    """Truncation of a pair to the most shared measures that, with ``lookahead`` entries more, fit both limits; hard cut if not even one fits.
 
-    A struct of measures, target_end, source_end and aligned.
+    A struct of measures, target_end, source_end, aligned (both sides have a boundary to align at), the entries looked ahead on both
+    sides, and truncated.
+    """
+    bound = F.struct(t_starts.alias("t"), s_starts.alias("s"), F.size(target).alias("nt"), F.size(source).alias("ns"))
+    last = lambda x: F.least(F.size(x["t"]), F.size(x["s"]))
+    base = lambda x, side, k: prefix_end(x[side], k, x[f"n{side}"])
+    upto = lambda x, side, k: F.least(x[f"n{side}"], base(x, side, k) + lookahead)
+    # Ends never fall as k grows, so the greatest k that fits is the last before the first that doesn't.
+    fits = lambda x: F.filter(F.sequence(F.lit(1), last(x)), lambda k: (upto(x, "t", k) <= t_most) & (upto(x, "s", k) <= s_most))
+
+    def cut(x: Column, k: Column) -> Column:
+        t_end = F.when(k > 0, upto(x, "t", k)).otherwise(F.least(x["nt"], F.lit(t_most)))
+        s_end = F.when(k > 0, upto(x, "s", k)).otherwise(F.least(x["ns"], F.lit(s_most)))
+        bounds = (F.array_max(x["t"]) > 0) & (F.array_max(x["s"]) > 0)
+        ahead = lambda end, side: F.when(k > 0, end - base(x, side, k)).otherwise(F.lit(0))
+        return F.struct(
+            k.alias("measures"), t_end.alias("target_end"), s_end.alias("source_end"), ((k > 0) & bounds).alias("aligned"),
+            ahead(t_end, "t").alias("target_ahead"), ahead(s_end, "s").alias("source_ahead"), ((t_end < x["nt"]) | (s_end < x["ns"])).alias("truncated"),
+        )
+
+    # Lambdas name what is computed once: the starts, and k.
+    found = lambda x: F.transform(F.array(F.coalesce(F.array_max(fits(x)), F.lit(0))), lambda k: cut(x, k))[0]
+    return F.transform(F.array(bound), found)[0]
+
+
+def truncated_variants(rows: DataFrame, target: str, sources: dict[str, tuple[str, int]], t_start, s_start, t_most: int, s_most: int, width: int) -> DataFrame:
+    """``rows`` with target and sources cut: each variant is truncated against the target, which is kept up to the longest cut of any.
+
+    ``sources`` names each variant's column of tuples and its lookahead. Beside the cut lists a variant has the columns source_length,
+    target_length, measure_count, boundary_aligned, lookahead_target, lookahead_source and truncated, with its name behind.
     """
-    n = F.least(F.size(t_starts), F.size(s_starts))
-    ends = lambda k: (prefix_end(t_starts, k, F.size(target)), prefix_end(s_starts, k, F.size(source)))
-    fits = lambda k: (ends(k)[0] <= t_most) & (ends(k)[1] <= s_most)
-    k = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), n), fits)), F.lit(0))
-    t_end = F.when(k > 0, ends(k)[0]).otherwise(F.least(F.size(target), F.lit(t_most)))
-    s_end = F.when(k > 0, ends(k)[1]).otherwise(F.least(F.size(source), F.lit(s_most)))
-    return F.struct(k.alias("measures"), t_end.alias("target_end"), s_end.alias("source_end"), (k > 0).alias("aligned"))
+    t_starts = F.array_sort(measure_starts(F.col(target), t_start))
+    out = rows
+    for name, (column, lookahead) in sources.items():
+        s_starts = F.array_sort(measure_starts(F.col(column), s_start))
+        out = out.withColumn(f"_cut_{name}", aligned_cut(F.col(target), t_starts, F.col(column), s_starts, t_most, s_most, lookahead))
+    out = out.withColumn(target, F.slice(target, 1, F.array_max(F.array(*[F.col(f"_cut_{v}.target_end") for v in sources]))))
+    for name, (column, _) in sources.items():
+        cut = F.col(f"_cut_{name}")
+        out = out.withColumn(column, or_zero_tuple(F.slice(column, 1, cut["source_end"]), width))
+        named = {
+            "source_length": F.size(column), "target_length": cut["target_end"], "measure_count": cut["measures"], "boundary_aligned": cut["aligned"],
+            "lookahead_target": cut["target_ahead"], "lookahead_source": cut["source_ahead"], "truncated": cut["truncated"],
+        }
+        out = out.withColumns({f"{k}_{name}": c for k, c in named.items()})
+    return out.drop(*[f"_cut_{v}" for v in sources])
 
 
 def or_zero_tuple(x: Column, width: int) -> Column:

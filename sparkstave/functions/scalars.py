@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,12 +25,35 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"(.)\.[^.]*$", "$1")
 
 
+def token_distance(x: list, y: list) -> int:
+    """Levenshtein distance of two lists. One column of the table is a few integers with a bit per token of ``x``."""
+    if not len(x):
+        return len(y)
+    places: dict = {}
+    for i, token in enumerate(x):
+        places[token] = places.get(token, 0) | 1 << i
+    every, last, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    up, down = every, 0  # where the table rises and falls from row to row
+    for token in y:
+        same = places.get(token, 0)
+        falls_across = (((same & up) + up) ^ up) | same
+        rises = (down | ~(falls_across | up)) & every
+        falls = up & falls_across
+        score += bool(rises & last) - bool(falls & last)
+        rises, falls = rises << 1 | 1, falls << 1
+        up, down = (falls | ~(same | down | rises)) & every, rises & (same | down) & every
+    return score
+
+
 def edit_distance(x: Column, y: Column) -> Column:
-    """Levenshtein distance of two token lists: each distinct token of the pair becomes one character."""
-    tokens = F.array_distinct(F.concat(x, y))
-    # From U+4E00 on there are about 20,000 characters in a row; array_position counts from 1.
-    text = lambda a: F.array_join(F.transform(a, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(tokens, t) + 19967), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(text(x), text(y))
+    """Levenshtein distance of two token lists, with any number of distinct tokens; null where a list is null."""
+
+    @F.pandas_udf("int")
+    def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        pairs = zip(xs, ys, strict=True)
+        return pd.Series([None if a is None or b is None else token_distance(list(a), list(b)) for a, b in pairs], dtype="Int32")
+
+    return distance(x, y)
 
 
 def normalized_distance(distance: Column, truth: Column) -> Column:

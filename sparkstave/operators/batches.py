@@ -22,25 +22,45 @@ def global_rank(rows: DataFrame, *order: Column, buckets: Column) -> DataFrame:
     return ranked.withColumn("rank", F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")
 
 
+def shelf_of(rows: DataFrame, number: str, shelves: int = 64) -> Column:
+    """Which of ``shelves`` equal ranges between the least and the greatest value of a numeric column a row lies in; null first."""
+    low, high = rows.agg(F.min(number).cast("double"), F.max(number).cast("double")).first()
+    if low is None:
+        return F.lit(0)
+    width = max(high - low, 1.0) / shelves
+    return F.coalesce(F.floor((F.col(number) - F.lit(low)) / F.lit(width)), F.lit(-1))
+
+
+def hash_key(seed: int, *columns: str) -> Column:
+    """A number of 52 bits from the MD5 of seed and columns: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])), 1, 13), 16, 10).cast("bigint")
+
+
 def inference_batches(rows: DataFrame, size: int) -> DataFrame:
-    """(row_id, n, batch_id): longest rows first, cut into batches of ``size``."""
-    ranked = global_rank(rows, F.desc("n"), F.col("row_id"), buckets=-F.col("n"))
+    """(row_id, n, batch_id): longest rows first, cut into batches of ``size``.
+
+    Ranks are counted in ranges of (length, id), so rows of one common length are spread over tasks too.
+    """
+    ranked = global_rank(rows, F.desc("n"), F.col("row_id"), buckets=F.struct((-F.col("n")).alias("n"), shelf_of(rows, "row_id").alias("shelf")))
     return ranked.select("row_id", "n", F.floor(F.col("rank") / F.lit(float(size))).alias("batch_id"))
 
 
 def bucketed_batches(rows: DataFrame, batch: int, multiplier: int, seed: int, epoch: int, drop_last: bool = False) -> DataFrame:
-    """Rows in hash order cut into pools, each pool sorted by length and cut into batches, batches in hash order."""
-    key = F.xxhash64(F.lit(seed + epoch), "row_id")
-    keyed = rows.withColumn("key", key)
-    ranked = global_rank(keyed, F.col("key"), F.col("row_id"), buckets=F.shiftright(F.col("key"), 54))
+    """(row_id, n, pool, piece, batch_id): rows in hash order cut into pools, each pool sorted by length and cut into batches, batches shuffled.
+
+    ``batch_id`` is a batch's place in the shuffled order. With ``drop_last`` batches that aren't full go before they are numbered.
+    """
+    keyed = rows.withColumn("key", hash_key(seed + epoch, "row_id"))
+    ranked = global_rank(keyed, F.col("key"), F.col("row_id"), buckets=F.shiftright(F.col("key"), 40))
     pool = F.floor(F.col("rank") / F.lit(float(batch * multiplier)))
     ranked = ranked.withColumn("pool", pool)
     inside = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("n"), "row_id")) - 1
     planned = ranked.withColumn("piece", F.floor(inside / F.lit(float(batch))))
-    if drop_last:
-        full = planned.groupBy("pool", "piece").count().filter(F.col("count") == batch).select("pool", "piece")
-        planned = planned.join(full, ["pool", "piece"], "left_semi")
-    return planned.select("row_id", "n", "pool", "piece", F.xxhash64(F.lit(seed + epoch), "pool", "piece").alias("batch_key"))
+    batches = planned.groupBy("pool", "piece").count()
+    batches = (batches.filter(F.col("count") == batch) if drop_last else batches).select("pool", "piece")
+    batches = batches.withColumn("batch_key", hash_key(seed + epoch, "pool", "piece"))
+    shuffled = global_rank(batches, F.col("batch_key"), F.col("pool"), F.col("piece"), buckets=F.shiftright(F.col("batch_key"), 40))
+    return planned.drop("rank").join(shuffled, ["pool", "piece"]).select("row_id", "n", "pool", "piece", F.col("rank").alias("batch_id"))
 
 
 def padded_batches(rows: DataFrame, pad: int) -> DataFrame:
@@ -84,9 +104,19 @@ def stage_of(epoch: Column, stages: dict[int, int]) -> Column:
     return out
 
 
-def expected_length(variants: dict[str, tuple[float, Column]], cap: int) -> Column:
-    """Sum over variants of probability times capped length plus two marks."""
-    return sum((F.lit(p) * (F.least(n, F.lit(cap)) + 2) for p, n in variants.values()), F.lit(0.0))
+def expected_length(variants: dict[str, tuple[float, Column, Column]], source_cap: int, target_cap: int, mode: str = "target_only", source_weight: float = 1.0) -> Column:
+    """Length of a row that buckets go by: over variants, probability times capped length plus two marks, of the target, the source, or both.
+
+    ``variants`` has probability, source length and target length. ``mode`` is target_only, source_only or combined (target and weighted source).
+    """
+    total = lambda side, cap: sum((F.lit(v[0]) * (F.least(v[side], F.lit(cap)) + 2) for v in variants.values()), F.lit(0.0))
+    if mode == "target_only":
+        return total(2, target_cap)
+    if mode == "source_only":
+        return total(1, source_cap)
+    if mode != "combined":
+        raise ValueError(f"unknown mode {mode!r}")
+    return total(2, target_cap) + F.lit(source_weight) * total(1, source_cap)
 
 
 def stage_shares(weights: dict[str, float]) -> dict[str, float]:

@@ -37,6 +37,11 @@ def ids_query(name: str, column, sql: str):
 
 BODY = "lmx_ids[(CASE WHEN lmx_ids[1] = 1 THEN 2 ELSE 1 END):(len(lmx_ids) - CASE WHEN lmx_ids[-1] = 2 AND len(lmx_ids) > (CASE WHEN lmx_ids[1] = 1 THEN 1 ELSE 0 END) THEN 1 ELSE 0 END)]"
 ids_query("f14_strip_marks", lambda: arrays.strip_marks(lmx(), 1, 2), BODY)
+TUPLES = "list_transform(lmx_ids, lambda t: [t, t % 3])"
+ids_query(
+    "f15_strip_mark_tuples", lambda: arrays.strip_mark_tuples(F.transform(lmx(), lambda t: F.array(t, t % 3)), [1, 1], [2, 2]),
+    f"list_transform({BODY}, lambda t: [t, t % 3])",
+)
 ids_query("f22_keep_first", lambda: arrays.first_n(lmx(), 10), "lmx_ids[1:10]")
 ids_query("f23_with_marks", lambda: arrays.with_marks(lmx(), 1, 2, 12), "list_concat([CAST(1 AS INTEGER)], list_concat(lmx_ids[1:10], [CAST(2 AS INTEGER)]))")
 STARTS = "list_sort(list_distinct(list_concat([CAST(0 AS BIGINT)], list_filter(range(0, len({x})), lambda i: {x}[i + 1] < 5))))"
@@ -58,24 +63,33 @@ ids_query(
 )
 ids_query("o07_top_k", lambda: F.slice(F.reverse(F.array_sort(lmx())), 1, 5), "list_reverse_sort(lmx_ids)[1:5]")
 
-CUT = f"""{R}, st AS (SELECT *, {STARTS.format(x='lmx_ids')} AS ts, {STARTS.format(x='src_ids')} AS ss FROM rows),
-ks AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(ts), len(ss)) + 1), lambda k: CASE WHEN k >= len(ts) THEN len(lmx_ids) ELSE ts[k + 1] END <= 20 AND CASE WHEN k >= len(ss) THEN len(src_ids) ELSE ss[k + 1] END <= 16)), 0) AS k FROM st),
-cut AS (SELECT row_id, CAST(k AS INTEGER) AS measures, CAST(CASE WHEN k = 0 THEN least(len(lmx_ids), 20) WHEN k >= len(ts) THEN len(lmx_ids) ELSE ts[k + 1] END AS INTEGER) AS target_end,
-CAST(CASE WHEN k = 0 THEN least(len(src_ids), 16) WHEN k >= len(ss) THEN len(src_ids) ELSE ss[k + 1] END AS INTEGER) AS source_end, k > 0 AS aligned, len(lmx_ids) AS n FROM ks)"""
+def cut_sql(table: str, target: str, source: str, target_starts: str, source_starts: str, ahead: str, t_most: int, s_most: int) -> str:
+    """CTEs st, ks and cut: truncation of each row of a table that has row_id, variant, target and source lists, and a lookahead."""
+    end = lambda x, starts: f"CASE WHEN k >= len({starts}) THEN len({x}) ELSE {starts}[k + 1] END"
+    upto = lambda x, starts: f"least(len({x}), {end(x, starts)} + {ahead})"
+    return f"""st AS (SELECT *, {target_starts} AS ts, {source_starts} AS ss FROM {table}),
+ks AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(ts), len(ss)) + 1), lambda k: {upto(target, 'ts')} <= {t_most} AND {upto(source, 'ss')} <= {s_most})), 0) AS k FROM st),
+cut AS (SELECT *, CAST(k AS INTEGER) AS measures, CAST(CASE WHEN k = 0 THEN least(len({target}), {t_most}) ELSE {upto(target, 'ts')} END AS INTEGER) AS target_end,
+CAST(CASE WHEN k = 0 THEN least(len({source}), {s_most}) ELSE {upto(source, 'ss')} END AS INTEGER) AS source_end, k > 0 AND len(ts) > 1 AND len(ss) > 1 AS aligned,
+CAST(CASE WHEN k = 0 THEN 0 ELSE {upto(target, 'ts')} - {end(target, 'ts')} END AS INTEGER) AS target_ahead,
+CAST(CASE WHEN k = 0 THEN 0 ELSE {upto(source, 'ss')} - {end(source, 'ss')} END AS INTEGER) AS source_ahead FROM ks)"""
+
+
+CUT = f"{R}, " + cut_sql("(SELECT * FROM rows)", "lmx_ids", "src_ids", STARTS.format(x="lmx_ids"), STARTS.format(x="src_ids"), "2", 20, 16)
 
 
 def _cuts(spark, d):
     start = lambda t: t < 5
     rows = fx.id_rows(spark, d).withColumn("ts", F.array_sort(arrays.measure_starts(lmx(), start))).withColumn("ss", F.array_sort(arrays.measure_starts(F.col("src_ids"), start)))
-    return rows.select("row_id", F.size(lmx()).alias("n"), arrays.aligned_cut(lmx(), F.col("ts"), F.col("src_ids"), F.col("ss"), 20, 16).alias("c")).select("row_id", "n", "c.*")
+    return rows.select("row_id", F.size(lmx()).alias("n"), arrays.aligned_cut(lmx(), F.col("ts"), F.col("src_ids"), F.col("ss"), 20, 16, 2).alias("c")).select("row_id", "n", "c.*")
 
 
-@query("f18_aligned_truncation", f"{CUT} SELECT row_id, measures, target_end, source_end, aligned FROM cut")
+@query("f18_aligned_truncation", f"{CUT} SELECT row_id, measures, target_end, source_end, aligned, target_ahead, source_ahead, target_end < len(lmx_ids) OR source_end < len(src_ids) AS truncated FROM cut")
 def f18(spark, d):
     return _cuts(spark, d).drop("n")
 
 
-@query("a21_truncation_statistics", f"{CUT} SELECT CASE row_id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS variant, avg(measures) AS avg_measures, avg(target_end) AS avg_target, avg(source_end) AS avg_source, avg(CASE WHEN aligned THEN 1e0 ELSE 0e0 END) AS aligned_rate, avg(CASE WHEN target_end < n THEN 1e0 ELSE 0e0 END) AS truncated_rate FROM cut GROUP BY 1")
+@query("a21_truncation_statistics", f"{CUT} SELECT CASE row_id % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS variant, avg(measures) AS avg_measures, avg(target_end) AS avg_target, avg(source_end) AS avg_source, avg(CASE WHEN aligned THEN 1e0 ELSE 0e0 END) AS aligned_rate, avg(CASE WHEN target_end < len(lmx_ids) THEN 1e0 ELSE 0e0 END) AS truncated_rate FROM cut GROUP BY 1")
 def a21(spark, d):
     k = F.col("row_id") % 3
     rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
@@ -85,10 +99,30 @@ def a21(spark, d):
     )
 
 
-@query("f19_longest_variant_cut", f"{R} SELECT row_id, greatest(least(len(lmx_ids), 10 + row_id % 7), least(len(lmx_ids), 10 + row_id % 5), least(len(lmx_ids), 10 + row_id % 3)) AS keep FROM rows")
+VARIANTS = {"clean": ("src_ids", 0), "light": ("list_filter(src_ids, lambda t: t % 7 <> 0)", 1), "heavy": ("list_filter(src_ids, lambda t: t % 3 <> 0)", 3)}
+LONG = "long AS (" + " UNION ALL ".join(
+    f"SELECT row_id, '{v}' AS variant, {BODY} AS body, {source} AS source, {ahead} AS ahead FROM rows" for v, (source, ahead) in VARIANTS.items()
+) + ")"
+PER_VARIANT = {
+    "source_length": "greatest(source_end, 1)", "target_length": "target_end", "measure_count": "measures", "boundary_aligned": "aligned",
+    "lookahead_target": "target_ahead", "lookahead_source": "source_ahead", "truncated": "(target_end < len(body) OR source_end < len(source))",
+}
+
+
+@query("f19_truncated_variants", f"{R}, {LONG}, " + cut_sql("long", "body", "source", STARTS.format(x="body"), STARTS.format(x="source"), "ahead", 20, 16) + """
+SELECT row_id, any_value(body)[1:max(target_end)] AS lmx_ids, CAST(max(target_end) AS INTEGER) AS lmx_length, """ + ", ".join(
+    f"any_value({x}) FILTER (variant = '{v}') AS {k}_{v}" for v in VARIANTS for k, x in PER_VARIANT.items()) + """,
+any_value(CASE WHEN source_end = 0 THEN [[0, 0]] ELSE list_transform(source[1:source_end], lambda t: [t, CASE WHEN t < 5 THEN 1 ELSE 0 END]) END) FILTER (variant = 'heavy') AS heavy FROM cut GROUP BY row_id""")
 def f19(spark, d):
-    cut = lambda k: F.least(F.size(lmx()).cast("bigint"), F.col("row_id") % k + 10)
-    return fx.id_rows(spark, d).select("row_id", F.greatest(cut(7), cut(5), cut(3)).alias("keep"))
+    tuples = lambda x: F.transform(x, lambda t: F.array(t, (t < 5).cast("int")))
+    src = F.col("src_ids")
+    rows = fx.id_rows(spark, d).select(
+        "row_id", arrays.strip_marks(lmx(), 1, 2).alias("lmx_ids"), tuples(src).alias("clean"), tuples(F.filter(src, lambda t: t % 7 != 0)).alias("light"),
+        tuples(F.filter(src, lambda t: t % 3 != 0)).alias("heavy"),
+    )
+    sources = {v: (v, ahead) for v, (_, ahead) in VARIANTS.items()}
+    cut = arrays.truncated_variants(rows, "lmx_ids", sources, lambda t: t < 5, lambda t: F.get(t, F.lit(1)) == 1, 20, 16, 2)
+    return cut.withColumn("lmx_length", F.size("lmx_ids")).drop("clean", "light")
 
 
 @query("f28_chosen_source", f"{R} SELECT row_id, CASE row_id % 3 WHEN 0 THEN len(lmx_ids) WHEN 1 THEN len(src_ids) ELSE 0 END AS out FROM rows")
@@ -127,9 +161,20 @@ def l04(spark, d):
     return batches.padded_batches(rows.join(batches.inference_batches(rows.select("row_id", "n"), 16).drop("n"), "row_id"), 0)
 
 
-@query("w06_bucketed_batches")
-def w06(spark, d):
-    return batches.bucketed_batches(fx.id_rows(spark, d).select("row_id", F.size(lmx()).cast("bigint").alias("n")), batch=8, multiplier=10, seed=42, epoch=3)
+def bucketed_sql(drop_last: bool) -> str:
+    key = lambda *c: f"CAST(CAST('0x' || substr(md5(concat_ws(':', '45', {', '.join(c)})), 1, 13) AS UBIGINT) AS BIGINT)"
+    return f"""{R}, k AS (SELECT row_id, len(lmx_ids) AS n, {key('row_id')} AS key FROM rows),
+r AS (SELECT row_id, n, CAST(floor((row_number() OVER (ORDER BY key, row_id) - 1) / 80e0) AS BIGINT) AS pool FROM k),
+p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY pool ORDER BY n DESC, row_id) - 1) / 8e0) AS BIGINT) AS piece FROM r),
+b AS (SELECT pool, piece, {key('pool', 'piece')} AS key FROM p GROUP BY pool, piece {'HAVING count(*) = 8' if drop_last else ''}),
+o AS (SELECT pool, piece, row_number() OVER (ORDER BY key, pool, piece) - 1 AS batch_id FROM b)
+SELECT row_id, n, pool, piece, batch_id FROM p JOIN o USING (pool, piece)"""
+
+
+for _name, _drop in (("w06_bucketed_batches", False), ("w06_full_batches_only", True)):
+    query(_name, bucketed_sql(_drop))(
+        lambda spark, d, drop=_drop: batches.bucketed_batches(fx.id_rows(spark, d).select("row_id", F.size(lmx()).cast("bigint").alias("n")), batch=8, multiplier=10, seed=42, epoch=3, drop_last=drop)
+    )
 
 
 @query("w10_stage_in_force", "SELECT o_orderkey, CASE WHEN e >= 10 THEN 2 WHEN e >= 4 THEN 1 ELSE 0 END AS stage FROM (SELECT o_orderkey, o_orderkey % 16 AS e FROM orders)")
@@ -137,19 +182,29 @@ def w10(spark, d):
     return table(spark, d, "orders").select("o_orderkey", batches.stage_of(F.col("o_orderkey") % 16, {0: 0, 4: 1, 10: 2}).alias("stage"))
 
 
-@query("l01_expected_length", f"{R} SELECT row_id, 0.5e0 * (least(len(lmx_ids), 20) + 2) + 0.5e0 * (least(len(src_ids), 20) + 2) AS expected FROM rows")
+@query("l01_expected_length", f"""{R}, e AS (SELECT row_id, 0.5e0 * (least(len(lmx_ids), 20) + 2) + 0.5e0 * (least(len(lmx_ids) // 2, 20) + 2) AS t, 0.5e0 * (least(len(src_ids), 12) + 2) + 0.5e0 * (least(len(src_ids) // 2, 12) + 2) AS s FROM rows)
+SELECT row_id, t AS target_only, s AS source_only, t + 0.25e0 * s AS combined FROM e""")
 def l01(spark, d):
-    return fx.id_rows(spark, d).select("row_id", batches.expected_length({"clean": (0.5, F.size(lmx())), "light": (0.5, F.size("src_ids"))}, 20).alias("expected"))
+    half = lambda c: F.floor(F.size(c) / 2)
+    variants = {"clean": (0.5, F.size("src_ids"), F.size("lmx_ids")), "light": (0.5, half("src_ids"), half("lmx_ids"))}
+    modes = [batches.expected_length(variants, 12, 20, mode, 0.25).alias(mode) for mode in ("target_only", "source_only", "combined")]
+    return fx.id_rows(spark, d).select("row_id", *modes)
 
 
-@query("l02_l03_curriculum_example")
+def uniform_sql(seed: int, key: str) -> str:
+    return f"CAST(CAST('0x' || substr(sha256('{seed}:' || {key}), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0e0"
+
+
+@query("l02_l03_curriculum_example", f"""{R}, u AS (SELECT *, {uniform_sql(3, 'row_id')} AS u FROM rows WHERE row_id IS NOT NULL), v AS (SELECT *, CASE WHEN u < 0.5e0 THEN 'clean' WHEN u < 0.75e0 THEN 'light' ELSE 'heavy' END AS variant, {BODY} AS body FROM u)
+SELECT row_id, variant, CASE variant WHEN 'clean' THEN src_ids WHEN 'light' THEN src_ids[1:20] ELSE src_ids[1:10] END AS source, list_concat([CAST(1 AS INTEGER)], list_concat(body[1:14], [CAST(2 AS INTEGER)])) AS target FROM v""")
 def l03(spark, d):
-    return batches.curriculum_examples(fx.id_rows(spark, d), {"clean": 2.0, "light": 1.0, "heavy": 1.0}, seed=1, epoch=2, most=16)
+    return batches.curriculum_examples(fx.id_rows(spark, d).filter("row_id is not null"), {"clean": 2.0, "light": 1.0, "heavy": 1.0}, seed=1, epoch=2, most=16)
 
 
-@query("l07_random_crop")
+@query("l07_random_crop", f"""{R}, p AS (SELECT row_id, lmx_ids, CAST(floor({uniform_sql(5, 'row_id')} * (greatest(0, len(lmx_ids) - 12) + 1)) AS INTEGER) AS place FROM rows WHERE row_id IS NOT NULL)
+SELECT row_id, place AS "at", lmx_ids[place + 1:place + 12] AS ids FROM p""")
 def l07(spark, d):
-    return batches.random_crop(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), 12, seed=5)
+    return batches.random_crop(fx.id_rows(spark, d).filter("row_id is not null").select("row_id", lmx().alias("ids")), 12, seed=5)
 
 
 @query("f10_word_count", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents")
@@ -157,12 +212,12 @@ def f10(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(arrays.words(F.col("text"))).alias("n"))
 
 
-WORDS = r"WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '^[A-Z]') THEN 'measure' ELSE t END) AS s FROM documents WHERE lang = 'en')"
+WORDS = r"WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '^[A-Z]') THEN 'measure' ELSE t END) AS s FROM documents WHERE text IS NOT NULL)"
 
 
 def _symbols(spark, d):
     s = F.transform(arrays.words(F.col("text")), lambda t: F.when(t.rlike("^[A-Z]"), F.lit("measure")).otherwise(t))
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", s.alias("s"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", s.alias("s"))
 
 
 @query("f11_cut_at_measure", WORDS + " SELECT doc_id, CASE WHEN len(s) <= 60 THEN CAST(len(s) AS INTEGER) ELSE CAST(greatest(1, coalesce(list_max(list_filter(range(0, 61), lambda i: s[i + 1] = 'measure')), 1)) AS INTEGER) END AS n FROM w")
@@ -170,20 +225,20 @@ def f11(spark, d):
     return _symbols(spark, d).select("doc_id", F.size(arrays.cut_at_measure(F.col("s"), 60)).alias("n"))
 
 
-@query("f12_encode_symbols", WORDS + """, v AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT s[1] AS t FROM w)),
+@query("f12_encode_symbols", WORDS + """, v AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT unnest(s) AS t FROM w)),
 m AS (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(s) AS t, unnest(range(0, len(s))) AS i FROM w))
-SELECT m.doc_id, count(v.t) AS n_known, coalesce(string_agg(chr(CAST(33 + v.i AS INTEGER)), '' ORDER BY m.i), '') AS encoded FROM m LEFT JOIN v ON m.t = v.t GROUP BY m.doc_id""")
+SELECT m.doc_id, count(v.t) AS n_known, coalesce(string_agg(chr(CAST(CASE WHEN 33 + v.i < 55296 THEN 33 + v.i ELSE 33 + v.i + 2048 END AS INTEGER)), '' ORDER BY m.i), '') AS encoded FROM m LEFT JOIN v ON m.t = v.t GROUP BY m.doc_id""")
 def f12(spark, d):
     rows = _symbols(spark, d)
-    vocabulary = bpe.dictionary(rows.select(F.get("s", F.lit(0)).alias("symbol")).filter("symbol is not null"))
+    vocabulary = bpe.dictionary(rows.select(F.explode("s").alias("symbol")))
     return bpe.encode_symbols(rows, vocabulary, "doc_id", "s")
 
 
-@query("f13_decode_symbols", WORDS + """, v AS (SELECT DISTINCT s[1] AS t FROM w), m AS (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(s) AS t, unnest(range(0, len(s))) AS i FROM w))
-SELECT m.doc_id, list(m.t ORDER BY m.i) AS symbols FROM m JOIN v ON m.t = v.t GROUP BY m.doc_id""")
+@query("f13_decode_symbols", WORDS + """, m AS (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(s) AS t, unnest(range(0, len(s))) AS i FROM w))
+SELECT m.doc_id, list(m.t ORDER BY m.i) AS symbols FROM m GROUP BY m.doc_id""")
 def f13(spark, d):
     rows = _symbols(spark, d)
-    vocabulary = bpe.dictionary(rows.select(F.get("s", F.lit(0)).alias("symbol")).filter("symbol is not null"))
+    vocabulary = bpe.dictionary(rows.select(F.explode("s").alias("symbol")))
     return bpe.decode_symbols(bpe.encode_symbols(rows, vocabulary, "doc_id", "s"), vocabulary, "doc_id").filter("size(symbols) > 0")
 
 
@@ -233,14 +288,21 @@ def b06(spark, d):
     return ids.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("training").alias("split"), "ids")
 
 
-@query("f07_f08_edit_distance", """SELECT a.doc_id, CAST(levenshtein(left(a.t, 40), left(b.t, 40)) AS INTEGER) AS distance, levenshtein(left(a.t, 40), left(b.t, 40)) / CAST(greatest(length(left(b.t, 40)), 1) AS DOUBLE) AS normalized
-FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g') AS t FROM documents) a JOIN (SELECT doc_id - 1 AS doc_id, regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g') AS t FROM documents) b ON a.doc_id = b.doc_id""")
+@query("f07_f08_edit_distance", r"""WITH RECURSIVE c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS MATERIALIZED (SELECT a.conv_id, a.turn, a.x, b.x AS y FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
+walk AS (
+  SELECT conv_id, turn, x, y, 0 AS i, range(0, len(y) + 1) AS state FROM p
+  UNION ALL
+  SELECT conv_id, turn, x, y, i + 1, list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, least(acc[-1] + 1, state[j + 1] + 1, state[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE 1 END)), [CAST(i + 1 AS BIGINT)])
+  FROM walk WHERE i < len(x))
+SELECT conv_id, turn, CAST(state[-1] AS INTEGER) AS distance, state[-1] / CAST(greatest(len(y), 1) AS DOUBLE) AS normalized FROM walk WHERE i = len(x)""")
 def f07(spark, d):
-    letters = F.split(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", ""), 1, 40), "")
-    rows = table(spark, d, "documents").select("doc_id", F.filter(letters, lambda c: c != "").alias("x"))
-    other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
-    paired = rows.join(other, "doc_id").withColumn("distance", scalars.edit_distance(F.col("x"), F.col("y")))
-    return paired.select("doc_id", "distance", scalars.normalized_distance(F.col("distance"), F.col("y")).alias("normalized"))
+    """Words of each turn against those of the next one."""
+    x = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    rows = table(spark, d, "conversations").dropna(subset=["conv_id", "turn"]).select("conv_id", "turn", x.alias("x"))
+    other = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y"))
+    paired = rows.join(other, ["conv_id", "turn"]).withColumn("distance", scalars.edit_distance(F.col("x"), F.col("y")))
+    return paired.select("conv_id", "turn", "distance", scalars.normalized_distance(F.col("distance"), F.col("y")).alias("normalized"))
 
 
 @query("f01_f06_scalars", r"""SELECT event_id, coalesce(TRY_CAST(trim(CASE WHEN event_id % 3 = 0 THEN ' ' || event_id || ' ' ELSE 'x' || event_id END) AS INTEGER), 0) AS number, regexp_replace('{ns}' || event_type, '^[^}]*\}', '') AS tag,
@@ -273,17 +335,65 @@ def f29(spark, d):
     )
 
 
-@query("m01_track_merge", f"WITH {fx.NOTES_SQL} SELECT file, part_idx, arg_min(pitch, note_id) AS first_pitch, count(*) AS n FROM notes WHERE side = 'gt' GROUP BY ALL")
+TRACKS = f"""{fx.NOTES_SQL}, tr AS (SELECT *, note_id % 3 AS track, CASE WHEN note_id % 3 = 0 THEN NULL ELSE CAST(note_id % 2 AS INTEGER) END AS program FROM gt)"""
+
+
+def tracks(spark, d):
+    """Truth as tracks; one has no program."""
+    i = F.col("note_id")
+    return fx.notes(spark, d).filter("side = 'gt'").withColumn("track", i % 3).withColumn("program", F.when(i % 3 != 0, (i % 2).cast("int")))
+
+
+@query("m01_track_merge", f"WITH {TRACKS}, f AS (SELECT file, arg_min(program_or, (track, note_id)) AS first FROM (SELECT *, coalesce(program, -1) AS program_or FROM tr) GROUP BY file) SELECT tr.file, note_id, pitch, program FROM tr JOIN f ON tr.file = f.file AND coalesce(program, -1) = f.first")
 def m01(spark, d):
-    return fx.notes(spark, d).filter("side = 'gt'").groupBy("file", "part_idx").agg(F.min_by("pitch", "note_id").alias("first_pitch"), F.count("*").alias("n"))
+    return noise.merged_tracks(tracks(spark, d)).select("file", "note_id", "pitch", "program")
+
 
+TEMPI = "tempi AS (SELECT CAST(user_id AS VARCHAR) AS file, CAST((event_id % 64) * 120 AS BIGINT) AS tick, CAST(60 + event_id % 120 AS DOUBLE) AS bpm FROM events WHERE event_type = 'signup')"
 
-@query("m02_m06_noise_variants")
+
+def tempi(spark, d):
+    i = F.col("event_id")
+    return table(spark, d, "events").filter("event_type = 'signup'").select(F.col("user_id").cast("string").alias("file"), ((i % 64) * 120).alias("tick"), (i % 120 + 60).cast("double").alias("bpm"))
+
+
+TICKED = "tk AS (SELECT file, note_id, pitch, CAST(onset_beat * 480 AS BIGINT) AS time, CAST(duration_beat * 480 AS BIGINT) AS duration FROM gt)"
+#: Overlap repair of ``moved`` (group, note_id, pitch, place, time, duration), note by note within a group and pitch.
+REPAIR = """ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp, pitch ORDER BY place, note_id) AS r FROM moved),
+walk AS (
+  SELECT grp, note_id, pitch, r, time, duration FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT n.grp, n.note_id, n.pitch, n.r, CASE WHEN n.time < w.time + w.duration THEN greatest(w.time + 1, n.time) ELSE n.time END, n.duration
+  FROM walk w JOIN ranked n ON n.grp = w.grp AND n.pitch = w.pitch AND n.r = w.r + 1),
+fixed AS (SELECT w.grp, w.note_id, w.pitch, w.time, CASE WHEN n.time IS NOT NULL AND m.time < w.time + w.duration THEN greatest(n.time - w.time - 1, 1) ELSE w.duration END AS duration
+  FROM walk w LEFT JOIN walk n ON n.grp = w.grp AND n.pitch = w.pitch AND n.r = w.r + 1 LEFT JOIN ranked m ON m.grp = w.grp AND m.pitch = w.pitch AND m.r = w.r + 1)"""
+
+
+def _tagged(tag: str, *cols: str) -> str:
+    return uniform_sql(11, f"concat_ws('/', '{tag}', variant, {', '.join(cols)})")
+
+
+@query("m02_m06_noise_variants", f"""WITH RECURSIVE {fx.NOTES_SQL}, {TEMPI}, {TICKED},
+t1 AS (SELECT file, tick, max(bpm) AS bpm FROM tempi GROUP BY ALL), t0 AS (SELECT file, arg_min(bpm, (tick, bpm)) AS bpm FROM tempi GROUP BY file),
+inforce AS (SELECT tk.*, coalesce(a.bpm, f.bpm, 120e0) AS bpm FROM tk ASOF LEFT JOIN t1 a ON tk.file = a.file AND tk.time >= a.tick LEFT JOIN t0 f ON tk.file = f.file),
+len AS (SELECT file, greatest(max(time + duration), 1) AS length FROM tk GROUP BY file),
+lv AS (SELECT * FROM (VALUES ('light', 60e0, 10e0, 0.9e0, 1.1e0), ('heavy', 120e0, 25e0, 0.8e0, 1.2e0)) v(variant, drift, jitter, low, high)),
+n0 AS (SELECT i.*, len.length, lv.* FROM inforce i JOIN len USING (file), lv),
+n1 AS (SELECT *, greatest(2, CAST(floor(length / floor((4e0 + {_tagged('step', 'file')} * 12e0) * 480)) AS BIGINT)) - 1 AS last FROM n0),
+n2 AS (SELECT *, CAST(time AS DOUBLE) / length * last AS at_point FROM n1),
+n3 AS (SELECT *, least(CAST(floor(at_point) AS BIGINT), last - 1) AS point FROM n2),
+n4 AS (SELECT *, (1 - (at_point - point)) * (({_tagged('drift', 'file', 'point')} * 2 - 1) * drift) + (at_point - point) * (({_tagged('drift', 'file', 'point + 1')} * 2 - 1) * drift) AS moved_by,
+  sqrt(-2 * ln(greatest({_tagged('r', 'note_id')}, 1e-12))) * cos(2 * 3.141592653589793e0 * {_tagged('a', 'note_id')}) * jitter * (480 * bpm / 60000.0e0) AS jittered,
+  low + {_tagged('s', 'note_id')} * (high - low) AS stretch FROM n3),
+moved AS MATERIALIZED (SELECT variant || '/' || file AS grp, variant, file, note_id, pitch, time AS place, greatest(0, CAST(trunc(time + moved_by + jittered) AS BIGINT)) AS time, greatest(1, CAST(trunc(duration * stretch) AS BIGINT)) AS duration FROM n4),
+{REPAIR}
+SELECT split_part(grp, '/', 1) AS variant, substr(grp, length(split_part(grp, '/', 1)) + 2) AS file, note_id, pitch, time, duration FROM fixed UNION ALL SELECT 'clean', file, note_id, pitch, time, duration FROM tk""")
 def m06(spark, d):
-    return noise.variants(noise.ticked(fx.notes(spark, d).filter("side = 'gt'")), seed=11)
+    return noise.variants(noise.ticked(fx.notes(spark, d).filter("side = 'gt'")), 11, tempi(spark, d))
 
 
-@query("w08_overlap_repair")
+@query("w08_overlap_repair", f"""WITH RECURSIVE {fx.NOTES_SQL}, {TICKED}, moved AS MATERIALIZED (SELECT file AS grp, note_id, pitch, time AS place, time, duration FROM tk), {REPAIR}
+SELECT grp AS file, note_id, pitch, time, duration FROM fixed""")
 def w08(spark, d):
     return noise.repaired(noise.ticked(fx.notes(spark, d).filter("side = 'gt'")))
 
@@ -294,6 +404,15 @@ def w09(spark, d):
     return table(spark, d, "events").select("event_id", noise.interpolated((F.col("event_id") % 97).cast("double") / F.lit(97.0), points).alias("value"))
 
 
-@query("m07_note_grid", f"WITH {fx.NOTES_SQL} SELECT note_id, CAST(floor(onset_beat * 8 + 0.5e0) AS BIGINT) AS position, CAST(CASE WHEN duration_beat <= 8 THEN greatest(1, floor(duration_beat * 8 + 0.5e0)) ELSE 64 + greatest(1, floor((duration_beat - 8) * 4 + 0.5e0)) END AS BIGINT) AS duration_step FROM notes WHERE side = 'gt'")
+@query("m07_note_grid", f"""WITH {fx.NOTES_SQL}, {TEMPI}, g AS (SELECT *, CAST(floor(onset_beat * 8 + 0.5e0) AS BIGINT) AS steps, 2 + note_id % 3 AS beats, CAST(note_id % 2 AS INTEGER) AS program FROM gt),
+b AS (SELECT *, beats * 8 AS bar_steps, CAST(floor(steps / CAST(beats * 8 AS DOUBLE)) AS BIGINT) AS number FROM g),
+o AS (SELECT *, lag(number) OVER (PARTITION BY file ORDER BY steps, pitch, note_id) AS earlier FROM b),
+t1 AS (SELECT file, tick, max(bpm) AS bpm FROM tempi GROUP BY ALL), t0 AS (SELECT file, arg_min(bpm, (tick, bpm)) AS bpm FROM tempi GROUP BY file),
+f AS (SELECT o.*, coalesce(a.bpm, t0.bpm, 120e0) AS bpm FROM (SELECT *, steps * 60 AS tick FROM o) o ASOF LEFT JOIN t1 a ON o.file = a.file AND o.tick >= a.tick LEFT JOIN t0 ON o.file = t0.file)
+SELECT file, note_id, CASE WHEN number IS DISTINCT FROM earlier THEN 1 ELSE 0 END AS bar, steps - number * bar_steps AS position, pitch,
+CAST(CASE WHEN duration_beat <= 8 THEN greatest(1, floor(duration_beat * 8 + 0.5e0)) ELSE 64 + greatest(1, floor((duration_beat - 8) * 4 + 0.5e0)) END AS BIGINT) AS duration_step,
+beats || '/4' AS time_signature, program, CAST(floor(bpm + 0.5e0) AS INTEGER) AS tempo FROM f""")
 def m07(spark, d):
-    return noise.on_grid(fx.notes(spark, d).filter("side = 'gt'"))
+    i = F.col("note_id")
+    notes = fx.notes(spark, d).filter("side = 'gt'").withColumn("beats", i % 3 + 2).withColumn("beat_type", F.lit(4)).withColumn("program", (i % 2).cast("int"))
+    return noise.on_grid(notes, tempi(spark, d))
