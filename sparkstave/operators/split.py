@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,30 @@ def stratum_means(strata: DataFrame) -> DataFrame:
     return strata.groupBy("stratum").agg(F.count("*").alias("n"), F.avg("total_tokens").alias("mean_tokens"))
 
 
+def dealt_run(filled: list[int], goals: list[float], open_splits: list[int], size: int, n: int) -> bytes:
+    """The splits of ``n`` origins of one size; ``filled`` moves on. A split's turns come at rising fill ratios, so all turns are merged by ratio."""
+    if n < 32 or not open_splits:
+        given = bytearray(n)
+        for i in range(n):
+            given[i] = min(open_splits, key=lambda k: filled[k] / goals[k], default=0)
+            filled[given[i]] += size
+        return bytes(given)
+    turns = np.arange(n, dtype=np.int64)
+    ratios = np.concatenate([(filled[k] + turns * size) / goals[k] for k in open_splits])
+    order = np.lexsort((np.repeat(np.arange(len(open_splits)), n), ratios))[:n]  # the lower split first on ties
+    given = np.array(open_splits, np.uint8)[order // n]
+    for k in open_splits:
+        filled[k] += int((given == k).sum()) * size
+    return given.tobytes()
+
+
 def balanced_split(strata: DataFrame, ratio: tuple = RATIO) -> DataFrame:
     """``partition`` for each origin: largest strata first, largest origins first, each to the least filled split.
 
     Which split comes next depends only on the sizes so far, so the sequential part runs over
     distinct sizes with their counts, not over origins: for each run of equal sizes it
-    writes the sequence of splits in blocks, and origins pick theirs by their rank in the run.
+    deals a block at a time, and origins pick theirs by their rank in the run. That part is one task by definition;
+    ``pattern_split`` is the form without one.
     """
     means = stratum_means(strata).select("stratum", "mean_tokens")
     total = strata.agg(F.sum("total_tokens")).first()[0] or 0
@@ -55,12 +74,8 @@ def balanced_split(strata: DataFrame, ratio: tuple = RATIO) -> DataFrame:
         for batch in batches:
             for stratum, size, n in zip(batch["stratum"], batch["total_tokens"], batch["n"], strict=True):
                 for begin in range(0, n, PATTERN_BLOCK):
-                    given = bytearray(min(PATTERN_BLOCK, n - begin))
-                    for i in range(len(given)):
-                        to = min(open_splits, key=lambda k: filled[k] / goals[k], default=0)
-                        filled[to] += size
-                        given[i] = to
-                    yield pd.DataFrame({"stratum": [stratum], "total_tokens": [size], "block": [begin // PATTERN_BLOCK], "given": [bytes(given)]})
+                    given = dealt_run(filled, goals, open_splits, int(size), min(PATTERN_BLOCK, n - begin))
+                    yield pd.DataFrame({"stratum": [stratum], "total_tokens": [size], "block": [begin // PATTERN_BLOCK], "given": [given]})
 
     ordered = runs.repartition(1).sortWithinPartitions(F.desc("mean_tokens"), "stratum", F.desc("total_tokens")).select("stratum", "total_tokens", "n")
     patterns = ordered.mapInPandas(deal, "stratum string, total_tokens bigint, block bigint, given binary")
@@ -77,9 +92,10 @@ def pattern_split(strata: DataFrame, ratio: tuple = RATIO) -> DataFrame:
     n = sum(ratio)
     slots = sorted(((i + 0.5) / r, k) for k, r in enumerate(ratio) for i in range(r))
     cycle = F.array(*[F.lit(SPLITS[k]) for _, k in slots])
-    order = Window.partitionBy("stratum", "shelf").orderBy(F.desc("total_tokens"), F.xxhash64("origin"))
-    shelved = strata.withColumn("shelf", F.pmod(F.xxhash64("origin"), F.lit(64)))
-    return shelved.withColumn("partition", F.element_at(cycle, ((F.row_number().over(order) - 1) % n + 1).cast("int"))).drop("shelf")
+    key = F.conv(F.substring(F.md5(F.concat(F.lit("shelf:"), F.col("origin").cast("string"))), 1, 13), 16, 10).cast("bigint")
+    order = Window.partitionBy("stratum", "shelf").orderBy(F.desc("total_tokens"), "key", "origin")
+    shelved = strata.withColumn("key", key).withColumn("shelf", F.col("key") % 64)
+    return shelved.withColumn("partition", F.element_at(cycle, ((F.row_number().over(order) - 1) % n + 1).cast("int"))).drop("shelf", "key")
 
 
 def split_report(assigned: DataFrame, ratio: tuple = RATIO) -> DataFrame:

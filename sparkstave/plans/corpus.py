@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkstave.functions import scalars
-from sparkstave.operators import split
+from sparkstave.operators import batches, report, split
 from sparkstave.plans import fixtures as fx
-from sparkstave.session import table
+from sparkstave.session import scratch, table
+from sparkstave.sources import tables
 
 QUERIES, SQL = {}, {}
 
@@ -47,7 +48,15 @@ def w04(spark, d):
     return split.split_report(split.balanced_split(a02(spark, d)))
 
 
-@query("w04b_pattern_split")
+@query("w04b_pattern_split", f"WITH {fx.STRATA_SQL}" + """,
+slot AS (SELECT list(k ORDER BY turn, p) AS cycle FROM (SELECT 'training' AS k, 0 AS p, (i + 0.5e0) / 16 AS turn FROM range(16) t(i) UNION ALL SELECT 'validation', 1, (i + 0.5e0) / 4 FROM range(4) t(i) UNION ALL SELECT 'test', 2, (i + 0.5e0) / 5 FROM range(5) t(i))),
+shelved AS (SELECT *, CAST(CAST('0x' || substr(md5('shelf:' || origin), 1, 13) AS UBIGINT) AS BIGINT) AS key FROM strata),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum, key % 64 ORDER BY total_tokens DESC, key, origin) AS r FROM shelved),
+assigned AS (SELECT total_tokens, cycle[CAST((r - 1) % 25 AS INTEGER) + 1] AS partition FROM r, slot),
+per AS (SELECT partition, count(*) AS n_scores, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM assigned GROUP BY partition),
+pct AS (SELECT *, round(100.0e0 * total_tokens / sum(total_tokens) OVER (), 2) AS actual_pct,
+        CASE partition WHEN 'training' THEN 64.0e0 WHEN 'validation' THEN 16.0e0 ELSE 20.0e0 END AS target_pct FROM per)
+SELECT *, round(actual_pct - target_pct, 2) AS error_pct FROM pct""")
 def w04b(spark, d):
     return split.split_report(split.pattern_split(a02(spark, d)))
 
@@ -123,35 +132,36 @@ def p05(spark, d):
     return docs.select("doc_id", to("lmx", "lmx").alias("lmx_path"), to("midi", "mid").alias("midi_path"))
 
 
-@query("p06_row_ids", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT source, count(*) AS n FROM r GROUP BY source), o AS (SELECT source, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM b)
-SELECT doc_id, format('sample_{}_0', CAST(i + o AS BIGINT)) AS sample_id, 'eval_' || lpad(CAST(CAST(i + o AS BIGINT) AS VARCHAR), 7, '0') AS eval_id FROM r JOIN o USING (source)""")
+@query("p06_row_ids", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, doc_id) - 1 AS i FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id, format('sample_{}_0', i) AS sample_id, 'eval_' || lpad(CAST(i AS VARCHAR), 7, '0') AS eval_id FROM r""")
 def p06(spark, d):
     docs = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", "source")
-    # A rank inside a range plus the rows of earlier ranges: no single task sorts all.
-    inside = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    earlier = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("o", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    rows = docs.withColumn("i", inside).join(offsets, "source").withColumn("i", F.col("i") + F.col("o"))
-    return rows.select("doc_id", F.format_string("sample_%d_0", "i").alias("sample_id"), F.format_string("eval_%07d", "i").alias("eval_id"))
+    # Ranks inside ranges of (source, id) plus the rows of earlier ranges: no task sorts a source.
+    rows = batches.global_rank(docs, F.col("source"), F.col("doc_id"), buckets=F.struct("source", batches.shelf_of(docs, "doc_id").alias("shelf")))
+    return rows.select("doc_id", F.format_string("sample_%d_0", "rank").alias("sample_id"), F.format_string("eval_%07d", "rank").alias("eval_id"))
 
 
 CONTRACT_SQL = """SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN 'length' WHEN lang NOT IN ('en', 'de', 'fr') THEN 'variant' WHEN doc_id % 50 = 7 THEN 'path' END AS reason FROM documents"""
 
 
-def _contract(spark, d):
-    reason = F.when(F.col("n_chars").isNull() | (F.col("n_chars") <= 0), "length").when(~F.col("lang").isin("en", "de", "fr"), "variant").when(F.col("doc_id") % 50 == 7, "path")
-    return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
+def _reason():
+    return F.when(F.col("n_chars").isNull() | (F.col("n_chars") <= 0), "length").when(~F.col("lang").isin("en", "de", "fr"), "variant").when(F.col("doc_id") % 50 == 7, "path")
 
 
 @query("p07_row_contract", CONTRACT_SQL)
 def p07(spark, d):
-    return _contract(spark, d)
+    return table(spark, d, "documents").select("doc_id", _reason().alias("reason"))
 
 
-@query("p08_quarantine", f"WITH c AS ({CONTRACT_SQL}) SELECT coalesce(reason, 'ok') AS stage, count(*) AS n FROM c GROUP BY 1")
+@query("p08_quarantine", f"WITH c AS ({CONTRACT_SQL}) SELECT CASE WHEN reason IS NULL THEN 'good' ELSE 'quarantine' END AS kept_in, reason, d.doc_id, d.source, d.n_chars FROM documents d JOIN c ON d.doc_id = c.doc_id")
 def p08(spark, d):
-    return _contract(spark, d).groupBy(F.coalesce("reason", F.lit("ok")).alias("stage")).agg(F.count("*").alias("n"))
+    """Two tables are written: good rows, and bad ones with the reason; the result reads both."""
+    docs = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", "source", "n_chars", "lang")
+    good, bad = scratch(spark, "good"), scratch(spark, "quarantine")
+    tables.write_quarantine(docs.withColumn("reason", _reason()).drop("lang"), "reason", good, bad)
+    schema = "doc_id bigint, source string, n_chars bigint"
+    kept = spark.read.schema(schema).parquet(good).withColumn("reason", F.lit(None).cast("string")).withColumn("kept_in", F.lit("good"))
+    return kept.unionByName(spark.read.schema(schema + ", reason string").parquet(bad).withColumn("kept_in", F.lit("quarantine")))
 
 
 @query("p09_skip_list", "SELECT doc_id, source FROM documents WHERE doc_id >= 20 AND doc_id NOT IN (SELECT item_id FROM benchmark WHERE item_id IS NOT NULL)")
@@ -186,25 +196,35 @@ def j02(spark, d):
 
 
 @query("j03_alignment_precheck", """SELECT coalesce(d.doc_id, b.item_id) AS id, CASE WHEN b.item_id IS NULL THEN 'truth only' ELSE 'prediction only' END AS side
-FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d FULL OUTER JOIN benchmark b ON d.doc_id = b.item_id WHERE d.doc_id IS NULL OR b.item_id IS NULL""")
+FROM documents d FULL OUTER JOIN benchmark b ON d.doc_id = b.item_id WHERE d.doc_id IS NULL OR b.item_id IS NULL""")
 def j03(spark, d):
-    t = table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id")
+    t = table(spark, d, "documents").select("doc_id")
     p = table(spark, d, "benchmark").select("item_id")
     both = t.join(p, F.col("doc_id") == F.col("item_id"), "full_outer").filter("doc_id is null or item_id is null")
     return both.select(F.coalesce("doc_id", "item_id").alias("id"), F.when(F.col("item_id").isNull(), "truth only").otherwise("prediction only").alias("side"))
 
 
-@query("j04_variant_lookup", """WITH m AS (SELECT user_id AS key, arg_max(CAST(json_extract(props, '$.k') AS BIGINT) % 3, event_id) AS variant FROM events WHERE user_id % 4 <> 0 GROUP BY user_id)
-SELECT c.c_custkey, CAST(coalesce(CAST(a.variant AS VARCHAR), CAST(b.variant AS VARCHAR), 'unknown') AS VARCHAR) AS variant
-FROM customer c LEFT JOIN m a ON c.c_custkey = a.key LEFT JOIN m b ON c.c_custkey % 100 = b.key""")
+MANIFEST_SQL = """m AS (SELECT event_id AS line, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'c' || user_id END AS id, 'xml/m' || user_id || '.musicxml' AS xml, CASE WHEN event_id % 4 > 0 THEN 'lmx/l' || user_id || '.lmx' END AS lmx,
+CASE WHEN event_id % 3 = 0 THEN 'clean' ELSE '' END AS selected_variant, CASE WHEN event_id % 3 = 1 THEN 'light' END AS variant, CASE WHEN event_id % 7 > 0 THEN 'heavy' END AS noise FROM events)"""
+
+
+@query("j04_variant_lookup", f"""WITH {MANIFEST_SQL},
+v AS (SELECT *, coalesce(nullif(selected_variant, ''), nullif(variant, ''), nullif(noise, '')) AS chosen FROM m),
+k AS (SELECT line, chosen, unnest([id, regexp_extract(xml, '([^/]*)\\.[^.]*$', 1), regexp_extract(lmx, '([^/]*)\\.[^.]*$', 1)]) AS key FROM v WHERE chosen IS NOT NULL),
+l AS (SELECT key, arg_max(chosen, line) AS variant FROM k WHERE key <> '' GROUP BY key),
+f AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'c' || c_custkey || '.xml' WHEN 1 THEN 'm' || c_custkey || '.xml' WHEN 2 THEN 'l' || c_custkey || '.musicxml' ELSE 'c' || c_custkey END AS file FROM customer)
+SELECT c_custkey, file, coalesce(a.variant, b.variant, 'unknown') AS variant FROM f LEFT JOIN l a ON regexp_replace(f.file, '(.)\\.[^.]*$', '\\1') = a.key LEFT JOIN l b ON f.file = b.key""")
 def j04(spark, d):
-    e = table(spark, d, "events").filter("user_id % 4 <> 0")
-    variant = (F.get_json_object("props", "$.k").cast("bigint") % 3).cast("string")
-    latest = e.groupBy(F.col("user_id").alias("key")).agg(F.max_by(variant, "event_id").alias("variant"))  # last write wins
-    a, b = latest.select(F.col("key").alias("ka"), F.col("variant").alias("va")), latest.select(F.col("key").alias("kb"), F.col("variant").alias("vb"))
-    c = table(spark, d, "customer").select("c_custkey")
-    joined = c.join(a, F.col("c_custkey") == F.col("ka"), "left").join(b, F.col("c_custkey") % 100 == F.col("kb"), "left")
-    return joined.select("c_custkey", F.coalesce("va", "vb", F.lit("unknown")).alias("variant"))
+    i, user, c = F.col("event_id"), F.col("user_id").cast("string"), F.col("c_custkey")
+    manifest = table(spark, d, "events").select(
+        i.alias("line"), F.when(i % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("c"), user)).alias("id"), F.concat(F.lit("xml/m"), user, F.lit(".musicxml")).alias("truncated_musicxml_path"),
+        F.when(i % 4 > 0, F.concat(F.lit("lmx/l"), user, F.lit(".lmx"))).alias("truncated_lmx_path"), F.when(i % 3 == 0, "clean").otherwise("").alias("selected_variant"),
+        F.when(i % 3 == 1, "light").alias("variant"), F.when(i % 7 > 0, "heavy").alias("noise"),
+    )
+    number = c.cast("string")
+    name = F.when(c % 4 == 0, F.concat(F.lit("c"), number, F.lit(".xml"))).when(c % 4 == 1, F.concat(F.lit("m"), number, F.lit(".xml")))
+    files = table(spark, d, "customer").select("c_custkey", name.when(c % 4 == 2, F.concat(F.lit("l"), number, F.lit(".musicxml"))).otherwise(F.concat(F.lit("c"), number)).alias("file"))
+    return report.with_variants(files, report.variant_map(manifest))
 
 
 @query("j06_membership", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -321,9 +341,11 @@ def a24(spark, d):
     )
 
 
-@query("o03_seeded_shuffle")
+@query("o03_seeded_shuffle", """SELECT doc_id, row_number() OVER (ORDER BY key, doc_id) - 1 AS place
+FROM (SELECT doc_id, CAST(CAST('0x' || substr(md5('45:' || doc_id), 1, 13) AS UBIGINT) AS BIGINT) AS key FROM documents WHERE doc_id IS NOT NULL)""")
 def o03(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.xxhash64(F.lit(42 + 3), "doc_id").alias("key")).repartitionByRange("key").sortWithinPartitions("key")
+    docs = table(spark, d, "documents").filter("doc_id is not null").select("doc_id").withColumn("key", batches.hash_key(42 + 3, "doc_id"))
+    return batches.global_rank(docs, F.col("key"), F.col("doc_id"), buckets=F.shiftright(F.col("key"), 40)).select("doc_id", F.col("rank").alias("place"))
 
 
 @query("o05_first_rows", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100")

@@ -41,12 +41,11 @@ def s02(spark, d):
     return found
 
 
-@query("s03_whole_texts", "SELECT doc_id, regexp_replace(regexp_replace(text, '^ +', ''), ' +$', '') AS content FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(10) || '%' AND text NOT LIKE '%' || chr(13) || '%'")
+@query("s03_whole_texts", r"SELECT doc_id, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS content FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
 def s03(spark, d):
-    docs, path = table(spark, d, "documents").filter(~F.col("text").rlike("[\n\r]")), scratch(spark, "texts")
+    docs, path = table(spark, d, "documents").dropna(subset=["doc_id", "text"]), scratch(spark, "texts")
     docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
-    texts = spark.read.text(path, wholetext=True)
-    return texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.trim(F.regexp_replace("value", "\n$", "")).alias("content"))
+    return tables.read_whole_texts(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
 
 
 @query("s04_json_lines", "SELECT event_id, user_id, event_type, value FROM events")

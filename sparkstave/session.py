@@ -16,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is taken instead.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is local (tests)
+    a temporary folder is taken instead. A cluster without the setting is an error, as its nodes share no local folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named and context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     if not named and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or context.getCheckpointDir()
 
@@ -65,8 +67,3 @@ def default_session(app: str = "sparkstave", cores: str = "*", partitions: int =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Bound the rows of one Arrow batch, so that batches of long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

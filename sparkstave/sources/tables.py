@@ -25,9 +25,17 @@ def list_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content): one row per file, stripped."""
+    """(name, content) and the columns of partition folders: one row per file, white space at both ends stripped, line ends inside kept."""
     texts = spark.read.text(path, wholetext=True)
-    return texts.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("name"), F.trim("value").alias("content"))
+    content = F.regexp_replace("value", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
+    return texts.select(name.alias("name"), content.alias("content"), *[c for c in texts.columns if c != "value"])
+
+
+def write_quarantine(rows: DataFrame, reason: str, good: str, bad: str) -> None:
+    """Rows without a reason to one table, the others with it to another."""
+    rows.filter(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(good)
+    rows.filter(F.col(reason).isNotNull()).write.mode("overwrite").parquet(bad)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType, first: int | None = None, order: str | None = None) -> DataFrame:
