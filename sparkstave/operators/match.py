@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkstave.functions import scalars
 from sparkstave.session import drop_stored, scratch, stored
 
 FRAME = 0.25
@@ -61,42 +62,105 @@ def bag_f1(notes: DataFrame, mode: str) -> DataFrame:
     return with_scores(overlap(side_counts(notes, "file", *BAG_KEYS[mode]), "file"))
 
 
+def key_text(*columns: str) -> Column:
+    return F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
+
+
+def bag_scores(notes: DataFrame, keys: dict[str, tuple[str, ...]], *by: str) -> DataFrame:
+    """(by, name, tp, fp, fn, precision, recall, f1) of the bag overlap under several keys, all in one shuffle."""
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), key_text(*columns).alias("key")) for name, columns in keys.items()])
+    rows = notes.select(*by, "side", F.explode(listed).alias("x")).select(*by, "side", "x.*")
+    return with_scores(overlap(side_counts(rows, *by, "name", "key"), *by, "name"))
+
+
+def mode_keys(mode: str) -> tuple[str, ...]:
+    """Columns that are equal in a pair that a mode allows without tolerance."""
+    keys, durations = MATCH_KEYS[mode]
+    timed = () if mode in ("pitch", "pitch_class") else ("onset_beat", *(("duration_beat",) if durations else ()))
+    return ("part_idx", *keys, *timed)
+
+
 def event_f1(events: DataFrame) -> DataFrame:
     """Overlap of attribute events (kind, key) per file and kind."""
     return with_scores(overlap(side_counts(events, "file", "kind", "key"), "file", "kind"))
 
 
-def with_ordinals(notes: DataFrame) -> DataFrame:
-    """Measures of a file side numbered by position."""
-    order = Window.partitionBy("file", "side", "part_idx").orderBy("measure_idx")
-    return notes.withColumn("ordinal", F.dense_rank().over(order))
+def measures_of(notes: DataFrame) -> DataFrame:
+    """(file, side, measure_idx) of the measures that have notes."""
+    return notes.select("file", "side", "measure_idx").distinct()
+
+
+def _positions(measures: DataFrame) -> DataFrame:
+    """Measures of a file's side numbered by position, parts taken together."""
+    rows = measures.filter("measure_idx >= 0").select("file", "side", "measure_idx").distinct()
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("file", "side").orderBy("measure_idx")))
+
+
+def _measure_range(positions: DataFrame) -> DataFrame:
+    """(file, ordinal) for every measure position that either side has."""
+    last = positions.groupBy("file").agg(F.max("ordinal").alias("last"))
+    return last.select("file", F.explode(F.sequence(F.lit(1), "last")).alias("ordinal"))
+
 
+def _placed(notes: DataFrame, measures: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Notes with the position of their measure, and all positions."""
+    positions = _positions(measures_of(notes) if measures is None else measures)
+    return notes.join(positions, ["file", "side", "measure_idx"]), _measure_range(positions)
 
-def _measure_range(notes: DataFrame) -> DataFrame:
-    """(file, part, ordinal) for every measure position that either side has."""
-    last = notes.groupBy("file", "part_idx").agg(F.max("ordinal").alias("last"))
-    return last.select("file", "part_idx", F.explode(F.sequence(F.lit(1), "last")).alias("ordinal"))
 
+def measure_accuracy(notes: DataFrame, measures: DataFrame | None = None) -> DataFrame:
+    """Strict accuracy: measures aligned by position are right if their bags of notes (staff included) are equal; two empty ones are right.
 
-def measure_accuracy(notes: DataFrame) -> DataFrame:
-    """Strict accuracy: measures aligned by position are right if their bags are equal; two empty ones are right."""
-    keyed = with_ordinals(notes)
-    cells = side_counts(keyed, "file", "part_idx", "ordinal", "pitch", "onset_beat", "duration_beat")
-    wrong = cells.groupBy("file", "part_idx", "ordinal").agg(F.max((F.col("np") != F.col("ng")).cast("int")).alias("wrong"))
-    every = _measure_range(keyed).join(wrong, ["file", "part_idx", "ordinal"], "left")
-    per = every.groupBy("file").agg(F.count("*").alias("measures"), F.sum(F.coalesce("wrong", F.lit(0))).alias("wrong"))
+    ``measures`` (file, side, measure_idx) lists measures without notes too.
+    """
+    keyed, every = _placed(notes, measures)
+    cells = side_counts(keyed, "file", "ordinal", "part_idx", "pitch", "onset_beat", "duration_beat", "staff")
+    wrong = cells.groupBy("file", "ordinal").agg(F.max((F.col("np") != F.col("ng")).cast("int")).alias("wrong"))
+    per = every.join(wrong, ["file", "ordinal"], "left").groupBy("file").agg(F.count("*").alias("measures"), F.sum(F.coalesce("wrong", F.lit(0))).alias("wrong"))
     return per.select(
         "file", "measures", (F.col("measures") - F.col("wrong")).alias("correct"),
         ratio(F.col("measures") - F.col("wrong"), F.col("measures")).alias("measure_accuracy"), ratio(F.col("wrong"), F.col("measures")).alias("ser"),
     )
 
 
-def measure_f1(notes: DataFrame, *key: str) -> DataFrame:
-    """Mean F1 over measure positions; two empty measures count 0."""
-    keyed = with_ordinals(notes)
-    scores = with_scores(overlap(side_counts(keyed, "file", "part_idx", "ordinal", *key), "file", "part_idx", "ordinal"))
-    every = _measure_range(keyed).join(scores.select("file", "part_idx", "ordinal", "f1"), ["file", "part_idx", "ordinal"], "left")
-    return every.groupBy("file").agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("avg_measure_f1"))
+def measure_f1(notes: DataFrame, *key: str, measures: DataFrame | None = None) -> DataFrame:
+    """Mean F1 over measure positions, by part and key; two empty measures count 0."""
+    return measure_f1s(notes, {"f1": key}, measures).select("file", F.col("avg").alias("avg_measure_f1"))
+
+
+def _mean_over(every: DataFrame, scores: DataFrame, names, at: str) -> DataFrame:
+    """(file, name, avg): mean F1 over all of a file's places, 0 where there is none."""
+    sums = scores.groupBy("file", "name").agg(F.sum("f1").alias("sum"))
+    sizes = every.groupBy("file").agg(F.count(at).alias("n")).withColumn("name", F.explode(F.array(*[F.lit(n) for n in names])))
+    return sizes.join(sums, ["file", "name"], "left").select("file", "name", ratio(F.coalesce("sum", F.lit(0.0)), F.col("n")).alias("avg"))
+
+
+def measure_f1s(notes: DataFrame, keys: dict[str, tuple[str, ...]], measures: DataFrame | None = None) -> DataFrame:
+    """(file, name, avg) of ``measure_f1`` under several keys at once."""
+    keyed, every = _placed(notes, measures)
+    scores = bag_scores(keyed, {name: ("part_idx", *key) for name, key in keys.items()}, "file", "ordinal")
+    return _mean_over(every, scores, keys, "ordinal")
+
+
+def strict_measure_f1s(notes: DataFrame, modes: dict[str, str], measures: DataFrame | None = None) -> DataFrame:
+    """(file, name, avg) of ``soft_measure_f1`` without tolerance, for several modes at once."""
+    every = (measures_of(notes) if measures is None else measures).select("file", "measure_idx").distinct()
+    scores = bag_scores(notes.withColumn("voice", scalars.voice(F.col("voice"))), {name: mode_keys(mode) for name, mode in modes.items()}, "file", "measure_idx")
+    return _mean_over(every, scores, modes, "measure_idx")
+
+
+def soft_measure_f1(notes: DataFrame, mode: str, onset_tol: float, duration_tol: float, measures: DataFrame | None = None) -> DataFrame:
+    """Mean over the measures that either side has, aligned by their numbers, of the F1 of a tolerant match inside the measure."""
+    every = (measures_of(notes) if measures is None else measures).select("file", "measure_idx").distinct()
+    one = F.concat_ws("/", "file", F.col("measure_idx").cast("string"))
+    scores = tolerant_scores(notes.withColumn("file", one), mode, onset_tol, duration_tol).select(F.col("file").alias("_one"), "f1")
+    return every.withColumn("_one", one).join(scores, "_one", "left").groupBy("file").agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("avg_soft_f1"))
+
+
+def measure_key_lists(notes: DataFrame, flavours: dict[str, list[Column]]) -> DataFrame:
+    """(file, side, measure_idx) with a sorted list of note keys for each flavour: the part and the flavour's columns."""
+    key = lambda columns: F.concat_ws(":", F.col("part_idx").cast("string"), *[c.cast("string") for c in columns])
+    return notes.groupBy("file", "side", "measure_idx").agg(*[F.sort_array(F.collect_list(key(c))).alias(name) for name, c in flavours.items()])
 
 
 def divergence(histogram: DataFrame) -> DataFrame:
@@ -112,8 +176,8 @@ def pitch_class_histogram(notes: DataFrame) -> DataFrame:
     return side_counts(notes.withColumn("bin", F.col("pitch_class")), "file", "bin")
 
 
-def duration_histogram(notes: DataFrame) -> DataFrame:
-    return side_counts(notes.withColumn("bin", F.round("duration_beat", 3)), "file", "bin")
+def duration_histogram(notes: DataFrame, digits: int = 6) -> DataFrame:
+    return side_counts(notes.withColumn("bin", F.round("duration_beat", digits)), "file", "bin")
 
 
 def timeline(notes: DataFrame, kind: str) -> DataFrame:
@@ -221,12 +285,15 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
 def tolerant_scores(notes: DataFrame, mode: str, onset_tol: float = 0.25, duration_tol: float = 0.25) -> DataFrame:
     """tp, fp, fn and ratios per file under one-to-one tolerant matching.
 
-    Where only the key counts (pitch, pitch_class) every pair of a key may be matched, so the lesser count of a key is
-    its number of matches. Elsewhere equal notes are paired first, and pairs are made of the others only.
+    Where only the key counts (pitch, pitch_class, or any mode without tolerance) every pair of a key may be matched, so the lesser count of a
+    key is its number of matches. Elsewhere equal notes are paired first, and pairs are made of the others only.
+    A voice that is empty or ``None`` is no voice.
     """
+    notes = notes.withColumn("voice", scalars.voice(F.col("voice")))
     sides = side_counts(notes, "file")
-    if mode in ("pitch", "pitch_class"):
-        counts = side_counts(notes.filter("part_idx is not null"), "file", "part_idx", *MATCH_KEYS[mode][0])
+    timed = mode not in ("pitch", "pitch_class") and (onset_tol > 0 or (duration_tol > 0 and MATCH_KEYS[mode][1]))
+    if not timed:
+        counts = side_counts(notes.filter("part_idx is not null"), "file", *mode_keys(mode))
         matched = counts.groupBy("file").agg(F.sum(F.least("np", "ng")).alias("tp"))
     else:
         indexed = stored(dense_note_index(notes), "notes")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkstave.functions import scalars
 from sparkstave.schemas import ELEMENTS
 
 DEFAULT_BPM = 120.0
@@ -53,24 +54,23 @@ def tempo_in_force(notes: DataFrame, tempi: DataFrame) -> DataFrame:
     return found.filter("kind = 1").select("file", "tick", "note_id", bpm.alias("bpm"))
 
 
-def measure_of(notes: DataFrame, spans: DataFrame) -> DataFrame:
-    """Interval join for spans that don't overlap: the measure whose [m_start, m_end) holds the onset.
+def measure_of(notes: DataFrame, spans: DataFrame, bin_beats: float = 4.0) -> DataFrame:
+    """Interval join: the measure whose [m_start, m_end) holds the onset; of overlapping spans the first by start, end and measure.
 
-    The very end of the last span belongs to it; a note in a gap gets 0.
+    The very end of the last span belongs to it; a note in a gap gets 0. Spans are listed under the bins of ``bin_beats`` they touch, so a
+    note meets only the spans of its own bin. ``notes`` has file, note_id and onset_beat.
     """
-    marks = spans.select("file", F.col("m_start").alias("at"), "m_start", "m_end", F.col("measure_idx").alias("m"), F.lit(None).cast("bigint").alias("note_id"), F.lit(0).alias("kind"))
-    none = lambda kind: F.lit(None).cast(kind)
-    points = notes.select("file", F.col("onset_beat").alias("at"), none("double").alias("m_start"), none("double").alias("m_end"), none("int").alias("m"), F.col("note_id").cast("bigint").alias("note_id"), F.lit(1).alias("kind"))
-    upto = Window.partitionBy("file").orderBy("at", "kind", "m").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("file")
-    span = F.struct("m_start", "m_end", "m")
-    joined = marks.unionByName(points)
-    joined = joined.withColumn("span", F.last(F.when(F.col("kind") == 0, span), ignorenulls=True).over(upto))
-    joined = joined.withColumn("close", F.max(F.when(F.col("kind") == 0, F.struct("m_end", "m"))).over(whole))
-    inside = (F.col("at") >= F.col("span.m_start")) & (F.col("at") < F.col("span.m_end"))
-    ends = F.abs(F.col("at") - F.col("close.m_end")) <= 1e-9 * F.greatest(F.abs("at"), F.abs("close.m_end"))
-    measure = F.when(inside, F.col("span.m")).when(ends, F.col("close.m")).otherwise(F.lit(0))
-    return joined.filter("kind = 1").select("file", "note_id", F.col("at").alias("onset_beat"), F.coalesce(measure, F.lit(0)).alias("measure_idx"))
+    width = F.lit(float(bin_beats))
+    bins = F.sequence(F.floor(F.col("m_start") / width), F.floor(F.col("m_end") / width))
+    listed = spans.filter("m_start < m_end").select(F.col("file").alias("_file"), "m_start", "m_end", "measure_idx", F.explode(bins).alias("_bin"))
+    points = notes.select("file", "note_id", "onset_beat", F.floor(F.col("onset_beat") / width).alias("bin"))
+    inside = (F.col("file") == F.col("_file")) & (F.col("bin") == F.col("_bin")) & (F.col("onset_beat") >= F.col("m_start")) & (F.col("onset_beat") < F.col("m_end"))
+    span = F.when(F.col("measure_idx").isNotNull(), F.struct("m_start", "m_end", "measure_idx"))
+    found = points.join(listed, inside, "left").groupBy("file", "note_id", "onset_beat").agg(F.min(span)["measure_idx"].alias("own"))
+    last = spans.groupBy("file").agg(F.max(F.struct("m_start", "m_end", "measure_idx")).alias("last"))
+    ends = F.abs(F.col("onset_beat") - F.col("last.m_end")) <= 1e-9 * F.greatest(F.abs("onset_beat"), F.abs("last.m_end"))
+    measure = F.coalesce("own", F.when(ends, F.col("last.measure_idx")), F.lit(0))
+    return found.join(last, "file", "left").select("file", "note_id", "onset_beat", measure.alias("measure_idx"))
 
 
 def merge_ties(notes: DataFrame) -> DataFrame:
@@ -81,16 +81,108 @@ def merge_ties(notes: DataFrame) -> DataFrame:
     )
 
 
+def own_measure(elements: DataFrame) -> Column:
+    return measure_number(F.col("measure_number"), F.col("measure_order"))
+
+
+def clocked(elements: DataFrame) -> DataFrame:
+    """Parsed elements with ``measure_idx``, whole ``ticks``, and their ``onset`` in the measure."""
+    rows = elements.withColumn("measure_idx", own_measure(elements)).withColumn("ticks", scalars.safe_int(F.col("duration")))
+    return with_clock(rows.drop("duration").withColumnRenamed("ticks", "duration"), "file", "side", "part_idx", "measure_order").withColumnRenamed("duration", "ticks")
+
+
+def pitch_of(elements: DataFrame) -> Column:
+    """MIDI number of a note element; null without step or octave, and for a step that isn't one."""
+    return F.when(F.nullif(F.col("octave"), F.lit("")).isNotNull(), spelled_pitch(F.col("step"), scalars.safe_int(F.col("alter")), scalars.safe_int(F.col("octave"))))
+
+
+def _clef_entries() -> Column:
+    filled = F.filter("clefs", lambda c: (F.coalesce(c["sign"], F.lit("")) != "") & (F.coalesce(c["line"], F.lit("")) != ""))
+    return F.transform(filled, lambda c: F.struct(scalars.safe_int(c["number"], 1).alias("number"), c["sign"].alias("sign"), c["line"].alias("line")))
+
+
+def attribute_events(elements: DataFrame) -> DataFrame:
+    """(file, side, kind, key): an event for each time, key and clef, with its part and measure in the key."""
+    rows = elements.filter("tag = 'attributes'").withColumn("measure_idx", own_measure(elements))
+    place = [F.col("part_idx").cast("string"), F.col("measure_idx").cast("string")]
+    text = lambda *c: F.concat_ws(":", *place, *[x.cast("string") for x in c])
+    time = F.when(F.col("beats").isNotNull() | F.col("beat_type").isNotNull(), F.array(F.struct(F.lit("time").alias("kind"), text(scalars.safe_int(F.col("beats")), scalars.safe_int(F.col("beat_type"))).alias("key"))))
+    key = F.when(F.nullif(F.col("fifths"), F.lit("")).isNotNull(), F.array(F.struct(F.lit("key").alias("kind"), text(scalars.safe_int(F.col("fifths"))).alias("key"))))
+    clef = F.transform(_clef_entries(), lambda c: F.struct(F.lit("clef").alias("kind"), text(c["number"], c["sign"], c["line"]).alias("key")))
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    every = F.concat(F.coalesce(time, none), F.coalesce(key, none), F.coalesce(clef, none))
+    return rows.select("file", "side", F.explode(every).alias("e")).select("file", "side", "e.*")
+
+
 def structure_tokens(elements: DataFrame) -> DataFrame:
-    """Ordered text tokens of each measure: attribute tokens first, then notes, backups and forwards."""
-    num = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0"))
-    token = F.when(
-        F.col("tag") == "note", F.format_string("NOTE_P%s_D%s_S%s", num("pitch"), num("duration"), num("staff"))
-    ).when(F.col("tag") == "time", F.concat(F.lit("TIME_"), num("duration"))).otherwise(F.concat(F.upper("tag"), F.lit("_D"), num("duration")))
-    phase = F.when(F.col("tag") == "time", F.lit(0)).otherwise(F.lit(1))
-    rows = elements.select("file", "measure", F.struct(phase.alias("phase"), F.col("child_pos").alias("pos"), token.alias("token")).alias("x"))
-    listed = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["token"])
-    return rows.groupBy("file", "measure").agg(F.concat(F.array(F.lit("MEASURE")), listed, F.array(F.lit("/MEASURE"))).alias("tokens"))
+    """(file, side, tokens): text tokens of all measures in order; in a measure attributes first, then notes, rests, backups and forwards.
+
+    Fixed formats: PART, MEASURE, DIV, TIME, KEY, CLEF, REST, NOTE, BACKUP and FORWARD, between a measure's start and end marks.
+    """
+    number = lambda c, default=0: scalars.safe_int(F.col(c), default).cast("string")
+    say = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    pitch, voice = pitch_of(elements), F.coalesce(F.trim("voice"), F.lit(""))
+    tail = [F.lit("_D"), number("duration"), F.lit("_S"), number("staff"), F.lit("_V"), voice]
+    part, measure = F.col("part_idx").cast("string"), own_measure(elements).cast("string")
+    attributes = F.concat(
+        F.array(F.when(F.nullif(F.col("divisions"), F.lit("")).isNotNull(), say("DIV_", number("divisions"))), F.when(F.col("beats").isNotNull() | F.col("beat_type").isNotNull(), say("TIME_", number("beats"), "_", number("beat_type"))),
+                F.when(F.nullif(F.col("fifths"), F.lit("")).isNotNull(), say("KEY_", number("fifths")))),
+        F.transform(_clef_entries(), lambda c: F.concat(F.lit("CLEF_"), c["number"].cast("string"), F.lit("_"), c["sign"], F.lit("_"), c["line"])),
+    )
+    note = F.when(F.coalesce("is_rest", F.lit(False)), say("REST", *tail)).when(pitch.isNotNull(), say("NOTE_P", pitch.cast("string"), *tail))
+    tokens = (
+        F.when(F.col("tag") == "measure", F.array(say("<PART_", part, "_MEASURE_START>"), say("PART_", part), say("MEASURE_", measure)))
+        .when(F.col("tag") == "attributes", attributes).when(F.col("tag") == "note", F.array(note))
+        .when(F.col("tag") == "backup", F.array(say("BACKUP_", number("duration")))).when(F.col("tag") == "forward", F.array(say("FORWARD_", number("duration"))))
+    )
+    phase = F.when(F.col("tag") == "measure", 0).when(F.col("tag") == "attributes", 1).otherwise(2)
+    kept = F.filter(tokens, lambda t: t.isNotNull())
+    rows = elements.select("file", "side", F.struct("part_idx", "measure_order", phase.alias("phase"), "child_pos", kept.alias("tokens")).alias("x"))
+    ends = elements.filter("tag = 'measure'").select("file", "side", F.struct("part_idx", "measure_order", F.lit(3).alias("phase"), "child_pos", F.array(say("<PART_", part, "_MEASURE_END>")).alias("tokens")).alias("x"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("x.tokens").isNotNull(), F.col("x"))))
+    return rows.unionByName(ends).groupBy("file", "side").agg(F.flatten(F.transform(listed, lambda x: x["tokens"])).alias("tokens"))
+
+
+def timed_notes(elements: DataFrame) -> DataFrame:
+    """(file, side, note_id, part_idx, measure_idx, pitch, pitch_class, start_beat, end_beat, staff, voice, tie_key) of parsed notes, rests left out.
+
+    A beat is a quarter: clock over the divisions in force in the part. A measure starts where the one before ends, and
+    lasts up to the latest end of a note, rest or forward in it. A note whose tie stops continues the one before it of the same part, pitch, voice and staff.
+    """
+    part = ["file", "side", "part_idx"]
+    rows = clocked(elements)
+    upto = Window.partitionBy(*part).orderBy("measure_order", "child_pos").rowsBetween(Window.unboundedPreceding, 0)
+    given = F.when(F.col("tag") == "attributes", F.nullif(scalars.safe_int(F.col("divisions")), F.lit(0)))
+    rows = rows.withColumn("divisions_in_force", F.coalesce(F.last(given, ignorenulls=True).over(upto), F.lit(1)))
+    rows = rows.withColumn("from_beat", F.col("onset") / F.col("divisions_in_force")).withColumn("to_beat", (F.col("onset") + F.col("ticks")) / F.col("divisions_in_force"))
+    measure = [*part, "measure_order"]
+    length = F.greatest(F.lit(0.0), F.max(F.when(F.col("tag").isin("note", "forward"), F.col("to_beat"))))
+    spans = rows.groupBy(*measure).agg(F.coalesce(length, F.lit(0.0)).alias("length"))
+    earlier = Window.partitionBy(*part).orderBy("measure_order").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("opens", F.coalesce(F.sum("length").over(earlier), F.lit(0.0)))
+    notes = rows.filter("tag = 'note' and not is_rest").withColumn("pitch", pitch_of(elements)).filter("pitch is not null").join(spans.drop("length"), measure)
+    start, end = scalars.round_time(F.col("opens") + F.col("from_beat")), scalars.round_time(F.col("opens") + F.col("to_beat"))
+    staff, voice = F.col("staff").try_cast("int"), F.nullif(F.trim("voice"), F.lit(""))
+    out = notes.select(
+        *part, "measure_order", "child_pos", "measure_idx", F.col("pitch").cast("int").alias("pitch"), start.alias("start_beat"), end.alias("end_beat"),
+        staff.alias("staff"), voice.alias("voice"), F.coalesce(F.col("ties").contains("stop"), F.lit(False)).alias("goes_on"),
+    )
+    chain = Window.partitionBy(*part, "pitch", "voice", "staff").orderBy("measure_order", "start_beat", "child_pos").rowsBetween(Window.unboundedPreceding, 0)
+    number = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(chain)
+    key = F.concat_ws("/", "pitch", F.coalesce("voice", F.lit("-")), F.coalesce(F.col("staff").cast("string"), F.lit("-")), number.cast("string"))
+    note_id = F.col("measure_order").cast("bigint") * 1_000_000 + F.col("child_pos")
+    return out.withColumn("tie_key", key).withColumn("note_id", note_id).drop("goes_on", "measure_order", "child_pos")
+
+
+def merged_notes(notes: DataFrame) -> DataFrame:
+    """``timed_notes`` with tied ones merged: attributes and measure of the first, duration up to the last end."""
+    first = F.struct("start_beat", "end_beat", "note_id", "pitch", "measure_idx", "staff", "voice")
+    merged = notes.groupBy("file", "side", "part_idx", "tie_key").agg(F.min(first).alias("x"), F.max("end_beat").alias("end"), F.count("*").alias("n_merged"))
+    duration = scalars.round_time(F.greatest(F.lit(0.0), F.col("end") - F.col("x.start_beat")))
+    return merged.select(
+        "file", "side", "part_idx", "x.note_id", "x.measure_idx", "x.pitch", F.pmod("x.pitch", F.lit(12)).alias("pitch_class"), F.col("x.start_beat").alias("onset_beat"),
+        duration.alias("duration_beat"), "x.staff", "x.voice", "n_merged",
+    )
 
 
 def local_name(tag: str) -> str:
@@ -98,36 +190,46 @@ def local_name(tag: str) -> str:
 
 
 def score_elements(files: DataFrame) -> DataFrame:
-    """Element rows of score markup (file, content), parsed file by file; a broken file gives no rows."""
+    """Element rows of score markup (file, content), parsed file by file.
+
+    Each measure has a row of its own (tag ``measure``, child_pos -1) before those of its children. A file that doesn't parse, or has no
+    part, has one row with an ``error`` and nothing else.
+    """
     names = ELEMENTS.fieldNames()
+    nothing = len(names) - 1
 
     def parse(file: str, content: str) -> Iterator[tuple]:
         root = ET.fromstring(content)
         parts = [x for x in root.iter() if local_name(x.tag) == "part"]
+        if not parts:
+            raise ValueError("no part")
         for part_idx, part in enumerate(parts):
             measures = [m for m in part if local_name(m.tag) == "measure"]
             for order, measure in enumerate(measures, 1):
+                place = (file, part_idx, order, measure.get("number"))
+                yield (*place, -1, "measure", *[None] * (nothing - 6))
                 for pos, child in enumerate(measure):
-                    under = {local_name(x.tag): (x.text or "").strip() for x in child.iter() if x is not child}
-                    tag = local_name(child.tag)
-                    clefs = [
-                        {"number": c.get("number"), **{local_name(x.tag): (x.text or "").strip() for x in c if local_name(x.tag) in ("sign", "line")}}
-                        for c in child.iter() if local_name(c.tag) == "clef"
-                    ]
-                    clefs = [{"number": c.get("number"), "sign": c.get("sign"), "line": c.get("line")} for c in clefs]
-                    text = [under.get(k) for k in ("duration",)]
-                    flags = ["chord" in under, "rest" in under]
+                    inner = [x for x in child.iter() if x is not child]
+                    under: dict = {}
+                    for x in inner:
+                        under.setdefault(local_name(x.tag), (x.text or "").strip())
+                    clefs = []
+                    for c in (x for x in child if local_name(x.tag) == "clef"):
+                        said = {local_name(x.tag): (x.text or "").strip() for x in c}
+                        clefs.append({"number": c.get("number"), "sign": said.get("sign"), "line": said.get("line")})
+                    ties = " ".join(x.get("type", "") for x in child if local_name(x.tag) == "tie")
                     rest = [under.get(k) for k in ("step", "alter", "octave", "staff", "voice", "beats", "beat-type", "fifths", "divisions")]
-                    yield (file, part_idx, order, measure.get("number"), pos, tag, *text, *flags, *rest, clefs)
+                    yield (*place, pos, local_name(child.tag), under.get("duration"), "chord" in under, "rest" in under, *rest, clefs, ties or None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 try:
-                    rows += list(parse(file, content or ""))
-                except ET.ParseError:
-                    continue
-            yield pd.DataFrame(rows, columns=names)
+                    rows += [(*row, None) for row in parse(file, content or "")]
+                except (ET.ParseError, ValueError) as e:
+                    rows.append((file, *[None] * (nothing - 1), str(e)))
+            out = pd.DataFrame(rows, columns=names, dtype=object)
+            yield out
 
     return files.select("file", "content").mapInPandas(run, ELEMENTS)

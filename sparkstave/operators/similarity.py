@@ -11,37 +11,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BAND = 0.1
+#: Frames of pairs that are warped together.
+PAIR_CELLS = 1 << 18
 
 
-def dtw_similarity(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> float:
-    """1 minus the mean cost (1 - cosine) of the cheapest path; two rows of state.
+def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> np.ndarray:
+    """For pairs of equal lengths (rows of ``x`` and ``y``, a frame's slots as bits): 1 minus the mean cost (1 - cosine) of the cheapest path.
 
-    Equal costs prefer the step from above, then from the left, then the diagonal.
+    Equal costs prefer the step from above, then from the left, then the diagonal. Cells of one anti-diagonal depend only on
+    the two before it, so three of them are held, for all pairs at once.
     """
-    n, m = len(x), len(y)
+    pairs, n = x.shape
+    m = y.shape[1]
     if not n or not m:
-        return 1.0 if n == m else 0.0
+        return np.full(pairs, 1.0 if n == m else 0.0)
     band = max(abs(n - m), math.ceil(max(n, m) * band_share))
-    nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-    inf = math.inf
-    above, above_steps = [0.0] + [inf] * m, [0] * (m + 1)
-    for i in range(n):
-        row, steps = [inf] * (m + 1), [0] * (m + 1)
-        low, high = max(0, i - band), min(m, i + band + 1)
-        dots = y[low:high] @ x[i]
-        norms = ny[low:high] * nx[i]
-        near = np.where(norms > 0, dots / np.where(norms > 0, norms, 1.0), np.where((ny[low:high] == 0) & (nx[i] == 0), 1.0, 0.0))
-        for j, cost in enumerate((1.0 - near).tolist(), low + 1):
-            best, k = above[j], above_steps[j]
-            if row[j - 1] < best:
-                best, k = row[j - 1], steps[j - 1]
-            if above[j - 1] < best:
-                best, k = above[j - 1], above_steps[j - 1]
-            row[j], steps[j] = best + cost, k + 1
-        above, above_steps = row, steps
-    if math.isinf(above[m]) or not above_steps[m]:
-        return 0.0
-    return max(0.0, 1.0 - above[m] / above_steps[m])
+    nx, ny = np.sqrt(np.bitwise_count(x)), np.sqrt(np.bitwise_count(y))
+    costs = [np.full((pairs, n + 2), math.inf) for _ in range(3)]
+    steps = [np.zeros((pairs, n + 2), np.int64) for _ in range(3)]
+    costs[0][:, 0] = 0.0
+    for d in range(1, n + m + 1):
+        (older, olds), (last, lasts), (now, nows) = ((costs[k % 3], steps[k % 3]) for k in (d - 2, d - 1, d))
+        low, high = max(1, d - m, -((band - d) // 2)), min(n, d - 1, (d + band) // 2)
+        now[:, max(low - 1, 0) : high + 2] = math.inf
+        if low > high:
+            continue
+        best, count = last[:, low - 1 : high], lasts[:, low - 1 : high]
+        for other, others in ((last[:, low : high + 1], lasts[:, low : high + 1]), (older[:, low - 1 : high], olds[:, low - 1 : high])):
+            less = other < best
+            best, count = np.where(less, other, best), np.where(less, others, count)
+        a, b = slice(low - 1, high), slice(d - high - 1, d - low)
+        norms = nx[:, a] * ny[:, b][:, ::-1]
+        dots = np.bitwise_count(x[:, a] & y[:, b][:, ::-1])
+        silent = (nx[:, a] == 0) & (ny[:, b][:, ::-1] == 0)
+        near = np.where(norms > 0, dots / np.where(norms > 0, norms, 1.0), silent)
+        now[:, low : high + 1], nows[:, low : high + 1] = best + (1.0 - near), count + 1
+    end, path = costs[(n + m) % 3][:, n], steps[(n + m) % 3][:, n]
+    found = np.isfinite(end) & (path > 0)
+    return np.where(found, np.maximum(0.0, 1.0 - np.where(found, end, 0.0) / np.maximum(path, 1)), 0.0)
+
+
+def dtw_similarity(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> float:
+    """Of one pair of timelines with a row of 0 and 1 for each frame."""
+    masks = lambda a: (np.asarray(a, np.int64).reshape(len(a), -1) << np.arange(np.shape(a)[1] if len(a) else 0)).sum(axis=1, dtype=np.int64)
+    return float(dtw_similarities(masks(x)[None], masks(y)[None], band_share)[0])
 
 
 def timeline_frames(cells: DataFrame, slots: int) -> DataFrame:
@@ -53,7 +66,7 @@ def timeline_frames(cells: DataFrame, slots: int) -> DataFrame:
 
 
 def timeline_dtw(cells: DataFrame, slots: int, band_share: float = BAND) -> DataFrame:
-    """DTW similarity of each file's two timelines; files are spread over tasks, one pair at a time in memory."""
+    """DTW similarity of each file's two timelines; files are spread over tasks, pairs of equal lengths go together."""
     frames = timeline_frames(cells, slots)
     pairs = frames.groupBy("file").agg(
         F.coalesce(F.first(F.when(F.col("side") == "pred", F.col("frames")), ignorenulls=True), F.array().cast("array<int>")).alias("pred"),
@@ -61,10 +74,18 @@ def timeline_dtw(cells: DataFrame, slots: int, band_share: float = BAND) -> Data
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.arange(slots)
-        spread = lambda a: ((np.asarray(a, np.int64).reshape(-1, 1) >> bits) & 1).astype(np.float64)
         for batch in batches:
-            yield pd.DataFrame({"file": batch["file"], "similarity": [dtw_similarity(spread(p), spread(g), band_share) for p, g in zip(batch["pred"], batch["gt"], strict=True)]})
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for i, (p, g) in enumerate(zip(batch["pred"], batch["gt"], strict=True)):
+                shapes.setdefault((len(p), len(g)), []).append(i)
+            out = np.zeros(len(batch))
+            for (n, m), rows in shapes.items():
+                step = max(1, PAIR_CELLS // (n + m + 1))
+                for begin in range(0, len(rows), step):
+                    some = rows[begin : begin + step]
+                    stack = lambda side, size, some=some: np.array([batch[side].iloc[i] for i in some], np.int64).reshape(len(some), size)
+                    out[some] = dtw_similarities(stack("pred", n), stack("gt", m), band_share)
+            yield pd.DataFrame({"file": batch["file"], "similarity": out})
 
     return pairs.mapInPandas(run, "file string, similarity double")
 

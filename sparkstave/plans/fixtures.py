@@ -74,5 +74,63 @@ def id_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(k.alias("row_id"), seq(k % 40, 31, 7).alias("lmx_ids"), seq((k * 3) % 30, 17, 11).alias("src_ids"))
 
 
-def pivot_sides(sql: str) -> str:
-    return sql
+#: Score files: six events of a user to a measure, odd and even events in a part each. A purchase goes back one tick before its note.
+SCORES_SQL = """
+ev AS (SELECT event_id AS i, event_type AS t, CAST(user_id AS VARCHAR) AS file, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 6e0) AS INTEGER) + 1 AS measure_idx FROM events),
+sides AS (SELECT *, 'gt' AS side, 0 AS off FROM ev UNION ALL SELECT *, 'pred', 1 FROM ev WHERE i % 11 <> 0),
+placed AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY file, side ORDER BY i % 2) - 1 AS INTEGER) AS part_idx, min(i) OVER (PARTITION BY file, side, i % 2, measure_idx) AS first,
+  dense_rank() OVER (PARTITION BY file, side, i % 2 ORDER BY measure_idx) AS measure_order, CAST(1 + i % 4 + CASE WHEN off = 1 AND i % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS dur,
+  CAST((4 + i % 3 + CASE WHEN off = 1 AND i % 13 = 0 THEN 1 ELSE 0 END) * 12 + [0, 2, 4, 5, 7, 9, 11][CAST(i % 7 AS INTEGER) + 1] + i % 3 - 1 AS INTEGER) AS pitch,
+  CASE WHEN i % 5 <> 0 THEN CAST(1 + i % 2 AS INTEGER) END AS staff, CASE WHEN i % 3 <> 0 THEN CAST(i % 3 AS VARCHAR) END AS voice FROM sides),
+el AS (SELECT *, CASE t WHEN 'error' THEN 'forward' ELSE 'note' END AS tag, t = 'view' AS chord, t = 'signup' AS rest, 1 AS sub FROM placed
+  UNION ALL SELECT * REPLACE (1 AS dur), 'backup', false, false, 0 FROM placed WHERE t = 'purchase'),
+clk AS (SELECT *, CAST(coalesce(sum(CASE WHEN tag = 'note' AND NOT chord THEN dur WHEN tag = 'forward' THEN dur WHEN tag = 'backup' THEN -dur ELSE 0 END)
+  OVER (PARTITION BY file, side, part_idx, measure_idx ORDER BY i, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS clock FROM el),
+ons AS (SELECT *, CASE WHEN chord THEN coalesce(last_value(CASE WHEN tag = 'note' AND NOT chord THEN clock END IGNORE NULLS)
+  OVER (PARTITION BY file, side, part_idx, measure_idx ORDER BY i, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), clock) ELSE clock END AS onset FROM clk),
+lens AS (SELECT file, side, part_idx, measure_idx, greatest(0e0, coalesce(max(CASE WHEN tag <> 'backup' THEN (onset + dur) / 2e0 END), 0e0)) AS len FROM ons GROUP BY ALL),
+opens AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY file, side, part_idx ORDER BY measure_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS opens FROM lens),
+notes AS (SELECT o.file, o.side, o.part_idx, o.measure_idx, o.pitch, CAST(o.pitch % 12 AS INTEGER) AS pitch_class, opens + onset / 2e0 AS onset_beat, dur / 2e0 AS duration_beat, staff, voice
+  FROM ons o JOIN opens p ON o.file = p.file AND o.side = p.side AND o.part_idx = p.part_idx AND o.measure_idx = p.measure_idx WHERE tag = 'note' AND NOT rest),
+attrs AS (SELECT DISTINCT file, side, part_idx, measure_idx, measure_order, first % 5 - 2 + CASE WHEN off = 1 AND first % 4 = 0 THEN 1 ELSE 0 END AS fifths, 2 + first % 3 AS beats,
+  CASE WHEN off = 1 AND first % 3 = 0 THEN 'F' ELSE 'G' END AS sign FROM placed)"""
+
+
+def score_files(spark: SparkSession, d: str) -> DataFrame:
+    """(file, side, content): markup of the truth and of a prediction with dropped, moved and changed notes and attributes."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    ev = table(spark, d, "events").select(F.col("event_id").alias("i"), F.col("event_type").alias("t"), F.col("user_id").cast("string").alias("file"), (F.floor(k / 6) + 1).alias("measure"))
+    rows = ev.withColumn("side", F.lit("gt")).unionByName(ev.filter("i % 11 <> 0").withColumn("side", F.lit("pred")))
+    i, off = F.col("i"), F.col("side") == "pred"
+    one = lambda name, text: F.concat(F.lit(f"<{name}>"), text.cast("string"), F.lit(f"</{name}>"))
+    only = lambda when, text: F.when(when, text).otherwise(F.lit(""))
+    duration = one("duration", 1 + i % 4 + F.when(off & (i % 7 == 0), 1).otherwise(0))
+    step = F.element_at(F.array(*[F.lit(c) for c in "CDEFGAB"]), (i % 7 + 1).cast("int"))
+    pitch = F.concat(F.lit("<pitch>"), one("step", step), one("alter", i % 3 - 1), one("octave", 3 + i % 3 + F.when(off & (i % 13 == 0), 1).otherwise(0)), F.lit("</pitch>"))
+    what = F.when(F.col("t") == "signup", F.lit("<rest/>")).otherwise(F.concat(only(F.col("t") == "view", F.lit("<chord/>")), pitch))
+    note = F.concat(F.lit("<note>"), what, duration, only(i % 3 != 0, one("voice", i % 3)), only(i % 5 != 0, one("staff", 1 + i % 2)), F.lit("</note>"))
+    back = only(F.col("t") == "purchase", F.lit("<backup><duration>1</duration></backup>"))
+    child = F.when(F.col("t") == "error", F.concat(F.lit("<forward>"), duration, F.lit("</forward>"))).otherwise(F.concat(back, note))
+    joined = lambda by, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, F.col(value).alias("v")))), lambda x: x["v"]), "")
+    keys = ["file", "side", "part"]
+    measures = rows.withColumn("part", i % 2).withColumn("xml", child).groupBy(*keys, "measure").agg(joined("i", "xml").alias("body"), F.min("i").alias("i"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("measure")) == 1
+    attributes = F.concat(
+        F.lit("<attributes>"), only(first, F.lit("<divisions>2</divisions>")), F.lit("<key>"), one("fifths", i % 5 - 2 + F.when(off & (i % 4 == 0), 1).otherwise(0)), F.lit("</key><time>"), one("beats", 2 + i % 3),
+        F.lit("<beat-type>4</beat-type></time><clef number='1'>"), one("sign", F.when(off & (i % 3 == 0), "F").otherwise("G")), F.lit("<line>2</line></clef></attributes>"),
+    )
+    whole = F.concat(F.lit("<measure number='"), F.col("measure").cast("string"), F.lit("'>"), attributes, F.col("body"), F.lit("</measure>"))
+    parts = measures.withColumn("xml", whole).groupBy(*keys).agg(joined("measure", "xml").alias("body")).withColumn("xml", F.concat(F.lit("<part>"), F.col("body"), F.lit("</part>")))
+    files = parts.groupBy("file", "side").agg(joined("part", "xml").alias("body"))
+    return files.select("file", "side", F.concat(F.lit("<score-partwise>"), F.col("body"), F.lit("</score-partwise>")).alias("content"))
+
+
+def parsed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Element rows of ``score_files`` with their side."""
+    from sparkstave.operators.notes import score_elements
+
+    files = score_files(spark, d).select(F.concat_ws("/", "side", "file").alias("file"), "content")
+    elements = score_elements(files)
+    return elements.withColumn("side", F.substring_index("file", "/", 1)).withColumn("file", F.expr("substring(file, length(side) + 2)"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkstave.functions import scalars
-from sparkstave.operators import match, notes as nt, report, similarity
+from sparkstave.operators import match, notes as nt, pairs, report, similarity
 from sparkstave.plans import fixtures as fx
 from sparkstave.session import table
 
@@ -38,39 +38,46 @@ def bags(keys: str, by: str = "file", source: str = "notes") -> str:
 for _mode, _keys in match.BAG_KEYS.items():
     query(f"a08_bag_f1_{_mode}", f"{N}, {bags('file, ' + ', '.join(_keys))}")(lambda spark, d, m=_mode: match.bag_f1(fx.notes(spark, d), m))
 
-ORDINAL = "o AS (SELECT *, dense_rank() OVER (PARTITION BY file, side, part_idx ORDER BY measure_idx) AS ordinal FROM notes)"
-RANGE = "r AS (SELECT file, part_idx, unnest(range(1, max(ordinal) + 1)) AS ordinal FROM o GROUP BY file, part_idx)"
+ORDINAL = "o AS (SELECT *, dense_rank() OVER (PARTITION BY file, side ORDER BY measure_idx) AS ordinal FROM notes)"
+RANGE = "r AS (SELECT file, unnest(range(1, max(ordinal) + 1)) AS ordinal FROM o GROUP BY file)"
+BOTH = "count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng"
 
 
 @query("a10_measure_accuracy", f"""{N}, {ORDINAL}, {RANGE},
-k AS (SELECT file, part_idx, ordinal, pitch, onset_beat, duration_beat, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng FROM o GROUP BY ALL),
-w AS (SELECT file, part_idx, ordinal, max(CASE WHEN np <> ng THEN 1 ELSE 0 END) AS wrong FROM k GROUP BY ALL),
-p AS (SELECT file, count(*) AS measures, CAST(sum(coalesce(wrong, 0)) AS BIGINT) AS wrong FROM r LEFT JOIN w USING (file, part_idx, ordinal) GROUP BY file)
+k AS (SELECT file, ordinal, part_idx, pitch, onset_beat, duration_beat, staff, {BOTH} FROM o GROUP BY ALL),
+w AS (SELECT file, ordinal, max(CASE WHEN np <> ng THEN 1 ELSE 0 END) AS wrong FROM k GROUP BY ALL),
+p AS (SELECT file, count(*) AS measures, CAST(sum(coalesce(wrong, 0)) AS BIGINT) AS wrong FROM r LEFT JOIN w USING (file, ordinal) GROUP BY file)
 SELECT file, measures, measures - wrong AS correct, (measures - wrong) / CAST(measures AS DOUBLE) AS measure_accuracy, wrong / CAST(measures AS DOUBLE) AS ser FROM p""")
 def a10(spark, d):
     return match.measure_accuracy(fx.notes(spark, d))
 
 
-@query("a11_measure_f1", f"""{N}, {ORDINAL}, {RANGE},
-k AS (SELECT file, part_idx, ordinal, pitch, onset_beat, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng FROM o GROUP BY ALL),
-m AS (SELECT file, part_idx, ordinal, sum(least(np, ng)) AS tp, sum(np) AS np, sum(ng) AS ng FROM k GROUP BY ALL),
-f AS (SELECT file, part_idx, ordinal, CASE WHEN tp = 0 THEN 0e0 ELSE 2e0 * (CAST(tp AS DOUBLE) / np) * (CAST(tp AS DOUBLE) / ng) / (CAST(tp AS DOUBLE) / np + CAST(tp AS DOUBLE) / ng) END AS f1 FROM m)
-SELECT file, avg(coalesce(f1, 0e0)) AS avg_measure_f1 FROM r LEFT JOIN f USING (file, part_idx, ordinal) GROUP BY file""")
+def measure_f1_sql(keys: str) -> str:
+    """CTEs k, m and f: F1 of each measure position by part and keys."""
+    return f"""k AS (SELECT file, ordinal, part_idx, {keys}, {BOTH} FROM o GROUP BY ALL),
+m AS (SELECT file, ordinal, sum(least(np, ng)) AS tp, sum(np) AS np, sum(ng) AS ng FROM k GROUP BY ALL),
+f AS (SELECT file, ordinal, CASE WHEN tp = 0 THEN 0e0 ELSE 2e0 * (CAST(tp AS DOUBLE) / np) * (CAST(tp AS DOUBLE) / ng) / (CAST(tp AS DOUBLE) / np + CAST(tp AS DOUBLE) / ng) END AS f1 FROM m)"""
+
+
+@query("a11_measure_f1", f"""{N}, {ORDINAL}, {RANGE}, {measure_f1_sql('pitch, onset_beat')}
+SELECT file, avg(coalesce(f1, 0e0)) AS avg_measure_f1 FROM r LEFT JOIN f USING (file, ordinal) GROUP BY file""")
 def a11(spark, d):
     return match.measure_f1(fx.notes(spark, d), "pitch", "onset_beat")
 
 
-EVENTS = """ev AS (SELECT file, side, 'key' AS kind, CAST(measure_idx AS VARCHAR) || ':' || pitch_class AS key FROM notes WHERE note_id % 5 = 0
-UNION ALL SELECT file, side, 'time', CAST(measure_idx AS VARCHAR) || ':' || CAST(duration_beat * 4 AS INTEGER) FROM notes WHERE note_id % 5 = 1)"""
+EVENTS = """ev AS (SELECT file, side, 'key' AS kind, CAST(measure_idx AS VARCHAR) || ':' || pitch_class AS key FROM notes WHERE note_id % 3 = 0
+UNION ALL SELECT file, side, 'time', CAST(measure_idx AS VARCHAR) || ':' || CAST(duration_beat * 4 AS INTEGER) FROM notes WHERE note_id % 3 = 1
+UNION ALL SELECT file, side, 'clef', CAST(measure_idx AS VARCHAR) || ':' || pitch FROM notes WHERE note_id % 3 = 2)"""
 
 
 @query("a13_attribute_event_f1", f"{N}, {EVENTS}, {bags('file, kind, key', 'file, kind', 'ev')}")
 def a13(spark, d):
     n = fx.notes(spark, d)
     key = lambda c: F.concat(F.col("measure_idx").cast("string"), F.lit(":"), c.cast("string"))
-    one = n.filter("note_id % 5 = 0").select("file", "side", F.lit("key").alias("kind"), key(F.col("pitch_class")).alias("key"))
-    two = n.filter("note_id % 5 = 1").select("file", "side", F.lit("time").alias("kind"), key((F.col("duration_beat") * 4).cast("int")).alias("key"))
-    return match.event_f1(one.unionByName(two))
+    k = F.col("note_id") % 3
+    kind = F.when(k == 0, "key").when(k == 1, "time").otherwise("clef")
+    value = F.when(k == 0, key(F.col("pitch_class"))).when(k == 1, key((F.col("duration_beat") * 4).cast("int"))).otherwise(key(F.col("pitch")))
+    return match.event_f1(n.select("file", "side", kind.alias("kind"), value.alias("key")))
 
 
 def jsd(bin_: str) -> str:
@@ -104,19 +111,6 @@ def a16b(spark, d):
     return match.framewise_f1(fx.notes(spark, d), "rhythm")
 
 
-RESULTS = f"""{N}, {ORDINAL}, {RANGE}, k AS (SELECT file, part_idx, ordinal, pitch, onset_beat, duration_beat, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng FROM o GROUP BY ALL),
-w AS (SELECT file, part_idx, ordinal, max(CASE WHEN np <> ng THEN 1 ELSE 0 END) AS wrong FROM k GROUP BY ALL),
-p AS (SELECT file, count(*) AS measures, count(*) - CAST(sum(coalesce(wrong, 0)) AS BIGINT) AS correct FROM r LEFT JOIN w USING (file, part_idx, ordinal) GROUP BY file),
-q AS (SELECT *, correct / CAST(measures AS DOUBLE) AS measure_accuracy, CASE CAST(file AS INTEGER) % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS "group" FROM p)"""
-
-
-@query("a17_19_summary", RESULTS + """ SELECT CASE WHEN grouping("group") = 1 THEN 'overall' ELSE "group" END AS "group", count(*) AS num_files, avg(measure_accuracy) AS avg_measure_accuracy,
-CAST(sum(correct) AS DOUBLE) / sum(measures) AS strict_measure_accuracy, CAST(sum(measures) - sum(correct) AS DOUBLE) / sum(measures) AS micro_ser, CAST(grouping("group") AS TINYINT) AS is_overall FROM q GROUP BY ROLLUP ("group")""")
-def a19(spark, d):
-    variant = F.element_at(F.array(F.lit("clean"), F.lit("light"), F.lit("heavy")), (F.col("file").cast("int") % 3 + 1).cast("int"))
-    return report.summary(match.measure_accuracy(fx.notes(spark, d)).withColumn("group", variant), ["measure_accuracy"])
-
-
 @query("a20_validity", """WITH v AS (SELECT d.doc_id, l.doc_id IS NOT NULL AS available, coalesce(l.quality = 1, false) AS parsed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 c AS (SELECT count(*) AS expected, count(*) FILTER (available) AS available, count(*) FILTER (available AND parsed) AS parsed FROM v)
 SELECT *, expected - available AS missing, available - parsed AS failed, parsed / CAST(expected AS DOUBLE) AS parse_rate FROM c""")
@@ -126,10 +120,16 @@ def a20(spark, d):
     return report.validity(pairs.select(F.col("other").isNotNull().alias("available"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("parsed")))
 
 
-@query("a30_measure_key_lists", f"""{N} SELECT file, measure_idx, list_sort(list(CAST(part_idx AS VARCHAR) || ':' || pitch || ':' || CAST(onset_beat * 4 AS INTEGER))) AS basic FROM notes WHERE side = 'gt' GROUP BY ALL""")
+FLAVOURS = {"basic": ("pitch", "onset", "duration"), "staff": ("pitch", "onset", "duration", "staff"), "rhythm": ("onset", "duration"), "pitch_class": ("pitch_class", "onset", "duration")}
+IN_KEY = {"onset": "CAST(onset_beat * 4 AS INTEGER)", "duration": "CAST(duration_beat * 4 AS INTEGER)", "staff": "coalesce(CAST(staff AS VARCHAR), 'None')", "pitch": "pitch", "pitch_class": "pitch_class"}
+
+
+@query("a30_measure_key_lists", f"{N} SELECT file, side, measure_idx, " + ", ".join(
+    f"list_sort(list(CAST(part_idx AS VARCHAR) || {''.join(chr(39) + ':' + chr(39) + ' || ' + IN_KEY[c] + ' || ' for c in columns)[:-4]})) AS {name}" for name, columns in FLAVOURS.items()) + " FROM notes GROUP BY ALL")
 def a30(spark, d):
-    key = F.concat_ws(":", F.col("part_idx").cast("string"), F.col("pitch").cast("string"), (F.col("onset_beat") * 4).cast("int").cast("string"))
-    return fx.notes(spark, d).filter("side = 'gt'").groupBy("file", "measure_idx").agg(F.sort_array(F.collect_list(key)).alias("basic"))
+    grid = lambda c: (F.col(c) * 4).cast("int")
+    column = {"onset": grid("onset_beat"), "duration": grid("duration_beat"), "staff": F.coalesce(F.col("staff").cast("string"), F.lit("None")), "pitch": F.col("pitch"), "pitch_class": F.col("pitch_class")}
+    return match.measure_key_lists(fx.notes(spark, d), {name: [column[c] for c in columns] for name, columns in FLAVOURS.items()})
 
 
 @query("a25_tie_merge", f"""{N} SELECT file, part_idx, CAST(note_id % 9 AS BIGINT) AS tie_key, min(onset_beat) AS start_beat, max(onset_beat + duration_beat) AS end_beat,
@@ -191,23 +191,53 @@ def j08(spark, d):
 
 
 @query("j09_interval_measure", """WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id FROM events),
-s AS (SELECT user_id, CAST(k AS INTEGER) AS measure_idx, k * 2e0 AS a, k * 2e0 + CASE WHEN k % 5 = 0 THEN 1e0 ELSE 2e0 END AS b FROM m WHERE k <= 12),
-n AS (SELECT user_id, event_id AS note_id, (event_id % 64) * 0.5e0 AS at FROM events), z AS (SELECT user_id, max(b) AS b, arg_max(measure_idx, b) AS k FROM s GROUP BY user_id)
-SELECT CAST(n.user_id AS VARCHAR) AS file, n.note_id, n.at AS onset_beat, coalesce(s.measure_idx, CASE WHEN n.at = z.b THEN z.k END, 0) AS measure_idx
-FROM n LEFT JOIN s ON n.user_id = s.user_id AND n.at >= s.a AND n.at < s.b LEFT JOIN z ON n.user_id = z.user_id""")
+s AS (SELECT user_id, CAST(k AS INTEGER) AS measure_idx, k * 2e0 AS a, k * 2e0 + CASE WHEN k % 5 = 0 THEN 1e0 WHEN k % 7 = 0 THEN 5e0 ELSE 2e0 END AS b FROM m),
+n AS (SELECT user_id, event_id AS note_id, (event_id % 300) * 0.5e0 AS x FROM events), z AS (SELECT user_id, arg_max(b, (a, b, measure_idx)) AS b, arg_max(measure_idx, (a, b, measure_idx)) AS k FROM s GROUP BY user_id)
+SELECT CAST(n.user_id AS VARCHAR) AS file, n.note_id, any_value(n.x) AS onset_beat, coalesce(arg_min(s.measure_idx, (s.a, s.b, s.measure_idx)), any_value(CASE WHEN n.x = z.b THEN z.k END), 0) AS measure_idx
+FROM n LEFT JOIN s ON n.user_id = s.user_id AND n.x >= s.a AND n.x < s.b LEFT JOIN z ON n.user_id = z.user_id GROUP BY n.user_id, n.note_id""")
 def j09(spark, d):
+    """Spans from all events of a user, some shorter than their place and some over the next ones."""
     from pyspark.sql import Window
 
     e = table(spark, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("k"))
     file, k = F.col("user_id").cast("string").alias("file"), F.col("k")
     start = k * F.lit(2.0)
-    spans = e.filter("k <= 12").select(file, start.alias("m_start"), (start + F.when(k % 5 == 0, 1.0).otherwise(2.0)).alias("m_end"), k.cast("int").alias("measure_idx"))
-    points = e.select(file, ((F.col("event_id") % 64) * F.lit(0.5)).alias("onset_beat"), F.col("event_id").alias("note_id"))
+    spans = e.select(file, start.alias("m_start"), (start + F.when(k % 5 == 0, 1.0).when(k % 7 == 0, 5.0).otherwise(2.0)).alias("m_end"), k.cast("int").alias("measure_idx"))
+    points = e.select(file, ((F.col("event_id") % 300) * F.lit(0.5)).alias("onset_beat"), F.col("event_id").alias("note_id"))
     return nt.measure_of(points, spans)
 
 
+#: Per timed mode: what else must be equal, whether durations are compared, and what the cost adds to the differences.
+TIMED = {
+    "pitch_onset": ("p.pitch = g.pitch", False, "abs(p.pitch - g.pitch) / 128e0 * 0.05e0"), "pitch_onset_duration": ("p.pitch = g.pitch", True, "abs(p.pitch - g.pitch) / 128e0 * 0.05e0"),
+    "pitch_onset_duration_staff": ("p.pitch = g.pitch AND p.staff IS NOT DISTINCT FROM g.staff", True, "abs(p.pitch - g.pitch) / 128e0 * 0.05e0"),
+    "pitch_onset_duration_voice": ("p.pitch = g.pitch AND p.voice IS NOT DISTINCT FROM g.voice", True, "abs(p.pitch - g.pitch) / 128e0 * 0.05e0"),
+    "rhythm": ("true", True, "0e0"), "pitch_class_onset_duration": ("p.pitch_class = g.pitch_class", True, "CASE WHEN p.pitch_class = g.pitch_class THEN 0e0 ELSE 1e0 END * 0.05e0"),
+}
+INDEXED = """i AS (SELECT *, row_number() OVER (PARTITION BY grp, side ORDER BY measure_idx, part_idx, onset_beat, pitch, duration_beat, coalesce(CAST(staff AS VARCHAR), 'None'), coalesce(voice, 'None'), note_id) - 1 AS idx FROM keyed)"""
+
+
+def greedy_sql(mode: str, group: str) -> str:
+    """CTEs that end in ``s``: tp, fp, fn and ratios of each group, pairs taken one after the other by (cost, i, j)."""
+    same, durations, more = TIMED[mode]
+    cost = "abs(p.onset_beat - g.onset_beat)" + (" + abs(p.duration_beat - g.duration_beat)" if durations else "") + f" + {more}"
+    near = "abs(p.onset_beat - g.onset_beat) <= 0.25e0" + (" AND abs(p.duration_beat - g.duration_beat) <= 0.25e0" if durations else "")
+    return f"""keyed AS (SELECT *, {group} AS grp FROM notes), {INDEXED},
+c AS (SELECT p.grp, p.idx AS i, g.idx AS j, {cost} AS cost FROM i p JOIN i g ON p.grp = g.grp AND p.part_idx = g.part_idx AND p.side = 'pred' AND g.side = 'gt' AND {same} AND {near}),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cost, i, j) AS r FROM c),
+walk AS (
+  SELECT grp, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ui, CAST([] AS BIGINT[]) AS uj FROM (SELECT DISTINCT grp FROM ranked)
+  UNION ALL
+  SELECT w.grp, n.r, CASE WHEN list_contains(ui, n.i) OR list_contains(uj, n.j) THEN ui ELSE list_append(ui, n.i) END, CASE WHEN list_contains(ui, n.i) OR list_contains(uj, n.j) THEN uj ELSE list_append(uj, n.j) END
+  FROM walk w JOIN ranked n ON n.grp = w.grp AND n.r = w.r + 1),
+t AS (SELECT grp, max(len(ui)) AS tp FROM walk GROUP BY grp),
+z AS (SELECT grp, {BOTH} FROM keyed GROUP BY grp),
+""" + scored("SELECT z.grp, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, ng - coalesce(tp, 0) AS fn FROM z LEFT JOIN t ON z.grp = t.grp", "grp")
+
+
 for _mode in match.MATCH_KEYS:
-    query(f"j10_j11_match_{_mode}")(lambda spark, d, m=_mode: match.tolerant_scores(fx.notes(spark, d), m, 0.25, 0.25))
+    _sql = f"WITH RECURSIVE {fx.NOTES_SQL}, " + greedy_sql(_mode, "file").replace("SELECT *, CASE WHEN precision", "SELECT grp AS file, * EXCLUDE (grp), CASE WHEN precision") if _mode in TIMED else f"{N}, {bags(f'file, part_idx, {_mode}')}"
+    query(f"j10_j11_match_{_mode}", _sql)(lambda spark, d, m=_mode: match.tolerant_scores(fx.notes(spark, d), m, 0.25, 0.25))
 
 query("j10_zero_tolerance", f"{N}, {bags('file, part_idx, pitch, onset_beat, duration_beat')}")(lambda spark, d: match.tolerant_scores(fx.notes(spark, d), "pitch_onset_duration", 0.0, 0.0))
 
@@ -220,12 +250,9 @@ def j10(spark, d):
     return pairs.select("file", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "cost")
 
 
-@query("a12_soft_measure_f1")
+@query("a12_soft_measure_f1", f"WITH RECURSIVE {fx.NOTES_SQL}, " + greedy_sql("pitch_onset_duration", "file || '/' || measure_idx").replace("SELECT *, CASE WHEN precision", ", f AS (SELECT *, CASE WHEN precision") + ") SELECT split_part(grp, '/', 1) AS file, avg(f1) AS avg_soft_f1 FROM f GROUP BY 1")
 def a12(spark, d):
-    n = fx.notes(spark, d)
-    keyed = n.withColumn("whole", F.col("file")).withColumn("file", F.concat_ws("/", "file", F.col("measure_idx").cast("string")))
-    names = keyed.select("file", "whole").distinct()
-    return match.tolerant_scores(keyed.drop("whole"), "pitch_onset_duration").join(names, "file").groupBy(F.col("whole").alias("file")).agg(F.avg("f1").alias("avg_soft_f1"))
+    return match.soft_measure_f1(fx.notes(spark, d), "pitch_onset_duration", 0.25, 0.25)
 
 
 @query("f33_timeline_dtw")
@@ -233,19 +260,126 @@ def f33(spark, d):
     return similarity.timeline_dtw(match.timeline(fx.notes(spark, d), "pitch_class"), 12)
 
 
+def _scores(spark, d):
+    return pairs.pair_scores(fx.parsed_scores(spark, d))
+
+
+PAIRS = f"WITH {fx.SCORES_SQL}"
+PRF = "CASE WHEN np = 0 THEN 0e0 ELSE tp / CAST(np AS DOUBLE) END AS p, CASE WHEN ng = 0 THEN 0e0 ELSE tp / CAST(ng AS DOUBLE) END AS r"
+
+
+def bag_ctes(name: str, keys: str, source: str = "notes", by: str = "file") -> str:
+    """CTE ``name``: tp, fn, p, r and f1 by bag overlap of the keys."""
+    return f"""{name}_k AS (SELECT {by}, {keys}, {BOTH} FROM {source} GROUP BY ALL),
+{name}_s AS (SELECT {by}, tp, ng - tp AS fn, {PRF} FROM (SELECT {by}, sum(least(np, ng)) AS tp, sum(np) AS np, sum(ng) AS ng FROM {name}_k GROUP BY {by})),
+{name} AS (SELECT *, CASE WHEN p + r = 0 THEN 0e0 ELSE 2e0 * p * r / (p + r) END AS f1 FROM {name}_s)"""
+
+
+MODE_KEYS = {
+    "pitch": "part_idx, pitch", "pitch_class": "part_idx, pitch_class", "pitch_onset": "part_idx, pitch, onset_beat", "pitch_onset_duration": "part_idx, pitch, onset_beat, duration_beat",
+    "pitch_onset_duration_staff": "part_idx, pitch, onset_beat, duration_beat, staff", "pitch_onset_duration_voice": "part_idx, pitch, onset_beat, duration_beat, voice",
+    "rhythm": "part_idx, onset_beat, duration_beat", "pitch_class_onset_duration": "part_idx, pitch_class, onset_beat, duration_beat",
+}
+MEASURE_KEYS = {"note": "pitch, onset_beat, duration_beat", "rhythm": "onset_beat, duration_beat", "pitch_class": "pitch_class, onset_beat, duration_beat"}
+KINDS = {"key": "fifths", "time": "beats || ':4'", "clef": "'1:' || sign || ':2'"}
+
+
+def jsd_ctes(name: str, column: str) -> str:
+    return f"""{name}_h AS (SELECT file, {column} AS bin, {BOTH} FROM notes GROUP BY ALL),
+{name}_p AS (SELECT file, np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0) AS p, ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0) AS q FROM {name}_h),
+{name} AS (SELECT file, sum(0.5e0 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + 0.5e0 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END) AS jsd FROM {name}_p GROUP BY file)"""
+
+
+def relational_sql() -> tuple[str, dict[str, str]]:
+    """CTEs that end in ``rel`` (a row a file), and its columns."""
+    ctes, columns, joins = [FRAMED.replace("FROM notes", "FROM notes")], {}, []
+    for mode, keys in MODE_KEYS.items():
+        ctes.append(bag_ctes(f"m_{mode}", keys))
+        columns |= {f"{mode}_precision": f"m_{mode}.p", f"{mode}_recall": f"m_{mode}.r", f"{mode}_f1": f"m_{mode}.f1", f"{mode}_tp": f"m_{mode}.tp", f"{mode}_fn": f"m_{mode}.fn"}
+        joins.append(f"m_{mode}")
+    ctes.append("ms AS (SELECT DISTINCT file, side, measure_idx FROM attrs)")
+    ctes.append("pos AS (SELECT *, row_number() OVER (PARTITION BY file, side ORDER BY measure_idx) AS ordinal FROM ms)")
+    ctes.append("rg AS (SELECT file, unnest(range(1, max(ordinal) + 1)) AS ordinal FROM pos GROUP BY file)")
+    ctes.append("pl AS (SELECT n.*, ordinal FROM notes n JOIN pos USING (file, side, measure_idx))")
+    ctes.append(f"ac_k AS (SELECT file, ordinal, part_idx, pitch, onset_beat, duration_beat, staff, {BOTH} FROM pl GROUP BY ALL)")
+    ctes.append("ac_w AS (SELECT file, ordinal, max(CASE WHEN np <> ng THEN 1 ELSE 0 END) AS wrong FROM ac_k GROUP BY ALL)")
+    ctes.append("ac AS (SELECT file, count(*) AS total, count(*) - sum(coalesce(wrong, 0)) AS correct FROM rg LEFT JOIN ac_w USING (file, ordinal) GROUP BY file)")
+    columns |= {"measure_accuracy": "ac.correct / CAST(ac.total AS DOUBLE)", "ser": "(ac.total - ac.correct) / CAST(ac.total AS DOUBLE)", "correct_measures": "ac.correct", "wrong_measures": "ac.total - ac.correct", "total_measures": "ac.total"}
+    joins.append("ac")
+    for name, keys in MEASURE_KEYS.items():
+        ctes.append(bag_ctes(f"o_{name}", f"part_idx, {keys}", "pl", "file, ordinal"))
+        ctes.append(f"om_{name} AS (SELECT file, avg(coalesce(f1, 0e0)) AS v FROM rg LEFT JOIN o_{name} USING (file, ordinal) GROUP BY file)")
+        columns[f"avg_measure_{name}_f1"] = f"om_{name}.v"
+        joins.append(f"om_{name}")
+    ctes.append("every AS (SELECT DISTINCT file, measure_idx FROM ms)")
+    for name, mode in (("note", "pitch_onset_duration"), ("pitch_class", "pitch_class_onset_duration")):
+        ctes.append(bag_ctes(f"s_{name}", MODE_KEYS[mode], "notes", "file, measure_idx"))
+        ctes.append(f"sm_{name} AS (SELECT file, avg(coalesce(f1, 0e0)) AS v FROM every LEFT JOIN s_{name} USING (file, measure_idx) GROUP BY file)")
+        columns[f"avg_measure_soft_{name}_f1"] = f"sm_{name}.v"
+        joins.append(f"sm_{name}")
+    for kind, value in KINDS.items():
+        ctes.append(bag_ctes(f"e_{kind}", "event", f"(SELECT file, side, part_idx || ':' || measure_idx || ':' || {value} AS event FROM attrs)"))
+        columns[f"{kind}_event_f1"] = f"e_{kind}.f1"
+        joins.append(f"e_{kind}")
+    for name, column in (("pitch_class", "pitch_class"), ("duration", "round(duration_beat, 6)")):
+        ctes.append(jsd_ctes(f"j_{name}", column))
+        columns[f"{name}_histogram_jsd"] = f"j_{name}.jsd"
+        joins.append(f"j_{name}")
+    ctes.append("t_pc AS (SELECT DISTINCT file, side, frame, pitch_class AS slot FROM fx)")
+    ctes.append("t_rh AS (SELECT DISTINCT file, side, frame, 0 AS slot FROM fx WHERE frame = b UNION ALL SELECT DISTINCT file, side, frame, 1 FROM fx)")
+    for name, source in (("pitch_class", "t_pc"), ("rhythm", "t_rh")):
+        ctes.append(bag_ctes(f"f_{name}", "frame, slot", source))
+        columns[f"{name}_timeline_f1"] = f"f_{name}.f1"
+        joins.append(f"f_{name}")
+    for name, source in (("notes", "notes"), ("measures", "ms"), ("notes_before_tie_merge", "notes"), ("notes_after_tie_merge", "notes")):
+        ctes.append(f"c_{name} AS (SELECT file, {BOTH} FROM {source} GROUP BY file)")
+        columns |= {f"pred_{name}": f"c_{name}.np", f"gt_{name}": f"c_{name}.ng"}
+        joins.append(f"c_{name}")
+    columns |= {f"{side}_tie_merged_notes": "0" for side in ("pred", "gt")}
+    body = ",\n".join(ctes)
+    picked = ", ".join(f"CAST(coalesce({x}, 0) AS DOUBLE) AS {k}" for k, x in columns.items())
+    joined = " ".join(f"LEFT JOIN {j} ON f.file = {j}.file" for j in joins)
+    return f"{PAIRS}, {body},\nrel AS (SELECT f.file, {picked} FROM (SELECT DISTINCT file FROM attrs) f {joined})", columns
+
+
+REL, REL_COLUMNS = relational_sql()
+
+
+@query("e2_pair_scores_relational", f"{REL} SELECT file, " + ", ".join(f"round({c}, 9) AS {c}" for c in REL_COLUMNS) + " FROM rel")
+def e2_relational(spark, d):
+    """The metrics of a pair that SQL can state, from markup to numbers."""
+    return _scores(spark, d).select("file", *[F.round(c, 9).alias(c) for c in REL_COLUMNS])
+
+
+@query("e2_pair_scores")
+def e2(spark, d):
+    """All metrics of a pair, edit and warping distances and composites among them."""
+    return _scores(spark, d)
+
+
 @query("f34_composites")
 def f34(spark, d):
-    n = fx.notes(spark, d)
-    one = lambda df, name, c="f1": df.select("file", F.col(c).alias(name))
-    out = one(match.bag_f1(n, "pitch_class"), "pitch_class_f1")
-    rest = [
-        one(match.framewise_f1(n, "rhythm"), "rhythm_f1"), one(match.bag_f1(n, "measure_pitch_class"), "pcd_f1"), one(match.measure_accuracy(n), "measure_accuracy", "measure_accuracy"),
-        one(match.bag_f1(n, "measure_pitch"), "pods_f1"), one(similarity.timeline_dtw(match.timeline(n, "pitch_class"), 12), "pitch_class_dtw", "similarity"),
-        one(similarity.timeline_dtw(match.timeline(n, "rhythm"), 2), "rhythm_dtw", "similarity"),
-    ]
-    for other in rest:
-        out = out.join(other, "file")
-    return report.composites(out.withColumn("key_f1", F.lit(0.0)).withColumn("time_f1", F.lit(0.0)).withColumn("structure_distance", F.lit(1.0)))
+    return _scores(spark, d).select("file", "music_content_score", "notation_score")
+
+
+def _grouped(scores):
+    variant = F.element_at(F.array(F.lit("clean"), F.lit("light"), F.lit("heavy")), (F.col("file").cast("int") % 3 + 1).cast("int"))
+    return pairs.summary(scores.withColumn("group", variant))
+
+
+@query("a17_19_summary", f"""{REL}, q AS (SELECT *, CASE CAST(file AS INTEGER) % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS "group" FROM rel)
+SELECT CASE WHEN grouping("group") = 1 THEN 'overall' ELSE "group" END AS "group", CAST(grouping("group") AS TINYINT) AS is_overall, count(*) AS num_files, sum(correct_measures) / sum(total_measures) AS strict_measure_accuracy,
+sum(wrong_measures) / sum(total_measures) AS ser, 0e0 AS avg_onset_tolerance_beats, 0e0 AS avg_duration_tolerance_beats, """ + ", ".join(f"round(avg({m}), 9) AS avg_{m}" for m in pairs.MEANS if m in REL_COLUMNS) + """ FROM q GROUP BY ROLLUP ("group")""")
+def a19(spark, d):
+    """Of the 32 columns those that SQL can state."""
+    out = _grouped(_scores(spark, d))
+    return out.select("group", "is_overall", "num_files", "strict_measure_accuracy", "ser", "avg_onset_tolerance_beats", "avg_duration_tolerance_beats", *[F.round(f"avg_{m}", 9).alias(f"avg_{m}") for m in pairs.MEANS if m in REL_COLUMNS])
+
+
+@query("e2_summary")
+def e2_summary(spark, d):
+    """All 32 columns by variant and over all."""
+    return _grouped(_scores(spark, d))
 
 
 @query("f32_cosine", """SELECT a.vec_id, CASE WHEN na = 0 AND nb = 0 THEN 1e0 WHEN na = 0 OR nb = 0 THEN 0e0 ELSE round(dot / (na * nb), 6) END AS cosine FROM (
@@ -278,6 +412,11 @@ def a32(spark, d):
     return report.failures(table(spark, d, "documents").select(F.col("lang").alias("group"), F.when(n < 100, "short").when(n > 5000, "long").alias("error")))
 
 
-@query("f09_structure_tokens", f"""WITH {ELEMENTS} SELECT file, measure, list_concat(['MEASURE'], list(CASE WHEN tag = 'note' THEN 'NOTE_P' || (48 + event_id % 24) || '_D' || duration || '_S0' ELSE upper(tag) || '_D' || duration END ORDER BY child_pos), ['/MEASURE']) AS tokens FROM el GROUP BY file, measure""")
+@query("f09_structure_tokens", f"""{PAIRS},
+said AS (SELECT file, side, part_idx, measure_idx, 0 AS phase, 0 AS i, 0 AS sub, ['<PART_' || part_idx || '_MEASURE_START>', 'PART_' || part_idx, 'MEASURE_' || measure_idx] AS toks FROM attrs
+UNION ALL SELECT file, side, part_idx, measure_idx, 1, 0, 0, list_concat(CASE WHEN measure_order = 1 THEN ['DIV_2'] ELSE [] END, ['TIME_' || beats || '_4', 'KEY_' || fifths, 'CLEF_1_' || sign || '_2']) FROM attrs
+UNION ALL SELECT file, side, part_idx, measure_idx, 2, i, sub, [CASE WHEN tag = 'note' THEN CASE WHEN rest THEN 'REST' ELSE 'NOTE_P' || pitch END || '_D' || dur || '_S' || coalesce(staff, 0) || '_V' || coalesce(voice, '') ELSE upper(tag) || '_' || dur END] FROM el
+UNION ALL SELECT file, side, part_idx, measure_idx, 3, 0, 0, ['<PART_' || part_idx || '_MEASURE_END>'] FROM attrs)
+SELECT file, side, flatten(list(toks ORDER BY part_idx, measure_idx, phase, i, sub)) AS tokens FROM said GROUP BY file, side""")
 def f09(spark, d):
-    return nt.structure_tokens(elements(spark, d).withColumn("pitch", F.col("event_id") % 24 + 48).withColumn("staff", F.lit(None).cast("int")))
+    return nt.structure_tokens(fx.parsed_scores(spark, d))

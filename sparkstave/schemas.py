@@ -25,7 +25,7 @@ ELEMENTS = T.StructType([
     *_fields("string", "file"), *_fields("int", "part_idx", "measure_order"), *_fields("string", "measure_number"), *_fields("int", "child_pos"),
     *_fields("string", "tag", "duration"), *_fields("boolean", "is_chord", "is_rest"),
     *_fields("string", "step", "alter", "octave", "staff", "voice", "beats", "beat_type", "fifths", "divisions"),
-    T.StructField("clefs", T.ArrayType(_CLEF)),
+    T.StructField("clefs", T.ArrayType(_CLEF)), *_fields("string", "ties", "error"),
 ])
 
 
