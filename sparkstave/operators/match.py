@@ -164,9 +164,9 @@ def measure_key_lists(notes: DataFrame, flavours: dict[str, list[Column]]) -> Da
 
 
 def divergence(histogram: DataFrame) -> DataFrame:
-    """Jensen-Shannon divergence (log 2) of the two sides' counts (file, bin, np, ng); 0 where a side is empty."""
+    """Jensen-Shannon divergence (log 2) of the two sides' counts (file, bin, np, ng); an empty side has no shares, so it is half a bit from any other."""
     whole = Window.partitionBy("file")
-    p, q = F.col("np") / F.nullif(F.sum("np").over(whole), F.lit(0)), F.col("ng") / F.nullif(F.sum("ng").over(whole), F.lit(0))
+    p, q = ratio(F.col("np"), F.sum("np").over(whole)), ratio(F.col("ng"), F.sum("ng").over(whole))
     shares = histogram.withColumn("p", p).withColumn("q", q).withColumn("m", (F.col("p") + F.col("q")) / 2)
     part = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("m"))).otherwise(F.lit(0.0))
     return shares.groupBy("file").agg(F.coalesce(F.sum(part("p") * 0.5 + part("q") * 0.5), F.lit(0.0)).alias("jsd"))

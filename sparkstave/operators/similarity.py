@@ -26,7 +26,7 @@ def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND) ->
     if not n or not m:
         return np.full(pairs, 1.0 if n == m else 0.0)
     band = max(abs(n - m), math.ceil(max(n, m) * band_share))
-    nx, ny = np.sqrt(np.bitwise_count(x)), np.sqrt(np.bitwise_count(y))
+    nx, ny = (np.sqrt(np.bitwise_count(a).astype(np.float64)) for a in (x, y))
     costs = [np.full((pairs, n + 2), math.inf) for _ in range(3)]
     steps = [np.zeros((pairs, n + 2), np.int64) for _ in range(3)]
     costs[0][:, 0] = 0.0
@@ -53,7 +53,11 @@ def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND) ->
 
 def dtw_similarity(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> float:
     """Of one pair of timelines with a row of 0 and 1 for each frame."""
-    masks = lambda a: (np.asarray(a, np.int64).reshape(len(a), -1) << np.arange(np.shape(a)[1] if len(a) else 0)).sum(axis=1, dtype=np.int64)
+
+    def masks(a) -> np.ndarray:
+        a = np.asarray(a).astype(np.int64)
+        return (a << np.arange(a.shape[1])).sum(axis=1, dtype=np.int64) if len(a) else np.zeros(0, np.int64)
+
     return float(dtw_similarities(masks(x)[None], masks(y)[None], band_share)[0])
 
 

@@ -82,7 +82,7 @@ def a13(spark, d):
 
 def jsd(bin_: str) -> str:
     return f"""{N}, h AS (SELECT file, {bin_} AS bin, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng FROM notes GROUP BY ALL),
-s AS (SELECT file, np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0) AS p, ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0) AS q FROM h)
+s AS (SELECT file, coalesce(np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS p, coalesce(ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS q FROM h)
 SELECT file, coalesce(sum(0.5e0 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + 0.5e0 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END), 0e0) AS jsd FROM s GROUP BY file"""
 
 
@@ -286,7 +286,7 @@ KINDS = {"key": "fifths", "time": "beats || ':4'", "clef": "'1:' || sign || ':2'
 
 def jsd_ctes(name: str, column: str) -> str:
     return f"""{name}_h AS (SELECT file, {column} AS bin, {BOTH} FROM notes GROUP BY ALL),
-{name}_p AS (SELECT file, np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0) AS p, ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0) AS q FROM {name}_h),
+{name}_p AS (SELECT file, coalesce(np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS p, coalesce(ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS q FROM {name}_h),
 {name} AS (SELECT file, sum(0.5e0 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + 0.5e0 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END) AS jsd FROM {name}_p GROUP BY file)"""
 
 
