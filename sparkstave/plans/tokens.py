@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkstave.functions import arrays, scalars
-from sparkstave.operators import batches, bpe, noise
+from sparkstave.operators import batches, bpe, noise, report
 from sparkstave.plans import fixtures as fx
-from sparkstave.session import table
+from sparkstave.session import stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -242,50 +242,70 @@ def f13(spark, d):
     return bpe.decode_symbols(bpe.encode_symbols(rows, vocabulary, "doc_id", "s"), vocabulary, "doc_id").filter("size(symbols) > 0")
 
 
-#: Rows of the vocabulary, as in the reference's configurations.
-VOCABULARY = 5000
-
-
-@query("b01_bpe_learning")
-def b01(spark, d):
-    return bpe.learned_merges(_bpe_text(spark, d), vocabulary=VOCABULARY)
+#: Rows of the vocabulary and ids of a row, as in the configurations that set them.
+VOCABULARY, MOST_IDS = 5000, 8192
+#: Vocabularies learned in this session, by application and folder: one is used by many queries.
+_LEARNED: dict = {}
 
 
 def _bpe_text(spark, d):
     """Character strings with a segment mark: all texts, whole."""
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_replace("text", r"[ \n.]+", "!").alias("text"))
+    text = F.regexp_replace("text", r"[ \n.]+", "!")
+    part = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("training")
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("text"), part.alias("split"), "lang", F.size(arrays.words(F.col("text"))).alias("n"))
+
+
+def _vocabulary(spark, d):
+    """Learned on training rows only, and written once."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LEARNED:
+        training = _bpe_text(spark, d).filter("split = 'training'").select("doc_id", "text")
+        _LEARNED[key] = stored(bpe.learned_merges(training, vocabulary=VOCABULARY), "vocabulary")
+    return _LEARNED[key]
+
+
+@query("b01_bpe_learning")
+def b01(spark, d):
+    return _vocabulary(spark, d)
 
 
 @query("b02_bpe_encoding")
 def b02(spark, d):
-    text = _bpe_text(spark, d)
-    return bpe.encoded(text, bpe.learned_merges(text, vocabulary=VOCABULARY))
+    return bpe.encoded(_bpe_text(spark, d), _vocabulary(spark, d))
 
 
 @query("b03_bpe_round_trip")
 def b03(spark, d):
-    text = _bpe_text(spark, d)
-    merges = bpe.learned_merges(text, vocabulary=VOCABULARY)
+    """Whether a text comes back; characters that no training row has are lost."""
+    text, merges = _bpe_text(spark, d).select("doc_id", "text"), _vocabulary(spark, d)
     back = bpe.decoded(bpe.encoded(text, merges), merges)
     return text.join(back, "doc_id").select("doc_id", (F.col("decoded") == F.col("text")).alias("same"))
 
 
 @query("b04_bpe_dropout")
 def b04(spark, d):
-    text = _bpe_text(spark, d)
-    return bpe.encoded(text, bpe.learned_merges(text, vocabulary=VOCABULARY), dropout=0.1, seed=3)
+    return bpe.encoded(_bpe_text(spark, d), _vocabulary(spark, d), dropout=0.1, seed=3)
 
 
 @query("b05_measure_tokens")
 def b05(spark, d):
-    return bpe.learned_merges(_bpe_text(spark, d), vocabulary=VOCABULARY).filter(F.col("token").startswith("!")).select("id", "token")
+    """Ids of tokens that open a segment."""
+    return _vocabulary(spark, d).filter(F.col("token").startswith("!")).select("id", "token")
 
 
 @query("b06_tokenized_splits")
 def b06(spark, d):
+    """The corpus tokenised by split: dropout in training rows only, at most MOST_IDS ids a row, the limit of the job."""
+    text, merges = _bpe_text(spark, d), _vocabulary(spark, d)
+    ids = [bpe.encoded(text.filter(F.col("split") == part), merges, dropout=p, seed=3).withColumn("split", F.lit(part)) for part, p in (("training", 0.1), ("test", 0.0))]
+    return ids[0].unionByName(ids[1]).select("doc_id", "split", F.size("ids").alias("length"), arrays.first_n(F.col("ids"), MOST_IDS).alias("ids"))
+
+
+@query("a26_token_inflation")
+def a26b(spark, d):
+    """Words, tokens and tokens a word by language."""
     text = _bpe_text(spark, d)
-    ids = bpe.encoded(text, bpe.learned_merges(text, vocabulary=VOCABULARY))
-    return ids.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("training").alias("split"), "ids")
+    return report.inflation(bpe.encoded(text, _vocabulary(spark, d)), text.select("doc_id", F.col("lang").alias("group"), "n"))
 
 
 @query("f07_f08_edit_distance", r"""WITH RECURSIVE c AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),

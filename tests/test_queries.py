@@ -7,7 +7,7 @@ from sparkstave.plans import registry
 
 SQL = registry.oracle_sql()
 #: Loops of many small jobs have tests of their own.
-SLOW = ("b01", "b02", "b03", "b04", "b05", "b06", "j10_j11", "f34")
+SLOW = ("b01", "b02", "b03", "b04", "b05", "b06", "a26_token")
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sparkstave.operators import bpe, match
-from sparkstave.plans import registry
+from sparkstave.plans import registry, tokens
 from sparkstave.session import table
 
 
@@ -40,10 +40,26 @@ def test_merges_are_those_of_one_after_the_other(spark, small_dir, monkeypatch):
 
 def test_bpe_queries_read_whole_texts(spark, small_dir):
     given = {r["doc_id"] for r in table(spark, small_dir, "documents").filter("text is not null").collect()}
-    same = registry.queries()["b03_bpe_round_trip"](spark, small_dir).collect()
-    assert {r["doc_id"] for r in same} == given and all(r["same"] for r in same)
-    rows = registry.queries()["b06_tokenized_splits"](spark, small_dir)
-    assert {r["doc_id"] for r in rows.collect()} == given and rows.agg(F.max(F.size("ids"))).first()[0] > 400
+    queries = {name: registry.queries()[name] for name in registry.queries()}
+    vocabulary = queries["b01_bpe_learning"](spark, small_dir).collect()
+    assert len(vocabulary) <= 5000 and sum(r["left"] is not None for r in vocabulary) > 1000
+    letters = {c for r in vocabulary for c in r["token"] if r["left"] is None and r["id"] > 2}
+    texts = {r["doc_id"]: r["text"] for r in tokens._bpe_text(spark, small_dir).collect()}
+    same = queries["b03_bpe_round_trip"](spark, small_dir).collect()
+    assert {r["doc_id"] for r in same} == given and all(r["same"] == (set(texts[r["doc_id"]]) <= letters) for r in same) and sum(r["same"] for r in same) > 0.9 * len(same)
+    plain = {r["doc_id"]: r["ids"] for r in queries["b02_bpe_encoding"](spark, small_dir).collect()}
+    dropped = {r["doc_id"]: r["ids"] for r in queries["b04_bpe_dropout"](spark, small_dir).collect()}
+    assert set(plain) == set(dropped) == given and sum(map(len, dropped.values())) > sum(map(len, plain.values()))
+    for r in queries["b06_tokenized_splits"](spark, small_dir).collect():
+        whole = plain if r["split"] == "test" else dropped
+        assert (r["split"] == "test") == (r["doc_id"] % 5 == 0) and r["ids"] == whole[r["doc_id"]][:8192] and r["length"] == len(whole[r["doc_id"]])
+    openers = {r["id"]: r["token"] for r in queries["b05_measure_tokens"](spark, small_dir).collect()}
+    assert openers == {r["id"]: r["token"] for r in vocabulary if r["token"].startswith("!")}
+    group = {r["doc_id"]: (r["lang"], len(r["text"].split())) for r in table(spark, small_dir, "documents").filter("text is not null").collect()}
+    for r in queries["a26_token_inflation"](spark, small_dir).collect():
+        own = [d for d in given if group[d][0] == r["group"]]
+        assert (r["files"], r["symbols"], r["tokens"]) == (len(own), sum(group[d][1] for d in own), sum(len(plain[d]) - 2 for d in own))
+        assert r["inflation"] == r["tokens"] / r["symbols"]
 
 
 def test_dropout_keeps_the_text(spark):
