@@ -78,9 +78,9 @@ def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float
     found.append(named(structure_distance(nt.structure_tokens(elements)), {"xml_structure_edit_distance": "distance", "xml_normalized_structure_edit_distance": "normalized"}))
     found.append(named(match.divergence(match.pitch_class_histogram(notes)), {"pitch_class_histogram_jsd": "jsd"}))
     found.append(named(match.divergence(match.duration_histogram(notes, 6)), {"duration_histogram_jsd": "jsd"}))
-    for kind, slots in (("pitch_class", 12), ("rhythm", 2)):
+    for kind in ("pitch_class", "rhythm"):
         found.append(named(match.framewise_f1(notes, kind), {f"{kind}_timeline_f1": "f1"}))
-        found.append(named(similarity.timeline_dtw(match.timeline(notes, kind), slots), {f"{kind}_timeline_dtw_similarity": "similarity"}))
+        found.append(named(similarity.timeline_dtw(match.timeline(notes, kind)), {f"{kind}_timeline_dtw_similarity": "similarity"}))
     names = [
         *(f"{s}_{c}" for c in ("notes", "measures", "notes_before_tie_merge", "notes_after_tie_merge") for s in ("pred", "gt")), *(f"{m}_{c}" for m in match.MATCH_KEYS for c in ("precision", "recall", "f1", "tp", "fn")),
         *accuracy, *(f"avg_measure_{n}_f1" for n in keys), "avg_measure_soft_note_f1", "avg_measure_soft_pitch_class_f1", *(f"{k}_event_f1" for k in ("key", "time", "clef")),

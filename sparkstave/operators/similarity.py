@@ -61,34 +61,39 @@ def dtw_similarity(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> fl
     return float(dtw_similarities(masks(x)[None], masks(y)[None], band_share)[0])
 
 
-def timeline_frames(cells: DataFrame, slots: int) -> DataFrame:
-    """(file, side, frames): sounding slots of each frame as bits, in order of frames, silent frames included."""
+def timeline_masks(cells: DataFrame) -> DataFrame:
+    """(file, side, frames, masks): the frames that sound, in order, and each one's slots as bits."""
     masks = cells.groupBy("file", "side", "frame").agg(F.expr("bit_or(shiftleft(1, cast(slot as int)))").alias("mask"))
-    lists = masks.groupBy("file", "side").agg(F.array_sort(F.collect_list(F.struct("frame", "mask"))).alias("x"), F.max("frame").alias("last"))
-    found = F.map_from_entries("x")
-    return lists.select("file", "side", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("last")), lambda i: F.coalesce(F.element_at(found, i), F.lit(0))).alias("frames"))
+    lists = masks.groupBy("file", "side").agg(F.array_sort(F.collect_list(F.struct("frame", "mask"))).alias("x"))
+    return lists.select("file", "side", F.transform("x", lambda x: x["frame"].cast("int")).alias("frames"), F.transform("x", lambda x: x["mask"]).alias("masks"))
 
 
-def timeline_dtw(cells: DataFrame, slots: int, band_share: float = BAND) -> DataFrame:
+def dense(frames, masks) -> np.ndarray:
+    """A timeline up to its last sounding frame, silent frames included."""
+    out = np.zeros(int(frames[-1]) + 1 if frames is not None and len(frames) else 0, np.int64)
+    if len(out):
+        out[np.asarray(frames, np.int64)] = masks
+    return out
+
+
+def timeline_dtw(cells: DataFrame, band_share: float = BAND) -> DataFrame:
     """DTW similarity of each file's two timelines; files are spread over tasks, pairs of equal lengths go together."""
-    frames = timeline_frames(cells, slots)
-    pairs = frames.groupBy("file").agg(
-        F.coalesce(F.first(F.when(F.col("side") == "pred", F.col("frames")), ignorenulls=True), F.array().cast("array<int>")).alias("pred"),
-        F.coalesce(F.first(F.when(F.col("side") == "gt", F.col("frames")), ignorenulls=True), F.array().cast("array<int>")).alias("gt"),
-    )
+    side = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}")
+    pairs = timeline_masks(cells).groupBy("file").agg(*[side(s, c) for s in ("pred", "gt") for c in ("frames", "masks")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            lines = {s: [dense(f, m) for f, m in zip(batch[f"{s}_frames"], batch[f"{s}_masks"], strict=True)] for s in ("pred", "gt")}
             shapes: dict[tuple[int, int], list[int]] = {}
-            for i, (p, g) in enumerate(zip(batch["pred"], batch["gt"], strict=True)):
+            for i, (p, g) in enumerate(zip(lines["pred"], lines["gt"], strict=True)):
                 shapes.setdefault((len(p), len(g)), []).append(i)
             out = np.zeros(len(batch))
             for (n, m), rows in shapes.items():
                 step = max(1, PAIR_CELLS // (n + m + 1))
                 for begin in range(0, len(rows), step):
                     some = rows[begin : begin + step]
-                    stack = lambda side, size, some=some: np.array([batch[side].iloc[i] for i in some], np.int64).reshape(len(some), size)
-                    out[some] = dtw_similarities(stack("pred", n), stack("gt", m), band_share)
+                    x, y = (np.stack([lines[s][i] for i in some]) for s in ("pred", "gt"))
+                    out[some] = dtw_similarities(x, y, band_share)
             yield pd.DataFrame({"file": batch["file"], "similarity": out})
 
     return pairs.mapInPandas(run, "file string, similarity double")

@@ -80,18 +80,18 @@ def a13(spark, d):
     return match.event_f1(n.select("file", "side", kind.alias("kind"), value.alias("key")))
 
 
-def jsd(bin_: str) -> str:
-    return f"""{N}, h AS (SELECT file, {bin_} AS bin, count(*) FILTER (side = 'pred') AS np, count(*) FILTER (side = 'gt') AS ng FROM notes GROUP BY ALL),
-s AS (SELECT file, coalesce(np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS p, coalesce(ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS q FROM h)
-SELECT file, coalesce(sum(0.5e0 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + 0.5e0 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END), 0e0) AS jsd FROM s GROUP BY file"""
+def jsd_ctes(name: str, column: str) -> str:
+    return f"""{name}_h AS (SELECT file, {column} AS bin, {BOTH} FROM notes GROUP BY ALL),
+{name}_p AS (SELECT file, coalesce(np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS p, coalesce(ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS q FROM {name}_h),
+{name} AS (SELECT file, sum(0.5e0 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + 0.5e0 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END) AS jsd FROM {name}_p GROUP BY file)"""
 
 
-@query("a14_pitch_class_divergence", jsd("pitch_class").replace(" AS jsd FROM", " AS raw FROM").replace("SELECT file, coalesce", "SELECT file, round(raw, 9) AS jsd FROM (SELECT file, coalesce") + ")")
+@query("a14_pitch_class_divergence", f"{N}, {jsd_ctes('j', 'pitch_class')} SELECT file, round(jsd, 9) AS jsd FROM j")
 def a14(spark, d):
     return match.divergence(match.pitch_class_histogram(fx.notes(spark, d))).withColumn("jsd", F.round("jsd", 9))
 
 
-@query("a15_duration_divergence", jsd("round(duration_beat, 3)").replace(" AS jsd FROM", " AS raw FROM").replace("SELECT file, coalesce", "SELECT file, round(raw, 9) AS jsd FROM (SELECT file, coalesce") + ")")
+@query("a15_duration_divergence", f"{N}, {jsd_ctes('j', 'round(duration_beat, 6)')} SELECT file, round(jsd, 9) AS jsd FROM j")
 def a15(spark, d):
     return match.divergence(match.duration_histogram(fx.notes(spark, d))).withColumn("jsd", F.round("jsd", 9))
 
@@ -257,7 +257,7 @@ def a12(spark, d):
 
 @query("f33_timeline_dtw")
 def f33(spark, d):
-    return similarity.timeline_dtw(match.timeline(fx.notes(spark, d), "pitch_class"), 12)
+    return similarity.timeline_dtw(match.timeline(fx.notes(spark, d), "pitch_class"))
 
 
 def _scores(spark, d):
@@ -284,12 +284,6 @@ MEASURE_KEYS = {"note": "pitch, onset_beat, duration_beat", "rhythm": "onset_bea
 KINDS = {"key": "fifths", "time": "beats || ':4'", "clef": "'1:' || sign || ':2'"}
 
 
-def jsd_ctes(name: str, column: str) -> str:
-    return f"""{name}_h AS (SELECT file, {column} AS bin, {BOTH} FROM notes GROUP BY ALL),
-{name}_p AS (SELECT file, coalesce(np / nullif(CAST(sum(np) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS p, coalesce(ng / nullif(CAST(sum(ng) OVER (PARTITION BY file) AS DOUBLE), 0), 0) AS q FROM {name}_h),
-{name} AS (SELECT file, sum(0.5e0 * CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0e0 END + 0.5e0 * CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0e0 END) AS jsd FROM {name}_p GROUP BY file)"""
-
-
 def relational_sql() -> tuple[str, dict[str, str]]:
     """CTEs that end in ``rel`` (a row a file), and its columns."""
     ctes, columns, joins = [FRAMED.replace("FROM notes", "FROM notes")], {}, []

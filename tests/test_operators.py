@@ -94,7 +94,7 @@ def test_perfect_prediction_scores_one(spark):
     for mode in match.BAG_KEYS:
         assert match.bag_f1(df, mode).first()["f1"] == 1.0
     assert match.framewise_f1(df, "pitch_class").first()["f1"] == 1.0
-    assert similarity.timeline_dtw(match.timeline(df, "pitch_class"), 12).first()["similarity"] == pytest.approx(1.0)
+    assert similarity.timeline_dtw(match.timeline(df, "pitch_class")).first()["similarity"] == pytest.approx(1.0)
     assert match.divergence(match.pitch_class_histogram(df)).first()["jsd"] == 0.0
 
 
