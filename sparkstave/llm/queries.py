@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkstave.session import scratch, table
+from sparkstave.session import scratch, spread, table
 
 
 def op1_wfq_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def op5_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkstave.llm import bpe
 
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.encoded_digests(table(spark, sf_dir, "documents"), tokenizer)
+    return bpe.encoded_digests(spread(table(spark, sf_dir, "documents")), tokenizer)
 
 
 QUERIES["op5_chunked_bpe"] = op5_chunked_bpe
@@ -115,7 +115,7 @@ QUERIES["op5_chunked_bpe"] = op5_chunked_bpe
 def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkstave.llm import quality
 
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES["op9_suffix_repetition"] = op9_suffix_repetition
@@ -124,7 +124,7 @@ QUERIES["op9_suffix_repetition"] = op9_suffix_repetition
 def op10_folded_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkstave.llm import toxicity
 
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     lexicon = toxicity.learned(docs, table(spark, sf_dir, "labels"))
     out = toxicity.scored(docs, lexicon)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % toxicity.HELD_OUT == 0, F.lit(False))
@@ -156,7 +156,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >=
 def op3_countmin_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkstave.llm import substrings
 
-    return substrings.removal_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substrings.removal_digests(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"))
 
 
 QUERIES["op3_countmin_substrings"] = op3_countmin_substrings
@@ -174,7 +174,7 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(s.n_removed, 0)
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkstave.llm import neardup
 
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return neardup.near_duplicates(spread(table(spark, sf_dir, "documents")), k=3, percent=85)
 
 
 QUERIES["op8_circulant_minhash"] = op8_circulant_minhash
@@ -198,7 +198,7 @@ FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN least ON d.r = least.r
 def op2_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkstave.llm import langid
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     network = langid.trained(docs.filter(~held_out))
     return langid.predicted(docs.select("doc_id", "text"), network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
