@@ -357,3 +357,79 @@ def test_language_of_odd_rows(make):
     assert {r["lang_pred"] for r in langid.predicted(make(ODD), None).collect()} == {"und"}
     assert langid.trained(make([(1, None)]).select("doc_id", "text", "lang")) is None
     assert langid.predicted(make([]), network).count() == 0
+
+
+def test_prediction_equals_the_plain_network(make):
+    """Whole texts of several windows: the mean of the windows' probabilities, weighted by letters, without any table."""
+    network = langid.Network(["a", "b", "c"], seed=3)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdeé ü中 1", k=n))) for i, n in enumerate((5, 100, 256, 257, 1500))]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predicted(make(rows), network).collect()}
+    for d, text in rows:
+        x, _ = langid.text_windows([text])
+        pooled = []
+        for w, f, b in zip(langid.WIDTHS, network.filters, network.bias, strict=True):
+            embedded = network.embedding[x]
+            patches = np.concatenate([embedded[:, j : j + x.shape[1] - w + 1] for j in range(w)], axis=2)
+            pooled.append(np.maximum((patches @ f + b).max(axis=1), 0))
+        logits = np.concatenate(pooled, axis=1) @ network.out + network.out_bias
+        p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        mean = np.average(p, axis=0, weights=(x >= 4).sum(axis=1) + 1e-6)
+        assert got[d][0] == network.labels[int(mean.argmax())] and got[d][1] == pytest.approx(float(mean.max()), abs=1e-4)
+
+
+def test_training_rows_are_bounded_over_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROWS", 400)
+    rows = [(i, f"text of language {i % 50} number {i}", f"l{i % 50:02d}") for i in range(5000)]
+    few = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 100 <= len(few) <= 400 and len({r["lang"] for r in few}) > 40
+
+
+def test_verdict_of_quality_equals_plain_rules(make):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(40):
+        words = rng.choices(vocabulary, k=rng.choice((20, 80, 300)))
+        passage = rng.choices(vocabulary, k=rng.choice((4, 9, 30, 120)))
+        rows.append((i, " ".join(words + passage * rng.choice((0, 1, 2, 5)))))
+    for r in quality.judged(make(rows)).collect():
+        n, _, _, _, again, covered, longest = plain_quality(rows[r["doc_id"]][1], quality.MIN_WORDS)
+        failed = n < 50 or 100 * again > 50 * n
+        assert r["base_failed"] == failed
+        assert r["kept"] == (not failed and covered <= 0.5 * n and longest <= 100)
+
+
+def test_hits_are_those_of_a_plain_scan():
+    rng = random.Random(10)
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc*": 1.0, "bca": 1.0, "c*": 1.0, "aab": 1.0, "cab*": 1.0})
+    for _ in range(300):
+        text = "".join(rng.choices("abc  .1", k=rng.randint(0, 40)))
+        want = []
+        for m in re.finditer(r"[^\W\d_]+", text):
+            word = m.group()
+            want += [t for t in lexicon.weights if (word.startswith(t[:-1]) if t.endswith("*") else word == t)]
+        assert sorted(h[0] for h in lexicon.hits(text)) == sorted(want)
+
+
+def test_sample_counts_rows_not_ids(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, 5).collect()
+    assert len(rows) <= 10 and {r["toxic"] for r in rows} == {0, 1}
+
+
+def test_other_scripts_stay_what_they_are():
+    assert toxicity.fold("Сосна стоит в поле") == "сосна стоит в поле"
+    assert toxicity.fold("you аss hоle, my friend") == "you ass hole, my friend"
+    assert toxicity.fold("plain text сор again") == "plain text cop again"
+
+
+@pytest.mark.parametrize("weights,toxic,cut", [([1, 1, 1, 1], [0, 1, 0, 1], None), ([0, 1, 1, 2], [0, 0, 1, 1], None), ([0, 0, 3], [0, 0, 1], 1.5)])
+def test_half_way_with_ties(weights, toxic, cut):
+    """Equal weights are on one side of any cut; the cut found is as good as any."""
+    w, t = np.array(weights, float), np.array(toxic)
+    half = toxicity.half_way(w, t)
+    right = lambda c: int(((w >= c) == t).sum())
+    assert right(half) == max(right(c) for c in (-1.0, 0.5, 1.5, 2.5, 9.0))
+    assert cut is None or half == cut
