@@ -12,7 +12,6 @@ def _fields(kind: str, *names: str) -> list[T.StructField]:
     return [T.StructField(n, _TYPES[kind]) for n in names]
 
 
-CATALOG = T.StructType([*_fields("string", "mxl"), *_fields("boolean", "subset:deduplicated", "subset:rated", "subset:rated_deduplicated")])
 MANIFEST = T.StructType([
     *_fields("string", "id", "selected_variant"),
     *_fields("int", "selected_source_length", "selected_target_length"),
