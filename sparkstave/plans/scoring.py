@@ -255,9 +255,27 @@ def a12(spark, d):
     return match.soft_measure_f1(fx.notes(spark, d), "pitch_onset_duration", 0.25, 0.25)
 
 
-@query("f33_timeline_dtw")
+def dtw_ctes(name: str, cells: str) -> str:
+    """CTE ``name`` (file, similarity): warping of the two sides' timelines, row by row of the table; ``cells`` has (file, side, frame, slot)."""
+    inf = "{'c': CAST('inf' AS DOUBLE), 's': CAST(0 AS BIGINT)}"
+    near = "CASE WHEN x[i + 1] = 0 AND y[j] = 0 THEN 1e0 WHEN x[i + 1] = 0 OR y[j] = 0 THEN 0e0 ELSE bit_count(x[i + 1] & y[j]) / (sqrt(CAST(bit_count(x[i + 1]) AS DOUBLE)) * sqrt(CAST(bit_count(y[j]) AS DOUBLE))) END"
+    cost = f"least(st[j + 1].c, acc[-1].c, st[j].c) + (1e0 - {near})"
+    steps = "CASE WHEN st[j].c < least(st[j + 1].c, acc[-1].c) THEN st[j].s WHEN acc[-1].c < st[j + 1].c THEN acc[-1].s ELSE st[j + 1].s END + 1"
+    return f"""{name}_m AS (SELECT file, side, frame, CAST(sum(1 << slot) AS BIGINT) AS mask FROM (SELECT DISTINCT file, side, frame, slot FROM {cells}) GROUP BY ALL),
+{name}_g AS (SELECT file, side, unnest(range(0, max(frame) + 1)) AS frame FROM {name}_m GROUP BY file, side),
+{name}_d AS (SELECT g.file, g.side, list(coalesce(m.mask, 0) ORDER BY g.frame) AS v FROM {name}_g g LEFT JOIN {name}_m m ON g.file = m.file AND g.side = m.side AND g.frame = m.frame GROUP BY g.file, g.side),
+{name}_b AS MATERIALIZED (SELECT p.file, p.v AS x, g.v AS y, greatest(abs(len(p.v) - len(g.v)), CAST(ceil(greatest(len(p.v), len(g.v)) * 0.1e0) AS BIGINT)) AS band FROM {name}_d p JOIN {name}_d g ON p.file = g.file AND p.side = 'pred' AND g.side = 'gt'),
+{name}_w AS (
+  SELECT file, x, y, band, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(y) + 1), lambda j: CASE WHEN j = 0 THEN {{'c': 0e0, 's': CAST(0 AS BIGINT)}} ELSE {inf} END) AS st FROM {name}_b
+  UNION ALL
+  SELECT file, x, y, band, i + 1, list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, CASE WHEN abs(i + 1 - j) > band THEN {inf} ELSE {{'c': {cost}, 's': {steps}}} END), [{inf}])
+  FROM {name}_w WHERE i < len(x)),
+{name} AS (SELECT d.file, coalesce(any_value(greatest(0e0, 1 - w.st[-1].c / w.st[-1].s)), 0e0) AS similarity FROM {name}_d d LEFT JOIN {name}_w w ON d.file = w.file AND w.i = len(w.x) GROUP BY d.file)"""
+
+
+@query("f33_timeline_dtw", f"WITH RECURSIVE {fx.NOTES_SQL}, {FRAMED}, t AS (SELECT DISTINCT file, side, frame, pitch_class AS slot FROM fx), {dtw_ctes('w', 't')} SELECT file, round(similarity, 9) AS similarity FROM w")
 def f33(spark, d):
-    return similarity.timeline_dtw(match.timeline(fx.notes(spark, d), "pitch_class"))
+    return similarity.timeline_dtw(match.timeline(fx.notes(spark, d), "pitch_class")).withColumn("similarity", F.round("similarity", 9))
 
 
 def _scores(spark, d):
@@ -339,41 +357,55 @@ def relational_sql() -> tuple[str, dict[str, str]]:
 REL, REL_COLUMNS = relational_sql()
 
 
-@query("e2_pair_scores_relational", f"{REL} SELECT file, " + ", ".join(f"round({c}, 9) AS {c}" for c in REL_COLUMNS) + " FROM rel")
-def e2_relational(spark, d):
-    """The metrics of a pair that SQL can state, from markup to numbers."""
-    return _scores(spark, d).select("file", *[F.round(c, 9).alias(c) for c in REL_COLUMNS])
+SAID = """said AS (SELECT file, side, part_idx, measure_idx, 0 AS phase, 0 AS i, 0 AS sub, ['<PART_' || part_idx || '_MEASURE_START>', 'PART_' || part_idx, 'MEASURE_' || measure_idx] AS toks FROM attrs
+UNION ALL SELECT file, side, part_idx, measure_idx, 1, 0, 0, list_concat(CASE WHEN measure_order = 1 THEN ['DIV_2'] ELSE [] END, ['TIME_' || beats || '_4', 'KEY_' || fifths, 'CLEF_1_' || sign || '_2']) FROM attrs
+UNION ALL SELECT file, side, part_idx, measure_idx, 2, i, sub, [CASE WHEN tag = 'note' THEN CASE WHEN rest THEN 'REST' ELSE 'NOTE_P' || pitch END || '_D' || dur || '_S' || coalesce(staff, 0) || '_V' || coalesce(voice, '') ELSE upper(tag) || '_' || dur END] FROM el
+UNION ALL SELECT file, side, part_idx, measure_idx, 3, 0, 0, ['<PART_' || part_idx || '_MEASURE_END>'] FROM attrs)"""
+TOKENS = "SELECT file, side, flatten(list(toks ORDER BY part_idx, measure_idx, phase, i, sub)) AS tokens FROM said GROUP BY file, side"
+DISTANCE = """ed_p AS MATERIALIZED (SELECT f.file, coalesce(p.tokens, []) AS x, coalesce(g.tokens, []) AS y FROM (SELECT DISTINCT file FROM tk) f LEFT JOIN tk p ON p.file = f.file AND p.side = 'pred' LEFT JOIN tk g ON g.file = f.file AND g.side = 'gt'),
+ed_w AS (
+  SELECT file, x, y, 0 AS i, range(0, len(y) + 1) AS st FROM ed_p
+  UNION ALL
+  SELECT file, x, y, i + 1, list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, least(acc[-1] + 1, st[j + 1] + 1, st[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE 1 END)), [CAST(i + 1 AS BIGINT)])
+  FROM ed_w WHERE i < len(x)),
+ed AS (SELECT file, CAST(st[-1] AS DOUBLE) AS distance, st[-1] / CAST(greatest(len(y), 1) AS DOUBLE) AS normalized FROM ed_w WHERE i = len(x))"""
+#: Ends in ``every``: a row a file with all metrics.
+EVERY = f"""{REL.replace("WITH ", "WITH RECURSIVE ", 1)}, {SAID}, tk AS ({TOKENS}), {DISTANCE}, {dtw_ctes("dw_pitch_class", "t_pc")}, {dtw_ctes("dw_rhythm", "t_rh")},
+raw AS (SELECT rel.*, ed.distance AS xml_structure_edit_distance, ed.normalized AS xml_normalized_structure_edit_distance, coalesce(a.similarity, 1e0) AS pitch_class_timeline_dtw_similarity,
+  coalesce(b.similarity, 1e0) AS rhythm_timeline_dtw_similarity, 0e0 AS onset_tolerance_beats, 0e0 AS duration_tolerance_beats
+  FROM rel JOIN ed ON rel.file = ed.file LEFT JOIN dw_pitch_class a ON rel.file = a.file LEFT JOIN dw_rhythm b ON rel.file = b.file),
+every_file AS (SELECT *, 0.30e0 * pitch_class_f1 + 0.25e0 * rhythm_f1 + 0.20e0 * pitch_class_onset_duration_f1 + 0.15e0 * pitch_class_timeline_dtw_similarity + 0.10e0 * rhythm_timeline_dtw_similarity AS music_content_score,
+  0.35e0 * pitch_onset_duration_staff_f1 + 0.25e0 * measure_accuracy + 0.15e0 * key_event_f1 + 0.15e0 * time_event_f1 + 0.10e0 * greatest(0e0, 1e0 - xml_normalized_structure_edit_distance / 10.0e0) AS notation_score FROM raw)"""
+EVERY_COLUMNS = [
+    *REL_COLUMNS, "xml_structure_edit_distance", "xml_normalized_structure_edit_distance", "pitch_class_timeline_dtw_similarity", "rhythm_timeline_dtw_similarity",
+    "onset_tolerance_beats", "duration_tolerance_beats", "music_content_score", "notation_score",
+]
+
+
+@query("f09_structure_tokens", f"{PAIRS}, {SAID} {TOKENS}")
+def f09(spark, d):
+    return nt.structure_tokens(fx.parsed_scores(spark, d))
 
 
-@query("e2_pair_scores")
+@query("e2_pair_scores", f"{EVERY} SELECT file, " + ", ".join(f"round({c}, 9) AS {c}" for c in EVERY_COLUMNS) + " FROM every_file")
 def e2(spark, d):
-    """All metrics of a pair, edit and warping distances and composites among them."""
-    return _scores(spark, d)
+    """All metrics of a pair, from markup to composites."""
+    return _scores(spark, d).select("file", *[F.round(c, 9).alias(c) for c in EVERY_COLUMNS])
 
 
-@query("f34_composites")
+@query("f34_composites", f"{EVERY} SELECT file, round(music_content_score, 9) AS music_content_score, round(notation_score, 9) AS notation_score FROM every_file")
 def f34(spark, d):
-    return _scores(spark, d).select("file", "music_content_score", "notation_score")
-
-
-def _grouped(scores):
-    variant = F.element_at(F.array(F.lit("clean"), F.lit("light"), F.lit("heavy")), (F.col("file").cast("int") % 3 + 1).cast("int"))
-    return pairs.summary(scores.withColumn("group", variant))
+    return _scores(spark, d).select("file", *[F.round(c, 9).alias(c) for c in ("music_content_score", "notation_score")])
 
 
-@query("a17_19_summary", f"""{REL}, q AS (SELECT *, CASE CAST(file AS INTEGER) % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS "group" FROM rel)
+@query("a17_19_summary", f"""{EVERY}, q AS (SELECT *, CASE CAST(file AS INTEGER) % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS "group" FROM every_file)
 SELECT CASE WHEN grouping("group") = 1 THEN 'overall' ELSE "group" END AS "group", CAST(grouping("group") AS TINYINT) AS is_overall, count(*) AS num_files, sum(correct_measures) / sum(total_measures) AS strict_measure_accuracy,
-sum(wrong_measures) / sum(total_measures) AS ser, 0e0 AS avg_onset_tolerance_beats, 0e0 AS avg_duration_tolerance_beats, """ + ", ".join(f"round(avg({m}), 9) AS avg_{m}" for m in pairs.MEANS if m in REL_COLUMNS) + """ FROM q GROUP BY ROLLUP ("group")""")
+sum(wrong_measures) / sum(total_measures) AS ser, """ + ", ".join(f"round(avg({m}), 9) AS avg_{m}" for m in pairs.MEANS) + """ FROM q GROUP BY ROLLUP ("group")""")
 def a19(spark, d):
-    """Of the 32 columns those that SQL can state."""
-    out = _grouped(_scores(spark, d))
-    return out.select("group", "is_overall", "num_files", "strict_measure_accuracy", "ser", "avg_onset_tolerance_beats", "avg_duration_tolerance_beats", *[F.round(f"avg_{m}", 9).alias(f"avg_{m}") for m in pairs.MEANS if m in REL_COLUMNS])
-
-
-@query("e2_summary")
-def e2_summary(spark, d):
     """All 32 columns by variant and over all."""
-    return _grouped(_scores(spark, d))
+    variant = F.element_at(F.array(F.lit("clean"), F.lit("light"), F.lit("heavy")), (F.col("file").cast("int") % 3 + 1).cast("int"))
+    out = pairs.summary(_scores(spark, d).withColumn("group", variant))
+    return out.select("group", "is_overall", "num_files", "strict_measure_accuracy", "ser", *[F.round(f"avg_{m}", 9).alias(f"avg_{m}") for m in pairs.MEANS])
 
 
 @query("f32_cosine", """SELECT a.vec_id, CASE WHEN na = 0 AND nb = 0 THEN 1e0 WHEN na = 0 OR nb = 0 THEN 0e0 ELSE round(dot / (na * nb), 6) END AS cosine FROM (
@@ -404,13 +436,3 @@ def a27(spark, d):
 def a32(spark, d):
     n = F.col("n_chars")
     return report.failures(table(spark, d, "documents").select(F.col("lang").alias("group"), F.when(n < 100, "short").when(n > 5000, "long").alias("error")))
-
-
-@query("f09_structure_tokens", f"""{PAIRS},
-said AS (SELECT file, side, part_idx, measure_idx, 0 AS phase, 0 AS i, 0 AS sub, ['<PART_' || part_idx || '_MEASURE_START>', 'PART_' || part_idx, 'MEASURE_' || measure_idx] AS toks FROM attrs
-UNION ALL SELECT file, side, part_idx, measure_idx, 1, 0, 0, list_concat(CASE WHEN measure_order = 1 THEN ['DIV_2'] ELSE [] END, ['TIME_' || beats || '_4', 'KEY_' || fifths, 'CLEF_1_' || sign || '_2']) FROM attrs
-UNION ALL SELECT file, side, part_idx, measure_idx, 2, i, sub, [CASE WHEN tag = 'note' THEN CASE WHEN rest THEN 'REST' ELSE 'NOTE_P' || pitch END || '_D' || dur || '_S' || coalesce(staff, 0) || '_V' || coalesce(voice, '') ELSE upper(tag) || '_' || dur END] FROM el
-UNION ALL SELECT file, side, part_idx, measure_idx, 3, 0, 0, ['<PART_' || part_idx || '_MEASURE_END>'] FROM attrs)
-SELECT file, side, flatten(list(toks ORDER BY part_idx, measure_idx, phase, i, sub)) AS tokens FROM said GROUP BY file, side""")
-def f09(spark, d):
-    return nt.structure_tokens(fx.parsed_scores(spark, d))
