@@ -224,3 +224,12 @@ p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, neighbor_id, rank, distance FROM r WHERE rank <= 10
 """
+
+
+def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import whitening
+
+    return whitening.whitened(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+QUERIES["op13_spectrum_slicing"] = op13_spectrum_slicing
