@@ -233,3 +233,64 @@ def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_spectrum_slicing"] = op13_spectrum_slicing
+
+
+def op11_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import conversations
+
+    return conversations.repaired_conversations(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def _edit(x: str, cost: str, letter: str, row: str = "''") -> str:
+    """SQL of a state ``x`` after one more edit."""
+    return f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {x}.t || {row}}}"
+
+
+def _inserted(x: str, role: str) -> str:
+    return _edit(x, "2", "I", f"chr(10) || '{role}:'")
+
+
+_ROW = "chr(10) || {} || ':' || o.text"
+_GIVEN = {role: _ROW.format(f"'{role}'") for role in ("user", "assistant")}
+_KEPT = _ROW.format("o.role")
+QUERIES["op11_hirschberg_repair"] = op11_hirschberg_repair
+SQL["op11_hirschberg_repair"] = rf"""
+WITH RECURSIVE g AS (
+  SELECT conv_id, coalesce('=' || conv_id, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+b AS (SELECT *, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || array_slice(h, 2 * i + 1, 2 * i + 2) AS BIGINT)) AS bytes FROM g),
+c AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: {_crc_half(_crc_half("xor(c, x)"))}), 4294967295) % 20 AS hurt FROM b),
+r AS (
+  SELECT k, turn, CASE WHEN hurt = 4 THEN 'user' ELSE role END AS role,
+         CASE hurt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN hurt = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE hurt <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i FROM r),
+o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS seen, left(role, 1) AS initial,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+         lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS before FROM n),
+walk AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {{'c': 1000000000, 'a': '', 't': ''}} AS s1, {{'c': 1000000000, 'a': '', 't': ''}} AS s2, {{'c': 1000000000, 'a': '', 't': ''}} AS s3
+  FROM (SELECT DISTINCT k FROM c)
+  UNION ALL
+  SELECT k, i,
+    {_edit("s0", "3", "D")},
+    list_min([{_edit("s1", "3", "D")}] || CASE WHEN go AND initial = 's' THEN [{_edit("s0", "p", "K", "kept")}] ELSE [] END),
+    list_min([{_edit("u2", "3", "D")}] || CASE WHEN go THEN [{", ".join(_edit(x, "2 + p", "R", "as_user") for x in ("s0", "s1", "a2"))}] ELSE [] END
+             || CASE WHEN go AND initial = 'u' THEN [{", ".join(_edit(x, "p", "K", "kept") for x in ("s0", "s1", "a2"))}] ELSE [] END),
+    list_min([{_edit("a2", "3", "D")}] || CASE WHEN go THEN [{_edit("u2", "2 + p", "R", "as_assistant")}] ELSE [] END || CASE WHEN go AND initial = 'a' THEN [{_edit("u2", "p", "K", "kept")}] ELSE [] END)
+  FROM (
+    SELECT *, list_min([u1, {_inserted("a1", "user")}]) AS u2, list_min([a1, {_inserted("u1", "assistant")}]) AS a2 FROM (
+      SELECT o.k, o.i, s0, s1, o.initial, NOT o.blank AND o.seen = 1 AS go, CASE WHEN o.cut THEN 1 ELSE 0 END AS p, {_KEPT} AS kept, {_GIVEN["user"]} AS as_user, {_GIVEN["assistant"]} AS as_assistant,
+        list_min([s2, {", ".join(_inserted(x, "user") for x in ("s0", "s1", "s3"))}]) AS u1, list_min([s3, {_inserted("s2", "assistant")}]) AS a1
+      FROM walk JOIN o ON o.k = walk.k AND o.i = walk.i + 1) AS one) AS two),
+e AS (
+  SELECT k, list_min([s0, s3, {_inserted("s2", "assistant")}, {{'c': s1.c + 4, 'a': s1.a || 'II', 't': s1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}}]) AS x
+  FROM walk QUALIFY row_number() OVER (PARTITION BY k ORDER BY i DESC) = 1),
+t AS (
+  SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen > 1) AS duplicate,
+         count(*) FILTER (NOT blank AND seen = 1 AND cut) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY k)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(e.x.c AS BIGINT) AS cost, e.x.a AS audit, sha256(substr(e.x.t, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM c) v JOIN e ON v.k = e.k LEFT JOIN t ON t.k = v.k
+"""
