@@ -294,3 +294,12 @@ SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
        CAST(e.x.c AS BIGINT) AS cost, e.x.a AS audit, sha256(substr(e.x.t, 2)) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, k FROM c) v JOIN e ON v.k = e.k LEFT JOIN t ON t.k = v.k
 """
+
+
+def op12_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkstave.llm import urls
+
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+QUERIES["op12_path_templates"] = op12_path_templates
