@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from copy import copy
+from heapq import heapify, heappop, heappush, nlargest
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,11 @@ from sparkstave.session import drop_stored, stored
 SPECIALS = ("<pad>", "<s>", "</s>")
 PAD, BOS, EOS = 0, 1, 2
 FIRST_CHARACTER = 33
-#: Segments that merges are guessed from, tokens that a task folds at a time, segments whose ids a task remembers.
-COMMON, CHUNK, REMEMBERED = 100_000, 1_000_000, 200_000
+#: Segments that merges are guessed from and the tokens that one of them may have (so the driver gets 64 MB of ids at most), tokens that a task takes at
+#: a time, segments whose ids a task remembers.
+COMMON, SHORT, CHUNK, REMEMBERED = 250_000, 64, 1_000_000, 200_000
+#: Merges tried in one round.
+MOST_TRIED = 512
 
 
 def dictionary(symbols: DataFrame) -> DataFrame:
@@ -63,7 +67,8 @@ def learned_merges(text: DataFrame, n_merges: int | None = None, vocabulary: int
     Ends after ``n_merges``, at ``vocabulary`` rows, or where no pair is left. Segments are counted once. The driver holds
     the exact count of every pair (at most the square of the vocabulary). Each round it guesses the next merges from those
     counts and the commonest segments; tasks apply them to all distinct segments and return how the counts change with each.
-    A merge is kept while it is the most frequent pair (then least ids) by exact counts, so wrong guesses cost time only.
+    A merge is kept where it is the most frequent pair (then least ids) by exact counts, so wrong guesses cost time only. Inside a task
+    a merge looks only at the places that hold its pair (``Chunk``), so the work of a merge goes with its count, not with the corpus.
     """
     spark = text.sparkSession
     counted = stored(segments(text).groupBy("segment").agg(F.count("*").alias("n")), "segments")
@@ -81,41 +86,35 @@ def learned_merges(text: DataFrame, n_merges: int | None = None, vocabulary: int
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     state = stored(counted.repartition(parts).mapInPandas(numbered, "ids array<int>, n bigint"), "bpe")
-    common = state.orderBy(F.desc("n"), "ids").limit(COMMON).toArrow()
-    common = next(flat_chunks(iter(common.combine_chunks().to_batches())), None)
+    common = state.filter(F.size("ids") <= SHORT).orderBy(F.desc("n"), "ids").limit(COMMON).toArrow()
+    base = Chunk(*joined(common.to_batches())) if common.num_rows else Chunk(np.array([-1], np.int32), np.zeros(1, np.int64))
     counts = {(a, b): n for _, a, b, n in pair_changes(state, (), ())}
     kept: list[tuple[int, int, int]] = []  # not yet in the stored state
-    width = 8
-    while len(rows) < goal and any(n > 0 for n in counts.values()):
-        floor = max(counts.values()) // 2
+    width = 32
+    while len(rows) < goal and counts:
+        top = nlargest(4 * width + 64, counts.values())
+        floor = (top[-1] if top[-1] < top[0] else top[-1] - 1) if len(counts) > len(top) else 0
         near = {p: n for p, n in counts.items() if n > floor}
-        tried, ahead = guessed(common, counts, near, floor, len(rows), int(min(width, goal - len(rows))))
-        changes: dict[int, list] = {}
+        tried, ahead = guessed(base.copy(), counts, near, floor, len(rows), int(min(width, goal - len(rows))))
+        changes: list[dict] = [{} for _ in tried]
         for step, a, b, n in pair_changes(state, tuple(kept), tuple(tried)):
-            changes.setdefault(step, []).append(((a, b), n))
-        right, heap = 0, heaped(near)
-        for step, (a, b, new) in enumerate(tried):
-            if foremost(heap, near) != (a, b) or near[a, b] <= floor:
-                break
-            for pair, n in changes[step]:
-                counts[pair] = near[pair] = counts.get(pair, 0) + n
-                heappush(heap, (-counts[pair], pair))
-                if counts[pair] == 0:
-                    del counts[pair], near[pair]
+            changes[step][a, b] = n
+        taken = in_order(tried, changes, counts, near, floor, len(rows))
+        for a, b, new in taken:
             names[new] = names[a] + names[b]
             rows.append((new, names[new], a, b))
-            kept.append((a, b, new))
-            right += 1
-        if right == len(tried):
-            common = ahead
+        kept += taken
+        if taken == tried:
+            base = ahead
         else:
-            for m in tried[:right]:
-                *common, _ = fold(*common, *m)
-        width = min(512, max(8, 2 * right))
-        if len(kept) >= 128:
+            for m in taken:
+                base.merge(*m)
+        width = min(MOST_TRIED, max(32, 2 * len(taken)))
+        if len(kept) >= MOST_TRIED:
             old, state = state, stored(state.mapInArrow(lambda b, m=tuple(kept): folded(b, m), state.schema), "bpe")
             kept = []
             drop_stored(old)
+            base = Chunk(*base.compact())
     return spark.createDataFrame(rows, schema)
 
 
@@ -132,12 +131,43 @@ def foremost(heap: list[tuple[float, tuple[int, int]]], counts: dict[tuple[int,
     return heap[0][1] if heap else None
 
 
-def guessed(common: tuple, counts: dict, near: dict, floor: int, first: int, most: int) -> tuple[list[tuple[int, int, int]], tuple]:
+def in_order(tried: list[tuple[int, int, int]], changes: list[dict], counts: dict, near: dict, floor: int, first: int) -> list[tuple[int, int, int]]:
+    """Tried merges in the order of exact counts, up to the first that wasn't tried or can't be moved; ``counts`` change with them.
+
+    A merge may come before others that were tried ahead of it if it has no occurrence beside or across theirs: it changes
+    no count of a pair with their new token, and they none of its pair. Its changes are then the same in both orders, with tokens numbered as they are taken.
+    """
+    own = {(a, b): j for j, (a, b, _) in enumerate(tried)}
+    tokens = [{x for pair in c for x in pair} for c in changes]
+    waiting, heap = list(range(len(tried))), heaped(near)
+    number: dict[int, int] = {}  # of a tried merge's token, as it is taken
+    back: dict[int, int] = {}
+    taken: list[tuple[int, int, int]] = []
+    while waiting:
+        best = foremost(heap, near)
+        if best is None or near[best] <= floor:
+            break
+        j = own.get(tuple(back.get(x, x) for x in best))
+        if j is None or any(tried[i][2] in tokens[j] or tried[j][:2] in changes[i] for i in waiting if i < j):
+            break
+        waiting.remove(j)
+        new = first + len(taken)
+        number[tried[j][2]], back[new] = new, tried[j][2]
+        taken.append((*best, new))
+        for pair, n in changes[j].items():
+            pair = tuple(number.get(x, x) for x in pair)
+            counts[pair] = near[pair] = counts.get(pair, 0) + n
+            heappush(heap, (-counts[pair], pair))
+            if counts[pair] == 0:
+                del counts[pair], near[pair]
+    return taken
+
+
+def guessed(chunk: Chunk, counts: dict, near: dict, floor: int, first: int, most: int) -> tuple[list[tuple[int, int, int]], Chunk]:
     """The next merges as the commonest segments have it, and those segments after them.
 
     Exact for the first merge, an estimate for pairs that one of the merges touches.
     """
-    t, w = (x.copy() for x in common)
     near, heap, out = dict(near), heaped(near), []
     for new in range(first, first + most):
         best = foremost(heap, near)
@@ -145,13 +175,13 @@ def guessed(common: tuple, counts: dict, near: dict, floor: int, first: int, mos
             break
         out.append((*best, new))
         total = near.pop(best)
-        t, w, change = fold(t, w, *best, new)
+        change = chunk.merge(*best, new)
         change = {(c >> 32, c & 0xFFFFFFFF): n for c, n in zip(*(x.tolist() for x in change), strict=True)} if change else {}
         scale = total / -change.pop(best) if best in change else 1
         for pair, n in change.items():
             near[pair] = near.get(pair, counts.get(pair, 0)) + n * scale
             heappush(heap, (-near[pair], pair))
-    return out, (t, w)
+    return out, chunk
 
 
 def distinct_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,17 +189,18 @@ def distinct_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"token": sorted(set().union(*batch["segment"]))}, dtype=object)
 
 
-def flat_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Segments one after the other, -1 before, between and behind them, and the count of its segment at each place."""
+    sizes = np.concatenate([b.column("ids").value_lengths().to_numpy() for b in held]).astype(np.int64)
+    n = np.concatenate([b.column("n").to_numpy() for b in held])
+    values = np.concatenate([b.column("ids").flatten().to_numpy() for b in held])
+    t = np.full(len(values) + len(sizes) + 1, -1, np.int32)
+    t[1 + np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
+    return t, np.concatenate([[0], np.repeat(n, sizes + 1)])
 
-    def joined(held: list) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.concatenate([b.column("ids").value_lengths().to_numpy() for b in held]).astype(np.int64)
-        n = np.concatenate([b.column("n").to_numpy() for b in held])
-        values = np.concatenate([b.column("ids").flatten().to_numpy() for b in held])
-        t = np.full(len(values) + len(sizes) + 1, -1, np.int32)
-        t[1 + np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
-        return t, np.concatenate([[0], np.repeat(n, sizes + 1)])
 
+def flat_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches put together until they hold CHUNK tokens."""
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:
@@ -182,12 +213,6 @@ def flat_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield joined(held)
 
 
-def summed(t: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (as one number) that start at the places, and their counts."""
-    at = at[(t[at] >= 0) & (t[at + 1] >= 0)]
-    return t[at].astype(np.int64) << 32 | t[at + 1], w[at]
-
-
 def tallied(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each pair once with its sum."""
     order = np.argsort(codes, kind="stable")
@@ -196,23 +221,76 @@ def tallied(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[starts], np.add.reduceat(n, starts) if len(codes) else n
 
 
-def fold(t: np.ndarray, w: np.ndarray, left: int, right: int, new: int) -> tuple:
-    """Every pair from left to right replaced; with it how the counts of pairs change, None if nothing did."""
-    hit = np.flatnonzero((t[:-1] == left) & (t[1:] == right))
-    if not len(hit):
-        return t, w, None
-    if left == right:  # of a run, every other
-        i = np.arange(len(hit))
-        hit = hit[(i - np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) != 1], i, 0))) % 2 == 0]
-    before = summed(t, w, np.unique(np.concatenate([hit - 1, hit, hit + 1])))
-    stays = np.ones(len(t), bool)
-    stays[hit + 1] = False
-    t[hit] = new
-    t, w = t[stays], w[stays]
-    at = hit - np.arange(len(hit))
-    after = summed(t, w, np.unique(np.concatenate([at - 1, at])))
-    codes, n = tallied(np.concatenate([before[0], after[0]]), np.concatenate([-before[1], after[1]]))
-    return t, w, (codes[n != 0], n[n != 0])
+class Chunk:
+    """Segments of one task with postings: the places of every pair, so that a merge looks only at places that hold it.
+
+    Tokens are linked, so nothing moves when two become one. A pair's places are known when the later of its two tokens comes up, as
+    no merge of others makes it anew; places that a merge has changed since are passed over when they are looked up.
+    """
+
+    def __init__(self, t: np.ndarray, w: np.ndarray):
+        self.t, self.w = t.copy(), w
+        self.next, self.prev = np.arange(1, len(t) + 1), np.arange(-1, len(t) - 1)
+        places = np.flatnonzero((t[:-1] >= 0) & (t[1:] >= 0))
+        codes = self._codes(places)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.places = codes[order], places[order]
+        self.made: dict[int, np.ndarray] = {}
+
+    def copy(self) -> Chunk:
+        """Another one that merges change on its own; the postings are shared."""
+        out = copy(self)
+        out.t, out.next, out.prev, out.made = self.t.copy(), self.next.copy(), self.prev.copy(), dict(self.made)
+        return out
+
+    def _codes(self, at: np.ndarray) -> np.ndarray:
+        return self.t[at].astype(np.int64) << 32 | self.t[self.next[at]]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs and how often they stand in the corpus, before any merge."""
+        return tallied(self.codes, self.w[self.places])
+
+    def found(self, left: int, right: int) -> np.ndarray:
+        """Places of a pair, of a run of equal tokens every other."""
+        code = left << 32 | right
+        at = self.made.get(code)
+        if at is None:
+            at = self.places[slice(*np.searchsorted(self.codes, (code, code + 1)))]
+        at = at[self.t[at] == left]
+        at = at[self.t[self.next[at]] == right]
+        if left == right and len(at):
+            i = np.arange(len(at))
+            at = at[(i - np.maximum.accumulate(np.where(np.r_[True, self.next[at[:-1]] != at[1:]], i, 0))) % 2 == 0]
+        return at
+
+    def _pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.unique(at)
+        at = at[self.t[at] >= 0]
+        at = at[self.t[self.next[at]] >= 0]
+        return at, self._codes(at)
+
+    def merge(self, left: int, right: int, new: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Every pair from left to right becomes one token; how the counts of pairs change, None if nothing does."""
+        at = self.found(left, right)
+        if not len(at):
+            return None
+        second = self.next[at]
+        old, old_codes = self._pairs(np.concatenate([self.prev[at], at, second]))
+        behind = self.next[second]
+        self.t[at], self.t[second] = new, -2
+        self.next[at], self.prev[behind] = behind, at
+        young, codes = self._pairs(np.concatenate([self.prev[at], at]))
+        if len(codes):
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            self.made.update(zip(codes[order][starts].tolist(), np.split(young[order], starts[1:]), strict=True))
+        codes, n = tallied(np.concatenate([old_codes, codes]), np.concatenate([-self.w[old], self.w[young]]))
+        return codes[n != 0], n[n != 0]
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and counts without the places that merges have emptied."""
+        left = self.t > -2
+        return self.t[left], self.w[left]
 
 
 def pair_changes(state: DataFrame, kept: tuple, tried: tuple) -> list[tuple[int, int, int, int]]:
@@ -220,12 +298,12 @@ def pair_changes(state: DataFrame, kept: tuple, tried: tuple) -> list[tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, w in flat_chunks(batches):
+            chunk = Chunk(t, w)
             for m in kept:
-                t, w, _ = fold(t, w, *m)
-            found = [] if tried else [(0, *tallied(*summed(t, w, np.arange(len(t) - 1))))]
+                chunk.merge(*m)
+            found = [] if tried else [(0, *chunk.counts())]
             for step, m in enumerate(tried):
-                t, w, change = fold(t, w, *m)
-                if change:
+                if change := chunk.merge(*m):
                     found.append((step, *change))
             if found:
                 codes, n = np.concatenate([c for _, c, _ in found]), np.concatenate([n for _, _, n in found])
@@ -240,8 +318,10 @@ def pair_changes(state: DataFrame, kept: tuple, tried: tuple) -> list[tuple[int,
 def folded(batches: Iterator[pa.RecordBatch], merges: tuple) -> Iterator[pa.RecordBatch]:
     """The state after the merges."""
     for t, w in flat_chunks(batches):
+        chunk = Chunk(t, w)
         for m in merges:
-            t, w, _ = fold(t, w, *m)
+            chunk.merge(*m)
+        t, w = chunk.compact()
         ends = np.flatnonzero(t < 0)
         offsets = (ends - np.arange(len(ends))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, t[t >= 0]), pa.array(w[ends[1:]], pa.int64())], ["ids", "n"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkstave.functions import arrays, scalars
 from sparkstave.operators import batches, bpe, noise, report
 from sparkstave.plans import fixtures as fx
-from sparkstave.session import stored, table
+from sparkstave.session import spread, stored, table
 
 QUERIES, SQL = {}, {}
 
@@ -243,7 +243,7 @@ def f13(spark, d):
 
 #: Rows of the vocabulary and ids of a row, as in the configurations that set them.
 VOCABULARY, MOST_IDS = 5000, 8192
-#: Vocabularies learned in this session, by application and folder: one is used by many queries.
+#: Vocabularies learned in this session, by application, folder and state of its files: one is used by many queries.
 _LEARNED: dict = {}
 
 
@@ -251,12 +251,13 @@ def _bpe_text(spark, d):
     """Character strings with a segment mark: all texts, whole."""
     text = F.regexp_replace("text", r"[ \n.]+", "!")
     part = F.when(F.col("doc_id") % 5 == 0, "test").otherwise("training")
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("text"), part.alias("split"), "lang", F.size(arrays.words(F.col("text"))).alias("n"))
+    return spread(table(spark, d, "documents")).filter("text is not null").select("doc_id", text.alias("text"), part.alias("split"), "lang", F.size(arrays.words(F.col("text"))).alias("n"))
 
 
 def _vocabulary(spark, d):
     """Learned on training rows only, and written once."""
-    key = (spark.sparkContext.applicationId, d)
+    newest = table(spark, d, "documents").agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_block_length")).first()
+    key = (spark.sparkContext.applicationId, d, *newest)
     if key not in _LEARNED:
         training = _bpe_text(spark, d).filter("split = 'training'").select("doc_id", "text")
         _LEARNED[key] = stored(bpe.learned_merges(training, vocabulary=VOCABULARY), "vocabulary")
