@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkstave.functions import scalars
+from sparkstave.operators import greedy
 from sparkstave.session import drop_stored, scratch, stored
 
 FRAME = 0.25
@@ -246,20 +247,8 @@ def candidate_pairs(notes: DataFrame, mode: str, onset_tol: float, duration_tol:
     )
 
 
-def equal_notes(notes: DataFrame, mode: str) -> DataFrame:
-    """(file, i, j) of pairs at cost 0, as the greedy order takes them before all others: the k-th of equal notes with the k-th."""
-    same = ["file", "part_idx", *MATCH_KEYS[mode][0], "onset_beat", *(("duration_beat",) if MATCH_KEYS[mode][1] else ())]
-    filled = notes.filter("part_idx is not null and onset_beat is not null and duration_beat is not null")
-    ranked = filled.withColumn("k", F.row_number().over(Window.partitionBy("side", *same).orderBy("idx")))
-    pred, truth = ranked.filter("side = 'pred'").alias("p"), ranked.filter("side = 'gt'").alias("g")
-    where = F.col("p.k") == F.col("g.k")
-    for c in same:
-        where &= F.col(f"p.{c}").eqNullSafe(F.col(f"g.{c}"))
-    return pred.join(truth, where).select("p.file", F.col("p.idx").alias("i"), F.col("g.idx").alias("j"))
-
-
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs, the same as taking pairs by (cost, i, j) one after the other.
+    """One-to-one pairs of any graph of pairs, the same as taking them by (cost, i, j) one after the other (notes in time have ``greedy_pairs``).
 
     In each round a pair that is the best of both its notes is taken: nothing before it in order could
     have used either. Rounds write to the shared folder and go on until no pair is left.
@@ -286,21 +275,18 @@ def tolerant_scores(notes: DataFrame, mode: str, onset_tol: float = 0.25, durati
     """tp, fp, fn and ratios per file under one-to-one tolerant matching.
 
     Where only the key counts (pitch, pitch_class, or any mode without tolerance) every pair of a key may be matched, so the lesser count of a
-    key is its number of matches. Elsewhere equal notes are paired first, and pairs are made of the others only.
-    A voice that is empty or ``None`` is no voice.
+    key is its number of matches. Elsewhere pairs are taken in order (``greedy``). A voice that is empty or ``None`` is no voice.
     """
     notes = notes.withColumn("voice", scalars.voice(F.col("voice")))
     sides = side_counts(notes, "file")
-    timed = mode not in ("pitch", "pitch_class") and (onset_tol > 0 or (duration_tol > 0 and MATCH_KEYS[mode][1]))
+    keys, durations = MATCH_KEYS[mode]
+    timed = mode not in ("pitch", "pitch_class") and (onset_tol > 0 or (duration_tol > 0 and durations))
     if not timed:
         counts = side_counts(notes.filter("part_idx is not null"), "file", *mode_keys(mode))
         matched = counts.groupBy("file").agg(F.sum(F.least("np", "ng")).alias("tp"))
     else:
-        indexed = stored(dense_note_index(notes), "notes")
-        equal = stored(equal_notes(indexed, mode), "equal")
-        used = equal.select("file", F.lit("pred").alias("side"), F.col("i").alias("idx")).unionByName(equal.select("file", F.lit("gt").alias("side"), F.col("j").alias("idx")))
-        others = indexed.join(used, ["file", "side", "idx"], "left_anti")
-        found = greedy_match(candidate_pairs(others, mode, onset_tol, duration_tol))
-        matched = equal.select("file").unionAll(found.select("file")).groupBy("file").agg(F.count("*").alias("tp"))
+        same = ("onset_beat", *(("duration_beat",) if durations else ()))
+        found = greedy.greedy_pairs(notes, greedy.Match(greedy.numeric_cost(mode), same, onset_tol, duration_tol if durations else None), keys)
+        matched = found.groupBy("file").agg(F.count("*").alias("tp"))
     sizes = sides.join(matched, "file", "left").na.fill({"tp": 0})
     return with_scores(sizes.select("file", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn")))

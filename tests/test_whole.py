@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sparkstave.operators import bpe, match
+from sparkstave.operators import bpe, greedy, match
 from sparkstave.plans import registry, tokens
 from sparkstave.session import table
 
@@ -94,6 +94,38 @@ def test_scores_are_those_of_one_pair_after_the_other(spark):
         assert {x["file"]: x["tp"] for x in match.tolerant_scores(df, mode).collect()} == tp
 
 
+def test_matching_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few notes: what lies next to a border is left to later rounds, and the pairs taken stay those of the sequential order."""
+    monkeypatch.setattr(greedy, "RUN", 40)
+    monkeypatch.setattr(greedy, "SMALL", 30)
+    r = random.Random(6)
+    rows = [(f"f{k % 3}", r.choice(("gt", "pred")), k, 0, k % 5, r.randrange(60) / 8, r.choice((0.5, 0.625, 1.0)), p := r.choice((60, 62)), p % 12, r.choice((None, 1)), None) for k in range(400)]
+    rows += [("f1", "pred", 1000 + k, 0, 0, None, 1.0, 60, 0, 1, None) for k in range(3)]
+    df = spark.createDataFrame(rows, NOTE)
+    for mode in ("pitch_onset", "pitch_onset_duration", "rhythm", "pitch_class_onset_duration"):
+        used, want = set(), set()
+        indexed = match.dense_note_index(df)
+        ids = {(x["file"], x["side"], x["idx"]): x["note_id"] for x in indexed.collect()}
+        for _, f, i, j in sorted((x["cost"], x["file"], x["i"], x["j"]) for x in match.candidate_pairs(indexed, mode, 0.25, 0.25).collect()):
+            if not {(f, "p", i), (f, "g", j)} & used:
+                used |= {(f, "p", i), (f, "g", j)}
+                want.add((f, ids[f, "pred", i], ids[f, "gt", j]))
+        keys, durations = match.MATCH_KEYS[mode]
+        same = ("onset_beat", *(("duration_beat",) if durations else ()))
+        got = greedy.greedy_pairs(df, greedy.Match(greedy.numeric_cost(mode), same, 0.25, 0.25 if durations else None), keys)
+        assert {(x["file"], x["note_id"], x["partner"]) for x in got.collect()} == want
+
+
+def test_constant_shift_takes_few_jobs(spark):
+    """10,000 notes predicted one tolerance late: one piece, each note's partner depends on the one before."""
+    times = [("f", side, k, 0, k // 4, k / 4 + late, 1.0, 60, 0, 1, None) for side, late in (("gt", 0.0), ("pred", 0.25)) for k in range(10_000)]
+    tracker, df = spark.sparkContext.statusTracker(), spark.createDataFrame(times, NOTE)
+    spark.sparkContext.setJobGroup("shift", "")
+    got = match.tolerant_scores(df, "pitch_onset", 0.25, 0.25).first()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (got["tp"], got["fn"]) == (9_999, 1) and len(tracker.getJobIdsForGroup("shift")) < 25
+
+
 def test_dictionary_of_many_symbols_round_trips(spark):
     n = 70_000  # past the surrogates and the two-byte characters
     rows = spark.range(n).select((F.col("id") % 70).alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol"))
