@@ -14,6 +14,8 @@ from sparkstave.operators import greedy
 from sparkstave.session import drop_stored, scratch, stored
 
 FRAME = 0.25
+#: Frames swept together.
+SWEEP = 4096
 BAG_KEYS = {
     "pitch": ("part_idx", "pitch"),
     "pitch_class": ("part_idx", "pitch_class"),
@@ -192,8 +194,37 @@ def timeline(notes: DataFrame, kind: str) -> DataFrame:
     return onset.unionByName(framed.select("file", "side", "frame", F.lit(1).alias("slot"))).distinct()
 
 
+def sounding(notes: DataFrame, kind: str) -> DataFrame:
+    """(file, side, slot, start, end) in frames of what ``timeline`` lists frame by frame."""
+    start = F.greatest(F.lit(0), F.floor(F.col("onset_beat") / FRAME))
+    end = F.greatest(start + 1, F.ceil((F.col("onset_beat") + F.greatest("duration_beat", F.lit(FRAME))) / FRAME))
+    spans = notes.select("file", "side", start.alias("start"), end.alias("end"), F.col("pitch_class").alias("slot")).filter(F.col("end").isNotNull())
+    if kind == "pitch_class":
+        return spans
+    onset = spans.select("file", "side", F.lit(0).alias("slot"), "start", (F.col("start") + 1).alias("end"))
+    return onset.unionByName(spans.withColumn("slot", F.lit(1)))
+
+
 def framewise_f1(notes: DataFrame, kind: str) -> DataFrame:
-    return with_scores(overlap(side_counts(timeline(notes, kind), "file", "frame", "slot"), "file"))
+    """F1 over frames and slots that sound, by a sweep: a note is +1 where it starts and -1 where it ends, and running sums tell how many frames
+    until the next change each side sounds. Changes of one frame are summed first, and frames are swept in ranges of SWEEP with the sums of earlier
+    ranges carried over, so no task holds more than a range however long the notes are."""
+    ends = F.explode(F.array(F.struct(F.col("start").alias("frame"), F.lit(1).alias("d")), F.struct(F.col("end").alias("frame"), F.lit(-1).alias("d")))).alias("x")
+    changes = sounding(notes, kind).select("file", "side", "slot", ends)
+    count = lambda side: F.sum(F.when(F.col("side") == side, F.col("x.d")).otherwise(0))
+    frames = changes.groupBy("file", "slot", F.col("x.frame").alias("frame")).agg(count("pred").alias("p"), count("gt").alias("g")).withColumn("range", F.floor(F.col("frame") / F.lit(float(SWEEP))))
+    ranges = frames.groupBy("file", "slot", "range").agg(F.sum("p").alias("p"), F.sum("g").alias("g"), F.min("frame").alias("first"))
+    order = Window.partitionBy("file", "slot").orderBy("range")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select("file", "slot", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "pg"], F.lead("first").over(order).alias("after"))
+    inside = Window.partitionBy("file", "slot", "range").orderBy("frame")
+    swept = frames.select("*", *[F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{c}1") for c in "pg"], F.lead("frame").over(inside).alias("next"))
+    swept = swept.join(carried, ["file", "slot", "range"])
+    length = F.coalesce("next", "after", "frame") - F.col("frame")
+    p, g = F.col("p0") + F.col("p1") > 0, F.col("g0") + F.col("g1") > 0
+    held = lambda c: F.sum(F.when(c, length).otherwise(0))
+    counts = swept.groupBy("file").agg(held(p & g).alias("tp"), held(p & ~g).alias("fp"), held(g & ~p).alias("fn"))
+    return with_scores(counts)
 
 
 def dense_note_index(notes: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from sparkstave.functions import scalars
 from sparkstave.schemas import ELEMENTS
 
 DEFAULT_BPM = 120.0
+#: Rows of a range of ticks, about; cells beyond this count as this one.
+RANGE_ROWS, FAR = 10_000, 1 << 60
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
 
@@ -43,34 +45,61 @@ def spelled_pitch(step: Column, alter: Column, octave: Column) -> Column:
 def tempo_in_force(notes: DataFrame, tempi: DataFrame) -> DataFrame:
     """As-of join: the last tempo at or before each note; before the first one, the first; without any, 120.
 
-    ``notes`` has file, tick and note_id, ``tempi`` file, tick and bpm. One sort per file; no range join.
+    ``notes`` has file, tick and note_id, ``tempi`` file, tick and bpm. Ticks are cut into ranges of about RANGE_ROWS rows: the last tempo of each range is carried on to later ones,
+    and rows are put in order inside a range only, so a long file lies in many tasks.
     """
     marks = tempi.select("file", "tick", "bpm", F.lit(None).cast("bigint").alias("note_id"), F.lit(0).alias("kind"))
     both = marks.unionByName(notes.select("file", "tick", F.lit(None).cast("double").alias("bpm"), F.col("note_id").cast("bigint").alias("note_id"), F.lit(1).alias("kind")))
-    upto = Window.partitionBy("file").orderBy("tick", "kind", "bpm").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("file").orderBy("kind", "tick", "bpm").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = both.withColumn("in_force", F.last("bpm", ignorenulls=True).over(upto)).withColumn("opening", F.first("bpm", ignorenulls=True).over(whole))
-    bpm = F.coalesce("in_force", "opening", F.lit(DEFAULT_BPM))
-    return found.filter("kind = 1").select("file", "tick", "note_id", bpm.alias("bpm"))
-
-
-def measure_of(notes: DataFrame, spans: DataFrame, bin_beats: float = 4.0) -> DataFrame:
+    low, high, n = both.agg(F.min("tick"), F.max("tick"), F.count("*")).first()
+    width = ((high or 0) - (low or 0)) / max(1, -(-n // RANGE_ROWS)) + 1
+    both = both.withColumn("range", F.coalesce(F.floor((F.col("tick") - F.lit(low or 0)) / F.lit(float(width))), F.lit(-1)))
+    at = F.when(F.col("bpm").isNotNull(), F.struct("tick", "bpm"))
+    ends = both.groupBy("file", "range").agg(F.max(at).alias("late"), F.min(at).alias("early"))
+    of_file, earlier = Window.partitionBy("file"), Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "range", F.max("late").over(earlier)["bpm"].alias("carried"), F.min("early").over(of_file)["bpm"].alias("opening"))
+    upto = Window.partitionBy("file", "range").orderBy("tick", "kind", "bpm").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("own", F.last("bpm", ignorenulls=True).over(upto)).filter("kind = 1").join(carried, ["file", "range"])
+    return found.select("file", "tick", "note_id", F.coalesce("own", "carried", "opening", F.lit(DEFAULT_BPM)).alias("bpm"))
+
+
+def dyadic_blocks(start: Column, end: Column) -> Column:
+    """The (level, block) of the cells from ``start`` to ``end``: at most two a level, each of 2 ** level cells."""
+    n = F.lit(2).cast("bigint")
+    state = F.struct(start.alias("l"), (end + 1).alias("r"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def step(x: Column, level: Column) -> Column:
+        left, right = x["l"] < x["r"], F.pmod(x["l"], n) == 1
+        low = x["l"] + F.when(left & right, 1).otherwise(0)
+        take = (low < x["r"]) & (F.pmod(x["r"], n) == 1)
+        high = x["r"] - F.when(take, 1).otherwise(0)
+        block = lambda at: F.array(F.struct(level.cast("int").alias("level"), at.alias("block")))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        out = F.concat(x["out"], F.when(left & right, block(x["l"])).otherwise(none), F.when(take, block(high)).otherwise(none))
+        return F.struct(F.shiftright(low, 1).alias("l"), F.shiftright(high, 1).alias("r"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2((end - start + 2).cast("double"))).cast("int")), state, step, lambda x: x["out"])
+
+
+def measure_of(notes: DataFrame, spans: DataFrame, cell_beats: float = 4.0) -> DataFrame:
     """Interval join: the measure whose [m_start, m_end) holds the onset; of overlapping spans the first by start, end and measure.
 
-    The very end of the last span belongs to it; a note in a gap gets 0. Spans are listed under the bins of ``bin_beats`` they touch, so a
-    note meets only the spans of its own bin. ``notes`` has file, note_id and onset_beat.
+    The very end of the last span belongs to it; a note in a gap gets 0. Spans are listed under blocks of 1, 2, 4, ... cells, two a level at most however long they are,
+    and a note looks up one block for each level that its file has. ``notes`` has file, note_id and onset_beat.
     """
-    width = F.lit(float(bin_beats))
-    bins = F.sequence(F.floor(F.col("m_start") / width), F.floor(F.col("m_end") / width))
-    listed = spans.filter("m_start < m_end").select(F.col("file").alias("_file"), "m_start", "m_end", "measure_idx", F.explode(bins).alias("_bin"))
-    points = notes.select("file", "note_id", "onset_beat", F.floor(F.col("onset_beat") / width).alias("bin"))
-    inside = (F.col("file") == F.col("_file")) & (F.col("bin") == F.col("_bin")) & (F.col("onset_beat") >= F.col("m_start")) & (F.col("onset_beat") < F.col("m_end"))
-    span = F.when(F.col("measure_idx").isNotNull(), F.struct("m_start", "m_end", "measure_idx"))
-    found = points.join(listed, inside, "left").groupBy("file", "note_id", "onset_beat").agg(F.min(span)["measure_idx"].alias("own"))
+    cell = lambda c: F.least(F.greatest(F.floor(F.col(c) / F.lit(float(cell_beats))), F.lit(-FAR)), F.lit(FAR))
+    listed = spans.filter("m_start < m_end").select(F.col("file").alias("_file"), "m_start", "m_end", "measure_idx", F.explode(dyadic_blocks(cell("m_start"), cell("m_end"))).alias("_at"))
+    levels = listed.groupBy("_file").agg(F.collect_set("_at.level").alias("levels")).withColumnRenamed("_file", "file")
     last = spans.groupBy("file").agg(F.max(F.struct("m_start", "m_end", "measure_idx")).alias("last"))
+    known = last.join(levels, "file", "left")
+    points = notes.select("file", "note_id", "onset_beat").join(known, "file", "left")
+    points = points.select("file", "note_id", "onset_beat", "last", F.explode_outer("levels").alias("level"))
+    points = points.withColumn("block", F.call_function("shiftright", cell("onset_beat"), F.col("level")))
+    inside = (F.col("file") == F.col("_file")) & (F.col("level") == F.col("_at.level")) & (F.col("block") == F.col("_at.block")) & (F.col("onset_beat") >= F.col("m_start")) & (F.col("onset_beat") < F.col("m_end"))
+    span = F.when(F.col("measure_idx").isNotNull(), F.struct("m_start", "m_end", "measure_idx"))
+    found = points.join(listed, inside, "left").groupBy("file", "note_id", "onset_beat").agg(F.min(span)["measure_idx"].alias("own"), F.any_value("last").alias("last"))
     ends = F.abs(F.col("onset_beat") - F.col("last.m_end")) <= 1e-9 * F.greatest(F.abs("onset_beat"), F.abs("last.m_end"))
     measure = F.coalesce("own", F.when(ends, F.col("last.measure_idx")), F.lit(0))
-    return found.join(last, "file", "left").select("file", "note_id", "onset_beat", measure.alias("measure_idx"))
+    return found.select("file", "note_id", "onset_beat", measure.alias("measure_idx"))
 
 
 def merge_ties(notes: DataFrame) -> DataFrame:
