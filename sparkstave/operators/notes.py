@@ -50,7 +50,7 @@ def tempo_in_force(notes: DataFrame, tempi: DataFrame) -> DataFrame:
     """
     marks = tempi.select("file", "tick", "bpm", F.lit(None).cast("bigint").alias("note_id"), F.lit(0).alias("kind"))
     both = marks.unionByName(notes.select("file", "tick", F.lit(None).cast("double").alias("bpm"), F.col("note_id").cast("bigint").alias("note_id"), F.lit(1).alias("kind")))
-    low, high, n = both.agg(F.min("tick"), F.max("tick"), F.count("*")).first()
+    low, high, n = notes.agg(F.min("tick"), F.max("tick"), F.count("*")).first()
     width = ((high or 0) - (low or 0)) / max(1, -(-n // RANGE_ROWS)) + 1
     both = both.withColumn("range", F.coalesce(F.floor((F.col("tick") - F.lit(low or 0)) / F.lit(float(width))), F.lit(-1)))
     at = F.when(F.col("bpm").isNotNull(), F.struct("tick", "bpm"))
