@@ -3,7 +3,8 @@
 A text of at most CHUNK characters is encoded in one piece. A longer text is cut into
 chunks that overlap, in one pass. All chunks are pre-tokenised in parallel; two neighbours are
 stitched at the start of the first pre-token of their overlap that both have (from there on both cut
-alike, since a pre-token depends only on the text from its start), whatever its script. The pieces between stitches are encoded
+alike, since a pre-token depends only on the text from its start), whatever its script: next to characters that are too young for all engines to class them
+alike, the encoder itself must cut there. The pieces between stitches are encoded
 in parallel and folded in order into digests. A text with an overlap that never
 resynchronises (one pre-token of over OVERLAP characters) is encoded whole.
 
@@ -30,6 +31,8 @@ OVERLAP = 1_024
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: A pre-token that ends this near to the end of a chunk may depend on what follows.
 LOOK_AHEAD = 8
+#: Pre-tokens on each side of a border that the encoder is asked about.
+BESIDE = 3
 #: Chunks that travel in one batch.
 BATCH_CHUNKS = 64
 
@@ -116,20 +119,33 @@ def _settled(char: str) -> bool:
     return unicodedata.ucd_3_2_0.category(char)[0] == unicodedata.category(char)[0] != "C" or char.isspace()
 
 
-def stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(h, i, n, begin, end): each chunk's piece, counted from its own start; null where out of step."""
+def stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(h, i, n, begin, end): each chunk's piece, counted from its own start; null where out of step.
+
+    Borders next to characters that engines might class differently count only where the ``tokenizer`` itself cuts there too.
+    """
+    ranks = tokenizer.ranks if tokenizer else None
 
     def points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
         cut = regex.compile(pattern)
+        enc = encoder(ranks.value, pattern) if ranks else None
+
+        def cuts_too(text: str, spans: list[tuple[int, int]], k: int) -> bool:
+            """Whether the encoder, too, has a border before pre-token ``k``: ids of its neighbours on both sides are the same with and without it."""
+            low, at, high = spans[max(0, k - BESIDE)][0], spans[k][0], spans[min(len(spans), k + BESIDE) - 1][1]
+            return enc is not None and enc.encode_ordinary(text[low:high]) == enc.encode_ordinary(text[low:at]) + enc.encode_ordinary(text[at:high])
+
         for batch in batches:
             rows = []
             for h, i, n, text in zip(batch.h, batch.i, batch.n, batch.text, strict=True):
                 head, tail, last = [], [], len(text) - (LOOK_AHEAD if i < n - 1 else 0)
-                for m in cut.finditer(text):
-                    begin, end = m.span()
-                    if end > last or not begin or chunk > begin >= overlap or not (_settled(text[begin - 1]) and _settled(text[begin])):
+                spans = [m.span() for m in cut.finditer(text)]
+                for k, (begin, end) in enumerate(spans):
+                    if end > last or not begin or chunk > begin >= overlap:
+                        continue
+                    if not (_settled(text[begin - 1]) and _settled(text[begin]) or cuts_too(text, spans, k)):
                         continue
                     # Start and length in one number, by start.
                     if begin < overlap:
@@ -151,7 +167,7 @@ def long_digests(long: DataFrame, tokenizer: Tokenizer, chunk: int = CHUNK, over
     """(h, digests) of distinct long texts (h, text)."""
     ranks, pattern = tokenizer.ranks, tokenizer.pattern
     chunks = _chunks(long, chunk, overlap)
-    spans = stitches(chunks, pattern, chunk, overlap)
+    spans = stitches(chunks, pattern, chunk, overlap, tokenizer)
     broken = spans.groupBy("h").agg(F.max((F.col("begin").isNull() | F.col("end").isNull()).cast("int")).alias("broken"))
     spans = chunks.select("h", "i", "text").join(spans, ["h", "i"]).join(broken, "h")
     # Out of step somewhere: the text goes on as its bare chunks and is encoded whole.

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkstave.llm.sharding import numbered
 from sparkstave.llm.textkit import WORD
 from sparkstave.session import stored
 
@@ -36,15 +37,17 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("bigint")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with row number ``_row``, ``_size`` in words, ``_source`` and shuffle key ``_u``.
+def sized(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """``docs`` without text, with row number ``_row``, ``_size`` in words and ``_source``, written as the numbers hold only then; and these columns with shuffle key ``_u``.
 
-    To be written before use: the row numbers hold only once they are stored.
+    Rows of equal id, size and source are numbered, so that each has a key of its own and any number of them spreads over the ranges.
     """
-    label = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_size").cast("string"))
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_source", F.col("source"))
-    rows = rows.withColumn("_u", F.conv(F.substring(F.md5(label), 1, 13), 16, 10).cast("bigint"))
-    return rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_source", F.col("source")).withColumn("part", F.spark_partition_id())
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()).drop("text"), "mix")
+    again = numbered(rows.select("_row", "doc_id", "_size", "_source", "part"), ["doc_id", "_size", "_source"])
+    label = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_size").cast("string"), F.nullif(F.col("again"), F.lit(0)).cast("string"))
+    key = F.conv(F.substring(F.md5(label), 1, 13), 16, 10).cast("bigint")
+    return rows, again.select("_row", "doc_id", "_size", "_source", key.alias("_u"))
 
 
 def targets(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -83,11 +86,8 @@ def before(sums: DataFrame, key: str, value: str, *by: str) -> DataFrame:
     return rows.withColumn("before", F.col("sofar") + F.col("inside")).drop("run", "sofar", "inside")
 
 
-def offered_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """Every copy on offer with its virtual finish time; copies of targetless sources go.
-
-    ``rows`` is the written result of ``sized``.
-    """
+def served_rows(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """Every row with ``served``, the words of its source up to it in shuffled order; written, as copies are made from it several times. ``rows`` have their shuffle key."""
     per = targets(rows, most=most)
     narrow = rows.select("_row", "doc_id", F.col("_source").alias("_of"), "_size", "_u")
     joined = narrow.join(per, F.col("_of").eqNullSafe(F.col("_source"))).drop("_of", "_source")
@@ -96,6 +96,11 @@ def offered_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
     sums = before(keyed.groupBy("s", "b").agg(F.sum("_size").alias("words")), "b", "words", "s").drop("words")
     inside = Window.partitionBy("s", "b").orderBy("_u", F.col("doc_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, 0)
     served = keyed.join(sums, ["s", "b"]).withColumn("served", F.col("before") + F.sum("_size").over(inside))
+    return stored(served.select("_row", "s", "doc_id", "_size", "_u", "served", "source_size", "target", "total"), "served")
+
+
+def offered_copies(served: DataFrame, most: int = MOST) -> DataFrame:
+    """Every copy on offer with its virtual finish time; copies of targetless sources go."""
     offered = served.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     finish = (F.col("served") + F.col("e") * F.col("source_size")).cast("double") / F.nullif(F.col("target"), F.lit(0.0))
     offered = offered.withColumn("finish", finish).filter(F.col("finish").isNotNull())
@@ -103,10 +108,11 @@ def offered_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def taken_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """Cut the offered copies at the total budget: one row per copy taken (_row, e, finish)."""
-    offered = offered_copies(rows, most)
+    """Cut the offered copies at the total budget: one row per copy taken (_row, e, finish). ``rows`` have their shuffle key."""
+    served = served_rows(rows, most)
+    offered = offered_copies(served, most)
     # Ranges of the finish time: about RANGE_ROWS copies each up to time 4, one range beyond, which is never reached.
-    grain = float(max(1, -(-rows.count() // RANGE_ROWS)))
+    grain = float(max(1, -(-served.count() // RANGE_ROWS)))
     offered = offered.withColumn("r", F.floor(F.least(F.col("finish"), F.lit(4.0)) * grain))
     sums = before(offered.groupBy("r").agg(F.sum("_size").alias("words"), F.first("total").alias("budget")), "r", "words")
     over = sums.filter(F.col("before") + F.col("words") > F.col("budget"))
@@ -122,17 +128,17 @@ def taken_copies(rows: DataFrame, most: int = MOST) -> DataFrame:
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, size, source_size, its source's target, and words taken."""
-    rows = stored(sized(docs.select("doc_id", "source", "text")).drop("text"), "mix")
+    rows, keyed = sized(docs.select("doc_id", "source", "text"))
     per = targets(rows).select("_source", "source_size", "target")
-    taken = taken_copies(rows).groupBy("_row").agg(F.sum("_size").alias("taken"))
-    out = rows.withColumnRenamed("_source", "_of").join(per, F.col("_of").eqNullSafe(F.col("_source"))).join(taken, "_row", "left")
+    taken = taken_copies(keyed).groupBy("_row").agg(F.sum("_size").alias("taken"))
+    out = rows.select("_row", "doc_id", "_size", F.col("_source").alias("_of")).join(per, F.col("_of").eqNullSafe(F.col("_source"))).join(taken, "_row", "left")
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in mixing order."""
     # The columns travel as one, so that none of theirs can clash.
-    rows = stored(sized(docs.select("doc_id", "source", "text", F.struct("*").alias("row"))).drop("text"), "mix")
-    chosen = taken_copies(rows).select("_row", "finish")
+    rows, keyed = sized(docs.select("doc_id", "source", "text", F.struct("*").alias("row")))
+    chosen = taken_copies(keyed).select("_row", "finish")
     out = rows.select("_row", "row").join(chosen, "_row")
     return out.repartitionByRange(F.col("finish")).sortWithinPartitions("finish").select("row.*")

@@ -125,6 +125,13 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+def with_sums(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with an aggregate by ``key``, on the key's complement: the join then can't take over the aggregate's own partitioning, so both sides have
+    plain exchanges and a key that very many rows hold can be split."""
+    other = F.bitwise_not(F.col(key))
+    return rows.withColumn("_key", other).join(sums.withColumn("_key", other).drop(key), "_key").drop("_key")
+
+
 def components(links: DataFrame, made: list[DataFrame]) -> DataFrame:
     """(id, component) of all linked ids, by large-star and small-star until nothing changes.
 
@@ -137,11 +144,11 @@ def components(links: DataFrame, made: list[DataFrame]) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_sums(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.filter("a <> b").distinct(), "edges")
         drop_stored(edges)
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a")
+        star = with_sums(large, small, "a")
         edges = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = stored(edges.filter("a <> b").distinct(), "edges")
         drop_stored(large)
@@ -226,7 +233,7 @@ class Classes:
         self.classes = self.kept(classes.filter("rep is not null"), "classes")
         members = self.classes.select("rep", "n", F.explode("bands").alias("key"))
         shared = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-        self.members = self.kept(members.join(shared, "key"), "members")
+        self.members = self.kept(with_sums(members, shared, "key"), "members")
 
     def kept(self, df: DataFrame, label: str) -> DataFrame:
         """A stored table that ``drop`` deletes."""
@@ -272,7 +279,7 @@ class Classes:
         members = self.members.filter("m > 2").select("key", "rep", "hub", "m").join(own, "rep", "left")
         members = members.withColumn("component", F.coalesce("component", "rep"))
         mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-        members = members.join(mixed, "key").join(self.classes, "rep")
+        members = with_sums(members, mixed, "key").join(self.classes, "rep")
         # Block i of a large bucket meets every block: each member goes to the pairs of its block.
         blocks = F.ceil(F.col("m") / F.lit(float(BLOCK))).cast("int")
         members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -327,7 +334,7 @@ class Classes:
         k, percent = self.k, self.percent
         pairs = self.kept(pairs.select("a", "b"), "pairs")
         crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(float(HUB_MEMBERS))).cast("int").alias("s"))
-        dealt = pairs.join(crowd, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
+        dealt = with_sums(pairs, crowd, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("s")).cast("int"))
         hubs = crowd.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
         asked = dealt.select(F.col("a").alias("id"), F.col("b").alias("hub"), "salt").unionByName(hubs)
         texts = self.texts_of(asked.groupBy("id").agg(F.collect_list(F.struct("hub", "salt")).alias("at")))

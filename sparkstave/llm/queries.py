@@ -16,9 +16,9 @@ def op1_wfq_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS MATERIALIZED (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS again FROM documents),
 u AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, *, CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))), 1, 13) AS UBIGINT) AS BIGINT) AS u FROM d),
+  SELECT row_number() OVER () AS rid, *, CAST(CAST('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), CASE WHEN again > 0 THEN CAST(again AS VARCHAR) END)), 1, 13) AS UBIGINT) AS BIGINT) AS u FROM d),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM u GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM per),
 weighed AS (SELECT *, (s - 1) % 3 + 1 AS w, source_size * 3 AS cap FROM ranked),

@@ -16,6 +16,8 @@ two named ones are not read, so their names can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,26 +37,29 @@ def slotted(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.crc32("text").alias("text_crc32"),
         F.spark_partition_id().alias("part"),
     )
-    rows = numbered(stored(rows, "records"))
+    rows = numbered(stored(rows, "records"), ["doc_id", "text_crc32", "size"]).drop("part")
     label = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size", "again")
     return rows.withColumn("virtual_slot", (F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint") % n_slots).cast("int"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``again``: 0, 1, ... among rows of equal doc_id, text_crc32 and size, whichever is which.
+def numbered(rows: DataFrame, own: list[str]) -> DataFrame:
+    """``again``: 0, 1, ... among rows that are equal in the columns ``own``, whichever is which; ``rows`` are written, with the ``part`` they stood in.
 
-    Only repeated rows are ranked: in the part of the table they stand in, behind those of earlier parts, so a task never holds a group.
+    Only repeated rows are ranked: in their part of the table, behind those of earlier parts, so a task never holds a group. Without repeated rows
+    nothing is joined.
     """
-    own = ["doc_id", "text_crc32", "size"]
     parts = rows.groupBy(*own, "part").agg(F.count("*").alias("n"))
     group = Window.partitionBy(*own)
     earlier = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     many = parts.withColumn("all", F.sum("n").over(group)).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     many = stored(many.filter("all > 1").select(*[F.col(c).alias(f"_{c}") for c in (*own, "part")], "before"), "repeats")
-    equal = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part"))
-    single = rows.join(many, equal, "left_anti").select(*own, F.lit(0).cast("bigint").alias("again"))
+    first = F.lit(0).cast("bigint").alias("again")
+    if many.isEmpty():
+        return rows.select(*rows.columns, first)
+    equal = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*own, "part")))
+    single = rows.join(many, equal, "left_anti").select(*rows.columns, first)
     inside = F.row_number().over(Window.partitionBy(*own, "part").orderBy("before"))
-    repeated = rows.join(many, equal).select(*own, (F.col("before") + inside - 1).alias("again"))
+    repeated = rows.join(many, equal).select(*rows.columns, (F.col("before") + inside - 1).alias("again"))
     return single.unionByName(repeated)
 
 

@@ -279,9 +279,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     n_buckets = max(8, n_bytes // 6 // BUCKET_WORDS)
     hashed = docs.select(F.sha2("text", 256).alias("h"), "text").filter("text is not null")
     flagged = estimated_repeated(hashed, n_bytes, window, gram)
-    some = hashed.join(small_side(flagged, F.size("ats") * 4 + 80), "h")
-    # Copies are summed up in the tasks that read them.
-    texts = stored(some.groupBy("h").agg(F.first("text").alias("text"), F.first("ats").alias("ats"), F.count("*").alias("copies")), "texts")
+    copies = F.count("*").alias("copies")
+    # Copies are summed up in the tasks that read them, before a join by order could bring them all to one.
+    if (flagged.agg(F.sum(F.size("ats") * 4 + 80)).first()[0] or 0) <= BROADCAST_BYTES:
+        texts = hashed.join(F.broadcast(flagged), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("ats").alias("ats"), copies)
+    else:
+        texts = hashed.groupBy("h").agg(F.first("text").alias("text"), copies).join(flagged.hint("merge"), "h").select("h", "text", "ats", "copies")
+    texts = stored(texts, "texts")
     drop_stored(flagged)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

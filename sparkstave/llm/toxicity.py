@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkstave.llm.textkit import pieces
+from sparkstave.session import drop_stored, stored
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -42,7 +44,6 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 SAMPLE = 4_000
-MAX_TERMS = 5_000
 MIN_CONTEXTS = 5
 MIN_DOCS = 5
 MIN_ODDS = 30.0
@@ -118,7 +119,7 @@ class Lexicon:
                 if f"{term}*" not in self.weights:
                     self._automaton.add_word(term.rstrip("*"), term)
             self._automaton.make_automaton()
-        out = []
+        out, words = [], None
         for end, term in self._automaton.iter(folded):
             begin = end - len(term.rstrip("*")) + 1
             if begin and folded[begin - 1].isalpha():
@@ -127,9 +128,11 @@ class Lexicon:
                 end = _REST.match(folded, end + 1).end() - 1
             elif end + 1 < len(folded) and folded[end + 1].isalpha():
                 continue
-            before = _WORD.findall(folded, max(0, begin - 64), begin)
-            after = _WORD.search(folded, end + 1, end + 65)
-            out.append((term, before[-1] if before else "", after.group() if after else ""))
+            if words is None:  # the words beside a hit, however far
+                words = [m.span() for m in _WORD.finditer(folded)]
+                starts, ends = [w[0] for w in words], [w[1] for w in words]
+            before, after = bisect_right(ends, begin) - 1, bisect_left(starts, end + 1)
+            out.append((term, folded[slice(*words[before])] if before >= 0 else "", folded[slice(*words[after])] if after < len(words) else ""))
         return out
 
     def excepted(self, hit: tuple[str, str, str]) -> bool:
@@ -165,7 +168,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Fit lexicon, exception phrases and half-way point on a bounded sample."""
-    rows = training_rows(docs, labels, sample)
+    # Written once, as it is read three times: at most 2 * sample texts.
+    rows = stored(training_rows(docs, labels, sample), "sample")
+    try:
+        return fitted(rows)
+    finally:
+        drop_stored(rows)
+
+
+def fitted(rows: DataFrame) -> Lexicon:
+    """The lexicon of labelled texts (text, toxic); every term and phrase that passes the thresholds is in it."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """(term, toxic, previous word) once per document; the empty term counts documents."""
@@ -181,9 +193,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon
 
     seen = rows.mapInPandas(words, "term string, toxic int, context string")
     toxic = F.col("toxic") == 1
-    per = seen.groupBy("term").agg(
-        F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"), F.approx_count_distinct(F.when(toxic, F.col("context"))).alias("contexts")
-    )
+    beside = seen.groupBy("term", "context").agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"))
+    per = beside.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count_if(F.col("a") > 0).alias("contexts"))
     total = per.filter("term = ''").first()
     if total is None or not total["a"]:
         return Lexicon({})
@@ -191,8 +202,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon
     odds = (F.col("a") + 0.5) / F.lit(n + 1.0) / ((F.col("b") + 0.5) / F.lit(m + 1.0))
     often = (F.col("a") >= MIN_DOCS) & (F.col("contexts") >= F.greatest(F.lit(float(MIN_CONTEXTS)), F.pow("a", F.lit(0.7))))
     strong = per.filter((F.col("term") != "") & often).withColumn("odds", odds)
-    best = strong.filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "term").limit(MAX_TERMS)
-    lexicon = Lexicon({row["term"]: math.log(row["odds"]) for row in best.collect()})
+    lexicon = Lexicon({row["term"]: math.log(row["odds"]) for row in strong.filter(F.col("odds") >= MIN_ODDS).orderBy("term").collect()})
 
     def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):
@@ -204,7 +214,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon
 
     counted = rows.mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"))
     clean = counted.filter((F.col("b") >= 3) & (F.col("b") / F.lit(float(m)) > F.col("a") / F.lit(float(n))))
-    lexicon.exceptions = frozenset(row["phrase"] for row in clean.orderBy(F.desc("b"), "phrase").limit(MAX_TERMS).collect())
+    lexicon.exceptions = frozenset(row["phrase"] for row in clean.collect())
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in pieces(batches):

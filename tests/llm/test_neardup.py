@@ -101,3 +101,27 @@ def test_signatures_estimate_similarity():
             sets += [np.unique(np.concatenate((both, o))) for o in own]
         sig = neardup.signatures(sets, slices)
         assert abs((sig[::2] == sig[1::2]).mean() - share) < 0.03
+
+
+def test_a_hot_key_is_split(spark):
+    """A join with an aggregate by the same key ends as a skewed join, so a key that most rows hold lies in several tasks."""
+    from pyspark.sql import functions as F
+
+    from sparkstave.llm import neardup
+    from sparkstave.session import stored
+
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "adaptive.skewJoin.skewedPartitionFactor": "2", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        rows = stored(spark.range(200_000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("key"), "id").repartition(8), "rows")
+        joined = neardup.with_sums(rows, rows.groupBy("key").agg(F.count("*").alias("m")), "key")
+        assert joined.filter("key = 7").count() == 180_000 and set(joined.columns) == {"key", "id", "m"}
+        plan = joined._jdf.queryExecution()
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in plan.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)

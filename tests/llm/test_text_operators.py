@@ -1,6 +1,7 @@
 """Mixing, sharding, BPE, WARC, quality, toxicity and language on small fixtures and odd input."""
 
 import collections
+import math
 import gzip
 import hashlib
 import random
@@ -154,6 +155,67 @@ def test_every_script_is_stitched(spark, make, script):
     assert got == [(i, *expected_ids(enc, t)) for i, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x7CA, 0x7EB))), "".join(map(chr, range(0x2D30, 0x2D66))), "".join(map(chr, range(0x2C30, 0x2C5F))), "😀🦜🫠🏽👍🧿"], ids=["nko", "tifinagh", "glagolitic", "emoji"])
+def test_scripts_of_any_age_are_stitched(spark, make, letters):
+    """Characters added after Unicode 3.2, in words parted by single spaces: the encoder is asked whether it cuts there too."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(n)) for n in (700, 500)]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokenizer = bpe.Tokenizer(spark, path, public_tokenizers.PATTERN)
+    rows = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)], "h string, text string")
+    found = bpe.stitches(bpe._chunks(rows, 200, 64), public_tokenizers.PATTERN, 200, 64, tokenizer).collect()
+    assert len(found) > 15 and not [r for r in found if r["begin"] is None or r["end"] is None]
+    enc = bpe.encoder(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    got = sorted(tuple(r) for r in bpe.encoded_digests(make(list(enumerate(texts))), tokenizer, 200, 64).collect())
+    assert got == [(i, *expected_ids(enc, t)) for i, t in enumerate(texts)]
+
+
+def test_learned_lexicon_equals_plain(spark):
+    """Terms, exceptions and half-way point from the sample, in plain Python."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("bcdfglmnprst", k=2)) + rng.choice("aeiou") + "".join(rng.choices("bdgklmnt", k=3)) for _ in range(120)]
+    docs = []
+    for i in range(240):
+        text = [rng.choice(words) for _ in range(rng.randint(3, 30))]
+        if i % 3 == 0:
+            text.insert(rng.randrange(len(text)), "gruntor")
+        if i in (1, 41, 121):
+            text += ["never", "- " * 60, "gruntor"]  # an exception phrase across a long gap
+        docs.append((" ".join(text), int(i % 3 == 0)))
+    got = toxicity.fitted(spark.createDataFrame(docs, "text string, toxic int").repartition(3))
+    word = re.compile(r"[^\W\d_]+")
+    a, b, contexts = collections.Counter(), collections.Counter(), {}
+    for text, toxic in docs:
+        found = word.findall(toxicity.fold(text))
+        before = dict(zip(found, ["", *found], strict=False))
+        terms = {w: p for w, p in before.items() if len(w) >= toxicity.LEAST_TERM}
+        terms |= {f"{w[:k]}*": p for w, p in list(terms.items()) for k in toxicity.STEMS if len(w) > k}
+        for t, p in terms.items():
+            (a if toxic else b)[t] += 1
+            if toxic:
+                contexts.setdefault(t, set()).add(p)
+    n, m = sum(t for _, t in docs), sum(1 - t for _, t in docs)
+    odds = {t: (a[t] + 0.5) / (n + 1) / ((b[t] + 0.5) / (m + 1)) for t in a if a[t] >= toxicity.MIN_DOCS and len(contexts[t]) >= max(toxicity.MIN_CONTEXTS, a[t] ** 0.7)}
+    assert got.weights == {t: pytest.approx(math.log(o)) for t, o in odds.items() if o >= toxicity.MIN_ODDS} and got.weights
+    phrases = [collections.Counter(), collections.Counter()]
+    for text, toxic in docs:
+        hits = got.hits(toxicity.fold(text))
+        phrases[toxic].update({f"{p} {t}" for t, p, _ in hits if p} | {f"{t} {q}" for t, _, q in hits if q})
+    assert got.exceptions == {p for p, k in phrases[0].items() if k >= 3 and k / m > phrases[1][p] / n} and any(p.startswith("never ") for p in got.exceptions)
+    weights = [got.weight(t) for t, _ in docs]
+    cuts = [0.0, *sorted(set(weights)), max(weights) * 2 + 1]
+    right = lambda cut: sum((w > cut) == bool(t) for w, (_, t) in zip(weights, docs, strict=True))
+    assert right(got.half - 1e-12) == max(right(c - 1e-12) for c in cuts)
+
+
+def test_equal_rows_spread_over_the_ranges_of_a_mix(spark, make):
+    """Rows without id, equal in size and source, have shuffle keys of their own."""
+    _, keyed = mixing.sized(make([(None, "a b c", "s")] * 3000 + [(1, "a b", "t")] * 50).select("doc_id", "source", "text"))
+    assert keyed.select("_u").distinct().count() == 3050 == keyed.select("_row").distinct().count()
+    taken = mixing.mixed_sizes(make([(None, "a b c", "s")] * 3000 + [(1, "a b", "t")] * 50)).groupBy("source_size", "target").sum("taken").collect()
+    assert all(abs(r["sum(taken)"] - r["target"]) < 10 for r in taken)
+
+
 def test_chunks_lose_nothing(spark):
     texts = ["x" * n for n in (1, 63, 64, 199, 200, 263, 264, 265, 5000)]
     rows = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)], "h string, text string")
