@@ -62,16 +62,18 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
     return gt.unionByName(pred).withColumn("pitch_class", F.pmod("pitch", F.lit(12)))
 
 
-LMX_SQL = """
-rows AS (SELECT doc_id AS row_id, list_transform(range(0, doc_id % 40 + 1), lambda i: CAST((doc_id * 31 + i * 7) % 50 AS INTEGER)) AS lmx_ids,
-                list_transform(range(0, (doc_id * 3) % 30 + 1), lambda i: CAST((doc_id * 17 + i * 11) % 50 AS INTEGER)) AS src_ids FROM documents)"""
+LMX_SQL = r"""
+rows AS MATERIALIZED (SELECT doc_id AS row_id, list_transform(w, lambda t: CAST(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 50 AS INTEGER)) AS lmx_ids,
+                list_transform(w, lambda t: CAST(CAST('0x' || substr(md5(t), 9, 8) AS BIGINT) % 50 AS INTEGER)) AS src_ids
+         FROM (SELECT doc_id, regexp_extract_all(coalesce(text, 'none'), '[^ \t\n]+') AS w FROM documents) WHERE len(w) > 0)"""
 
 
 def id_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Token id lists of varying length; ids 0 to 4 open a measure."""
-    k = F.col("doc_id")
-    seq = lambda n, a, b: F.transform(F.sequence(F.lit(0).cast("bigint"), n), lambda i: ((k * a + i * b) % 50).cast("int"))
-    return table(spark, d, "documents").select(k.alias("row_id"), seq(k % 40, 31, 7).alias("lmx_ids"), seq((k * 3) % 30, 17, 11).alias("src_ids"))
+    """Token id lists of whole texts, an id for each word; ids 0 to 4 open a measure."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("none")), F.lit(r"[^ \t\n]+"), F.lit(0))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), words.alias("w")).filter(F.size("w") > 0)
+    ids = lambda at: F.transform("w", lambda t: (F.conv(F.substring(F.md5(t), at, 8), 16, 10).cast("bigint") % 50).cast("int"))
+    return rows.select("row_id", ids(1).alias("lmx_ids"), ids(9).alias("src_ids"))
 
 
 #: Score files: six events of a user to a measure, odd and even events in a part each. A purchase goes back one tick before its note.

@@ -17,6 +17,8 @@ def lmx():
 
 
 R = f"WITH {fx.LMX_SQL}"
+#: Ids that a truncated side may have beside its two marks; windows and chunks of the long lists.
+MOST_CUT, WINDOW, STRIDE, OVERLAP = 1022, 1024, 256, 128
 
 
 def query(name: str, sql: str | None = None):
@@ -42,15 +44,15 @@ ids_query(
     f"list_transform({BODY}, lambda t: [t, t % 3])",
 )
 ids_query("f22_keep_first", lambda: arrays.first_n(lmx(), 10), "lmx_ids[1:10]")
-ids_query("f23_with_marks", lambda: arrays.with_marks(lmx(), 1, 2, 12), "list_concat([CAST(1 AS INTEGER)], list_concat(lmx_ids[1:10], [CAST(2 AS INTEGER)]))")
+ids_query("f23_with_marks", lambda: arrays.with_marks(lmx(), 1, 2, MOST_CUT + 2), f"list_concat([CAST(1 AS INTEGER)], list_concat(lmx_ids[1:{MOST_CUT}], [CAST(2 AS INTEGER)]))")
 STARTS = "list_sort(list_distinct(list_concat([CAST(0 AS BIGINT)], list_filter(range(0, len({x})), lambda i: {x}[i + 1] < 5))))"
 ids_query("f16_measure_starts", lambda: F.transform(F.array_sort(arrays.measure_starts(lmx(), lambda t: t < 5)), lambda i: i.cast("bigint")), STARTS.format(x="lmx_ids"))
 ids_query("f21_clamp_cut", lambda: arrays.clamp(F.col("row_id") % 60 - 5, F.size(lmx())).cast("bigint"), "greatest(0, least(row_id % 60 - 5, len(lmx_ids)))")
 ids_query("l05_labels", lambda: arrays.shifted_labels(lmx(), 7), "list_transform(lmx_ids[2:], lambda t: CASE WHEN t = 7 THEN -100 ELSE t END)")
-WINDOW_STARTS = "list_sort(list_distinct(list_concat(range(0, greatest(0, len(lmx_ids) - 12) + 1, 5), [greatest(0, len(lmx_ids) - 12)])))"
-ids_query("l06_window_starts", lambda: F.transform(arrays.window_starts(F.size(lmx()), 12, 5), lambda i: i.cast("bigint")), WINDOW_STARTS)
+WINDOW_STARTS = f"list_sort(list_distinct(list_concat(range(0, greatest(0, len(lmx_ids) - {WINDOW}) + 1, {STRIDE}), [greatest(0, len(lmx_ids) - {WINDOW})])))"
+ids_query("l06_window_starts", lambda: F.transform(arrays.window_starts(F.size(lmx()), WINDOW, STRIDE), lambda i: i.cast("bigint")), WINDOW_STARTS)
 ids_query(
-    "l08_chunk_starts", lambda: F.transform(arrays.chunk_starts(F.size(lmx()), 10, 3), lambda i: i.cast("bigint")), "range(0, greatest(len(lmx_ids) - 3, 1), 7)"
+    "l08_chunk_starts", lambda: F.transform(arrays.chunk_starts(F.size(lmx()), WINDOW, OVERLAP), lambda i: i.cast("bigint")), f"range(0, greatest(len(lmx_ids) - {OVERLAP}, 1), {WINDOW - OVERLAP})"
 )
 ids_query(
     "f24_cut_generated", lambda: arrays.cut_generated(lmx(), 1, 2, 0),
@@ -74,13 +76,13 @@ CAST(CASE WHEN k = 0 THEN 0 ELSE {upto(target, 'ts')} - {end(target, 'ts')} END
 CAST(CASE WHEN k = 0 THEN 0 ELSE {upto(source, 'ss')} - {end(source, 'ss')} END AS INTEGER) AS source_ahead FROM ks)"""
 
 
-CUT = f"{R}, " + cut_sql("(SELECT * FROM rows)", "lmx_ids", "src_ids", STARTS.format(x="lmx_ids"), STARTS.format(x="src_ids"), "2", 20, 16)
+CUT = f"{R}, " + cut_sql("(SELECT * FROM rows)", "lmx_ids", "src_ids", STARTS.format(x="lmx_ids"), STARTS.format(x="src_ids"), "2", MOST_CUT, MOST_CUT)
 
 
 def _cuts(spark, d):
     start = lambda t: t < 5
     rows = fx.id_rows(spark, d).withColumn("ts", F.array_sort(arrays.measure_starts(lmx(), start))).withColumn("ss", F.array_sort(arrays.measure_starts(F.col("src_ids"), start)))
-    return rows.select("row_id", F.size(lmx()).alias("n"), arrays.aligned_cut(lmx(), F.col("ts"), F.col("src_ids"), F.col("ss"), 20, 16, 2).alias("c")).select("row_id", "n", "c.*")
+    return rows.select("row_id", F.size(lmx()).alias("n"), arrays.aligned_cut(lmx(), F.col("ts"), F.col("src_ids"), F.col("ss"), MOST_CUT, MOST_CUT, 2).alias("c")).select("row_id", "n", "c.*")
 
 
 @query("f18_aligned_truncation", f"{CUT} SELECT row_id, measures, target_end, source_end, aligned, target_ahead, source_ahead, target_end < len(lmx_ids) OR source_end < len(src_ids) AS truncated FROM cut")
@@ -108,7 +110,7 @@ PER_VARIANT = {
 }
 
 
-@query("f19_truncated_variants", f"{R}, {LONG}, " + cut_sql("long", "body", "source", STARTS.format(x="body"), STARTS.format(x="source"), "ahead", 20, 16) + """
+@query("f19_truncated_variants", f"{R}, {LONG}, " + cut_sql("long", "body", "source", STARTS.format(x="body"), STARTS.format(x="source"), "ahead", MOST_CUT, MOST_CUT) + """
 SELECT row_id, any_value(body)[1:max(target_end)] AS lmx_ids, CAST(max(target_end) AS INTEGER) AS lmx_length, """ + ", ".join(
     f"any_value({x}) FILTER (variant = '{v}') AS {k}_{v}" for v in VARIANTS for k, x in PER_VARIANT.items()) + """,
 any_value(CASE WHEN source_end = 0 THEN [[0, 0]] ELSE list_transform(source[1:source_end], lambda t: [t, CASE WHEN t < 5 THEN 1 ELSE 0 END]) END) FILTER (variant = 'heavy') AS heavy FROM cut GROUP BY row_id""")
@@ -120,7 +122,7 @@ def f19(spark, d):
         tuples(F.filter(src, lambda t: t % 3 != 0)).alias("heavy"),
     )
     sources = {v: (v, ahead) for v, (_, ahead) in VARIANTS.items()}
-    cut = arrays.truncated_variants(rows, "lmx_ids", sources, lambda t: t < 5, lambda t: F.get(t, F.lit(1)) == 1, 20, 16, 2)
+    cut = arrays.truncated_variants(rows, "lmx_ids", sources, lambda t: t < 5, lambda t: F.get(t, F.lit(1)) == 1, MOST_CUT, MOST_CUT, 2)
     return cut.withColumn("lmx_length", F.size("lmx_ids")).drop("clean", "light")
 
 
@@ -138,12 +140,12 @@ def a28(spark, d):
 
 @query("l08_stitched_chunks", f"{R} SELECT row_id, lmx_ids AS out FROM rows")
 def l08(spark, d):
-    return batches.stitched(batches.chunked(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), 10, 3), 3).select("row_id", F.col("ids").alias("out"))
+    return batches.stitched(batches.chunked(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), WINDOW, OVERLAP), OVERLAP).select("row_id", F.col("ids").alias("out"))
 
 
-@query("l06_windows", f"{R}, w AS (SELECT row_id, lmx_ids, unnest({WINDOW_STARTS}) AS p FROM rows) SELECT p AS at, row_id, lmx_ids[p + 1:p + 12] AS ids FROM w")
+@query("l06_windows", f"{R}, w AS (SELECT row_id, lmx_ids, unnest({WINDOW_STARTS}) AS p FROM rows) SELECT p AS at, row_id, lmx_ids[p + 1:p + {WINDOW}] AS ids FROM w")
 def l06(spark, d):
-    return batches.sliding_windows(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), 12, 5).select("row_id", F.col("at").cast("bigint").alias("at"), "ids")
+    return batches.sliding_windows(fx.id_rows(spark, d).select("row_id", lmx().alias("ids")), WINDOW, STRIDE).select("row_id", F.col("at").cast("bigint").alias("at"), "ids")
 
 
 BATCHED = f"{R}, r AS (SELECT row_id, lmx_ids, len(lmx_ids) AS n, row_number() OVER (ORDER BY len(lmx_ids) DESC, row_id) - 1 AS rank FROM rows), b AS (SELECT *, CAST(floor(rank / 16e0) AS BIGINT) AS batch_id FROM r)"
@@ -181,12 +183,12 @@ def w10(spark, d):
     return table(spark, d, "orders").select("o_orderkey", batches.stage_of(F.col("o_orderkey") % 16, {0: 0, 4: 1, 10: 2}).alias("stage"))
 
 
-@query("l01_expected_length", f"""{R}, e AS (SELECT row_id, 0.5e0 * (least(len(lmx_ids), 20) + 2) + 0.5e0 * (least(len(lmx_ids) // 2, 20) + 2) AS t, 0.5e0 * (least(len(src_ids), 12) + 2) + 0.5e0 * (least(len(src_ids) // 2, 12) + 2) AS s FROM rows)
+@query("l01_expected_length", f"""{R}, e AS (SELECT row_id, 0.5e0 * (least(len(lmx_ids), {MOST_CUT}) + 2) + 0.5e0 * (least(len(lmx_ids) // 2, {MOST_CUT}) + 2) AS t, 0.5e0 * (least(len(src_ids), {MOST_CUT}) + 2) + 0.5e0 * (least(len(src_ids) // 2, {MOST_CUT}) + 2) AS s FROM rows)
 SELECT row_id, t AS target_only, s AS source_only, t + 0.25e0 * s AS combined FROM e""")
 def l01(spark, d):
     half = lambda c: F.floor(F.size(c) / 2)
     variants = {"clean": (0.5, F.size("src_ids"), F.size("lmx_ids")), "light": (0.5, half("src_ids"), half("lmx_ids"))}
-    modes = [batches.expected_length(variants, 12, 20, mode, 0.25).alias(mode) for mode in ("target_only", "source_only", "combined")]
+    modes = [batches.expected_length(variants, MOST_CUT, MOST_CUT, mode, 0.25).alias(mode) for mode in ("target_only", "source_only", "combined")]
     return fx.id_rows(spark, d).select("row_id", *modes)
 
 
@@ -195,15 +197,15 @@ def uniform_sql(seed: int, key: str) -> str:
 
 
 @query("l02_l03_curriculum_example", f"""{R}, u AS (SELECT *, {uniform_sql(3, 'row_id')} AS u FROM rows WHERE row_id IS NOT NULL), v AS (SELECT *, CASE WHEN u < 0.5e0 THEN 'clean' WHEN u < 0.75e0 THEN 'light' ELSE 'heavy' END AS variant, {BODY} AS body FROM u)
-SELECT row_id, variant, CASE variant WHEN 'clean' THEN src_ids WHEN 'light' THEN src_ids[1:20] ELSE src_ids[1:10] END AS source, list_concat([CAST(1 AS INTEGER)], list_concat(body[1:14], [CAST(2 AS INTEGER)])) AS target FROM v""")
+SELECT row_id, variant, CASE variant WHEN 'clean' THEN src_ids WHEN 'light' THEN src_ids[1:20] ELSE src_ids[1:10] END AS source, list_concat([CAST(1 AS INTEGER)], list_concat(body[1:{MOST_CUT}], [CAST(2 AS INTEGER)])) AS target FROM v""")
 def l03(spark, d):
-    return batches.curriculum_examples(fx.id_rows(spark, d).filter("row_id is not null"), {"clean": 2.0, "light": 1.0, "heavy": 1.0}, seed=1, epoch=2, most=16)
+    return batches.curriculum_examples(fx.id_rows(spark, d).filter("row_id is not null"), {"clean": 2.0, "light": 1.0, "heavy": 1.0}, seed=1, epoch=2, most=MOST_CUT + 2)
 
 
-@query("l07_random_crop", f"""{R}, p AS (SELECT row_id, lmx_ids, CAST(floor({uniform_sql(5, 'row_id')} * (greatest(0, len(lmx_ids) - 12) + 1)) AS INTEGER) AS place FROM rows WHERE row_id IS NOT NULL)
-SELECT row_id, place AS "at", lmx_ids[place + 1:place + 12] AS ids FROM p""")
+@query("l07_random_crop", f"""{R}, p AS (SELECT row_id, lmx_ids, CAST(floor({uniform_sql(5, 'row_id')} * (greatest(0, len(lmx_ids) - {WINDOW}) + 1)) AS INTEGER) AS place FROM rows WHERE row_id IS NOT NULL)
+SELECT row_id, place AS "at", lmx_ids[place + 1:place + {WINDOW}] AS ids FROM p""")
 def l07(spark, d):
-    return batches.random_crop(fx.id_rows(spark, d).filter("row_id is not null").select("row_id", lmx().alias("ids")), 12, seed=5)
+    return batches.random_crop(fx.id_rows(spark, d).filter("row_id is not null").select("row_id", lmx().alias("ids")), WINDOW, seed=5)
 
 
 @query("f10_word_count", r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS INTEGER) AS n FROM documents")
