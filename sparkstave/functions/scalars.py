@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,49 @@ def stem(path: Column) -> Column:
 
 
 def token_distance(x: list, y: list) -> int:
-    """Levenshtein distance of two lists. One column of the table is a few integers with a bit per token of ``x``."""
+    """Levenshtein distance of two lists: by diagonals while the distance is small, else by columns of bits."""
+    number: dict = {}
+    a, b = (np.fromiter((number.setdefault(t, len(number)) for t in side), np.int64, len(side)) for side in (x, y))
+    n = min(len(a), len(b))
+    head = _run(a, b, 0, 0)
+    tail = _run(a[head:][::-1], b[head:][::-1], 0, 0) if head < n else 0
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    near = diagonal_distance(a, b, max(16, int((len(a) * len(b)) ** 0.5) // 64))
+    return bit_distance(a.tolist(), b.tolist()) if near is None else near
+
+
+def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many tokens from ``i`` and ``j`` on are equal."""
+    done, step, n = 0, 16, min(len(a) - i, len(b) - j)
+    while done < n:
+        apart = a[i + done : i + min(done + step, n)] != b[j + done : j + min(done + step, n)]
+        first = int(apart.argmax())
+        if apart[first]:
+            return done + first
+        done, step = done + len(apart), step * 4
+    return n
+
+
+def diagonal_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The distance if it is at most ``most``, from how far each diagonal gets with 0, 1, 2, ... edits: the time goes with the length plus the square of the distance."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return None
+    far = {0: _run(a, b, 0, 0)}  # by j - i: the furthest i
+    for edits in range(most + 1):
+        if far.get(m - n, -1) >= n:
+            return edits
+        now = {}
+        for k in range(max(-n, -edits - 1), min(m, edits + 1) + 1):
+            i = min(max(far.get(k, -2) + 1, far.get(k - 1, -1), far.get(k + 1, -2) + 1), n, m - k)
+            if i >= max(0, -k):
+                now[k] = i + _run(a, b, i, i + k)
+        far = now
+    return None
+
+
+def bit_distance(x: list, y: list) -> int:
+    """One column of the table is a few integers with a bit per token of ``x``."""
     if not len(x):
         return len(y)
     places: dict = {}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkstave.functions import scalars
 from sparkstave.schemas import ELEMENTS
+from sparkstave.sources.scores import broken_file, element_rows
 
 DEFAULT_BPM = 120.0
 #: Rows of a range of ticks, about; cells beyond this count as this one.
@@ -214,51 +215,21 @@ def merged_notes(notes: DataFrame) -> DataFrame:
     )
 
 
-def local_name(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
 def score_elements(files: DataFrame) -> DataFrame:
-    """Element rows of score markup (file, content), parsed file by file.
+    """Element rows of score markup (file, content), parsed file by file; the columns are those of the source ``scores``, which needs no file in one cell.
 
     Each measure has a row of its own (tag ``measure``, child_pos -1) before those of its children. A file that doesn't parse, or has no
     part, has one row with an ``error`` and nothing else.
     """
-    names = ELEMENTS.fieldNames()
-    nothing = len(names) - 1
-
-    def parse(file: str, content: str) -> Iterator[tuple]:
-        root = ET.fromstring(content)
-        parts = [x for x in root.iter() if local_name(x.tag) == "part"]
-        if not parts:
-            raise ValueError("no part")
-        for part_idx, part in enumerate(parts):
-            measures = [m for m in part if local_name(m.tag) == "measure"]
-            for order, measure in enumerate(measures, 1):
-                place = (file, part_idx, order, measure.get("number"))
-                yield (*place, -1, "measure", *[None] * (nothing - 6))
-                for pos, child in enumerate(measure):
-                    inner = [x for x in child.iter() if x is not child]
-                    under: dict = {}
-                    for x in inner:
-                        under.setdefault(local_name(x.tag), (x.text or "").strip())
-                    clefs = []
-                    for c in (x for x in child if local_name(x.tag) == "clef"):
-                        said = {local_name(x.tag): (x.text or "").strip() for x in c}
-                        clefs.append({"number": c.get("number"), "sign": said.get("sign"), "line": said.get("line")})
-                    ties = " ".join(x.get("type", "") for x in child if local_name(x.tag) == "tie")
-                    rest = [under.get(k) for k in ("step", "alter", "octave", "staff", "voice", "beats", "beat-type", "fifths", "divisions")]
-                    yield (*place, pos, local_name(child.tag), under.get("duration"), "chord" in under, "rest" in under, *rest, clefs, ties or None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, content in zip(batch["file"], batch["content"], strict=True):
                 try:
-                    rows += [(*row, None) for row in parse(file, content or "")]
+                    rows += list(element_rows(file, [content or ""]))
                 except (ET.ParseError, ValueError) as e:
-                    rows.append((file, *[None] * (nothing - 1), str(e)))
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            yield out
+                    rows.append(broken_file(file, e))
+            yield pd.DataFrame(rows, columns=ELEMENTS.fieldNames(), dtype=object)
 
     return files.select("file", "content").mapInPandas(run, ELEMENTS)

@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkstave import schemas
+from sparkstave.functions import one_to_many
 from sparkstave.operators import notes as nt
 from sparkstave.session import scratch, table
-from sparkstave.sources import tables
+from sparkstave.sources import scores, tables
 from sparkstave.streaming import parts
 
 QUERIES, SQL = {}, {}
@@ -35,10 +36,8 @@ def s01(spark, d):
 def s02(spark, d):
     path = scratch(spark, "files")
     table(spark, d, "nation").repartitionByRange(3, "n_regionkey").write.partitionBy("n_regionkey").parquet(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
-    found = files.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("int").alias("k")).distinct()
-    assert tables.list_files(spark, path, ".parquet").filter("length = 0").isEmpty()
-    return found
+    files = tables.list_files(spark, path, ".parquet").filter("length > 0")
+    return files.select(F.regexp_extract("path", r"^n_regionkey=(\d+)/", 1).cast("int").alias("k")).distinct()
 
 
 @query("s03_whole_texts", r"SELECT doc_id, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS content FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
@@ -117,16 +116,34 @@ def s13(spark, d):
 @query("s14_score_elements", """SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn % 2 AS INTEGER) AS part, count(*) AS n_notes, CAST(sum(length(text) % 7 + 1) AS BIGINT) AS total
 FROM conversations WHERE text IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL""")
 def s14(spark, d):
-    """Markup made from conversations: a turn is a note, its length the duration."""
+    files = score_markup(spark, d)
+    return note_totals(nt.score_elements(files), files)
+
+
+def note_totals(elements, files):
+    parsed = elements.join(files.select("file", "low"), "file").filter("tag = 'note'")
+    return parsed.groupBy("file", (F.col("part_idx") + F.col("low")).cast("int").alias("part")).agg(F.count("*").alias("n_notes"), F.sum(F.col("duration").cast("bigint")).alias("total"))
+
+
+def score_markup(spark, d):
+    """(file, content, low) from conversations: a turn is a note, its length the duration; ``low`` is the first part's number."""
     c = table(spark, d, "conversations").dropna(subset=["conv_id", "turn", "text"])
     note = F.concat(F.lit("<note><duration>"), (F.length("text") % 7 + 1).cast("string"), F.lit("</duration></note>"))
     part = c.groupBy("conv_id", (F.col("turn") % 2).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(note)), "").alias("notes"))
     body = F.concat(F.lit("<part id='P"), F.col("part").cast("string"), F.lit("'><measure number='1'>"), F.col("notes"), F.lit("</measure></part>"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part", body.alias("body")))), lambda x: x["body"])
     files = part.groupBy("conv_id").agg(F.concat(F.lit("<score>"), F.array_join(listed, ""), F.lit("</score>")).alias("content"), F.min("part").alias("low"))
-    files = files.select(F.col("conv_id").cast("string").alias("file"), "content", "low")
-    parsed = nt.score_elements(files).join(files.select("file", "low"), "file").filter("tag = 'note'")
-    return parsed.groupBy("file", (F.col("part_idx") + F.col("low")).cast("int").alias("part")).agg(F.count("*").alias("n_notes"), F.sum(F.col("duration").cast("bigint")).alias("total"))
+    return files.select(F.col("conv_id").cast("string").alias("file"), "content", "low")
+
+
+@query("s14_score_source", SQL["s14_score_elements"])
+def s14b(spark, d):
+    """The same markup, written to a file for each score and read by the source ``scores``."""
+    files, path = score_markup(spark, d), scratch(spark, "scores")
+    files.select("file", F.col("content").alias("value")).write.partitionBy("file").text(path)
+    scores.register(spark)
+    found = spark.read.format("scores").option("extensions", ".txt").load(path).withColumn("file", F.regexp_extract("file", "^file=([^/]*)/", 1))
+    return note_totals(found, files)
 
 
 @query("v01_batched_map", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 500")
@@ -149,6 +166,14 @@ def v02(spark, d):
     return table(spark, d, "documents").select("doc_id", "text").mapInPandas(lines, "doc_id bigint, line_no int, line string")
 
 
+@query("v02_lateral", SQL["v02_one_to_many"])
+def v02b(spark, d):
+    """One to many from SQL text."""
+    one_to_many.register(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT d.doc_id, x.place AS line_no, x.item AS line FROM {docs} d, LATERAL one_to_many(d.text, '\n') x WHERE x.item <> ''", docs=docs)
+
+
 @query("v03_missing_predictions", "SELECT doc_id, upper(source) AS prediction FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def v03(spark, d):
     def generate(batches):
@@ -168,3 +193,16 @@ def x01(spark, d):
     parts.run_quarantine(stream, ["event_id"], "ts", "400 days", F.when(F.col("event_type") == "error", F.lit("error")), good, bad, scratch(spark, "stream"))
     count = lambda path, kind: spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(good, "good").unionByName(count(bad, "quarantine"))
+
+
+@query("x01_whole_origins", "SELECT user_id AS origin, count(*) AS n_parts, CAST(sum(event_id % 100) AS BIGINT) AS total_tokens FROM events GROUP BY 1")
+def x01b(spark, d):
+    """Events of users as parts of origins, in two runs of one stream: the second goes on where the first has stopped."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("origin"), F.col("event_id").alias("part_id"), (F.col("event_id") % 100).alias("n_tokens"))
+    given = events.join(events.groupBy("origin").agg(F.count("*").alias("n_parts")), "origin")
+    landing, out, state = scratch(spark, "landing"), scratch(spark, "origins"), scratch(spark, "stream")
+    early = F.col("part_id") % 3 > 0
+    for some in (given.filter(early), given.filter(~early).unionByName(given.filter("part_id % 5 = 1"))):
+        some.coalesce(4).write.mode("append").parquet(landing)
+        parts.run_whole_origins(parts.part_stream(spark, landing, given.schema), out, state)
+    return spark.read.parquet(out)

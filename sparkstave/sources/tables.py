@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,10 +20,19 @@ def write_csv(df: DataFrame, path: str, *by: str) -> None:
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def list_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
-    """(name, length) of the files with an extension; no content is read."""
+    """(name, path below the folder, length) of the files with an extension, in order of their paths; no content is read. A folder that isn't there has none."""
+    if not is_there(spark, folder):
+        return spark.createDataFrame([], "name string, path string, length bigint")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    below = F.regexp_replace("path", f"^.*?{re.escape(folder.rstrip('/').split('://')[-1])}/", "")
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), below.alias("path"), "length").orderBy("path")
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -38,10 +49,13 @@ def write_quarantine(rows: DataFrame, reason: str, good: str, bad: str) -> None:
     rows.filter(F.col(reason).isNotNull()).write.mode("overwrite").parquet(bad)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType, first: int | None = None, order: str | None = None) -> DataFrame:
-    """JSON lines with a fixed schema; blank lines don't count."""
+def read_json_lines(spark: SparkSession, path: str, schema: StructType, first: int | None = None) -> DataFrame:
+    """JSON lines with a fixed schema; blank lines don't count. With ``first``, so many lines in order of file names and of lines in a file."""
     rows = spark.read.schema(schema).json(path)
-    return rows if first is None else rows.orderBy(order or rows.columns[0]).limit(first)
+    if first is None:
+        return rows
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    return rows.select("*", *place).orderBy("_file", "_block", "_line").limit(first).select(*rows.columns)
 
 
 def write_json_lines(df: DataFrame, path: str, columns: list[str]) -> None:

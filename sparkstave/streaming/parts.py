@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructType
 
 
 def part_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 10) -> DataFrame:
@@ -26,3 +30,44 @@ def run_quarantine(stream: DataFrame, keys: list[str], time: str, delay: str, re
 
     query = seen.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+class WholeOrigins(StatefulProcessor):
+    """State of one origin: how many of its parts have come, and their tokens. It is dropped once all announced parts are there."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sofar = handle.getValueState("sofar", StructType().add("n", LongType()).add("tokens", LongType()))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, tokens = self.sofar.get() or (0, 0)
+        announced = 0
+        for batch in rows:
+            announced = max(announced, int(batch["n_parts"].max()))
+            n, tokens = n + len(batch), tokens + int(batch["n_tokens"].sum())
+        if n < announced:
+            self.sofar.update((n, tokens))
+        else:
+            self.sofar.clear()
+            yield pd.DataFrame({"origin": [key[0]], "n_parts": [n], "total_tokens": [tokens]})
+
+    def close(self) -> None:
+        pass
+
+
+def run_whole_origins(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Totals of each origin (origin, part_id, n_tokens, n_parts: how many parts it has), written once all its parts have come.
+
+    Processes all that is there and stops; another run with the same checkpoint goes on with the state so far. A part that comes again changes nothing: parts are
+    told apart before they are counted. The file sink writes each batch once.
+    """
+    spark = stream.sparkSession
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        kind = stream.schema["origin"].dataType.simpleString()
+        done = stream.dropDuplicates(["origin", "part_id"]).groupBy("origin").transformWithStateInPandas(WholeOrigins(), f"origin {kind}, n_parts bigint, total_tokens bigint", "Append", "None")
+        query = done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
