@@ -374,7 +374,9 @@ class Classes:
         found = components(self.links(), self.made).select(F.col("id").alias("rep"), "component")
         digests = self.all.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
         classes = digests.join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-        out = self.all.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left")
+        # On a complement, as in ``with_sums``: a set that very many documents share can be split.
+        other = F.bitwise_not("d1")
+        out = self.all.select("doc_id", "n", other.alias("_key"), "d2").join(classes.withColumn("_key", other).drop("d1"), ["n", "_key", "d2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
