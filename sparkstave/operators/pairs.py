@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -41,60 +42,91 @@ def named(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select("file", F.explode(F.array(*entries)).alias("x")).select("file", "x.name", "x.value")
 
 
-def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float = 0.0) -> DataFrame:
+COMPOSED = (
+    "pitch_class_f1", "rhythm_f1", "pitch_class_onset_duration_f1", "pitch_class_timeline_dtw_similarity", "rhythm_timeline_dtw_similarity", "pitch_onset_duration_staff_f1",
+    "measure_accuracy", "key_event_f1", "time_event_f1", "xml_normalized_structure_edit_distance",
+)
+
+
+def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float = 0.0, metrics: tuple[str, ...] | None = None) -> DataFrame:
     """One row of all metrics for each file of ``elements`` (rows of ``score_elements`` with ``side``: pred or gt).
 
     Each family of metrics is a grouped query over all files. What it finds is listed as (file, name, value), and one pivot
-    brings a file's metrics together. A file that one side lacks is scored against nothing.
+    brings a file's metrics together. A file that one side lacks is scored against nothing. With ``metrics`` only families that hold one of these names are computed, and
+    the others' columns are left out; composites need COMPOSED.
     """
     elements = stored(elements.filter("error is null"), "elements")
     raw = stored(nt.timed_notes(elements), "notes")
     notes = stored(nt.merged_notes(raw), "notes")
     measures = elements.filter("tag = 'measure'").select("file", "side", nt.own_measure(elements).alias("measure_idx")).distinct()
-    tolerances = (onset_tol, duration_tol)
-    found = [*per_side(notes, "notes"), *per_side(measures, "measures"), *per_side(raw, "notes_before_tie_merge"), *per_side(notes, "notes_after_tie_merge")]
+    tolerances, exact = (onset_tol, duration_tol), not (onset_tol or duration_tol)
+    found: list[DataFrame] = []
+    made: set[str] = set()
+
+    def family(names: list[str], make: Callable[[], list[DataFrame] | DataFrame]) -> None:
+        if metrics is None or set(metrics) & set(names):
+            made.update(names)
+            rows = make()
+            found.extend(rows if isinstance(rows, list) else [rows])
+
+    for rows, name in ((notes, "notes"), (measures, "measures"), (raw, "notes_before_tie_merge"), (notes, "notes_after_tie_merge")):
+        family([f"{s}_{name}" for s in ("pred", "gt")], lambda rows=rows, name=name: per_side(rows, name))
     numbers = ("precision", "recall", "f1", "tp", "fn")
-    if any(tolerances):
-        found += [named(match.tolerant_scores(notes, mode, *tolerances), {f"{mode}_{c}": c for c in numbers}) for mode in match.MATCH_KEYS]
-    else:  # equality: all modes in one go
-        voiced = notes.withColumn("voice", scalars.voice(F.col("voice")))
-        scores = match.bag_scores(voiced, {mode: match.mode_keys(mode) for mode in match.MATCH_KEYS}, "file")
-        entries = F.array(*[F.struct(F.concat("name", F.lit(f"_{c}")).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers])
-        found.append(scores.select("file", F.explode(entries).alias("x")).select("file", "x.*"))
+    modes_of = {mode: [f"{mode}_{c}" for c in numbers] for mode in match.MATCH_KEYS}
+    if exact:  # equality: all modes in one go
+
+        def bags() -> DataFrame:
+            voiced = notes.withColumn("voice", scalars.voice(F.col("voice")))
+            wanted = [mode for mode, names in modes_of.items() if metrics is None or set(metrics) & set(names)]
+            scores = match.bag_scores(voiced, {mode: match.mode_keys(mode) for mode in wanted}, "file")
+            entries = F.array(*[F.struct(F.concat("name", F.lit(f"_{c}")).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers])
+            return scores.select("file", F.explode(entries).alias("x")).select("file", "x.*")
+
+        family([x for names in modes_of.values() for x in names], bags)
+    else:
+        for mode, names in modes_of.items():
+            family(names, lambda mode=mode: named(match.tolerant_scores(notes, mode, *tolerances), {f"{mode}_{c}": c for c in numbers}))
     accuracy = {"measure_accuracy": "measure_accuracy", "ser": "ser", "correct_measures": "correct", "total_measures": "measures"}
-    found.append(named(match.measure_accuracy(notes, measures), accuracy))
+    family(list(accuracy), lambda: named(match.measure_accuracy(notes, measures), accuracy))
     keys = {"note": ("pitch", "onset_beat", "duration_beat"), "rhythm": ("onset_beat", "duration_beat"), "pitch_class": ("pitch_class", "onset_beat", "duration_beat")}
-    strict = match.measure_f1s(notes, keys, measures)
-    found.append(strict.select("file", F.concat(F.lit("avg_measure_"), "name", F.lit("_f1")).alias("name"), F.col("avg").alias("value")))
+    mean_of = lambda rows, head: rows.select("file", F.concat(F.lit(head), "name", F.lit("_f1")).alias("name"), F.col("avg").alias("value"))
+    family([f"avg_measure_{k}_f1" for k in keys], lambda: mean_of(match.measure_f1s(notes, keys, measures), "avg_measure_"))
     modes = {"note": "pitch_onset_duration", "pitch_class": "pitch_class_onset_duration"}
-    if any(tolerances):
-        for name, mode in modes.items():
-            found.append(named(match.soft_measure_f1(notes, mode, *tolerances, measures=measures), {f"avg_measure_soft_{name}_f1": "avg_soft_f1"}))
+    if exact:
+        family([f"avg_measure_soft_{k}_f1" for k in modes], lambda: mean_of(match.strict_measure_f1s(notes, modes, measures), "avg_measure_soft_"))
     else:
-        soft = match.strict_measure_f1s(notes, modes, measures)
-        found.append(soft.select("file", F.concat(F.lit("avg_measure_soft_"), "name", F.lit("_f1")).alias("name"), F.col("avg").alias("value")))
-    events = match.event_f1(nt.attribute_events(elements))
-    found.append(events.select("file", F.concat("kind", F.lit("_event_f1")).alias("name"), F.col("f1").alias("value")))
-    found.append(named(structure_distance(nt.structure_tokens(elements)), {"xml_structure_edit_distance": "distance", "xml_normalized_structure_edit_distance": "normalized"}))
-    found.append(named(match.divergence(match.pitch_class_histogram(notes)), {"pitch_class_histogram_jsd": "jsd"}))
-    found.append(named(match.divergence(match.duration_histogram(notes, 6)), {"duration_histogram_jsd": "jsd"}))
+        for name, mode in modes.items():
+            soft = f"avg_measure_soft_{name}_f1"
+            family([soft], lambda mode=mode, soft=soft: named(match.soft_measure_f1(notes, mode, *tolerances, measures=measures), {soft: "avg_soft_f1"}))
+    family(
+        [f"{k}_event_f1" for k in ("key", "time", "clef")],
+        lambda: match.event_f1(nt.attribute_events(elements)).select("file", F.concat("kind", F.lit("_event_f1")).alias("name"), F.col("f1").alias("value")),
+    )
+    edits = {"xml_structure_edit_distance": "distance", "xml_normalized_structure_edit_distance": "normalized"}
+    family(list(edits), lambda: named(structure_distance(nt.structure_tokens(elements)), edits))
+    family(["pitch_class_histogram_jsd"], lambda: named(match.divergence(match.pitch_class_histogram(notes)), {"pitch_class_histogram_jsd": "jsd"}))
+    family(["duration_histogram_jsd"], lambda: named(match.divergence(match.duration_histogram(notes, 6)), {"duration_histogram_jsd": "jsd"}))
     for kind in ("pitch_class", "rhythm"):
-        found.append(named(match.framewise_f1(notes, kind), {f"{kind}_timeline_f1": "f1"}))
-        found.append(named(similarity.timeline_dtw(match.timeline(notes, kind)), {f"{kind}_timeline_dtw_similarity": "similarity"}))
+        family([f"{kind}_timeline_f1"], lambda kind=kind: named(match.framewise_f1(notes, kind), {f"{kind}_timeline_f1": "f1"}))
+        warped = f"{kind}_timeline_dtw_similarity"
+        family([warped], lambda kind=kind, warped=warped: named(similarity.timeline_dtw(match.timeline(notes, kind)), {warped: "similarity"}))
     names = [
         *(f"{s}_{c}" for c in ("notes", "measures", "notes_before_tie_merge", "notes_after_tie_merge") for s in ("pred", "gt")), *(f"{m}_{c}" for m in match.MATCH_KEYS for c in ("precision", "recall", "f1", "tp", "fn")),
         *accuracy, *(f"avg_measure_{n}_f1" for n in keys), "avg_measure_soft_note_f1", "avg_measure_soft_pitch_class_f1", *(f"{k}_event_f1" for k in ("key", "time", "clef")),
         "xml_structure_edit_distance", "xml_normalized_structure_edit_distance", "pitch_class_histogram_jsd", "duration_histogram_jsd",
         *(f"{k}_timeline_{c}" for k in ("pitch_class", "rhythm") for c in ("f1", "dtw_similarity")),
     ]
+    names = [x for x in names if x in made]
     wide = reduce(DataFrame.unionByName, found).groupBy("file").pivot("name", names).agg(F.first("value"))
     every = elements.select("file").distinct().join(wide, "file", "left")
     every = every.select("file", *[F.coalesce(F.col(c), F.lit(WITHOUT.get(c, 0.0))).alias(c) for c in names])
-    every = every.withColumn("wrong_measures", F.col("total_measures") - F.col("correct_measures"))
+    if "total_measures" in made:
+        every = every.withColumn("wrong_measures", F.col("total_measures") - F.col("correct_measures"))
     for side in ("pred", "gt"):
-        every = every.withColumn(f"{side}_tie_merged_notes", F.greatest(F.lit(0.0), F.col(f"{side}_notes_before_tie_merge") - F.col(f"{side}_notes_after_tie_merge")))
+        if {f"{side}_notes_before_tie_merge", f"{side}_notes_after_tie_merge"} <= made:
+            every = every.withColumn(f"{side}_tie_merged_notes", F.greatest(F.lit(0.0), F.col(f"{side}_notes_before_tie_merge") - F.col(f"{side}_notes_after_tie_merge")))
     every = every.withColumn("onset_tolerance_beats", F.lit(float(onset_tol))).withColumn("duration_tolerance_beats", F.lit(float(duration_tol)))
-    return report.composites(every)
+    return report.composites(every) if set(COMPOSED) <= made else every
 
 
 def summary(scores: DataFrame, group: str = "group") -> DataFrame:

@@ -15,40 +15,45 @@ BAND = 0.1
 PAIR_CELLS = 1 << 18
 
 
-def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> np.ndarray:
-    """For pairs of equal lengths (rows of ``x`` and ``y``, a frame's slots as bits): 1 minus the mean cost (1 - cosine) of the cheapest path.
+def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND, n: np.ndarray | None = None, m: np.ndarray | None = None) -> np.ndarray:
+    """For pairs of timelines (rows of ``x`` and ``y``, a frame's slots as bits): 1 minus the mean cost (1 - cosine) of the cheapest path.
 
-    Equal costs prefer the step from above, then from the left, then the diagonal. Cells of one anti-diagonal depend only on
-    the two before it, so three of them are held, for all pairs at once.
+    Rows may be longer than their timelines: ``n`` and ``m`` are the frames of each, all of them unless given. Equal costs prefer the step from above, then from the left, then the
+    diagonal. Cells of one anti-diagonal depend only on the two before it, so three of them are held, for all pairs at once.
     """
-    pairs, n = x.shape
-    m = y.shape[1]
-    if not n or not m:
-        return np.full(pairs, 1.0 if n == m else 0.0)
-    band = max(abs(n - m), math.ceil(max(n, m) * band_share))
+    pairs = len(x)
+    n, m = (np.full(pairs, a.shape[1]) if k is None else k for a, k in ((x, n), (y, m)))
+    band = np.maximum(np.abs(n - m), np.ceil(np.maximum(n, m) * band_share).astype(np.int64))
     nx, ny = (np.sqrt(np.bitwise_count(a).astype(np.float64)) for a in (x, y))
-    costs = [np.full((pairs, n + 2), math.inf) for _ in range(3)]
-    steps = [np.zeros((pairs, n + 2), np.int64) for _ in range(3)]
+    costs = [np.full((pairs, x.shape[1] + 2), math.inf) for _ in range(3)]
+    steps = [np.zeros((pairs, x.shape[1] + 2), np.int64) for _ in range(3)]
     costs[0][:, 0] = 0.0
-    for d in range(1, n + m + 1):
+    end, path = np.full(pairs, math.inf), np.zeros(pairs, np.int64)
+    for d in range(1, int((n + m).max(initial=0)) + 1):
         (older, olds), (last, lasts), (now, nows) = ((costs[k % 3], steps[k % 3]) for k in (d - 2, d - 1, d))
-        low, high = max(1, d - m, -((band - d) // 2)), min(n, d - 1, (d + band) // 2)
-        now[:, max(low - 1, 0) : high + 2] = math.inf
-        if low > high:
+        lows, highs = np.maximum(np.maximum(1, d - m), -((band - d) // 2)), np.minimum(np.minimum(n, d - 1), (d + band) // 2)
+        now[:] = math.inf
+        some = lows <= highs
+        if not some.any():
             continue
+        low, high = int(lows[some].min()), int(highs[some].max())
         best, count = last[:, low - 1 : high], lasts[:, low - 1 : high]
         for other, others in ((last[:, low : high + 1], lasts[:, low : high + 1]), (older[:, low - 1 : high], olds[:, low - 1 : high])):
             less = other < best
             best, count = np.where(less, other, best), np.where(less, others, count)
-        a, b = slice(low - 1, high), slice(d - high - 1, d - low)
-        norms = nx[:, a] * ny[:, b][:, ::-1]
-        dots = np.bitwise_count(x[:, a] & y[:, b][:, ::-1])
-        silent = (nx[:, a] == 0) & (ny[:, b][:, ::-1] == 0)
+        # Frame d - i of the other side; what lies outside of it belongs to no pair's band.
+        a, b = slice(low - 1, high), np.clip(d - np.arange(low, high + 1) - 1, 0, y.shape[1] - 1)
+        norms, dots = nx[:, a] * ny[:, b], np.bitwise_count(x[:, a] & y[:, b])
+        silent = (nx[:, a] == 0) & (ny[:, b] == 0)
         near = np.where(norms > 0, dots / np.where(norms > 0, norms, 1.0), silent)
-        now[:, low : high + 1], nows[:, low : high + 1] = best + (1.0 - near), count + 1
-    end, path = costs[(n + m) % 3][:, n], steps[(n + m) % 3][:, n]
+        place = np.arange(low, high + 1)
+        inside = (place >= lows[:, None]) & (place <= highs[:, None])
+        now[:, low : high + 1], nows[:, low : high + 1] = np.where(inside, best + (1.0 - near), math.inf), count + 1
+        ends = np.flatnonzero(n + m == d)
+        end[ends], path[ends] = now[ends, n[ends]], nows[ends, n[ends]]
     found = np.isfinite(end) & (path > 0)
-    return np.where(found, np.maximum(0.0, 1.0 - np.where(found, end, 0.0) / np.maximum(path, 1)), 0.0)
+    out = np.where(found, np.maximum(0.0, 1.0 - np.where(found, end, 0.0) / np.maximum(path, 1)), 0.0)
+    return np.where((n > 0) & (m > 0), out, np.where(n == m, 1.0, 0.0))
 
 
 def dtw_similarity(x: np.ndarray, y: np.ndarray, band_share: float = BAND) -> float:
@@ -77,23 +82,25 @@ def dense(frames, masks) -> np.ndarray:
 
 
 def timeline_dtw(cells: DataFrame, band_share: float = BAND) -> DataFrame:
-    """DTW similarity of each file's two timelines; files are spread over tasks, pairs of equal lengths go together."""
+    """DTW similarity of each file's two timelines; files are spread over tasks, pairs of about one length go together."""
     side = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}")
     pairs = timeline_masks(cells).groupBy("file").agg(*[side(s, c) for s in ("pred", "gt") for c in ("frames", "masks")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lines = {s: [dense(f, m) for f, m in zip(batch[f"{s}_frames"], batch[f"{s}_masks"], strict=True)] for s in ("pred", "gt")}
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for i, (p, g) in enumerate(zip(lines["pred"], lines["gt"], strict=True)):
-                shapes.setdefault((len(p), len(g)), []).append(i)
-            out = np.zeros(len(batch))
-            for (n, m), rows in shapes.items():
-                step = max(1, PAIR_CELLS // (n + m + 1))
-                for begin in range(0, len(rows), step):
-                    some = rows[begin : begin + step]
-                    x, y = (np.stack([lines[s][i] for i in some]) for s in ("pred", "gt"))
-                    out[some] = dtw_similarities(x, y, band_share)
+            n, m = (np.array([len(t) for t in lines[s]], np.int64) for s in ("pred", "gt"))
+            order, out, begin = np.lexsort((n, n + m)), np.zeros(len(batch)), 0
+            while begin < len(order):  # pairs of about one length go together, filled up to the longest
+                size, end = 0, begin
+                while end < len(order) and (end == begin or (end - begin + 1) * max(size, n[order[end]] + m[order[end]]) <= PAIR_CELLS):
+                    size = max(size, n[order[end]] + m[order[end]])
+                    end += 1
+                some, begin = order[begin:end], end
+                x, y = (np.zeros((len(some), max(1, k[some].max())), np.int64) for k in (n, m))
+                for row, i in enumerate(some):
+                    x[row, : n[i]], y[row, : m[i]] = lines["pred"][i], lines["gt"][i]
+                out[some] = dtw_similarities(x, y, band_share, n[some], m[some])
             yield pd.DataFrame({"file": batch["file"], "similarity": out})
 
     return pairs.mapInPandas(run, "file string, similarity double")

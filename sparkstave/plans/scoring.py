@@ -278,8 +278,8 @@ def f33(spark, d):
     return similarity.timeline_dtw(match.timeline(fx.notes(spark, d), "pitch_class")).withColumn("similarity", F.round("similarity", 9))
 
 
-def _scores(spark, d):
-    return pairs.pair_scores(fx.parsed_scores(spark, d))
+def _scores(spark, d, metrics=None):
+    return pairs.pair_scores(fx.parsed_scores(spark, d), metrics=metrics)
 
 
 PAIRS = f"WITH {fx.SCORES_SQL}"
@@ -395,7 +395,7 @@ def e2(spark, d):
 
 @query("f34_composites", f"{EVERY} SELECT file, round(music_content_score, 9) AS music_content_score, round(notation_score, 9) AS notation_score FROM every_file")
 def f34(spark, d):
-    return _scores(spark, d).select("file", *[F.round(c, 9).alias(c) for c in ("music_content_score", "notation_score")])
+    return _scores(spark, d, pairs.COMPOSED).select("file", *[F.round(c, 9).alias(c) for c in ("music_content_score", "notation_score")])
 
 
 @query("a17_19_summary", f"""{EVERY}, q AS (SELECT *, CASE CAST(file AS INTEGER) % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'light' ELSE 'heavy' END AS "group" FROM every_file)

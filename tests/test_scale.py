@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkstave.operators import match, notes, split
+from sparkstave.operators import match, notes, similarity, split
 
 NOTE = "file string, side string, note_id bigint, part_idx int, measure_idx int, onset_beat double, duration_beat double, pitch int, pitch_class int, staff int, voice string"
 
@@ -75,3 +75,25 @@ def test_ranks_of_a_common_size(spark, monkeypatch):
     for size in range(3):
         mine = got.filter(F.col("total_tokens") == size).orderBy("origin").collect()
         assert [r["rank"] for r in mine] == list(range(len(mine)))
+
+
+def test_timelines_of_many_lengths_warp_together():
+    r = np.random.default_rng(4)
+    lines = [[r.integers(0, 8, r.integers(0, 25)) for _ in range(2)] for _ in range(60)]
+    n, m = (np.array([len(pair[k]) for pair in lines]) for k in range(2))
+    x, y = (np.zeros((60, 25), np.int64) for _ in range(2))
+    for i, (a, b) in enumerate(lines):
+        x[i, : len(a)], y[i, : len(b)] = a, b
+    alone = [similarity.dtw_similarities(a[None].reshape(1, -1), b[None].reshape(1, -1))[0] for a, b in lines]
+    assert np.allclose(similarity.dtw_similarities(x, y, n=n, m=m), alone)
+
+
+def test_wanted_metrics_only(spark, small_dir):
+    from sparkstave.operators import pairs
+    from sparkstave.plans import fixtures
+
+    elements = fixtures.parsed_scores(spark, small_dir)
+    some = pairs.pair_scores(elements, metrics=("rhythm_f1", "ser"))
+    assert {"rhythm_f1", "ser", "measure_accuracy"} < set(some.columns) and not {c for c in some.columns if "timeline" in c or "edit" in c}
+    every = {x["file"]: (x["rhythm_f1"], x["ser"]) for x in pairs.pair_scores(elements).collect()}
+    assert {x["file"]: (x["rhythm_f1"], x["ser"]) for x in some.collect()} == every
