@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
@@ -118,14 +117,28 @@ def _backward(costs: tuple[float, ...], step: Step) -> tuple[float, ...]:
     return tuple(c - least for c in found)
 
 
-@lru_cache(1 << 16)
+#: What steps of rows lead to, by (state of the search, kind of row): few differ. Plain tables, as functions travel to executors by value.
+AHEAD: dict[tuple[Vector, int], Vector] = {}
+BEHIND: dict[tuple[tuple[float, ...], int], tuple[float, ...]] = {}
+MOST_KNOWN = 1 << 16
+
+
 def _row_forward(vector: Vector, kind: int) -> Vector:
-    return _forward(vector, STEPS[kind])
+    found = AHEAD.get((vector, kind))
+    if found is None:
+        if len(AHEAD) >= MOST_KNOWN:
+            AHEAD.clear()
+        found = AHEAD[vector, kind] = _forward(vector, STEPS[kind])
+    return found
 
 
-@lru_cache(1 << 16)
 def _row_backward(costs: tuple[float, ...], kind: int) -> tuple[float, ...]:
-    return _backward(costs, STEPS[kind])
+    found = BEHIND.get((costs, kind))
+    if found is None:
+        if len(BEHIND) >= MOST_KNOWN:
+            BEHIND.clear()
+        found = BEHIND[costs, kind] = _backward(costs, STEPS[kind])
+    return found
 
 
 def crossings(steps: Sequence, first: int, end: tuple[float, ...], forward: Callable = _row_forward, backward: Callable = _row_backward) -> list[int]:

@@ -149,3 +149,16 @@ def test_equals_sql(spark, small_dir, tmp_path):
     same(queries.op11_hirschberg_repair(spark, str(tmp_path)), con, sql)
     con.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{small_dir}/conversations.parquet'")
     same(queries.op11_hirschberg_repair(spark, small_dir), con, sql)
+
+
+def test_functions_travel_by_value(small_dir, tmp_path):
+    """Executors have no copy of the package: the query runs where only the driver can import it."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"import sys; sys.path.insert(0, {root!r})\nimport __spark_entry__ as e\nfrom sparkstave.session import default_session\nprint('rows', e.queries()['op11_hirschberg_repair'](default_session('t', '2', 2), {small_dir!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 20" in done.stdout, done.stderr[-2000:]
