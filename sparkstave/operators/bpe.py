@@ -9,6 +9,7 @@ from heapq import heapify, heappop, heappush, nlargest
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -20,8 +21,8 @@ SPECIALS = ("<pad>", "<s>", "</s>")
 PAD, BOS, EOS = 0, 1, 2
 FIRST_CHARACTER = 33
 #: Segments that merges are guessed from and the tokens that one of them may have (so the driver gets 64 MB of ids at most), tokens that a task takes at
-#: a time, segments whose ids a task remembers.
-COMMON, SHORT, CHUNK, REMEMBERED = 250_000, 64, 1_000_000, 200_000
+#: a time, characters that a task encodes at a time.
+COMMON, SHORT, CHUNK, PIECE = 250_000, 64, 1_000_000, 150_000
 #: Merges tried in one round.
 MOST_TRIED = 512
 
@@ -340,25 +341,168 @@ def merge(ids: list[int], left: int, right: int, new: int) -> list[int]:
     return out
 
 
-def merged(ids: list[int], ranks: dict[tuple[int, int], int], dropped: Callable[[], bool] | None = None) -> list[int]:
-    """Merges in the order they were learned, which is that of their ids; each is drawn once for dropout."""
-    out: set[int] = set()
-    while len(ids) > 1:
-        new, left, right = min(((ranks[p], *p) for p in zip(ids, ids[1:], strict=False) if p in ranks and ranks[p] not in out), default=(None, 0, 0))
-        if new is None:
-            break
-        if dropped and dropped():
-            out.add(new)
-        else:
-            ids = merge(ids, left, right, new)
-    return ids
+class Draws:
+    """The draws of ``np.random.default_rng(key).random()`` for many keys at once: numpy's SeedSequence and PCG64, whose streams are fixed.
+
+    A key is the 32-bit words of one row; a generator for each segment of a corpus would take longer than its merges.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        order = np.argsort(-sizes, kind="stable")
+        sizes, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        ahead, const = -sizes, 0x43B0D7E5
+
+        def hashed(x: np.ndarray, step: int) -> np.ndarray:
+            nonlocal const
+            x = x ^ np.uint32(const)
+            const = const * step & 0xFFFFFFFF
+            x *= np.uint32(const)
+            return x ^ x >> 16
+
+        def mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            x = x * np.uint32(0xCA01F9DD) - y * np.uint32(0x4973F715)
+            return x ^ x >> 16
+
+        def word(at: int) -> np.ndarray:
+            return words[starts[: np.searchsorted(ahead, -at)] + at]
+
+        pool = np.zeros((4, len(sizes)), np.uint32)
+        for i in range(4):
+            given = word(i)
+            pool[i, : len(given)] = given
+            pool[i] = hashed(pool[i], 0x931E8875)
+        for i in range(4):
+            for j in range(4):
+                if i != j:
+                    pool[j] = mixed(pool[j], hashed(pool[i], 0x931E8875))
+        for i in range(4, int(sizes[0]) if len(sizes) else 0):
+            given = word(i)
+            for j in range(4):
+                pool[j, : len(given)] = mixed(pool[j, : len(given)], hashed(given, 0x931E8875))
+        const, out = 0x8B51F9DD, []
+        for i in range(8):
+            out.append(hashed(pool[i % 4], 0x58F38DED).astype(np.uint64))
+        seeds = np.empty((4, len(sizes)), np.uint64)
+        seeds[:, order] = [out[i] | out[i + 1] << 32 for i in range(0, 8, 2)]
+        self.step = seeds[2] << 1 | seeds[3] >> 63, seeds[3] << 1 | np.uint64(1)
+        self.state = self._add(*self.step, seeds[0], seeds[1])
+        self.state = self._next(np.arange(len(sizes)))
+
+    @staticmethod
+    def _add(high: np.ndarray, low: np.ndarray, other: np.ndarray, under: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = low + under
+        return high + other + (total < low), total
+
+    def _next(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit states after a step; products of the low halves in parts of 32 bits."""
+        high, low = self.state[0][rows], self.state[1][rows]
+        m_high, m_low = np.uint64(2549297995355413924), np.uint64(4865540595714422341)
+        a, b, c, d = low >> 32, low & 0xFFFFFFFF, m_low >> 32, m_low & 0xFFFFFFFF
+        middle = a * d + (b * d >> 32)
+        across = b * c + (middle & 0xFFFFFFFF)
+        high = a * c + (middle >> 32) + (across >> 32) + high * m_low + low * m_high
+        return self._add(high, low * m_low, self.step[0][rows], self.step[1][rows])
+
+    def random(self, rows: np.ndarray) -> np.ndarray:
+        """The next draw of each of some rows."""
+        high, low = self._next(rows)
+        self.state[0][rows], self.state[1][rows] = high, low
+        x, turn = high ^ low, high >> 58
+        x = x >> turn | x << (64 - turn & 63)
+        return (x >> 11) * 2.0**-53
+
+
+class Merges:
+    """Merges of a vocabulary, applied to many segments at once in the order they were learned, which is that of their ids."""
+
+    def __init__(self, ranks: dict[tuple[int, int], int]):
+        pairs = sorted((left << 32 | right, new) for (left, right), new in ranks.items())
+        self.codes, self.new = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.left, self.right = self.codes >> 32, self.codes & 0xFFFFFFFF
+        self.none = int(self.new.max(initial=0)) + 1
+        # All pairs of ids in one table where it is small (at most 64 MB), else a search among the merges.
+        size = int(max(self.new.max(initial=0), self.left.max(initial=0), self.right.max(initial=0))) + 1
+        self.table = None
+        kind = np.int16 if self.none < 1 << 15 else np.int32
+        if size * size * np.dtype(kind).itemsize <= 1 << 26:
+            self.table = np.full((size, size), self.none, kind)
+            self.table[self.left, self.right] = self.new
+
+    def found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair merges to, ``none`` if nothing."""
+        if self.table is not None and len(left) and max(left.max(), right.max()) < len(self.table):
+            return self.table[left, right]
+        if not len(self.codes):
+            return np.full(len(left), self.none, np.int32)
+        codes = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.new[at], self.none).astype(np.int32)
+
+    def merged(self, ids: np.ndarray, sizes: np.ndarray, dropped: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of segments (one after the other) after all merges; each is drawn once in a segment for dropout.
+
+        A round takes the least merge of every segment. Pairs that it makes have greater ids, so a dropped one is left behind for good. Segments that
+        are done leave the rounds, so a round costs what is still open.
+        """
+        out_sizes, done, done_at = sizes.copy(), [], []
+        rows = np.flatnonzero(sizes > 0)  # segments that are still open
+        ids, n = ids.astype(np.int32), sizes[rows]
+        new = np.full(len(ids), self.none, np.int32)
+        new[:-1] = self.found(ids[:-1], ids[1:])
+        new[np.cumsum(n) - 1] = self.none
+        while len(rows):
+            least = np.minimum.reduceat(new, np.cumsum(n) - n)
+            closed = least == self.none
+            if np.count_nonzero(closed) * 8 > len(closed):
+                held = np.repeat(closed, n)
+                done.append(ids[held])
+                done_at.append(rows[closed])
+                out_sizes[rows[closed]] = n[closed]
+                ids, new, rows, n, least = ids[~held], new[~held], rows[~closed], n[~closed], least[~closed]
+                if not len(rows):
+                    break
+            open_ = least < self.none
+            segment = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            at = np.flatnonzero((new == least[segment]) & (new < self.none))
+            owner = segment[at]
+            if dropped:
+                out = np.zeros(len(n), bool)
+                out[open_] = dropped(rows[open_])
+                out = out[owner]
+                new[at[out]] = self.none
+                at, owner = at[~out], owner[~out]
+            # Of a run of overlapping places every other is taken.
+            i = np.arange(len(at))
+            at_first = np.maximum.accumulate(np.where(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])], i, 0))
+            even = (i - at_first) % 2 == 0
+            at, owner = at[even], owner[even]
+            ids[at] = least[owner]
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, new = ids[kept], new[kept]
+            n = n - np.bincount(owner, minlength=len(n))
+            at = at - np.arange(len(at))  # places after the ones that went
+            end = np.cumsum(n)
+            last = at == end[owner] - 1
+            new[at[last]] = self.none
+            at_in = at[~last]
+            new[at_in] = self.found(ids[at_in], ids[at_in + 1])
+            before = at[at > (end - n)[owner]] - 1
+            new[before] = self.found(ids[before], ids[before + 1])
+        places = np.concatenate(done_at) if done_at else np.empty(0, np.int64)
+        values = np.concatenate(done) if done else np.empty(0, np.int32)
+        got = out_sizes[places]
+        starts = np.cumsum(out_sizes) - out_sizes
+        out = np.empty(int(out_sizes.sum()), np.int32)
+        out[np.repeat(starts[places] - (np.cumsum(got) - got), got) + np.arange(len(values))] = values
+        return out, out_sizes
 
 
 def encoded(text: DataFrame, vocabulary: DataFrame, dropout: float = 0.0, seed: int = 0) -> DataFrame:
     """(doc_id, ids) with BOS and EOS, unknown characters dropped; an empty text has the two alone.
 
-    Texts are encoded where they are, without a shuffle. Without dropout a task keeps the ids of up to ``REMEMBERED``
-    segments. The vocabulary is bounded by its chosen size and travels as a broadcast variable.
+    Texts are encoded where they are, without a shuffle, about ``PIECE`` characters of them at a time and their segments all at once.
+    The vocabulary is bounded by its chosen size and travels as a broadcast variable.
     """
     spark = text.sparkSession
     table = [tuple(r) for r in vocabulary.orderBy("id").collect()]
@@ -369,23 +513,51 @@ def encoded(text: DataFrame, vocabulary: DataFrame, dropout: float = 0.0, seed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, ranks = sent.value
-        known: dict[str, list[int]] = {}
-
-        def part(doc: object, pos: int, segment: str) -> list[int]:
+        merges = Merges(ranks)
+        number = np.full(0x110000, -1, np.int32)
+        number[[ord(c) for c in letters]] = list(letters.values())
+
+        def pieces(docs: list, texts: list[str]) -> pa.Array:
+            """The ids of some texts."""
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            lengths = np.array([len(x) for x in texts], np.int64)
+            starts = np.cumsum(lengths) - lengths
+            opens = points == ord("!")
+            opens[starts[lengths > 0]] = True
+            first = np.flatnonzero(opens)
+            segment = np.cumsum(opens) - 1
+            ids = number[points]
+            known = ids >= 0
+            sizes = np.bincount(segment[known], minlength=len(first))
+            draw = None
             if dropout:
-                rng = np.random.default_rng([seed, *f"{doc}:{pos}:{segment}".encode()])
-                return merged([letters[c] for c in segment if c in letters], ranks, lambda: rng.random() < dropout)
-            if segment not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[segment] = merged([letters[c] for c in segment if c in letters], ranks)
-            return known[segment]
+                keys = [f"{doc}:{pos}:{s}".encode() for doc, x in zip(docs, texts, strict=True) for pos, s in enumerate(cut(x))]
+                bytes_of = np.array([len(k) for k in keys], np.int64)
+                words = np.empty(int(bytes_of.sum()) + len(keys), np.uint32)
+                heads = np.cumsum(bytes_of + 1) - bytes_of - 1
+                body = np.ones(len(words), bool)
+                body[heads] = False
+                words[heads], words[body] = seed, np.frombuffer(b"".join(keys), np.uint8)
+                draws = Draws(words, bytes_of + 1)
+                draw = lambda rows: draws.random(rows) < dropout
+            values, sizes = merges.merged(ids[known], sizes, draw)
+            owner = np.searchsorted(starts + lengths, first, side="right")
+            total = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64) + 2
+            ends = np.cumsum(total)
+            out = np.empty(int(total.sum()), np.int32)
+            inside = np.ones(len(out), bool)
+            inside[ends - total] = inside[ends - 1] = False
+            out[inside], out[ends - total], out[ends - 1] = values, BOS, EOS
+            return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), out)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                few = batch.slice(at, 100)
-                ids = [np.array([BOS, *(i for pos, s in enumerate(cut(x)) for i in part(doc, pos, s)), EOS], np.int32) for doc, x in zip(*(few.column(c).to_pylist() for c in ("doc_id", "text")), strict=True)]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            sizes = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, side="right")))
+                few = batch.slice(at, upto - at)
+                at = upto
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pieces(few.column("doc_id").to_pylist(), few.column("text").to_pylist())], ["doc_id", "ids"])
 
     rows = text.filter("text is not null").select("doc_id", "text")
     return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))]))

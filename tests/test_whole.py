@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkstave.operators import bpe, greedy, match
@@ -134,3 +135,39 @@ def test_dictionary_of_many_symbols_round_trips(spark):
     listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("symbol")).alias("s"))
     back = bpe.decode_symbols(bpe.encode_symbols(listed, vocabulary, "doc_id", "s"), vocabulary, "doc_id")
     assert back.join(listed, "doc_id").filter(F.col("symbols") == F.col("s")).count() == 70
+
+
+def one_segment(ids, ranks, drop):
+    """Merges of one segment one after the other, each drawn once."""
+    out = set()
+    while found := [(ranks[p], *p) for p in zip(ids, ids[1:], strict=False) if p in ranks and ranks[p] not in out]:
+        new, left, right = min(found)
+        if drop():
+            out.add(new)
+        else:
+            ids = bpe.merge(ids, left, right, new)
+    return ids
+
+
+def test_segments_of_many_texts_are_merged_at_once(spark):
+    """Ids and draws are those of one segment after the other, with numpy's own generator for each."""
+    r = random.Random(7)
+    texts = ["", "!", "!!é", *("".join(r.choice("aab!é" if k % 4 == 0 else "aab!") for _ in range(r.randrange(1, 60))) for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    vocabulary = bpe.learned_merges(df.filter("text not like '%é%'"), 30)  # é is unknown
+    rows = vocabulary.collect()
+    letters = {x["token"]: x["id"] for x in rows if x["left"] is None}
+    ranks = {(x["left"], x["right"]): x["id"] for x in rows if x["left"] is not None}
+    for dropout in (0.0, 0.4):
+        got = {x["doc_id"]: x["ids"] for x in bpe.encoded(df, vocabulary, dropout, seed=3).collect()}
+        for doc, text in enumerate(texts):
+            want = [bpe.BOS]
+            for pos, s in enumerate(bpe.cut(text)):
+                rng = np.random.default_rng([3, *f"{doc}:{pos}:{s}".encode()])
+                want += one_segment([letters[c] for c in s if c in letters], ranks, lambda rng=rng: rng.random() < dropout)
+            assert got[doc] == [*want, bpe.EOS]
+    pairs, sizes = bpe.Merges(ranks), np.array([len(texts[-1])])
+    ids = np.array([letters.get(c, letters["a"]) for c in texts[-1]])
+    plain = pairs.merged(ids, sizes)[0].tolist()
+    pairs.table = None  # as for a large vocabulary
+    assert pairs.merged(ids, sizes)[0].tolist() == plain == one_segment(ids.tolist(), ranks, lambda: False)
