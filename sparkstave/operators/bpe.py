@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -19,7 +19,8 @@ from sparkstave.session import drop_stored, stored
 
 SPECIALS = ("<pad>", "<s>", "</s>")
 PAD, BOS, EOS = 0, 1, 2
-FIRST_CHARACTER = 33
+#: Characters of a dictionary: from the first to the last one, without surrogates.
+FIRST_CHARACTER, CHARACTERS = 33, 1_112_031
 #: Segments that merges are guessed from and the tokens that one of them may have (so the driver gets 64 MB of ids at most), tokens that a task takes at
 #: a time, characters that a task encodes at a time.
 COMMON, SHORT, CHUNK, PIECE = 250_000, 64, 1_000_000, 150_000
@@ -28,15 +29,28 @@ MOST_TRIED = 512
 
 
 def dictionary(symbols: DataFrame) -> DataFrame:
-    """(symbol, character): distinct symbols in order, from character 33 on without surrogates; an error beyond the last character.
+    """(symbol, character): distinct symbols in order, from character 33 on without surrogates.
 
-    A dictionary has as many rows as symbols, so ranks are made by ranges of the first two letters.
+    A dictionary has as many rows as symbols, so ranks are made by ranges of the first two letters. Where there are more symbols than
+    characters, the last characters only lead: the symbols that have no character of their own get two, a leading one and another.
     """
-    ranked = global_rank(symbols.select("symbol").distinct(), F.col("symbol"), buckets=F.substring("symbol", 1, 2))
-    code = F.col("rank") + FIRST_CHARACTER
-    code = F.when(code < 0xD800, code).otherwise(code + 0x800)
-    code = F.when(code <= 0x10FFFF, code).otherwise(F.raise_error(F.lit("more symbols than characters")).cast("bigint"))
-    return ranked.select("symbol", F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32").alias("character"))  # behind a byte order mark
+    listed = stored(symbols.select("symbol").distinct(), "symbols")
+    n, leading = listed.count(), 0
+    if n > CHARACTERS:
+        leading = next((k for k in range(1, CHARACTERS // 2) if (1 + k) * (CHARACTERS - k) >= n), None)
+        if leading is None:
+            raise ValueError("more symbols than pairs of characters")
+    single = CHARACTERS - leading
+    ranked = global_rank(listed, F.col("symbol"), buckets=F.substring("symbol", 1, 2))
+
+    def character(k: Column) -> Column:
+        code = k + FIRST_CHARACTER
+        code = F.when(code < 0xD800, code).otherwise(code + 0x800)
+        return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")  # behind a byte order mark
+
+    rank, beyond = F.col("rank"), F.col("rank") - single
+    two = F.concat(character(F.floor(beyond / F.lit(single)) + single), character(beyond % single))
+    return stored(ranked.select("symbol", F.when(rank < single, character(rank)).otherwise(two).alias("character")), "dictionary")
 
 
 def encode_symbols(rows: DataFrame, vocabulary: DataFrame, key: str, column: str) -> DataFrame:
@@ -49,8 +63,10 @@ def encode_symbols(rows: DataFrame, vocabulary: DataFrame, key: str, column: str
 
 
 def decode_symbols(rows: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Characters back to symbols, unknown ones dropped."""
-    cells = rows.select(key, F.posexplode(F.split("encoded", "")).alias("pos", "character")).filter("character <> ''")
+    """Characters back to symbols, unknown ones dropped; a character that leads in the dictionary goes with the one behind it."""
+    leading = vocabulary.filter(F.length("character") > 1).agg(F.min(F.substring("character", 1, 1))).first()[0]
+    units = F.split("encoded", "") if leading is None else F.regexp_extract_all("encoded", F.lit(rf"(?s)[{leading}-\x{{10FFFF}}]?."), F.lit(0))
+    cells = rows.select(key, F.posexplode(units).alias("pos", "character")).filter("character <> ''")
     known = cells.join(vocabulary, "character")
     out = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("x"))
     return out.select(key, F.transform("x", lambda x: x["symbol"]).alias("symbols"))

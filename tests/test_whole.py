@@ -171,3 +171,17 @@ def test_segments_of_many_texts_are_merged_at_once(spark):
     plain = pairs.merged(ids, sizes)[0].tolist()
     pairs.table = None  # as for a large vocabulary
     assert pairs.merged(ids, sizes)[0].tolist() == plain == one_segment(ids.tolist(), ranks, lambda: False)
+
+
+def test_dictionary_of_more_symbols_than_characters_round_trips(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHARACTERS", 100)
+    rows = spark.range(2000).select((F.col("id") % 7).alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol"))
+    vocabulary = bpe.dictionary(rows)
+    seen = {r["symbol"]: r["character"] for r in vocabulary.collect()}
+    assert len(set(seen.values())) == 2000 and all(33 <= ord(c) < 33 + 100 for x in seen.values() for c in x) and {len(x) for x in seen.values()} == {1, 2}
+    leads = {x[0] for x in seen.values() if len(x) == 2}
+    assert not leads & {x[-1] for x in seen.values()}
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("symbol")).alias("s"))
+    encoded = bpe.encode_symbols(listed, vocabulary, "doc_id", "s")
+    assert encoded.agg(F.sum("n_known")).first()[0] == 2000
+    assert bpe.decode_symbols(encoded, vocabulary, "doc_id").join(listed, "doc_id").filter(F.col("symbols") == F.col("s")).count() == 7
