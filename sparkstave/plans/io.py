@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkstave import schemas
 from sparkstave.functions import one_to_many
 from sparkstave.operators import notes as nt
-from sparkstave.session import scratch, table
+from sparkstave.session import scratch, spread, table
 from sparkstave.sources import scores, tables
 from sparkstave.streaming import parts
 
@@ -42,9 +42,9 @@ def s02(spark, d):
 
 @query("s03_whole_texts", r"SELECT doc_id, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS content FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
 def s03(spark, d):
-    docs, path = table(spark, d, "documents").dropna(subset=["doc_id", "text"]), scratch(spark, "texts")
-    docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
-    return tables.read_whole_texts(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "content")
+    docs, path = spread(table(spark, d, "documents")).dropna(subset=["doc_id", "text"]), scratch(spark, "texts")
+    tables.write_files(docs.select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("value")), path)
+    return tables.read_whole_texts(spark, path, deep=True).select(F.regexp_extract("name", r"^-?\d+", 0).cast("bigint").alias("doc_id"), "content")
 
 
 @query("s04_json_lines", "SELECT event_id, user_id, event_type, value FROM events")
@@ -140,9 +140,9 @@ def score_markup(spark, d):
 def s14b(spark, d):
     """The same markup, written to a file for each score and read by the source ``scores``."""
     files, path = score_markup(spark, d), scratch(spark, "scores")
-    files.select("file", F.col("content").alias("value")).write.partitionBy("file").text(path)
+    tables.write_files(files.select(F.col("file").alias("name"), F.col("content").alias("value")), path)
     scores.register(spark)
-    found = spark.read.format("scores").option("extensions", ".txt").load(path).withColumn("file", F.regexp_extract("file", "^file=([^/]*)/", 1))
+    found = spark.read.format("scores").option("extensions", ".txt").load(path).withColumn("file", F.regexp_extract("file", r"([^/]*)-\d+\.txt$", 1))
     return note_totals(found, files)
 
 

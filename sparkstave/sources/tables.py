@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkstave.sources.scores import file_system
+
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A CSV catalog with a header and a fixed schema (no inference pass)."""
@@ -35,14 +40,39 @@ def list_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), below.alias("path"), "length").orderBy("path")
 
 
-def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content) and the columns of partition folders: one row per file, white space at both ends stripped, line ends inside kept."""
-    texts = spark.read.text(path, wholetext=True)
+def read_whole_texts(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """(name, content) and the columns of partition folders: one row per file, white space at both ends stripped, line ends inside kept.
+
+    With ``deep`` folders of any name are read to their ends, and give no columns.
+    """
+    texts = spark.read.text(path, wholetext=True, recursiveFileLookup=deep)
     content = F.regexp_replace("value", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
     return texts.select(name.alias("name"), content.alias("content"), *[c for c in texts.columns if c != "value"])
 
 
+def write_files(rows: DataFrame, path: str) -> None:
+    """One file for each row of (name, value), named ``<name>-<number>.txt`` in a folder for each task; equal names stay apart.
+
+    Tasks write them straight to the folder: a sink with a folder for each name makes the driver commit and list as many folders, and
+    Hadoop starts a process for the permissions of every file on a local disk. A task that is run again writes the same names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        folder, n = f"{root.rstrip('/')}/{TaskContext.get().partitionId():05d}", 0
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, value in zip(batch.column("name"), batch.column("value"), strict=True):
+                with system.open_output_stream(f"{folder}/{name.as_py()}-{n}.txt") as out:
+                    out.write(value.as_buffer())
+                    out.write(b"\n")  # Spark passes over files without a byte
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select("name", "value").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_quarantine(rows: DataFrame, reason: str, good: str, bad: str) -> None:
     """Rows without a reason to one table, the others with it to another."""
     rows.filter(F.col(reason).isNull()).drop(reason).write.mode("overwrite").parquet(good)

@@ -98,3 +98,17 @@ def test_long_near_lists_take_linear_time():
     y = [*x[:1000], -1, *x[1000:150_000], *x[150_040:]]
     began = time.perf_counter()
     assert scalars.token_distance(x, y) == 41 and time.perf_counter() - began < 5
+
+
+def test_files_of_equal_names_stay_apart(spark, tmp_path):
+    rows = spark.createDataFrame([("7", " a\nb "), ("7", "c"), ("8", "")], "name string, value string").coalesce(1)
+    tables.write_files(rows, f"file:{tmp_path}/texts")
+    read = tables.read_whole_texts(spark, f"{tmp_path}/texts", deep=True)
+    assert sorted((r["name"].split("-")[0], r["content"]) for r in read.collect()) == [("7", "a\nb"), ("7", "c"), ("8", "")]
+
+
+def test_many_small_scores_are_read_in_many_parts(tmp_path):
+    for k in range(2500):
+        (tmp_path / f"{k}.xml").write_text("<score><part/></score>")
+    parts = scores.ScoreReader(str(tmp_path), (".xml",)).partitions()
+    assert len(parts) == 3 and sum(len(p.paths) for p in parts) == 2500
