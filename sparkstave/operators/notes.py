@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from itertools import islice
+from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkstave.functions import scalars
 from sparkstave.schemas import ELEMENTS
-from sparkstave.sources.scores import broken_file, element_rows
+from sparkstave.sources.scores import PIECE, broken_file, check, element_rows
 
 DEFAULT_BPM = 120.0
 #: Rows of a range of ticks, about; cells beyond this count as this one.
 RANGE_ROWS, FAR = 10_000, 1 << 60
+#: Rows of elements that a task holds at once.
+OUT_ROWS = 5_000
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
 
@@ -222,14 +226,21 @@ def score_elements(files: DataFrame) -> DataFrame:
     part, has one row with an ``error`` and nothing else.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = to_arrow_schema(ELEMENTS)
+
+    def parsed(file: str, content: str) -> Iterator[tuple]:
+        pieces = [content[i : i + PIECE] for i in range(0, len(content), PIECE)]
+        try:
+            check(pieces)
+        except (expat.ExpatError, ValueError) as e:
+            yield broken_file(file, e)
+        else:
+            yield from element_rows(file, pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for file, content in zip(batch["file"], batch["content"], strict=True):
-                try:
-                    rows += list(element_rows(file, [content or ""]))
-                except (ET.ParseError, ValueError) as e:
-                    rows.append(broken_file(file, e))
-            yield pd.DataFrame(rows, columns=ELEMENTS.fieldNames(), dtype=object)
-
-    return files.select("file", "content").mapInPandas(run, ELEMENTS)
+            every = (row for file, content in zip(batch.column("file"), batch.column("content"), strict=True) for row in parsed(file.as_py(), content.as_py() or ""))
+            while rows := list(islice(every, OUT_ROWS)):  # a batch of files has far more rows than files
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return files.select("file", "content").mapInArrow(run, ELEMENTS)

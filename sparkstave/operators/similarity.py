@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BAND = 0.1
-#: Frames of pairs that are warped together.
-PAIR_CELLS = 1 << 18
+#: Frames of pairs that are warped together, and that a task holds at once.
+PAIR_CELLS, HELD = 1 << 18, 1 << 21
 
 
 def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND, n: np.ndarray | None = None, m: np.ndarray | None = None) -> np.ndarray:
@@ -86,8 +86,18 @@ def timeline_dtw(cells: DataFrame, band_share: float = BAND) -> DataFrame:
     side = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True).alias(f"{s}_{c}")
     pairs = timeline_masks(cells).groupBy("file").agg(*[side(s, c) for s in ("pred", "gt") for c in ("frames", "masks")])
 
+    def slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Pairs whose dense timelines have HELD frames together, or one pair."""
+        frames = np.array([sum(int(f[-1]) + 1 for f in two if f is not None and len(f)) for two in zip(batch["pred_frames"], batch["gt_frames"], strict=True)], np.int64)
+        upto = np.cumsum(frames)
+        begin = 0
+        while begin < len(batch):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HELD, side="right")))
+            yield batch.iloc[begin:end]
+            begin = end
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             lines = {s: [dense(f, m) for f, m in zip(batch[f"{s}_frames"], batch[f"{s}_masks"], strict=True)] for s in ("pred", "gt")}
             n, m = (np.array([len(t) for t in lines[s]], np.int64) for s in ("pred", "gt"))
             order, out, begin = np.lexsort((n, n + m)), np.zeros(len(batch)), 0

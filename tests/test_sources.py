@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkstave.functions import one_to_many, scalars
 from sparkstave.operators import notes as nt
+from sparkstave.operators import similarity
 from sparkstave.sources import scores, tables
 
 SCORE = """<?xml version="1.0"?><score xmlns="urn:x"><part-list/><part id="A"><measure number="1"><attributes><time><senza-misura/></time><key><fifths>-1</fifths></key></attributes>
@@ -112,3 +113,16 @@ def test_many_small_scores_are_read_in_many_parts(tmp_path):
         (tmp_path / f"{k}.xml").write_text("<score><part/></score>")
     parts = scores.ScoreReader(str(tmp_path), (".xml",)).partitions()
     assert len(parts) == 3 and sum(len(p.paths) for p in parts) == 2500
+
+
+def test_markup_and_timelines_are_held_in_part(spark, monkeypatch):
+    """A batch of files gives its rows in small batches, and timelines of a batch are made dense a few at a time; both change no result."""
+    good = "<score><part><measure number='1'>" + "<note><duration>1</duration></note>" * 40 + "</measure></part></score>"
+    files = spark.createDataFrame([(f"f{k}", good if k % 3 else x) for k, x in enumerate(["<score>", "", None, "<score/>"] * 5)], "file string, content string").coalesce(1)
+    cells = spark.range(600).selectExpr("concat('f', id % 9) AS file", "if(id % 2 = 0, 'gt', 'pred') AS side", "cast(id * 7 % 90 as int) AS frame", "cast(id % 5 as int) AS slot")
+    by = lambda df: sorted(df.collect(), key=str)
+    rows, warped = by(nt.score_elements(files)), by(similarity.timeline_dtw(cells))
+    assert sum(r["error"] is not None for r in rows) == 7 and len(rows) == 7 + 13 * 41
+    monkeypatch.setattr(nt, "OUT_ROWS", 7)
+    monkeypatch.setattr(similarity, "HELD", 200)
+    assert by(nt.score_elements(files)) == rows and by(similarity.timeline_dtw(cells)) == warped
