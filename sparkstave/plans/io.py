@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from sparkstave import schemas
@@ -150,10 +152,10 @@ def s14b(spark, d):
 def v01(spark, d):
     def keep(batches, least: int = 500):
         for batch in batches:
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "n": batch["text"].str.len()})
-            yield out[out["n"] > least]
+            n = pc.utf8_length(batch.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n], ["doc_id", "n"]).filter(pc.greater(n, least))
 
-    return table(spark, d, "documents").select("doc_id", "text").filter("text is not null").mapInPandas(keep, "doc_id bigint, n bigint")
+    return table(spark, d, "documents").select("doc_id", "text").filter("text is not null").mapInArrow(keep, "doc_id bigint, n bigint")
 
 
 @query("v02_one_to_many", r"SELECT doc_id, CAST(i AS INTEGER) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents) WHERE line <> ''")

@@ -126,3 +126,9 @@ def test_markup_and_timelines_are_held_in_part(spark, monkeypatch):
     monkeypatch.setattr(nt, "OUT_ROWS", 7)
     monkeypatch.setattr(similarity, "HELD", 200)
     assert by(nt.score_elements(files)) == rows and by(similarity.timeline_dtw(cells)) == warped
+
+
+def test_batched_map_makes_no_python_strings(spark, small_dir):
+    from sparkstave.plans import registry
+
+    assert "MapInArrow" in registry.queries()["v01_batched_map"](spark, small_dir)._jdf.queryExecution().toString()
