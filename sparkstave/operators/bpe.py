@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from copy import copy
-from heapq import heapify, heappop, heappush, nlargest
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,11 +20,11 @@ SPECIALS = ("<pad>", "<s>", "</s>")
 PAD, BOS, EOS = 0, 1, 2
 #: Characters of a dictionary: from the first to the last one, without surrogates.
 FIRST_CHARACTER, CHARACTERS = 33, 1_112_031
-#: Segments that merges are guessed from and the tokens that one of them may have (so the driver gets 64 MB of ids at most), tokens that a task takes at
-#: a time, characters that a task encodes at a time.
-COMMON, SHORT, CHUNK, PIECE = 250_000, 64, 1_000_000, 150_000
-#: Merges tried in one round.
-MOST_TRIED = 512
+#: Tokens of the common pieces that the driver takes merges from (16 MB of ids), pairs that a round may look at unless more share the greatest count, tokens that a
+#: task takes at a time, characters that a task encodes at a time and that it counts at a time.
+COMMON, MOST_LIVE, CHUNK, PIECE, COUNTED = 4_000_000, 200_000, 1_000_000, 150_000, 4_000_000
+#: Segments as tasks pass them on: ids of four bytes each, and how often the segment stands in the corpus.
+PACKED = "ids binary, n bigint"
 
 
 def dictionary(symbols: DataFrame) -> DataFrame:
@@ -78,127 +77,135 @@ def segments(text: DataFrame, mark: str = "!") -> DataFrame:
     return text.select("doc_id", F.posexplode(parts).alias("pos", "segment")).filter("segment <> ''")
 
 
+def segment_counts(text: DataFrame, mark: str = "!") -> DataFrame:
+    """(segment, n): how often each of the ``segments`` stands in the texts. Tasks count about ``COUNTED`` characters at a time before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text").drop_null()
+            sizes = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(column):
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + COUNTED, side="right")))
+                parts = pc.split_pattern(column.slice(at, upto - at), mark)
+                at = upto
+                cuts, opening = parts.flatten(), np.zeros(len(parts.flatten()), bool)
+                opening[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())[:-1]])] = True
+                first = cuts.filter(pa.array(opening))
+                rest = pc.value_counts(cuts.filter(pa.array(~opening)))
+                first = pc.value_counts(first.filter(pc.not_equal(first, "")))
+                marked = pc.binary_join_element_wise(mark, rest.field("values"), "")
+                for segment, n in ((first.field("values"), first.field("counts")), (marked, rest.field("counts"))):
+                    yield pa.RecordBatch.from_arrays([segment, n], ["segment", "n"])
+
+    return text.select("text").mapInArrow(run, "segment string, n bigint").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
 def learned_merges(text: DataFrame, n_merges: int | None = None, vocabulary: int | None = None) -> DataFrame:
     """The vocabulary (id, token, left, right): specials, characters by code point, then merges in order.
 
-    Ends after ``n_merges``, at ``vocabulary`` rows, or where no pair is left. Segments are counted once. The driver holds
-    the exact count of every pair (at most the square of the vocabulary). Each round it guesses the next merges from those
-    counts and the commonest segments; tasks apply them to all distinct segments and return how the counts change with each.
-    A merge is kept where it is the most frequent pair (then least ids) by exact counts, so wrong guesses cost time only. Inside a task
-    a merge looks only at the places that hold its pair (``Chunk``), so the work of a merge goes with its count, not with the corpus.
+    Ends after ``n_merges``, at ``vocabulary`` rows, or where no pair is left. Segments are counted once, as distinct ones.
+    A merge is the most frequent pair, then the one of least ids. A place where two tokens meet counts for one pair at a time, and merges
+    around it only make that pair rarer; so as long as merges have a count of ``floor`` or more, no merge goes across a place whose pair has less.
+    A round therefore cuts all segments at such places and counts equal pieces (``fragments``): these are few, as what is rare has gone, and the
+    driver takes merges from them by exact counts down to the floor. The floor rises until the pieces have at most ``COMMON`` tokens. Tasks then apply the
+    round's merges to all segments. The result doesn't depend on floors.
     """
     spark = text.sparkSession
-    counted = stored(segments(text).groupBy("segment").agg(F.count("*").alias("n")), "segments")
+    counted = stored(segment_counts(text), "segments")
     letters = counted.select("segment").mapInPandas(distinct_letters, "token string").distinct()
     alphabet = sorted(r["token"] for r in letters.collect())  # one row per character of the script
     rows = [(i, s, None, None) for i, s in enumerate(SPECIALS)] + [(i, c, None, None) for i, c in enumerate(alphabet, len(SPECIALS))]
     schema = "id int, token string, left int, right int"
-    number = {c: i for i, c in enumerate(alphabet, len(SPECIALS))}
-    names = {i: c for c, i in number.items()}
+    names = {i: c for i, c in enumerate(alphabet, len(SPECIALS))}
+    points = np.array([ord(c) for c in alphabet], np.uint32)  # in order, as their ids are
     goal = min(float("inf") if n_merges is None else len(rows) + n_merges, float("inf") if vocabulary is None else vocabulary)
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"ids": [[number[c] for c in s] for s in batch["segment"]], "n": batch["n"]})
-
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    state = stored(counted.repartition(parts).mapInPandas(numbered, "ids array<int>, n bigint"), "bpe")
-    common = state.filter(F.size("ids") <= SHORT).orderBy(F.desc("n"), "ids").limit(COMMON).toArrow()
-    base = Chunk(*joined(common.to_batches())) if common.num_rows else Chunk(np.array([-1], np.int32), np.zeros(1, np.int64))
-    counts = {(a, b): n for _, a, b, n in pair_changes(state, (), ())}
-    kept: list[tuple[int, int, int]] = []  # not yet in the stored state
-    width = 32
-    while len(rows) < goal and counts:
-        top = nlargest(4 * width + 64, counts.values())
-        floor = (top[-1] if top[-1] < top[0] else top[-1] - 1) if len(counts) > len(top) else 0
-        near = {p: n for p, n in counts.items() if n > floor}
-        tried, ahead = guessed(base.copy(), counts, near, floor, len(rows), int(min(width, goal - len(rows))))
-        changes: list[dict] = [{} for _ in tried]
-        for step, a, b, n in pair_changes(state, tuple(kept), tuple(tried)):
-            changes[step][a, b] = n
-        taken = in_order(tried, changes, counts, near, floor, len(rows))
-        for a, b, new in taken:
-            names[new] = names[a] + names[b]
-            rows.append((new, names[new], a, b))
-        kept += taken
-        if taken == tried:
-            base = ahead
+            segment = batch.column("segment")
+            at = np.frombuffer("".join(segment.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            ids = (np.searchsorted(points, at) + len(SPECIALS)).astype(np.int32)
+            yield packed(ids, pc.utf8_length(segment).to_numpy(zero_copy_only=False), batch.column("n"))
+
+    letters_of_all = counted.agg(F.sum(F.length("segment"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, letters_of_all // CHUNK)
+    state = stored(counted.repartition(parts).mapInArrow(numbered, PACKED), "bpe")
+    drop_stored(counted)
+    wanted = None
+    while len(rows) < goal:
+        totals = pair_totals(state)
+        top = totals.orderBy(F.desc("n"), "pair").limit(MOST_LIVE + 1).toArrow()
+        if not top.num_rows:
+            break
+        codes, n = top.column("pair").to_numpy(), top.column("n").to_numpy()
+        most = int(n[0])
+        least = int(n[-1]) + 1 if len(n) > MOST_LIVE else 1
+        if least > most:  # more pairs than that have the greatest count
+            top = totals.filter(F.col("n") == most).toArrow()
+            codes, n = top.column("pair").to_numpy(), top.column("n").to_numpy()
+            least = most
+        floor = min(most, max(least, most // 2048 if wanted is None else wanted))
+        held, size = fragments(state, np.sort(codes[n >= floor]))
+        while size > COMMON and floor < most:
+            floor = min(most, int(floor * min(8.0, max(2.0, size / COMMON))) + 1)
+            wide = held
+            held, size = fragments(wide, np.sort(codes[n >= floor]))
+            drop_stored(wide)
+        if size > COMMON:
+            left, right = divmod(int(codes[n == most].min()), 1 << 32)
+            taken = [(left, right, len(rows))]
         else:
-            for m in taken:
-                base.merge(*m)
-        width = min(MOST_TRIED, max(32, 2 * len(taken)))
-        if len(kept) >= MOST_TRIED:
-            old, state = state, stored(state.mapInArrow(lambda b, m=tuple(kept): folded(b, m), state.schema), "bpe")
-            kept = []
+            taken = foremost(Chunk(*joined(held.toArrow().to_batches())), floor, len(rows), goal)
+        drop_stored(held)
+        wanted = floor // 8
+        for left, right, new in taken:
+            names[new] = names[left] + names[right]
+            rows.append((new, names[new], left, right))
+        if len(rows) < goal:
+            old, state = state, stored(state.mapInArrow(lambda b, m=tuple(taken): folded(b, m), PACKED), "bpe")
             drop_stored(old)
-            base = Chunk(*base.compact())
+    drop_stored(state)
     return spark.createDataFrame(rows, schema)
 
 
-def heaped(counts: dict[tuple[int, int], float]) -> list[tuple[float, tuple[int, int]]]:
-    heap = [(-n, p) for p, n in counts.items()]
+def foremost(chunk: Chunk, floor: int, first: int, goal: float) -> list[tuple[int, int, int]]:
+    """Merges in order: always the most frequent pair, then the one of least ids, as long as it stands ``floor`` times or more and ids are below ``goal``."""
+    counts = dict(zip(*(x.tolist() for x in chunk.counts()), strict=True))
+    heap = [(-n, pair) for pair, n in counts.items() if n >= floor]
     heapify(heap)
-    return heap
-
+    out: list[tuple[int, int, int]] = []
+    while heap and first + len(out) < goal:
+        n, pair = heappop(heap)
+        if counts.get(pair) != -n:
+            continue  # an older count of the pair
+        out.append((pair >> 32, pair & 0xFFFFFFFF, first + len(out)))
+        for changed, by in zip(*(x.tolist() for x in chunk.merge(*out[-1])), strict=True):
+            counts[changed] = now = counts.get(changed, 0) + by
+            if now >= floor:
+                heappush(heap, (-now, changed))
+            elif now == 0:
+                del counts[changed]
+    return out
 
-def foremost(heap: list[tuple[float, tuple[int, int]]], counts: dict[tuple[int, int], float]) -> tuple[int, int] | None:
-    """The most frequent pair, then the one of least ids; entries of the heap that counts have left behind go."""
-    while heap and counts.get(heap[0][1]) != -heap[0][0]:
-        heappop(heap)
-    return heap[0][1] if heap else None
 
+def fragments(state: DataFrame, live: np.ndarray) -> tuple[DataFrame, int]:
+    """Segments cut where a pair isn't one of ``live`` (sorted), equal pieces of two tokens or more once with their count; and the tokens of all pieces."""
+    sent = state.sparkSession.sparkContext.broadcast(live)
 
-def in_order(tried: list[tuple[int, int, int]], changes: list[dict], counts: dict, near: dict, floor: int, first: int) -> list[tuple[int, int, int]]:
-    """Tried merges in the order of exact counts, up to the first that wasn't tried or can't be moved; ``counts`` change with them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = sent.value
+        for t, w in flat_chunks(batches):
+            codes = t[:-1].astype(np.int64) << 32 | t[1:]
+            together = np.r_[False, live[np.minimum(np.searchsorted(live, codes), len(live) - 1)] == codes, False]
+            before, behind = together[:-1], together[1:]
+            starts, ends = np.flatnonzero(behind & ~before), np.flatnonzero(before & ~behind) + 1
+            pieces = pa.Table.from_batches([packed(t[before | behind], ends - starts, pa.array(w[starts], pa.int64()))])
+            sums = pieces.group_by("ids", use_threads=False).aggregate([("n", "sum")])
+            yield from sums.select(["ids", "n_sum"]).rename_columns(["ids", "n"]).to_batches()
 
-    A merge may come before others that were tried ahead of it if it has no occurrence beside or across theirs: it changes
-    no count of a pair with their new token, and they none of its pair. Its changes are then the same in both orders, with tokens numbered as they are taken.
-    """
-    own = {(a, b): j for j, (a, b, _) in enumerate(tried)}
-    tokens = [{x for pair in c for x in pair} for c in changes]
-    waiting, heap = list(range(len(tried))), heaped(near)
-    number: dict[int, int] = {}  # of a tried merge's token, as it is taken
-    back: dict[int, int] = {}
-    taken: list[tuple[int, int, int]] = []
-    while waiting:
-        best = foremost(heap, near)
-        if best is None or near[best] <= floor:
-            break
-        j = own.get(tuple(back.get(x, x) for x in best))
-        if j is None or any(tried[i][2] in tokens[j] or tried[j][:2] in changes[i] for i in waiting if i < j):
-            break
-        waiting.remove(j)
-        new = first + len(taken)
-        number[tried[j][2]], back[new] = new, tried[j][2]
-        taken.append((*best, new))
-        for pair, n in changes[j].items():
-            pair = tuple(number.get(x, x) for x in pair)
-            counts[pair] = near[pair] = counts.get(pair, 0) + n
-            heappush(heap, (-counts[pair], pair))
-            if counts[pair] == 0:
-                del counts[pair], near[pair]
-    return taken
-
-
-def guessed(chunk: Chunk, counts: dict, near: dict, floor: int, first: int, most: int) -> tuple[list[tuple[int, int, int]], Chunk]:
-    """The next merges as the commonest segments have it, and those segments after them.
-
-    Exact for the first merge, an estimate for pairs that one of the merges touches.
-    """
-    near, heap, out = dict(near), heaped(near), []
-    for new in range(first, first + most):
-        best = foremost(heap, near)
-        if best is None or near[best] <= floor:
-            break
-        out.append((*best, new))
-        total = near.pop(best)
-        change = chunk.merge(*best, new)
-        change = {(c >> 32, c & 0xFFFFFFFF): n for c, n in zip(*(x.tolist() for x in change), strict=True)} if change else {}
-        scale = total / -change.pop(best) if best in change else 1
-        for pair, n in change.items():
-            near[pair] = near.get(pair, counts.get(pair, 0)) + n * scale
-            heappush(heap, (-near[pair], pair))
-    return out, chunk
+    out = stored(state.mapInArrow(run, PACKED).groupBy("ids").agg(F.sum("n").alias("n")), "pieces")
+    return out, (out.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
 
 
 def distinct_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,23 +213,36 @@ def distinct_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"token": sorted(set().union(*batch["segment"]))}, dtype=object)
 
 
+def packed(ids: np.ndarray, sizes: np.ndarray, n: pa.Array) -> pa.RecordBatch:
+    """Rows of ``PACKED``: the ids of each segment as bytes, four for one, and its count."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 4
+    return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, np.int32))]), n], ["ids", "n"])
+
+
 def joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Segments one after the other, -1 before, between and behind them, and the count of its segment at each place."""
-    sizes = np.concatenate([b.column("ids").value_lengths().to_numpy() for b in held]).astype(np.int64)
+    sizes = np.concatenate([pc.binary_length(b.column("ids")).to_numpy() for b in held]).astype(np.int64) // 4
     n = np.concatenate([b.column("n").to_numpy() for b in held])
-    values = np.concatenate([b.column("ids").flatten().to_numpy() for b in held])
+    values = np.concatenate([ids_of(b.column("ids")) for b in held])
     t = np.full(len(values) + len(sizes) + 1, -1, np.int32)
     t[1 + np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
     return t, np.concatenate([[0], np.repeat(n, sizes + 1)])
 
 
+def ids_of(column: pa.Array) -> np.ndarray:
+    """All ids of a column of packed ones."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.int32)[offsets[0] // 4 : offsets[-1] // 4] if offsets[-1] > offsets[0] else np.empty(0, np.int32)
+
+
 def flat_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches put together until they hold CHUNK tokens."""
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            size += len(batch.column("ids").flatten())
+            size += batch.column("ids").nbytes // 4
         if size >= CHUNK:
             yield joined(held)
             held, size = [], 0
@@ -254,12 +274,6 @@ class Chunk:
         self.codes, self.places = codes[order], places[order]
         self.made: dict[int, np.ndarray] = {}
 
-    def copy(self) -> Chunk:
-        """Another one that merges change on its own; the postings are shared."""
-        out = copy(self)
-        out.t, out.next, out.prev, out.made = self.t.copy(), self.next.copy(), self.prev.copy(), dict(self.made)
-        return out
-
     def _codes(self, at: np.ndarray) -> np.ndarray:
         return self.t[at].astype(np.int64) << 32 | self.t[self.next[at]]
 
@@ -310,38 +324,28 @@ class Chunk:
         return self.t[left], self.w[left]
 
 
-def pair_changes(state: DataFrame, kept: tuple, tried: tuple) -> list[tuple[int, int, int, int]]:
-    """(step, left, right, n): how each tried merge changes the counts of pairs; without any, the counts."""
+def pair_totals(state: DataFrame) -> DataFrame:
+    """(pair, n): how often each pair stands in the corpus; the left id in the upper half of the number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, w in flat_chunks(batches):
-            chunk = Chunk(t, w)
-            for m in kept:
-                chunk.merge(*m)
-            found = [] if tried else [(0, *chunk.counts())]
-            for step, m in enumerate(tried):
-                if change := chunk.merge(*m):
-                    found.append((step, *change))
-            if found:
-                codes, n = np.concatenate([c for _, c, _ in found]), np.concatenate([n for _, _, n in found])
-                steps = np.repeat([s for s, _, _ in found], [len(c) for _, c, _ in found])
-                yield pa.RecordBatch.from_pydict({"step": steps.astype(np.int32), "pair": codes, "n": n.astype(np.int64)})
-
-    sums = state.mapInArrow(run, "step int, pair bigint, n bigint").groupBy("step", "pair").agg(F.sum("n").alias("n")).filter("n <> 0").toArrow()
-    steps, codes, n = (sums.column(c).to_numpy() for c in ("step", "pair", "n"))
-    return list(zip(steps.tolist(), (codes >> 32).tolist(), (codes & 0xFFFFFFFF).tolist(), n.tolist(), strict=True))
+            codes, n = Chunk(t, w).counts()
+            yield pa.RecordBatch.from_pydict({"pair": codes, "n": n.astype(np.int64)})
+
+    return state.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def folded(batches: Iterator[pa.RecordBatch], merges: tuple) -> Iterator[pa.RecordBatch]:
-    """The state after the merges."""
+    """The state after the merges, without segments that have become one token."""
     for t, w in flat_chunks(batches):
         chunk = Chunk(t, w)
         for m in merges:
             chunk.merge(*m)
         t, w = chunk.compact()
         ends = np.flatnonzero(t < 0)
-        offsets = (ends - np.arange(len(ends))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, t[t >= 0]), pa.array(w[ends[1:]], pa.int64())], ["ids", "n"])
+        sizes, n = np.diff(ends) - 1, w[ends[1:]]
+        inside, long = t >= 0, sizes > 1
+        yield packed(t[inside][np.repeat(long, sizes)], sizes[long], pa.array(n[long], pa.int64()))
 
 
 def merge(ids: list[int], left: int, right: int, new: int) -> list[int]:

@@ -185,3 +185,11 @@ def test_dictionary_of_more_symbols_than_characters_round_trips(spark, monkeypat
     encoded = bpe.encode_symbols(listed, vocabulary, "doc_id", "s")
     assert encoded.agg(F.sum("n_known")).first()[0] == 2000
     assert bpe.decode_symbols(encoded, vocabulary, "doc_id").join(listed, "doc_id").filter(F.col("symbols") == F.col("s")).count() == 7
+
+
+def test_many_merges_take_few_rounds_over_the_segments(spark, small_dir, monkeypatch):
+    rounds, exact = [], bpe.pair_totals
+    monkeypatch.setattr(bpe, "pair_totals", lambda state: rounds.append(1) or exact(state))
+    df = tokens._bpe_text(spark, small_dir).select("doc_id", "text")
+    got = bpe.learned_merges(df, 2000).filter("left is not null").count()
+    assert got == 2000 and len(rounds) <= 4
