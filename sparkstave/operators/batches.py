@@ -63,10 +63,14 @@ def bucketed_batches(rows: DataFrame, batch: int, multiplier: int, seed: int, ep
     return planned.drop("rank").join(shuffled, ["pool", "piece"]).select("row_id", "n", "pool", "piece", F.col("rank").alias("batch_id"))
 
 
+def longest(rows: DataFrame) -> DataFrame:
+    """Rows with ``most``, the greatest ``n`` of their batch."""
+    return rows.withColumn("most", F.max("n").over(Window.partitionBy("batch_id")))
+
+
 def padded_batches(rows: DataFrame, pad: int) -> DataFrame:
-    """Ids padded to the longest of their batch, with a mask."""
-    most = F.max("n").over(Window.partitionBy("batch_id"))
-    wide = rows.withColumn("most", most)
+    """Ids padded to the longest of their batch, with a mask. Rows that have ``most`` already, from ``longest``, aren't sorted for it with their ids."""
+    wide = rows if "most" in rows.columns else longest(rows)
     mask = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("most") - 1), lambda i: i < F.col("n"))
     return wide.select("row_id", "batch_id", arrays.padded(F.col("ids"), F.col("most"), pad).alias("ids"), mask.alias("mask"))
 

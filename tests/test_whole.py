@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkstave.operators import bpe, greedy, match
-from sparkstave.plans import registry, tokens
+from sparkstave.plans import fixtures, registry, tokens
 from sparkstave.session import table
 
 
@@ -193,3 +193,11 @@ def test_many_merges_take_few_rounds_over_the_segments(spark, small_dir, monkeyp
     df = tokens._bpe_text(spark, small_dir).select("doc_id", "text")
     got = bpe.learned_merges(df, 2000).filter("left is not null").count()
     assert got == 2000 and len(rounds) <= 4
+
+
+def test_batches_are_planned_without_ids(spark, small_dir):
+    planned = fixtures.id_counts(spark, small_dir)
+    assert "md5" not in planned._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(planned.collect()) == sorted(fixtures.id_rows(spark, small_dir).select("row_id", F.size("lmx_ids").cast("bigint")).collect())
+    text = registry.queries()["l04_padded_batches"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("md5(") == 1
