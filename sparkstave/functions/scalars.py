@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Pairs of lists whose tokens are numbered at a time.
+FEW = 100
+
 
 def safe_int(x: Column, default: int = 0) -> Column:
     return F.coalesce(F.trim(x).try_cast("int"), F.lit(default))
@@ -29,7 +33,11 @@ def stem(path: Column) -> Column:
 def token_distance(x: list, y: list) -> int:
     """Levenshtein distance of two lists: by diagonals while the distance is small, else by columns of bits."""
     number: dict = {}
-    a, b = (np.fromiter((number.setdefault(t, len(number)) for t in side), np.int64, len(side)) for side in (x, y))
+    return number_distance(*(np.fromiter((number.setdefault(t, len(number)) for t in side), np.int64, len(side)) for side in (x, y)))
+
+
+def number_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """The same of two arrays of numbers."""
     n = min(len(a), len(b))
     head = _run(a, b, 0, 0)
     tail = _run(a[head:][::-1], b[head:][::-1], 0, 0) if head < n else 0
@@ -89,12 +97,23 @@ def bit_distance(x: list, y: list) -> int:
 
 
 def edit_distance(x: Column, y: Column) -> Column:
-    """Levenshtein distance of two token lists, with any number of distinct tokens; null where a list is null."""
-
-    @F.pandas_udf("int")
-    def distance(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        pairs = zip(xs, ys, strict=True)
-        return pd.Series([None if a is None or b is None else token_distance(list(a), list(b)) for a, b in pairs], dtype="Int32")
+    """Levenshtein distance of two token lists, with any number of distinct tokens; null where a list is null.
+
+    Tokens are numbered in Arrow, FEW rows at a time: as Python strings those of a whole batch would take many times its bytes.
+    """
+
+    @F.arrow_udf("int")
+    def distance(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        out: list[int | None] = []
+        for at in range(0, len(xs), FEW):
+            few = [side.slice(at, FEW) for side in (xs, ys)]
+            tokens = pa.chunked_array([side.flatten() for side in few]).combine_chunks()
+            number = pc.fill_null(pc.dictionary_encode(tokens).indices, -1).to_numpy().astype(np.int64)
+            sizes = np.concatenate([pc.fill_null(side.value_lengths(), 0).to_numpy() for side in few])
+            lists = np.split(number, np.cumsum(sizes)[:-1])
+            known = pc.and_(few[0].is_valid(), few[1].is_valid()).to_pylist()
+            out += [number_distance(a, b) if both else None for a, b, both in zip(lists[: len(known)], lists[len(known) :], known, strict=True)]
+        return pa.array(out, pa.int32())
 
     return distance(x, y)
 

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BAND = 0.1
-#: Frames of pairs that are warped together, and that a task holds at once.
-PAIR_CELLS, HELD = 1 << 18, 1 << 21
+#: Frames of pairs that are warped together, and that a task holds at once; pairs that leave Arrow at a time.
+PAIR_CELLS, HELD, FEW = 1 << 18, 1 << 21, 500
 
 
 def dtw_similarities(x: np.ndarray, y: np.ndarray, band_share: float = BAND, n: np.ndarray | None = None, m: np.ndarray | None = None) -> np.ndarray:
@@ -96,8 +97,9 @@ def timeline_dtw(cells: DataFrame, band_share: float = BAND) -> DataFrame:
             yield batch.iloc[begin:end]
             begin = end
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (part for whole in batches for part in slices(whole)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some_pairs = (whole.slice(at, FEW).to_pandas() for whole in batches for at in range(0, whole.num_rows, FEW))
+        for batch in (part for some in some_pairs for part in slices(some)):
             lines = {s: [dense(f, m) for f, m in zip(batch[f"{s}_frames"], batch[f"{s}_masks"], strict=True)] for s in ("pred", "gt")}
             n, m = (np.array([len(t) for t in lines[s]], np.int64) for s in ("pred", "gt"))
             order, out, begin = np.lexsort((n, n + m)), np.zeros(len(batch)), 0
@@ -111,9 +113,9 @@ def timeline_dtw(cells: DataFrame, band_share: float = BAND) -> DataFrame:
                 for row, i in enumerate(some):
                     x[row, : n[i]], y[row, : m[i]] = lines["pred"][i], lines["gt"][i]
                 out[some] = dtw_similarities(x, y, band_share, n[some], m[some])
-            yield pd.DataFrame({"file": batch["file"], "similarity": out})
+            yield pa.RecordBatch.from_arrays([pa.array(batch["file"], pa.string()), pa.array(out)], ["file", "similarity"])
 
-    return pairs.mapInPandas(run, "file string, similarity double")
+    return pairs.mapInArrow(run, "file string, similarity double")
 
 
 def mean_vectors(vectors: DataFrame, key: str, value: str) -> DataFrame:

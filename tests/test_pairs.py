@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 from collections import Counter
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 from test_operators import dtw_table
 
@@ -307,3 +308,11 @@ def test_measures_without_notes_count(spark):
     got = match.measure_accuracy(notes, measures).first()
     assert (got["measures"], got["correct"]) == (2, 2)
     assert match.measure_f1(notes, "pitch", measures=measures).first()["avg_measure_f1"] == 0.5
+
+
+def test_edit_distance_numbers_tokens_a_few_rows_at_a_time(spark):
+    assert scalars.number_distance(np.array([1, 2, 3]), np.array([1, 3])) == 1
+    texts = [["a"] * (i % 3) + [None, str(i)] for i in range(2 * scalars.FEW + 1)]
+    rows = spark.createDataFrame([(i, x, None if i % 50 == 7 else [*x[:-1], "b"]) for i, x in enumerate(texts)], "i int, x array<string>, y array<string>").coalesce(1)
+    got = dict(rows.select("i", scalars.edit_distance(F.col("x"), F.col("y"))).collect())
+    assert got == {i: None if i % 50 == 7 else 1 for i in range(len(texts))}
