@@ -5,8 +5,8 @@ import random
 import xml.etree.ElementTree as ET
 from collections import Counter
 
-import pytest
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_operators import dtw_table
 
