@@ -21,8 +21,8 @@ PAD, BOS, EOS = 0, 1, 2
 #: Characters of a dictionary: from the first to the last one, without surrogates.
 FIRST_CHARACTER, CHARACTERS = 33, 1_112_031
 #: Tokens of the common pieces that the driver takes merges from (16 MB of ids), pairs that a round may look at unless more share the greatest count, tokens that a
-#: task takes at a time, characters that a task encodes at a time and that it counts at a time.
-COMMON, MOST_LIVE, CHUNK, PIECE, COUNTED = 4_000_000, 200_000, 1_000_000, 150_000, 4_000_000
+#: task takes at a time, characters that a task encodes at a time with draws and without them, distinct segments that it merges at a time, and characters that it counts.
+COMMON, MOST_LIVE, CHUNK, PIECE, LISTED, FEW, COUNTED = 4_000_000, 200_000, 1_000_000, 150_000, 8_000_000, 20_000, 4_000_000
 #: Segments as tasks pass them on: ids of four bytes each, and how often the segment stands in the corpus.
 PACKED = "ids binary, n bigint"
 
@@ -521,7 +521,8 @@ class Merges:
 def encoded(text: DataFrame, vocabulary: DataFrame, dropout: float = 0.0, seed: int = 0) -> DataFrame:
     """(doc_id, ids) with BOS and EOS, unknown characters dropped; an empty text has the two alone.
 
-    Texts are encoded where they are, without a shuffle, about ``PIECE`` characters of them at a time and their segments all at once.
+    Texts are encoded where they are, without a shuffle, about ``PIECE`` characters of them at a time and their segments all at once. Without dropout
+    equal segments have equal ids: of about ``LISTED`` characters each distinct segment is merged once.
     The vocabulary is bounded by its chosen size and travels as a broadcast variable.
     """
     spark = text.sparkSession
@@ -570,14 +571,46 @@ def encoded(text: DataFrame, vocabulary: DataFrame, dropout: float = 0.0, seed:
             out[inside], out[ends - total], out[ends - 1] = values, BOS, EOS
             return pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), out)
 
+        def listed(texts: pa.Array) -> pa.Array:
+            """The same without draws: each distinct segment is merged once, and texts take its ids."""
+            parts = pc.split_pattern(texts, "!")
+            counts = parts.value_lengths().to_numpy()
+            cuts = parts.flatten().dictionary_encode()
+            which = cuts.indices.to_numpy().copy()
+            heads = np.cumsum(counts) - counts
+            opening, at = np.unique(which[heads], return_inverse=True)
+            which[heads] = len(cuts.dictionary) + at  # what stands before the first mark has none
+            distinct = pa.concat_arrays([pc.binary_join_element_wise("!", cuts.dictionary, ""), cuts.dictionary.take(pa.array(opening))])
+            merged_ids = [merged_of(distinct.slice(at, FEW)) for at in range(0, len(distinct), FEW)]
+            values, sizes = (np.concatenate(x) for x in zip(*merged_ids, strict=True))
+            # The marks of a text go as segments of their own, before its first one and behind its last one.
+            order = np.full(len(which) + 2 * len(counts), len(sizes), np.int32)
+            inside = np.ones(len(order), bool)
+            ends = np.cumsum(counts + 2)
+            inside[ends - counts - 2] = inside[ends - 1] = False
+            order[inside], order[ends - 1] = which, len(sizes) + 1
+            sizes = np.concatenate([sizes, [1, 1]]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(offsets, np.concatenate([values, np.array([BOS, EOS], np.int32)])).take(pa.array(order)).flatten()
+            return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes[order])[ends - 1]]).astype(np.int32), ids)
+
+        def merged_of(listed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            points = np.frombuffer("".join(listed.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            ids = number[points]
+            known = ids >= 0
+            upto = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(pc.utf8_length(listed).to_numpy())])]
+            return merges.merged(ids[known], np.diff(upto))
+
+        most = PIECE if dropout else LISTED
         for batch in batches:
             sizes = np.cumsum(pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False))
             at = 0
             while at < batch.num_rows:
-                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, side="right")))
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
                 few = batch.slice(at, upto - at)
                 at = upto
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pieces(few.column("doc_id").to_pylist(), few.column("text").to_pylist())], ["doc_id", "ids"])
+                texts = few.column("text")
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pieces(few.column("doc_id").to_pylist(), texts.to_pylist()) if dropout else listed(texts)], ["doc_id", "ids"])
 
     rows = text.filter("text is not null").select("doc_id", "text")
     return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))]))

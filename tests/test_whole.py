@@ -201,3 +201,33 @@ def test_batches_are_planned_without_ids(spark, small_dir):
     assert sorted(planned.collect()) == sorted(fixtures.id_rows(spark, small_dir).select("row_id", F.size("lmx_ids").cast("bigint")).collect())
     text = registry.queries()["l04_padded_batches"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("md5(") == 1
+
+
+def test_equal_segments_are_merged_once(spark, monkeypatch, tmp_path):
+    texts = ["!abab" * 400, "abab!abab" * 200, "", "!", "é!abc!!ab", *["!abc!ab" * 50] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    vocabulary = bpe.learned_merges(df.filter("text not like '%é%'"), 4)
+    table = {r["id"]: r for r in vocabulary.collect()}
+    ranks = {(r["left"], r["right"]): i for i, r in table.items() if r["left"] is not None}
+    letters = {r["token"]: i for i, r in table.items() if r["left"] is None}
+    seen = str(tmp_path / "seen")
+
+    class Counted(bpe.Merges):
+        def merged(self, ids, sizes, dropped=None):
+            with open(seen, "a") as out:
+                out.write(f"{len(sizes)}\n")
+            return super().merged(ids, sizes, dropped)
+
+    monkeypatch.setattr(bpe, "Merges", Counted)
+    monkeypatch.setattr(bpe, "FEW", 2)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encoded(df, vocabulary).collect()}
+    for doc, text in enumerate(texts):
+        want = []
+        for s in bpe.cut(text):
+            ids = [letters[c] for c in s if c in letters]
+            for (left, right), new in sorted(ranks.items(), key=lambda x: x[1]):
+                ids = bpe.merge(ids, left, right, new)
+            want += ids
+        assert got[doc] == [bpe.BOS, *want, bpe.EOS]
+    with open(seen) as lines:
+        assert sum(map(int, lines)) <= 12  # of 3,600 and more
