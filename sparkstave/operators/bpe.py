@@ -627,12 +627,17 @@ def decoded(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast({r["id"]: r["token"] for r in vocabulary.filter(F.col("id") >= len(SPECIALS)).collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sent.value
+        known = sent.value
+        table = [known.get(i, "") for i in range(max(known, default=0) + 1)]
+        tokens = pa.array([*table, ""], pa.string())  # the last one for ids that are unknown
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 few = batch.slice(at, 100)
-                texts = ["".join(tokens.get(i, "") for i in few.column("ids")[k].values.to_numpy().tolist()) for k in range(few.num_rows)]
-                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+                ids = few.column("ids")
+                flat = pc.fill_null(ids.flatten(), -1).to_numpy()
+                taken = tokens.take(pa.array(np.where((flat >= 0) & (flat < len(table)), flat, len(table))))
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([few.column("doc_id"), pc.binary_join(pa.ListArray.from_arrays(offsets, taken), "")], ["doc_id", "decoded"])
 
     rows = rows.select("doc_id", "ids")
     return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("decoded", StringType())]))

@@ -231,3 +231,8 @@ def test_equal_segments_are_merged_once(spark, monkeypatch, tmp_path):
         assert got[doc] == [bpe.BOS, *want, bpe.EOS]
     with open(seen) as lines:
         assert sum(map(int, lines)) <= 12  # of 3,600 and more
+
+
+def test_round_trip_shuffles_no_text(spark, small_dir):
+    plan = tokens.QUERIES["b03_bpe_round_trip"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sha2(") >= 2
