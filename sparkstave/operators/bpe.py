@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from sparkstave.operators.batches import global_rank
 from sparkstave.session import drop_stored, stored
@@ -23,6 +24,8 @@ FIRST_CHARACTER, CHARACTERS = 33, 1_112_031
 #: Tokens of the common pieces that the driver takes merges from (16 MB of ids), pairs that a round may look at unless more share the greatest count, tokens that a
 #: task takes at a time, characters that a task encodes at a time with draws and without them, distinct segments that it merges at a time, and characters that it counts.
 COMMON, MOST_LIVE, CHUNK, PIECE, LISTED, FEW, COUNTED = 4_000_000, 200_000, 1_000_000, 150_000, 8_000_000, 20_000, 4_000_000
+#: Symbols of lists that are looked up together.
+BLOCK = 1_000_000
 #: Segments as tasks pass them on: ids of four bytes each, and how often the segment stands in the corpus.
 PACKED = "ids binary, n bigint"
 
@@ -52,23 +55,75 @@ def dictionary(symbols: DataFrame) -> DataFrame:
     return stored(ranked.select("symbol", F.when(rank < single, character(rank)).otherwise(two).alias("character")), "dictionary")
 
 
+def blocks(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(block, keys, sizes, symbols, places): lists of about ``BLOCK`` symbols together, each distinct symbol once and the places as numbers of these, -1 for null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lengths = pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy()
+            upto, at = np.cumsum(lengths), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+                few = batch.slice(at, end - at)
+                coded = few.column(column).flatten().dictionary_encode()
+                places = pc.fill_null(coded.indices, -1).to_numpy()
+                places = places.astype(np.int16) if len(coded.dictionary) < 1 << 15 else places
+                listed = [pa.ListArray.from_arrays([0, len(x)], x) for x in (few.column(key), pa.array(lengths[at:end], pa.int32()), coded.dictionary)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *listed, pa.array([places.tobytes()], pa.binary())], ["block", "keys", "sizes", "symbols", "places"])
+                block, at = block + 1, end
+
+    rows = rows.select(key, column)
+    kinds = {"block": LongType(), "keys": ArrayType(rows.schema[key].dataType), "sizes": ArrayType(IntegerType()), "symbols": ArrayType(StringType()), "places": BinaryType()}
+    return stored(rows.mapInArrow(run, StructType([StructField(k, kind) for k, kind in kinds.items()])), "blocks")
+
+
+def looked_up(held: DataFrame, vocabulary: DataFrame, key: str, source: str, target: str) -> DataFrame:
+    """(key, x) from ``blocks``: each entry of a list by its row in the vocabulary, null where it has none; rows of equal keys become one, by places.
+
+    Entries are joined with the vocabulary once for each block, so words aren't shuffled but numbers of them, and the vocabulary may grow.
+    """
+    found = held.select(F.col("block").alias("of"), F.posexplode("symbols").alias("pos", source)).join(vocabulary, source).select("of", "pos", target)
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        (row,) = block.to_batches()
+        keys, sizes = (row.column(c)[0].values for c in ("keys", "sizes"))
+        n = row.column("n")[0].as_py()
+        at = np.full(n + 1, -1, np.int32)
+        at[found.column("pos").to_numpy()] = np.arange(found.num_rows)
+        at = at[np.frombuffer(row.column("places")[0].as_buffer(), np.int16 if n < 1 << 15 else np.int32)]
+        taken = pa.concat_arrays([pa.array([], pa.string()), *found.column(target).chunks]).take(pa.array(at, mask=at < 0))
+        offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int32)
+        return pa.Table.from_arrays([keys, pa.ListArray.from_arrays(offsets, taken)], [key, "x"])
+
+    numbered = held.select("block", "keys", "sizes", F.size("symbols").alias("n"), "places")
+    kinds = StructType([StructField(key, held.schema["keys"].dataType.elementType), StructField("x", ArrayType(StringType()))])
+    out = numbered.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, kinds)
+    if held.select(F.explode("keys").alias(key)).groupBy(key).count().filter("count > 1").isEmpty():
+        return out
+    placed = F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("v")))
+    together = out.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("x"))
+    return together.select(key, F.transform("x", lambda p: p["v"]).alias("x"))
+
+
 def encode_symbols(rows: DataFrame, vocabulary: DataFrame, key: str, column: str) -> DataFrame:
     """Symbols as one string of characters, unknown ones dropped; keyed by a join, so the dictionary may grow."""
-    cells = rows.select(key, F.posexplode_outer(column).alias("pos", "symbol"))
-    known = cells.join(vocabulary, "symbol", "left")
-    listed = F.array_sort(F.collect_list(F.when(F.col("character").isNotNull(), F.struct("pos", "character"))))
-    out = known.groupBy(key).agg(listed.alias("x"))
-    return out.select(key, F.size("x").cast("bigint").alias("n_known"), F.array_join(F.transform("x", lambda x: x["character"]), "").alias("encoded"))
+    return encode_blocks(blocks(rows, key, column), vocabulary, key)
+
+
+def encode_blocks(held: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """``encode_symbols`` of rows that are in ``blocks`` already."""
+    out = looked_up(held, vocabulary, key, "symbol", "character")
+    return out.select(key, F.size(F.array_compact("x")).cast("bigint").alias("n_known"), F.array_join("x", "").alias("encoded"))
 
 
 def decode_symbols(rows: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """Characters back to symbols, unknown ones dropped; a character that leads in the dictionary goes with the one behind it."""
+    """Characters back to symbols, unknown ones dropped; a character that leads in the dictionary goes with the one behind it. A row without any known one goes."""
     leading = vocabulary.filter(F.length("character") > 1).agg(F.min(F.substring("character", 1, 1))).first()[0]
     units = F.split("encoded", "") if leading is None else F.regexp_extract_all("encoded", F.lit(rf"(?s)[{leading}-\x{{10FFFF}}]?."), F.lit(0))
-    cells = rows.select(key, F.posexplode(units).alias("pos", "character")).filter("character <> ''")
-    known = cells.join(vocabulary, "character")
-    out = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("x"))
-    return out.select(key, F.transform("x", lambda x: x["symbol"]).alias("symbols"))
+    cut = rows.select(key, F.filter(units, lambda c: c != "").alias("units"))
+    out = looked_up(blocks(cut, key, "units"), vocabulary, key, "character", "symbol")
+    return out.select(key, F.array_compact("x").alias("symbols")).filter("size(symbols) > 0")
 
 
 def segments(text: DataFrame, mark: str = "!") -> DataFrame:

@@ -236,3 +236,21 @@ def test_equal_segments_are_merged_once(spark, monkeypatch, tmp_path):
 def test_round_trip_shuffles_no_text(spark, small_dir):
     plan = tokens.QUERIES["b03_bpe_round_trip"](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("sha2(") >= 2
+
+
+def test_symbols_are_looked_up_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 3000)
+    kind = type(spark.range(0))
+    asked, joined = [], kind.join
+    monkeypatch.setattr(kind, "join", lambda self, *a, **b: asked.append(self.count()) or joined(self, *a, **b))
+    words = F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.concat(F.lit("w"), (k % 20).cast("string")))
+    rows = spark.range(0, 24, 1, 2).select(F.col("id").alias("doc_id"), words.alias("s"))
+    odd = spark.createDataFrame([(90, ["w1", None, "x", "w2"]), (90, ["w3"]), (None, ["w4"]), (91, []), (92, None), (93, ["x"])], "doc_id bigint, s array<string>")
+    vocabulary = bpe.dictionary(rows.select(F.explode("s").alias("symbol")))
+    asked.clear()
+    encoded = bpe.encode_symbols(rows.unionByName(odd), vocabulary, "doc_id", "s")
+    got = {r["doc_id"]: r["symbols"] for r in bpe.decode_symbols(encoded, vocabulary, "doc_id").collect()}
+    assert {r["doc_id"]: r["n_known"] for r in encoded.filter("doc_id is null or doc_id >= 90").collect()} == {None: 1, 90: 3, 91: 0, 92: 0, 93: 0}
+    want = [f"w{k % 20}" for k in range(1, 501)]
+    assert got == {k: want for k in range(24)} | {90: ["w1", "w3", "w2"], None: ["w4"]}
+    assert asked and max(asked) < 400  # 12,000 words
