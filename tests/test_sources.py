@@ -36,6 +36,28 @@ def test_source_reads_what_the_parser_does(spark, tmp_path, monkeypatch):
     assert spark.read.format("scores").load(str(tmp_path / "nowhere")).count() == 0
 
 
+def test_a_small_file_is_opened_once(tmp_path, monkeypatch):
+    good, bad, long = "<score><part><measure number='1'><note/></measure></part></score>", "<score><part>", "<score><part>" + "<measure/>" * 20_000 + "</part></score>"
+    for name, content in (("a.xml", good), ("b.xml", bad), ("c.xml", long)):
+        (tmp_path / name).write_text(content)
+    opened, real = [], scores.file_system
+
+    class System:
+        def __init__(self, system):
+            self.system = system
+
+        def open_input_stream(self, path):
+            opened.append(path[-5:])
+            return self.system.open_input_stream(path)
+
+    reader = scores.ScoreReader(str(tmp_path), (".xml",))
+    parts = reader.partitions()
+    monkeypatch.setattr(scores, "file_system", lambda path: (System((found := real(path))[0]), found[1]))
+    rows = [r for part in parts for r in reader.read(part)]
+    assert [sum(r[0] == x for r in rows) for x in ("a.xml", "b.xml", "c.xml")] == [2, 1, 20_000]
+    assert (opened.count("a.xml"), opened.count("b.xml"), opened.count("c.xml")) == (1, 1, 3)
+
+
 def test_listing_is_sorted_and_may_be_empty(spark, tmp_path):
     assert tables.list_files(spark, str(tmp_path / "nowhere"), ".xml").count() == 0
     for name in ("b.xml", "a/z.xml", "c.txt"):
