@@ -90,27 +90,26 @@ def aligned_cut(target: Column, t_starts: Column, source: Column, s_starts: Colu
     return F.transform(F.array(bound), found)[0]
 
 
-def truncated_variants(rows: DataFrame, target: str, sources: dict[str, tuple[str, int]], t_start, s_start, t_most: int, s_most: int, width: int) -> DataFrame:
+def truncated_variants(rows: DataFrame, target: str, sources: dict[str, tuple[str, int]], t_start, s_start, t_most: int, s_most: int, width: int, shape=lambda x: x) -> DataFrame:
     """``rows`` with target and sources cut: each variant is truncated against the target, which is kept up to the longest cut of any.
 
-    ``sources`` names each variant's column of tuples and its lookahead. Beside the cut lists a variant has the columns source_length,
+    ``sources`` names each variant's column of tuples and its lookahead; ``shape`` makes tuples of what is kept, where the column has something else. Beside the cut lists a variant has the columns source_length,
     target_length, measure_count, boundary_aligned, lookahead_target, lookahead_source and truncated, with its name behind.
     """
-    t_starts = F.array_sort(measure_starts(F.col(target), t_start))
-    out = rows
+    out = rows.withColumn("_starts", F.sort_array(measure_starts(F.col(target), t_start)))
     for name, (column, lookahead) in sources.items():
-        s_starts = F.array_sort(measure_starts(F.col(column), s_start))
-        out = out.withColumn(f"_cut_{name}", aligned_cut(F.col(target), t_starts, F.col(column), s_starts, t_most, s_most, lookahead))
+        s_starts = F.sort_array(measure_starts(F.col(column), s_start))
+        out = out.withColumn(f"_cut_{name}", aligned_cut(F.col(target), F.col("_starts"), F.col(column), s_starts, t_most, s_most, lookahead))
     out = out.withColumn(target, F.slice(target, 1, F.array_max(F.array(*[F.col(f"_cut_{v}.target_end") for v in sources]))))
     for name, (column, _) in sources.items():
         cut = F.col(f"_cut_{name}")
-        out = out.withColumn(column, or_zero_tuple(F.slice(column, 1, cut["source_end"]), width))
+        out = out.withColumn(column, or_zero_tuple(shape(F.slice(column, 1, cut["source_end"])), width))
         named = {
             "source_length": F.size(column), "target_length": cut["target_end"], "measure_count": cut["measures"], "boundary_aligned": cut["aligned"],
             "lookahead_target": cut["target_ahead"], "lookahead_source": cut["source_ahead"], "truncated": cut["truncated"],
         }
         out = out.withColumns({f"{k}_{name}": c for k, c in named.items()})
-    return out.drop(*[f"_cut_{v}" for v in sources])
+    return out.drop("_starts", *[f"_cut_{v}" for v in sources])
 
 
 def or_zero_tuple(x: Column, width: int) -> Column:

@@ -220,3 +220,13 @@ def test_same_result_on_one_and_many_partitions(spark, small_dir):
     df = fixtures.notes(spark, small_dir)
     rows = lambda n: sorted(map(str, match.tolerant_scores(df.repartition(n), "pitch_onset").collect()))
     assert rows(1) == rows(7)
+
+
+def test_only_kept_ids_become_tuples(spark):
+    tuples = lambda x: F.transform(x, lambda t: F.array(t, (t < 5).cast("int")))
+    rows = spark.createDataFrame([(k, [(i * k) % 9 for i in range(20 * k)], [(i + k) % 7 for i in range(15 * k)]) for k in range(6)], "row_id int, t array<int>, s array<int>")
+    late = arrays.truncated_variants(rows, "t", {"s": ("s", 1)}, lambda t: t < 5, lambda t: t < 5, 30, 30, 2, tuples)
+    early = arrays.truncated_variants(rows.withColumn("s", tuples(F.col("s"))), "t", {"s": ("s", 1)}, lambda t: t < 5, lambda t: F.get(t, F.lit(1)) == 1, 30, 30, 2)
+    assert late.columns == early.columns and sorted(late.collect()) == sorted(early.collect())
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") == 0
