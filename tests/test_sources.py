@@ -130,6 +130,25 @@ def test_files_of_equal_names_stay_apart(spark, tmp_path):
     assert sorted((r["name"].split("-")[0], r["content"]) for r in read.collect()) == [("7", "a\nb"), ("7", "c"), ("8", "")]
 
 
+def test_the_driver_lists_no_file_of_a_deep_folder(spark, tmp_path, monkeypatch):
+    """Folders hold a few files each and are listed by the tasks that read them; what Spark's readers pass over is passed over."""
+    monkeypatch.setattr(tables, "FILES", 4)
+    monkeypatch.setattr(tables, "READ", 20)
+    tables.write_files(spark.range(30).selectExpr("cast(id as string) AS name", "concat(' text ', id, '\n') AS value").repartition(3), f"{tmp_path}/texts")
+    assert max(len(list(x.iterdir())) for x in (tmp_path / "texts").iterdir()) == 4
+    (tmp_path / "texts/a/b").mkdir(parents=True)
+    (tmp_path / "texts/_c").mkdir()
+    for name in ("top.txt", ".top.txt", "a/b/low.txt", "_c/no.txt"):
+        (tmp_path / "texts" / name).write_text(f"{name}\r\n x ")
+    (tmp_path / "texts/empty.txt").write_text("")
+    read = tables.read_whole_texts(spark, f"file:{tmp_path}/texts", deep=True)
+    assert read.inputFiles() == []
+    want = [(str(k), f"text {k}") for k in range(30)] + [("low.txt", "a/b/low.txt\r\n x"), ("top.txt", "top.txt\r\n x")]
+    assert sorted((r["name"].split("-")[0], r["content"]) for r in read.collect()) == sorted(want)
+    alone = tables.read_whole_texts(spark, f"{tmp_path}/texts/a/b/low.txt", deep=True)
+    assert [tuple(r) for r in alone.collect()] == [("low.txt", "a/b/low.txt\r\n x")]
+
+
 def test_many_small_scores_are_read_in_many_parts(tmp_path):
     for k in range(2500):
         (tmp_path / f"{k}.xml").write_text("<score><part/></score>")
