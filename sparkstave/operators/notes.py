@@ -171,10 +171,11 @@ def structure_tokens(elements: DataFrame) -> DataFrame:
     )
     phase = F.when(F.col("tag") == "measure", 0).when(F.col("tag") == "attributes", 1).otherwise(2)
     kept = F.filter(tokens, lambda t: t.isNotNull())
-    rows = elements.select("file", "side", F.struct("part_idx", "measure_order", phase.alias("phase"), "child_pos", kept.alias("tokens")).alias("x"))
-    ends = elements.filter("tag = 'measure'").select("file", "side", F.struct("part_idx", "measure_order", F.lit(3).alias("phase"), "child_pos", F.array(say("<PART_", part, "_MEASURE_END>")).alias("tokens")).alias("x"))
+    at = lambda phase, tokens: F.struct("part_idx", "measure_order", phase.alias("phase"), "child_pos", tokens.alias("tokens"))
+    own, end = at(phase, kept), at(F.lit(3), F.array(say("<PART_", part, "_MEASURE_END>")))
+    rows = elements.select("file", "side", F.explode(F.when(F.col("tag") == "measure", F.array(own, end)).otherwise(F.array(own))).alias("x"))
     listed = F.array_sort(F.collect_list(F.when(F.col("x.tokens").isNotNull(), F.col("x"))))
-    return rows.unionByName(ends).groupBy("file", "side").agg(F.flatten(F.transform(listed, lambda x: x["tokens"])).alias("tokens"))
+    return rows.groupBy("file", "side").agg(F.flatten(F.transform(listed, lambda x: x["tokens"])).alias("tokens"))
 
 
 def timed_notes(elements: DataFrame) -> DataFrame:
@@ -190,11 +191,12 @@ def timed_notes(elements: DataFrame) -> DataFrame:
     rows = rows.withColumn("divisions_in_force", F.coalesce(F.last(given, ignorenulls=True).over(upto), F.lit(1)))
     rows = rows.withColumn("from_beat", F.col("onset") / F.col("divisions_in_force")).withColumn("to_beat", (F.col("onset") + F.col("ticks")) / F.col("divisions_in_force"))
     measure = [*part, "measure_order"]
-    length = F.greatest(F.lit(0.0), F.max(F.when(F.col("tag").isin("note", "forward"), F.col("to_beat"))))
-    spans = rows.groupBy(*measure).agg(F.coalesce(length, F.lit(0.0)).alias("length"))
-    earlier = Window.partitionBy(*part).orderBy("measure_order").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("opens", F.coalesce(F.sum("length").over(earlier), F.lit(0.0)))
-    notes = rows.filter("tag = 'note' and not is_rest").withColumn("pitch", pitch_of(elements)).filter("pitch is not null").join(spans.drop("length"), measure)
+    whole = Window.partitionBy(*measure)
+    length = F.coalesce(F.greatest(F.lit(0.0), F.max(F.when(F.col("tag").isin("note", "forward"), F.col("to_beat"))).over(whole)), F.lit(0.0))
+    opening = F.row_number().over(whole.orderBy("child_pos")) == 1  # a measure's length counts once
+    earlier = Window.partitionBy(*part).orderBy("measure_order").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("length", F.when(opening, length)).withColumn("opens", F.coalesce(F.sum("length").over(earlier), F.lit(0.0)))
+    notes = rows.filter("tag = 'note' and not is_rest").withColumn("pitch", pitch_of(elements)).filter("pitch is not null")
     start, end = scalars.round_time(F.col("opens") + F.col("from_beat")), scalars.round_time(F.col("opens") + F.col("to_beat"))
     staff, voice = F.col("staff").try_cast("int"), F.nullif(F.trim("voice"), F.lit(""))
     out = notes.select(

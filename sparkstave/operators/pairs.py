@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkstave.functions import scalars
 from sparkstave.operators import match, notes as nt, report, similarity
-from sparkstave.session import stored
+from sparkstave.session import bucketed, drop_stored, stored
+
+#: Elements of a bucket, about.
+ROWS = 200_000
 
 #: Metrics whose mean over files the summary gives.
 MEANS = (
@@ -48,17 +51,30 @@ COMPOSED = (
 )
 
 
-def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float = 0.0, metrics: tuple[str, ...] | None = None) -> DataFrame:
+def dealt(elements: DataFrame) -> tuple[DataFrame, int]:
+    """Elements in parts of about ROWS by the hash of their file, and how many parts."""
+    rows = stored(elements, "parsed")
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    out = bucketed(rows.repartition(n, "file"), "elements", "file", n)
+    drop_stored(rows)
+    return out, n
+
+
+def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float = 0.0, metrics: tuple[str, ...] | None = None, parts: int | None = None) -> DataFrame:
     """One row of all metrics for each file of ``elements`` (rows of ``score_elements`` with ``side``: pred or gt).
 
     Each family of metrics is a grouped query over all files. What it finds is listed as (file, name, value), and one pivot
     brings a file's metrics together. A file that one side lacks is scored against nothing. With ``metrics`` only families that hold one of these names are computed, and
     the others' columns are left out; composites need COMPOSED.
+
+    Elements and notes lie in buckets by file, so families shuffle joins and what they have found, but no notes. ``parts``: the elements come dealt by the hash of their file into so many tasks.
     """
-    elements = stored(elements.filter("error is null"), "elements")
-    raw = stored(nt.timed_notes(elements), "notes")
-    notes = stored(nt.merged_notes(raw), "notes")
+    elements = elements.filter("error is null")
+    elements, parts = (bucketed(elements, "elements", "file", parts), parts) if parts else dealt(elements)
+    raw = bucketed(nt.timed_notes(elements), "notes", "file", parts)
     measures = elements.filter("tag = 'measure'").select("file", "side", nt.own_measure(elements).alias("measure_idx")).distinct()
+    notes = match.with_positions(nt.merged_notes(raw), measures)
+    notes = bucketed(notes.repartition(parts, "file"), "notes", "file", parts)
     tolerances, exact = (onset_tol, duration_tol), not (onset_tol or duration_tol)
     found: list[DataFrame] = []
     made: set[str] = set()

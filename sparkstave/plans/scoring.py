@@ -279,7 +279,8 @@ def f33(spark, d):
 
 
 def _scores(spark, d, metrics=None):
-    return pairs.pair_scores(fx.parsed_scores(spark, d), metrics=metrics)
+    n = fx.score_parts(spark, d)
+    return pairs.pair_scores(fx.parsed_scores(spark, d, n), metrics=metrics, parts=n)
 
 
 PAIRS = f"WITH {fx.SCORES_SQL}"

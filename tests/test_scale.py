@@ -97,3 +97,18 @@ def test_wanted_metrics_only(spark, small_dir):
     assert {"rhythm_f1", "ser", "measure_accuracy"} < set(some.columns) and not {c for c in some.columns if "timeline" in c or "edit" in c}
     every = {x["file"]: (x["rhythm_f1"], x["ser"]) for x in pairs.pair_scores(elements).collect()}
     assert {x["file"]: (x["rhythm_f1"], x["ser"]) for x in some.collect()} == every
+
+
+def test_notes_are_shuffled_once_not_by_each_family(spark, small_dir):
+    """Files lie in buckets, so families without a join shuffle only what they have found; rows of a file that come from several tasks are brought together first."""
+    from sparkstave.operators import pairs
+    from sparkstave.plans import fixtures
+
+    names = ("rhythm_f1", "key_event_f1", "xml_structure_edit_distance", "duration_histogram_jsd", "pitch_class_timeline_dtw_similarity", "rhythm_timeline_dtw_similarity")
+    elements = fixtures.parsed_scores(spark, small_dir, 3)
+    some = pairs.pair_scores(elements, metrics=names, parts=3)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 2
+    scattered = pairs.pair_scores(elements.repartition(5), metrics=names)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, scattered.collect()))
+    assert not [t.name for t in spark.catalog.listTables("default") if t.name.startswith(("elements_", "notes_"))]
