@@ -119,6 +119,13 @@ def own_measure(elements: DataFrame) -> Column:
     return measure_number(F.col("measure_number"), F.col("measure_order"))
 
 
+def with_ordinal(elements: DataFrame) -> DataFrame:
+    """``ordinal``: position of the element's measure on its side of a file, parts taken together; null for numbers below 0. Every measure has an element of its own."""
+    number = own_measure(elements)
+    rank = F.dense_rank().over(Window.partitionBy("file", "side", number >= 0).orderBy(number))
+    return elements.withColumn("ordinal", F.when(number >= 0, rank))
+
+
 def clocked(elements: DataFrame) -> DataFrame:
     """Parsed elements with ``measure_idx``, whole ``ticks``, and their ``onset`` in the measure."""
     rows = elements.withColumn("measure_idx", own_measure(elements)).withColumn("ticks", scalars.safe_int(F.col("duration")))
@@ -179,7 +186,8 @@ def structure_tokens(elements: DataFrame) -> DataFrame:
 
 
 def timed_notes(elements: DataFrame) -> DataFrame:
-    """(file, side, note_id, part_idx, measure_idx, pitch, pitch_class, start_beat, end_beat, staff, voice, tie_key) of parsed notes, rests left out.
+    """(file, side, note_id, part_idx, measure_idx, pitch, pitch_class, start_beat, end_beat, staff, voice, tie_key) of parsed notes, rests left out;
+    with ``ordinal`` if the elements have it.
 
     A beat is a quarter: clock over the divisions in force in the part. A measure starts where the one before ends, and
     lasts up to the latest end of a note, rest or forward in it. A note whose tie stops continues the one before it of the same part, pitch, voice and staff.
@@ -202,6 +210,7 @@ def timed_notes(elements: DataFrame) -> DataFrame:
     out = notes.select(
         *part, "measure_order", "child_pos", "measure_idx", F.col("pitch").cast("int").alias("pitch"), start.alias("start_beat"), end.alias("end_beat"),
         staff.alias("staff"), voice.alias("voice"), F.coalesce(F.col("ties").contains("stop"), F.lit(False)).alias("goes_on"),
+        *(c for c in elements.columns if c == "ordinal"),
     )
     chain = Window.partitionBy(*part, "pitch", "voice", "staff").orderBy("measure_order", "start_beat", "child_pos").rowsBetween(Window.unboundedPreceding, 0)
     number = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(chain)
@@ -212,12 +221,13 @@ def timed_notes(elements: DataFrame) -> DataFrame:
 
 def merged_notes(notes: DataFrame) -> DataFrame:
     """``timed_notes`` with tied ones merged: attributes and measure of the first, duration up to the last end."""
-    first = F.struct("start_beat", "end_beat", "note_id", "pitch", "measure_idx", "staff", "voice")
+    ordinal = [c for c in notes.columns if c == "ordinal"]  # that of the measure, so it changes no order
+    first = F.struct("start_beat", "end_beat", "note_id", "pitch", "measure_idx", "staff", "voice", *ordinal)
     merged = notes.groupBy("file", "side", "part_idx", "tie_key").agg(F.min(first).alias("x"), F.max("end_beat").alias("end"), F.count("*").alias("n_merged"))
     duration = scalars.round_time(F.greatest(F.lit(0.0), F.col("end") - F.col("x.start_beat")))
     return merged.select(
         "file", "side", "part_idx", "x.note_id", "x.measure_idx", "x.pitch", F.pmod("x.pitch", F.lit(12)).alias("pitch_class"), F.col("x.start_beat").alias("onset_beat"),
-        duration.alias("duration_beat"), "x.staff", "x.voice", "n_merged",
+        duration.alias("duration_beat"), "x.staff", "x.voice", "n_merged", *(f"x.{c}" for c in ordinal),
     )
 
 

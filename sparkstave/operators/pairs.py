@@ -71,10 +71,9 @@ def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float
     """
     elements = elements.filter("error is null")
     elements, parts = (bucketed(elements, "elements", "file", parts), parts) if parts else dealt(elements)
-    raw = bucketed(nt.timed_notes(elements), "notes", "file", parts)
+    raw = bucketed(nt.timed_notes(nt.with_ordinal(elements)), "notes", "file", parts)
+    notes = bucketed(nt.merged_notes(raw), "notes", "file", parts)
     measures = elements.filter("tag = 'measure'").select("file", "side", nt.own_measure(elements).alias("measure_idx")).distinct()
-    notes = match.with_positions(nt.merged_notes(raw), measures)
-    notes = bucketed(notes.repartition(parts, "file"), "notes", "file", parts)
     tolerances, exact = (onset_tol, duration_tol), not (onset_tol or duration_tol)
     found: list[DataFrame] = []
     made: set[str] = set()
@@ -123,7 +122,7 @@ def pair_scores(elements: DataFrame, onset_tol: float = 0.0, duration_tol: float
     family(["pitch_class_histogram_jsd"], lambda: named(match.divergence(match.pitch_class_histogram(notes)), {"pitch_class_histogram_jsd": "jsd"}))
     family(["duration_histogram_jsd"], lambda: named(match.divergence(match.duration_histogram(notes, 6)), {"duration_histogram_jsd": "jsd"}))
     for kind in ("pitch_class", "rhythm"):
-        family([f"{kind}_timeline_f1"], lambda kind=kind: named(match.framewise_f1(notes, kind), {f"{kind}_timeline_f1": "f1"}))
+        family([f"{kind}_timeline_f1"], lambda kind=kind: named(match.framewise_f1(notes, kind, together=True), {f"{kind}_timeline_f1": "f1"}))
         warped = f"{kind}_timeline_dtw_similarity"
         family([warped], lambda kind=kind, warped=warped: named(similarity.timeline_dtw(match.timeline(notes, kind)), {warped: "similarity"}))
     names = [

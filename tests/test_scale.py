@@ -104,7 +104,7 @@ def test_notes_are_shuffled_once_not_by_each_family(spark, small_dir):
     from sparkstave.operators import pairs
     from sparkstave.plans import fixtures
 
-    names = ("rhythm_f1", "key_event_f1", "xml_structure_edit_distance", "duration_histogram_jsd", "pitch_class_timeline_dtw_similarity", "rhythm_timeline_dtw_similarity")
+    names = ("rhythm_f1", "key_event_f1", "xml_structure_edit_distance", "duration_histogram_jsd", "pitch_class_timeline_dtw_similarity", "rhythm_timeline_dtw_similarity", "rhythm_timeline_f1")
     elements = fixtures.parsed_scores(spark, small_dir, 3)
     some = pairs.pair_scores(elements, metrics=names, parts=3)
     plan = some._jdf.queryExecution().executedPlan().toString()
@@ -112,3 +112,31 @@ def test_notes_are_shuffled_once_not_by_each_family(spark, small_dir):
     scattered = pairs.pair_scores(elements.repartition(5), metrics=names)
     assert sorted(map(tuple, some.collect())) == sorted(map(tuple, scattered.collect()))
     assert not [t.name for t in spark.catalog.listTables("default") if t.name.startswith(("elements_", "notes_"))]
+
+
+@pytest.mark.parametrize("kind", ["pitch_class", "rhythm"])
+def test_frames_of_a_file_in_one_task(spark, kind, monkeypatch):
+    monkeypatch.setattr(match, "SWEEP", 8)
+    r = random.Random(3)
+    rows = [(f"f{r.randrange(3)}", r.choice(("gt", "pred")), k, 0, 0, r.randrange(-8, 200) / 8, r.choice((0.0, 0.25, 1.0, 9.3)), p := r.randrange(60, 66), p % 12, 1, None) for k in range(200)]
+    df = spark.createDataFrame([*rows, ("f9", "pred", 1, 0, 0, 1.0, 1.0, 60, 0, 1, None)], NOTE)
+    apart, together = (sorted(map(tuple, match.framewise_f1(df, kind, together=x).collect())) for x in (False, True))
+    assert apart == together and len(apart) == 4
+
+
+def test_positions_of_measures_without_a_join(spark):
+    """Numbers may repeat, be missing, negative or differ between parts; what is looked up and what the elements bring is the same."""
+    from sparkstave.operators import pairs
+
+    numbers = [("gt", 0, ["5", "5", "x", "-3", "9"]), ("gt", 1, ["7", "2"]), ("pred", 0, ["9", "-1", "5"]), ("pred", 2, ["0", "100"])]
+    note = "<note><pitch><step>C</step><octave>4</octave></pitch><duration>1</duration></note>"
+    text = lambda mine: "<score>" + "".join("<part>" + "".join(f"<measure number='{n}'>{note if k % 3 != 2 else ''}</measure>" for k, n in enumerate(of)) + "</part>" for _, _, of in mine) + "</score>"
+    files = spark.createDataFrame([(s, text([x for x in numbers if x[0] == s])) for s in ("gt", "pred")], "file string, content string")
+    elements = notes.score_elements(files).withColumn("side", F.col("file")).withColumn("file", F.lit("f"))
+    measures = elements.filter("tag = 'measure'").select("file", "side", notes.own_measure(elements).alias("measure_idx")).distinct()
+    plain, brought = (notes.merged_notes(notes.timed_notes(e)) for e in (elements, notes.with_ordinal(elements)))
+    by = lambda df: sorted(map(tuple, df.collect()))
+    want = by(match._placed(plain, measures)[0].select("side", "part_idx", "note_id", "measure_idx", "ordinal"))
+    assert by(match._placed(brought, measures)[0].select("side", "part_idx", "note_id", "measure_idx", "ordinal")) == want and len(want) > 5
+    assert by(match.measure_accuracy(plain, measures)) == by(match.measure_accuracy(brought, measures))
+    assert pairs.pair_scores(elements, metrics=("ser",)).first()["total_measures"] == match.measure_accuracy(plain, measures).first()["measures"]
